@@ -62,7 +62,7 @@ def mean_of(value: Column, weight: Column) -> Column:
 
 
 def coverage_out() -> Column:
-    return (F.sum("_cc") / F.sum("_fw")).alias("coverage")
+    return F.try_divide(F.sum("_cc"), F.sum("_fw")).alias("coverage")
 
 
 def stack_average(df: DataFrame, keys: list[str], **options) -> DataFrame:
@@ -168,8 +168,8 @@ def combine(df: DataFrame, keys: list[str], method: str) -> DataFrame:
         value = F.coalesce(kept_mean, mean_of(x, w))
     return df.groupBy(*keys).agg(
         value.alias("value"), coverage_out(), n.alias("samples"),
-        (F.count(F.when(x < F.col("_lo_b"), 1)) / n).alias("rejected_low"),
-        (F.count(F.when(x > F.col("_hi_b"), 1)) / n).alias("rejected_high"),
+        F.try_divide(F.count(F.when(x < F.col("_lo_b"), 1)), n).alias("rejected_low"),
+        F.try_divide(F.count(F.when(x > F.col("_hi_b"), 1)), n).alias("rejected_high"),
         F.coalesce(kept, F.sum(w)).alias("accepted_weight"))
 
 

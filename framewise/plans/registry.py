@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["stacking"]
+MODULES = ["stacking", "colour"]
 
 
 def queries() -> dict:
