@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["stacking", "colour"]
+MODULES = ["stacking", "colour", "calibration", "screening", "sky_background", "placing"]
 
 
 def queries() -> dict:
