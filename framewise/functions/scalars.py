@@ -64,7 +64,7 @@ def utc_date(text: Column, time_system: Column | None = None) -> Column:
 def julian_year(ts: Column) -> Column:
     """H4: Julian year of a UTC timestamp (2000.0 at 2000-01-01T12:00)."""
     epoch = 946728000 * 1_000_000
-    return F.lit(2000.0) + (F.unix_micros(ts) - F.lit(epoch)) / F.lit(365.25 * 86400 * 1_000_000)
+    return F.lit(2000.0) + (F.unix_micros(ts.cast("timestamp")) - F.lit(epoch)) / F.lit(365.25 * 86400 * 1_000_000)
 
 
 def frame_type(text: Column) -> Column:

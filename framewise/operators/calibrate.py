@@ -158,15 +158,21 @@ def common_coverage(df: DataFrame, ref: DataFrame, mono: bool = True) -> DataFra
 
 def paired_statistics(pairs: DataFrame) -> DataFrame:
     """Backgrounds and 1.4826*MAD scales of frame and reference over shared pixels, per frame."""
-    keys = ["frame_id"]
-    spec = {"m": ("avg",)}
-    centre = (quantiles(pairs, keys, "value", spec).withColumnRenamed("m", "background")
-              .join(quantiles(pairs, keys, "ref", spec).withColumnRenamed("m", "ref_background"), keys))
-    dev = pairs.join(centre, keys).select(
+    centre = side_medians(pairs, ["frame_id"], "value", "ref").withColumnsRenamed({"a": "background", "b": "ref_background"})
+    dev = pairs.join(centre, "frame_id").select(
         "frame_id", F.abs(F.col("value") - F.col("background")).alias("_v"), F.abs(F.col("ref") - F.col("ref_background")).alias("_r"))
-    scale = (quantiles(dev, keys, "_v", spec).withColumnRenamed("m", "scale")
-             .join(quantiles(dev, keys, "_r", spec).withColumnRenamed("m", "ref_scale"), keys))
-    return centre.join(scale, keys).withColumns({"scale": F.col("scale") * 1.4826, "ref_scale": F.col("ref_scale") * 1.4826})
+    scale = side_medians(dev, ["frame_id"], "_v", "_r").select(
+        "frame_id", (F.col("a") * 1.4826).alias("scale"), (F.col("b") * 1.4826).alias("ref_scale"))
+    return centre.join(scale, "frame_id")
+
+
+def side_medians(df: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """Medians ``a`` and ``b`` of two columns per key, in one pass over the unpivoted rows."""
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(first).alias("v")),
+                              F.struct(F.lit(1).alias("side"), F.col(second).alias("v")))).alias("e")
+    level = quantiles(df.select(*keys, sides).select(*keys, "e.side", "e.v"), [*keys, "side"], "v", {"m": ("avg",)})
+    pick = lambda side: F.max(F.when(F.col("side") == side, F.col("m")))
+    return level.groupBy(*keys).agg(pick(0).alias("a"), pick(1).alias("b"))
 
 
 def match_reference(df: DataFrame, ref: DataFrame, mono: bool = True, epsilon: float = 1.0e-6) -> DataFrame:
@@ -211,9 +217,8 @@ def match_reference_local(df: DataFrame, ref: DataFrame, columns: int, rows: int
     stats = paired_statistics(pairs)
     cell = grid_cell(F.col("y"), height, rows) * columns + grid_cell(F.col("x"), width, columns)
     cells = pairs.withColumn("cell", cell)
-    keys, spec = ["frame_id", "cell"], {"m": ("avg",)}
-    medians = (quantiles(cells, keys, "value", spec).withColumnRenamed("m", "a")
-               .join(quantiles(cells, keys, "ref", spec).withColumnRenamed("m", "b"), keys))
+    keys = ["frame_id", "cell"]
+    medians = side_medians(cells, keys, "value", "ref")
     full = stats.select("frame_id", "background", "ref_background",
                         F.explode(F.sequence(F.lit(0), F.lit(columns * rows - 1))).alias("cell"))
     full = full.join(medians, keys, "left").select(

@@ -303,15 +303,19 @@ def seam_pairs(placed: DataFrame, cells: int = 4, grid: int = 48) -> DataFrame:
 
 def seam_statistics(pairs: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
     """Medians of both sides, median, RMS, MAD and 95th percentile of the difference, per key (upper medians)."""
-    rows = pairs.select(*keys, F.col(first).alias("_a"), F.col(second).alias("_b"), (F.col(second) - F.col(first)).alias("_d"))
-    rows = rows.withColumn("_abs", F.abs("_d"))
-    t = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rms"))
-    for c, name, spec in (("_a", "first_median", ("upper",)), ("_b", "second_median", ("upper",)),
-                          ("_d", "median_difference", ("upper",)), ("_abs", "p95", ("ceil", 0.95))):
-        t = join_keys(t, quantiles(rows, keys, c, {name: spec}), keys)
-    dev = join_keys(rows.select(*keys, "_d"), t.select(*keys, "median_difference"), keys)
-    mad = quantiles(dev.withColumn("_e", F.abs(F.col("_d") - F.col("median_difference"))), keys, "_e", {"mad": ("upper",)})
-    return join_keys(t, mad, keys)
+    d = F.col(second) - F.col(first)
+    entry = lambda name, c: F.struct(F.lit(name).alias("m"), c.alias("v"))
+    rows = pairs.select(*keys, F.explode(F.array(entry("first", F.col(first)), entry("second", F.col(second)),
+                                                 entry("diff", d), entry("abs", F.abs(d)))).alias("e")).select(*keys, "e.m", "e.v")
+    level = quantiles(rows, [*keys, "m"], "v", {"up": ("upper",), "p95": ("ceil", 0.95)})
+    pick = lambda m, c: F.max(F.when(F.col("m") == m, F.col(c)))
+    t = level.groupBy(*keys).agg(pick("first", "up").alias("first_median"), pick("second", "up").alias("second_median"),
+                                 pick("diff", "up").alias("median_difference"), pick("abs", "p95").alias("p95"))
+    diffs = join_keys(pairs.select(*keys, d.alias("_d")), t, keys)
+    counts = diffs.groupBy(*keys, "first_median", "second_median", "median_difference", "p95").agg(
+        F.count(F.lit(1)).alias("samples"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rms"))
+    mad = quantiles(diffs.withColumn("_e", F.abs(F.col("_d") - F.col("median_difference"))), keys, "_e", {"mad": ("upper",)})
+    return join_keys(counts, mad, keys)
 
 
 def with_totals(pairs: DataFrame, cell: str = "cell") -> DataFrame:
@@ -451,7 +455,7 @@ def fold_locations(residuals: DataFrame, folds: int = 3, passes: int = 16) -> Da
     return per_key(rows, keys, body)
 
 
-def fold_pattern(locations: DataFrame, minimum_samples: float = 3.0, minimum_correlation: float = 0.1,
+def fold_pattern(locations: DataFrame, minimum_samples: float = 12.0, minimum_correlation: float = 0.2,
                  minimum_pixels: float = 128.0) -> tuple[DataFrame, DataFrame]:
     """For each excluded fold the mean pattern of the other two, kept to the share on which they agree.
 

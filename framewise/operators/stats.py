@@ -287,3 +287,25 @@ class Spread:
         that the plan of the next pass does not contain the plans of all passes before it."""
         table = df.groupBy(*self.keys).agg(*[F.max(c).alias(c) for c in state])
         return join_keys(base, F.broadcast(cut_lineage(table)), self.keys, "left")
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column], lead_value: Column, name: str = "row",
+                hot: list[int] | None = None) -> DataFrame:
+    """``row_number`` per key that splits heavy keys: ``lead_value`` (numeric, sorts like the first entry of
+    ``order``) places rows into ranges, ranks inside a range add to the size of the ranges before it."""
+    hot = hot_keys(df, keys) if hot is None else hot
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    if not hot:
+        return df.withColumn(name, F.row_number().over(whole))
+    heavy = F.xxhash64(*keys).isin(hot)
+    rows = df.where(heavy).withColumn("_lead", lead_value)
+    probabilities = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
+    splits = rows.groupBy(*keys).agg(F.percentile_approx("_lead", probabilities, SPLITS * 8).alias("_splits"))
+    rows = join_keys(rows, F.broadcast(splits), keys)
+    rows = rows.withColumn("_b", F.size(F.filter("_splits", lambda s: s < F.col("_lead")))).drop("_splits", "_lead")
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    rows = join_keys(rows, F.broadcast(sizes), [*keys, "_b"]).withColumn(name, (F.col("_r") + F.col("_before")).cast("int"))
+    return df.where(~heavy).withColumn(name, F.row_number().over(whole)).unionByName(rows.drop("_b", "_r", "_before"))

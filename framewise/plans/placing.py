@@ -130,8 +130,8 @@ QUERIES = {
     "D43_frequency_coadd": coadd,
     "D43_frequency_coadd_fft": coadd_fft,
     "D38_fold_locations": lambda s, sf: rounded(m.fold_locations(residual_rows(s, sf))),
-    "D38_fold_retention": lambda s, sf: rounded(m.fold_pattern(locations_sql_like(s, sf), minimum_pixels=8, minimum_correlation=-1.0)[0]),
-    "D38_fold_pattern": lambda s, sf: rounded(m.fold_pattern(locations_sql_like(s, sf), minimum_pixels=8, minimum_correlation=-1.0)[1]),
+    "D38_fold_retention": lambda s, sf: rounded(m.fold_pattern(locations_sql_like(s, sf), minimum_samples=3, minimum_pixels=8, minimum_correlation=-1.0)[0]),
+    "D38_fold_pattern": lambda s, sf: rounded(m.fold_pattern(locations_sql_like(s, sf), minimum_samples=3, minimum_pixels=8, minimum_correlation=-1.0)[1]),
 }
 
 INV = f"""(SELECT frame_id, d/(a*d-b*c) AS ia, -b/(a*d-b*c) AS ib, -c/(a*d-b*c) AS ic, a/(a*d-b*c) AS id, (b*dy-d*dx)/(a*d-b*c) AS idx, (c*dx-a*dy)/(a*d-b*c) AS idy FROM ({TRANSFORMS}))"""
