@@ -64,7 +64,7 @@ CANDIDATES = f"""WITH s AS (SELECT * FROM ({F1}) WHERE coverage > 1e-6),
   v AS (SELECT *, xx - mx*mx AS a, yy - my*my AS b, xy - mx*my AS c FROM k),
   w AS (SELECT *, greatest(0, (a+b)/2 + sqrt((a-b)*(a-b)/4 + c*c)) AS ma, greatest(0, (a+b)/2 - sqrt((a-b)*(a-b)/4 + c*c)) AS mi FROM v)
   SELECT frame_id, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, {sr('cx+mx', 'x')}, {sr('cy+my', 'y')}, {sr('flux')}, {sr('peak')}, {sr('2.35482*sqrt(ma)', 'fwhm')},
-    {sr('CASE WHEN ma > 1e-12 THEN sqrt(greatest(0, least(1, 1 - mi/ma))) ELSE 0 END', 'eccentricity', 5)} FROM w"""
+    {sr('CASE WHEN ma > 1e-12 THEN sqrt(greatest(0, least(1, 1 - mi/ma))) ELSE 0 END', 'eccentricity')} FROM w"""
 
 
 def psf(s, sf):
@@ -158,7 +158,7 @@ TILES = f"""WITH w AS (SELECT *, {LUM} AS l, CAST(floor(((y+1)*2-1)/3) AS INT)*3
   FROM s JOIN p USING (frame_id, tile) JOIN q USING (frame_id, tile)"""
 
 QUERIES = {
-    "D46_star_candidates": lambda s, sf: (lambda d: d.withColumn("eccentricity", F.round("eccentricity", 5)))(rounded(st.star_candidates(f1(s, sf), 8, 8, 0.8, -1.0).withColumn("eccentricity", F.col("eccentricity") + 1e-9))),
+    "D46_star_candidates": lambda s, sf: rounded(st.star_candidates(f1(s, sf), 8, 8, 0.8, -1.0)),
     "D46_detect_stars": lambda s, sf: rounded(st.detect_stars(f1(s, sf), 8, 8, 5, sigma=0.8, min_peak=-1.0)),
     "D47_aperture_photometry": photometry,
     "D48_fit_star_shapes": shapes,
