@@ -148,22 +148,23 @@ def d15(s, sf):
 
 def sets(s, sf):
     m = acquisition(f5_masters(s, sf), "master_id", "Dark Frame").withColumnRenamed("master_id", "frame_id")
-    return m.withColumn("set_id", F.col("frame_id") % 300)
+    t = F.floor((F.try_element_at("numeric", F.lit("sensorTemperature")) + 20) / 8)
+    return m.withColumn("set_id", F.col("frame_id") % 12 * 10 + t)
 
 
 def d14(s, sf):
-    return md.validate_master_inputs(sets(s, sf), "dark", 30.0)[0]
+    return md.validate_master_inputs(sets(s, sf), "dark", 7.5)[0]
 
 
 def d14_canonical(s, sf):
     rows = sets(s, sf).where(F.try_element_at("numeric", F.lit("exposure")).isNotNull()).withColumn(
         "text", F.map_filter("text", lambda k, v: ~k.isin("camera", "filter")))
-    ok = md.validate_master_inputs(rows, "dark", 100.0)[1]
+    ok = md.validate_master_inputs(rows, "dark", 8.0)[1]
     n = lambda k: F.try_element_at("numeric", F.lit(k))
     return rounded(ok.select("set_id", "frames", n("sensorTemperatureMin").alias("t_min"), n("sensorTemperatureMax").alias("t_max"), n("sensorTemperature").alias("t_mid"), n("exposure").alias("exposure")))
 
 
-SETS = f"SELECT master_id % 300 AS set_id, * FROM ({F5_MASTERS})"
+SETS = f"SELECT CAST(master_id % 12 * 10 + floor((sensor_temperature + 20)/8) AS BIGINT) AS set_id, * FROM ({F5_MASTERS})"
 D14_AGG = f"""a AS (SELECT set_id, count(*) AS n, count(DISTINCT camera) AS cams, count(DISTINCT gain) AS gains, max(exposure)-min(exposure) AS de, max(sensor_temperature)-min(sensor_temperature) AS dt,
     min(sensor_temperature) AS t0, max(sensor_temperature) AS t1, min(exposure) AS e FROM ({SETS}) GROUP BY 1)"""
 
@@ -270,7 +271,7 @@ ORACLES = {
     "C4_plan_issues": f"""WITH {PAIRS}, {MEMBERS}, e AS (SELECT frame_id, master_id, unnest(list_filter([CASE WHEN ic IS NULL THEN 'camera|missing' WHEN ic <> mc THEN 'camera|conflict' END, CASE WHEN NOT near THEN 'sensorTemperature|conflict' END], lambda z: z IS NOT NULL)) AS z FROM q)
       SELECT first_member AS group_first, master_id, split_part(z, '|', 1) AS field, split_part(z, '|', 2) AS issue, count(*) AS count FROM e JOIN g USING (frame_id) JOIN gm USING (gid) GROUP BY ALL""",
     "D14_validate_master_inputs": f"""WITH {D14_AGG} SELECT set_id, 'camera' AS field, 'conflict' AS code FROM a WHERE cams > 1 UNION ALL SELECT set_id, 'gain', 'conflict' FROM a WHERE gains > 1
-      UNION ALL SELECT set_id, 'exposure', 'conflict' FROM a WHERE de > 1e-6 UNION ALL SELECT set_id, 'sensorTemperature', 'spread' FROM a WHERE dt > 30 UNION ALL SELECT set_id, 'frames', 'too-few' FROM a WHERE n < 2""",
+      UNION ALL SELECT set_id, 'exposure', 'conflict' FROM a WHERE de > 1e-6 UNION ALL SELECT set_id, 'sensorTemperature', 'spread' FROM a WHERE dt > 7.5 UNION ALL SELECT set_id, 'frames', 'too-few' FROM a WHERE n < 2""",
     "D14_canonical": f"""WITH {D14_AGG} SELECT set_id, n AS frames, {sr('t0', 't_min')}, {sr('t1', 't_max')}, {sr('(t0+t1)/2', 't_mid')}, {sr('e', 'exposure')} FROM a WHERE gains = 1 AND de <= 1e-6 AND n >= 2""",
     "D15_group_acquisitions": f"WITH {MEMBERS} SELECT first_member, members FROM gm",
     "C19_drop_display_proxies": C19,
