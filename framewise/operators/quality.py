@@ -133,7 +133,7 @@ def point_residuals(grid: DataFrame, stats: DataFrame, median_noise: float | Non
     def body(part: DataFrame, group) -> DataFrame:
         part = group.attach_agg(part, {"_count": F.count("_x")})
         part = part.where(F.col("_count") > o.minimum_peers)
-        part = group.attach(part, F.col("_x"), {"_centre": ("avg",)})
+        part = group.attach(part, "_x", {"_centre": ("avg",)})
         part = group.attach(part, F.abs(F.col("_x") - F.col("_centre")), {"_mad": ("avg",)})
         return order_around_middle(part, group)
 
@@ -155,7 +155,7 @@ def order_around_middle(part: DataFrame, group) -> DataFrame:
     """Order statistics ``_m0 _m1 _m2`` around the middle: for odd n the elements (n-3)/2, (n-1)/2, (n+1)/2;
     for even n the pair n/2 - 1, n/2 (as ``_m0``, ``_m1``)."""
     # ("rank", q) picks floor(q*(n-1)); shifted ranks are expressed through min/max on either side.
-    part = group.attach(part, F.col("_x"), {"_m1": ("rank", 0.5)})
+    part = group.attach(part, "_x", {"_m1": ("rank", 0.5)})
     at = F.col("_m1")
     part = group.attach_agg(part, {
         "_below": F.max(F.when(F.col("_x") < at, F.col("_x"))), "_above": F.min(F.when(F.col("_x") > at, F.col("_x"))),

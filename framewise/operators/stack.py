@@ -97,7 +97,7 @@ def bounded(df: DataFrame, group: InTask | Spread, method: str, o: StackOptions)
     Rows with NULL ``_x`` stay: they carry coverage."""
     x, w = F.col("_x"), F.col("_wt")
     if method == "median":
-        df = group.attach(df, x, {"_mid": ("mid", 0.5)}, w)
+        df = group.attach(df, "_x", {"_mid": ("mid", 0.5)}, "_wt")
         return df.withColumns({"_lo_b": F.lit(-INF), "_hi_b": F.lit(INF)})
     if method == "sigma":
         df = group.attach_agg(df, {"_sx": F.sum(x * w), "_sw": F.sum(w)})
@@ -107,14 +107,14 @@ def bounded(df: DataFrame, group: InTask | Spread, method: str, o: StackOptions)
         return df.withColumns({"_lo_b": F.col("_mid") - F.lit(o.low) * F.col("_sd"),
                                "_hi_b": F.col("_mid") + F.lit(o.high) * F.col("_sd")}).drop("_sd", "_sx", "_sw")
     if method == "winsorized":
-        df = group.attach(df, x, {"_mid": ("mid", 0.5)}, w)
-        df = group.attach(df, F.abs(x - F.col("_mid")), {"_mad": ("mid", 0.5)}, w)
+        df = group.attach(df, "_x", {"_mid": ("mid", 0.5)}, "_wt")
+        df = group.attach(df, F.abs(x - F.col("_mid")), {"_mad": ("mid", 0.5)}, "_wt")
         sigma = F.greatest(F.lit(1.0e-6), F.col("_mad") * MAD_WINSOR)
         return df.withColumns({"_lo_b": F.col("_mid") - F.lit(o.low) * sigma,
                                "_hi_b": F.col("_mid") + F.lit(o.high) * sigma}).drop("_mad")
     if method == "percentile":
         require(o.low < o.high <= 1, "percentile bounds must satisfy 0 <= low < high <= 1")
-        return group.attach(df, x, {"_lo_b": ("mid", o.low), "_hi_b": ("mid", o.high), "_mid": ("mid", 0.5)}, w)
+        return group.attach(df, "_x", {"_lo_b": ("mid", o.low), "_hi_b": ("mid", o.high), "_mid": ("mid", 0.5)}, "_wt")
     return iterated(df, group, o)
 
 
@@ -125,15 +125,15 @@ def iterated(df: DataFrame, group: InTask | Spread, o: StackOptions) -> DataFram
     x, w = F.col("_x"), F.col("_wt")
     base, state = df, ["_lo_b", "_hi_b", "_scale", "_left", "_stop", "_mid"]
     df = df.withColumns({"_lo_b": F.lit(-INF), "_hi_b": F.lit(INF), "_stop": F.lit(False)})
-    df = group.attach(df, x, {"_mid": ("mid", 0.5)}, w)
-    df = group.attach(df, F.abs(x - F.col("_mid")), {"_mad": ("mid", 0.5)}, w)
+    df = group.attach(df, "_x", {"_mid": ("mid", 0.5)}, "_wt")
+    df = group.attach(df, F.abs(x - F.col("_mid")), {"_mad": ("mid", 0.5)}, "_wt")
     df = group.attach_agg(df, {"_left": F.count("_x")})
     df = df.withColumn("_scale", F.greatest(F.col("_mad") * MAD_ITERATIVE,
                                             F.abs("_mid") * (FLOAT_EPSILON * 2), F.lit(1.0e-6))).drop("_mad")
     for step in range(o.iterations):
         if step:
             df = group.settle(df, base, state)
-            df = group.attach(df.drop("_mid"), x, {"_mid": ("mid", 0.5)}, w,
+            df = group.attach(df.drop("_mid"), "_x", {"_mid": ("mid", 0.5)}, "_wt",
                               x.between(F.col("_lo_b"), F.col("_hi_b")))
         low = F.greatest(F.col("_lo_b"), F.col("_mid") - F.lit(o.low) * F.col("_scale"))
         high = F.least(F.col("_hi_b"), F.col("_mid") + F.lit(o.high) * F.col("_scale"))

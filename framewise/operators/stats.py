@@ -26,6 +26,7 @@ The quantile conventions (see SURVEY 1.4) are written as ``(kind, q)``:
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def hot_keys(df: DataFrame, keys: list[str]) -> list[int]:
     floor = hot_rows(df.sparkSession)
     row = (
         df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {MAX_HOT}, {MAX_HOT * 16})").alias("top"))
+        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {MAX_HOT}, {MAX_HOT * 4})").alias("top"))
         .first()
     )
     limit = max(floor, row["n"] // MAX_HOT)
@@ -96,14 +97,26 @@ def join_keys(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inne
     return df.join(renamed, on, how).drop(*[f"_j_{k}" for k in keys])
 
 
-def neighbours(specs: Specs, fold: Callable[[Column], Column]) -> dict[str, Column]:
-    """First pass: the order statistics each spec needs, as conditional max/min of the columns
-    ``_v _m _lo _k _n`` (value, counts?, values before, copies, total) and, if weighted,
-    ``_cw _w1 _w2 _w _mass`` (cumulative weight, first, last and whole weight of the copies, total)."""
-    value, inside = F.col("_v"), F.col("_m")
+@dataclass(frozen=True)
+class Parts:
+    """What a row contributes to order statistics: its value, whether it counts, and its weight. Rows merged from
+    equal values (``copies`` > 1) also know the weight of their first and last copy."""
+
+    value: Column
+    counts: Column
+    weight: Column
+    first: Column
+    last: Column
+    copies: Column
+
+
+def neighbours(specs: Specs, fold: Callable[[Column], Column], parts: Parts) -> dict[str, Column]:
+    """First pass: the order statistics each spec needs, as conditional max/min over the rows of a key. Uses the
+    columns ``_lo`` (rows before), ``_n`` (rows) and, if weighted, ``_cw`` (cumulative) and ``_mass`` (total weight)."""
+    value, inside = parts.value, parts.counts
 
     def at(rank: Column) -> Column:
-        hit = inside & (F.col("_lo") <= rank) & (rank < F.col("_lo") + F.col("_k"))
+        hit = inside & (F.col("_lo") <= rank) & (rank < F.col("_lo") + parts.copies)
         return fold(F.max(F.when(hit, value)))
 
     out: dict[str, Column] = {}
@@ -121,8 +134,8 @@ def neighbours(specs: Specs, fold: Callable[[Column], Column]) -> dict[str, Colu
         elif kind == "ceil":
             out[f"{name}_a"] = at(F.greatest(F.ceil(F.lit(q) * total) - 1, F.lit(0)))
         elif kind == "mid":
-            first = (F.col("_cw") - F.col("_w") + F.col("_w1") / 2) / F.col("_mass")
-            last = (F.col("_cw") - F.col("_w2") / 2) / F.col("_mass")
+            first = (F.col("_cw") - parts.weight + parts.first / 2) / F.col("_mass")
+            last = (F.col("_cw") - parts.last / 2) / F.col("_mass")
             out[f"{name}_a"] = fold(F.max(F.when(inside & (first < q), F.struct(
                 first.alias("p"), last.alias("e"), value.alias("v")))))
             out[f"{name}_b"] = fold(F.min(F.when(inside & (first >= q), F.struct(
@@ -164,7 +177,7 @@ def finish(specs: Specs) -> dict[str, Column]:
 
 
 def scratch(specs: Specs) -> list[str]:
-    return ["_v", "_m", "_lo", "_k", "_n", "_cw", "_w1", "_w2", "_w", "_mass",
+    return ["_v", "_lo", "_n", "_cw", "_mass",
             *[f"{n}_a" for n in specs], *[f"{n}_b" for n in specs]]
 
 
@@ -178,44 +191,45 @@ class InTask:
     def __init__(self, keys: list[str]):
         self.keys = keys
 
-    def _ranked(self, df: DataFrame, value: Column, specs: Specs, weight: Column | None,
-                where: Column | None) -> DataFrame:
-        counts = value.isNotNull() if where is None else (value.isNotNull() & where)
-        weight = F.lit(1.0) if weight is None else weight.cast("double")
-        order = [F.col("_v"), F.col("_w")] if weighted(specs) else [F.col("_v")]
-        running = (Window.partitionBy(*self.keys).orderBy(*order)
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    def _ranked(self, df: DataFrame, value: str | Column, specs: Specs, weight: str | None,
+                where: Column | None) -> tuple[DataFrame, Parts]:
+        """Adds ranks and totals. Named columns are used as they are, so the shuffle carries nothing twice."""
+        if isinstance(value, Column):
+            df = df.withColumn("_v", value)
+            value = "_v"
+        v = F.col(value)
+        counts = v.isNotNull() if where is None else (v.isNotNull() & where)
+        w = F.col(weight) if weight else F.lit(1.0)
         whole = Window.partitionBy(*self.keys)
-        df = df.withColumns({"_v": value, "_m": counts, "_w": weight})
-        one = F.when(F.col("_m"), F.lit(1)).otherwise(F.lit(0))
-        ranked = {"_lo": F.sum(one).over(running) - one}
-        if weighted(specs):
-            mass = F.when(F.col("_m"), F.col("_w")).otherwise(F.lit(0.0))
-            ranked["_cw"] = F.sum(mass).over(running)
-        df = df.withColumns(ranked)
-        totals = {"_n": F.max(F.col("_lo") + one).over(whole), "_k": F.lit(1)}
-        if weighted(specs):
-            totals["_mass"] = F.max(F.when(F.col("_m"), F.col("_cw"))).over(whole)
-            totals["_w1"] = F.col("_w")
-            totals["_w2"] = F.col("_w")
-        return df.withColumns(totals)
-
-    def attach(self, df: DataFrame, value: Column, specs: Specs, weight: Column | None = None,
+        if not weighted(specs):
+            order = Window.partitionBy(*self.keys).orderBy(v)
+            running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            # Values that do not count are NULL for the count and sort in front of or between the others.
+            df = df.withColumns({"_lo": F.count(F.when(counts, 1)).over(running) - 1, "_n": F.count(F.when(counts, 1)).over(whole)})
+            return df, Parts(v, counts, w, w, w, F.lit(1))
+        order = Window.partitionBy(*self.keys).orderBy(v, w)
+        running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        mass = F.when(counts, w)
+        df = df.withColumns({"_cw": F.sum(mass).over(running), "_mass": F.sum(mass).over(whole)})
+        if any(spec[0] not in ("mid", "wmed") for spec in specs.values()):
+            df = df.withColumns({"_lo": F.count(F.when(counts, 1)).over(running) - 1, "_n": F.count(F.when(counts, 1)).over(whole)})
+        return df, Parts(v, counts, w, w, w, F.lit(1))
+
+    def attach(self, df: DataFrame, value: str | Column, specs: Specs, weight: str | None = None,
                where: Column | None = None) -> DataFrame:
         """Add the statistics as columns to every row of the key."""
         check_specs(specs)
         whole = Window.partitionBy(*self.keys)
-        df = self._ranked(df, value, specs, weight, where)
-        df = df.withColumns(neighbours(specs, lambda c: c.over(whole)))
+        df, parts = self._ranked(df, value, specs, weight, where)
+        df = df.withColumns(neighbours(specs, lambda c: c.over(whole), parts))
         return df.withColumns(finish(specs)).drop(*scratch(specs))
 
     def table(self, df: DataFrame, value: str, specs: Specs, weight: str | None = None) -> DataFrame:
         """One row per key."""
         needed = [*self.keys, value] + ([weight] if weight else [])
-        df = self._ranked(df.select(*dict.fromkeys(needed)), F.col(value), specs,
-                          F.col(weight) if weight else None, None)
-        aggs = [c.alias(n) for n, c in neighbours(specs, lambda c: c).items()]
-        totals = [F.first("_n").alias("_n")] + ([F.first("_mass").alias("_mass")] if weighted(specs) else [])
+        df, parts = self._ranked(df.select(*dict.fromkeys(needed)), value, specs, weight, None)
+        aggs = [c.alias(n) for n, c in neighbours(specs, lambda c: c, parts).items()]
+        totals = [F.first(c).alias(c) for c in ("_n", "_mass") if c in df.columns]
         df = df.groupBy(*self.keys).agg(*totals, *aggs)
         return df.select(*self.keys, *[c.alias(n) for n, c in finish(specs).items()])
 
@@ -258,23 +272,19 @@ class Spread:
         merged = merged.withColumns({"_lo": F.sum("_k").over(inside) - F.col("_k"),
                                      "_cw": F.sum("_w").over(inside)})
         merged = join_keys(merged, F.broadcast(buckets), [*keys, "_b"])
-        merged = merged.withColumns({"_lo": F.col("_lo") + F.col("_k0"), "_cw": F.col("_cw") + F.col("_w0"),
-                                     "_m": F.lit(True)})
-        aggs = [c.alias(n) for n, c in self._neighbours(specs).items()]
+        merged = merged.withColumns({"_lo": F.col("_lo") + F.col("_k0"), "_cw": F.col("_cw") + F.col("_w0")})
+        parts = Parts(F.col("_v"), F.lit(True), F.col("_w"), F.col("_w1"), F.col("_w2"), F.col("_k"))
+        aggs = [c.alias(n) for n, c in neighbours(specs, lambda c: c, parts).items()]
         # _n and _mass are constant per key: grouping by them keeps partial aggregation intact.
         table = merged.groupBy(*keys, "_n", "_mass").agg(*aggs)
         return table.select(*keys, *[c.alias(n) for n, c in finish(specs).items()])
 
-    @staticmethod
-    def _neighbours(specs: Specs) -> dict[str, Column]:
-        return neighbours(specs, lambda c: c)
-
-    def attach(self, df: DataFrame, value: Column, specs: Specs, weight: Column | None = None,
+    def attach(self, df: DataFrame, value: str | Column, specs: Specs, weight: str | None = None,
                where: Column | None = None) -> DataFrame:
         check_specs(specs)
         rows = df.where(where) if where is not None else df
-        w = F.lit(1.0) if weight is None else weight
-        rows = rows.select(*self.keys, value.alias("_value"), w.alias("_weight"))
+        v = F.col(value) if isinstance(value, str) else value
+        rows = rows.select(*self.keys, v.alias("_value"), (F.col(weight) if weight else F.lit(1.0)).alias("_weight"))
         table = self.table(rows, "_value", specs, "_weight")
         return join_keys(df, F.broadcast(table), self.keys, "left")
 

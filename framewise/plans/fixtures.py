@@ -54,21 +54,24 @@ SELECT l_partkey AS k, l_suppkey AS frame_id,
 FROM lineitem"""
 
 
-def f0_plain(spark, sf):
+def f0_plain(spark, sf, gaps: bool = False):
     """F0 without ``seq`` (no window needed)."""
+    value = F.col("l_extendedprice") / F.col("l_quantity")
+    if gaps:
+        value = F.when(F.col("l_orderkey") % 13 != 0, value)
     return table(spark, sf, "lineitem").select(
-        F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("frame_id"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("value"),
+        F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("frame_id"), value.alias("value"),
         dbl(1.0 - F.col("l_discount") * 5).alias("coverage"),
         dbl(1 + F.col("l_suppkey") % 4).alias("frame_weight"))
 
 
 def f0_gaps(spark, sf):
-    """F0n: every 13th sample missing."""
-    return f0(spark, sf).withColumn("value", F.when(F.col("seq") % 13 != 0, F.col("value")))
+    """F0n: about every 13th sample missing."""
+    return f0_plain(spark, sf, gaps=True)
 
 
-F0N = f"SELECT k, frame_id, seq, CASE WHEN seq % 13 <> 0 THEN value END AS value, coverage, frame_weight FROM ({F0})"
+F0N = """SELECT l_partkey AS k, l_suppkey AS frame_id, CASE WHEN l_orderkey % 13 <> 0 THEN l_extendedprice / l_quantity END AS value,
+  CAST(1.0 - l_discount*5 AS DOUBLE) AS coverage, CAST(1 + l_suppkey % 4 AS DOUBLE) AS frame_weight FROM lineitem"""
 
 
 # frames 8x8, one channel ---------------------------------------------------------------
