@@ -135,11 +135,10 @@ def c3(s, sf):
 def plan(s, sf):
     i = inputs(s, sf)
     members, groups = md.group_acquisitions(i)
-    matches = md.match_calibration(i, masters(s, sf), "dark", TOL, ["filter"], ["gain", "exposure"], candidates_only=False)
-    a, b = md.calibration_plan(matches, members)
+    a, b = md.calibration_plan(i, members, masters(s, sf), "dark", TOL, ["filter"], ["gain", "exposure"])
     first = groups.select("group_id", "first_member")
     return a.join(first, "group_id").drop("group_id"), b.join(first.withColumnRenamed("first_member", "group_first"), "group_id").select(
-        "group_first", "master_id", "field", "issue", "count")
+        "group_first", "master_id", "field", "issue", "count", "first_member")
 
 
 def d15(s, sf):
@@ -269,7 +268,7 @@ ORACLES = {
         FROM q JOIN g USING (frame_id) GROUP BY 1, 2)
       SELECT first_member, master_id, compatible, review, incompatible, CASE WHEN incompatible > 0 THEN 'incompatible' WHEN review > 0 THEN 'review' ELSE 'compatible' END AS status FROM c JOIN gm USING (gid)""",
     "C4_plan_issues": f"""WITH {PAIRS}, {MEMBERS}, e AS (SELECT frame_id, master_id, unnest(list_filter([CASE WHEN ic IS NULL THEN 'camera|missing' WHEN ic <> mc THEN 'camera|conflict' END, CASE WHEN NOT near THEN 'sensorTemperature|conflict' END], lambda z: z IS NOT NULL)) AS z FROM q)
-      SELECT first_member AS group_first, master_id, split_part(z, '|', 1) AS field, split_part(z, '|', 2) AS issue, count(*) AS count FROM e JOIN g USING (frame_id) JOIN gm USING (gid) GROUP BY ALL""",
+      SELECT gf AS group_first, master_id, split_part(z, '|', 1) AS field, split_part(z, '|', 2) AS issue, count(*) AS count, min(frame_id) AS first_member FROM e JOIN g USING (frame_id) JOIN (SELECT gid, first_member AS gf FROM gm) USING (gid) GROUP BY ALL""",
     "D14_validate_master_inputs": f"""WITH {D14_AGG} SELECT set_id, 'camera' AS field, 'conflict' AS code FROM a WHERE cams > 1 UNION ALL SELECT set_id, 'gain', 'conflict' FROM a WHERE gains > 1
       UNION ALL SELECT set_id, 'exposure', 'conflict' FROM a WHERE de > 1e-6 UNION ALL SELECT set_id, 'sensorTemperature', 'spread' FROM a WHERE dt > 7.5 UNION ALL SELECT set_id, 'frames', 'too-few' FROM a WHERE n < 2""",
     "D14_canonical": f"""WITH {D14_AGG} SELECT set_id, n AS frames, {sr('t0', 't_min')}, {sr('t1', 't_max')}, {sr('(t0+t1)/2', 't_mid')}, {sr('e', 'exposure')} FROM a WHERE gains = 1 AND de <= 1e-6 AND n >= 2""",
