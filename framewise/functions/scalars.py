@@ -176,20 +176,31 @@ def celestial_ellipse(ra: Column, dec: Column, major: Column, minor: Column, ang
     known = (major > 0) & (minor > 0) & (angle.isNotNull() | (F.abs(major - minor) <= 1e-9))
     a, d, pa = F.radians(ra), F.radians(dec), F.radians(F.coalesce(angle, F.lit(0.0)))
 
-    def point(i: Column) -> Column:
+    # Three small steps per point: what a lambda binds is computed once.
+    def offset(i: Column) -> Column:
         t = i * (2 * math.pi / samples)
         u, v = major / 120 * F.cos(t), minor / 120 * F.sin(t)
-        east, north = u * F.sin(pa) + v * F.cos(pa), u * F.cos(pa) - v * F.sin(pa)
-        rho = F.radians(F.hypot(east, north))
-        f = F.when(rho > 0, F.sin(rho) / F.when(rho > 0, rho)).otherwise(1.0)
-        e, n = F.radians(east) * f, F.radians(north) * f
-        x = F.cos(rho) * F.cos(d) * F.cos(a) - e * F.sin(a) - n * F.sin(d) * F.cos(a)
-        y = F.cos(rho) * F.cos(d) * F.sin(a) + e * F.cos(a) - n * F.sin(d) * F.sin(a)
-        z = F.cos(rho) * F.sin(d) + n * F.cos(d)
-        return F.struct(F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)).alias("ra"),
-                        F.degrees(F.atan2(z, F.hypot(x, y))).alias("dec"))
-
-    return F.when(known, F.transform(F.sequence(F.lit(0), F.lit(samples)), point))
+        return F.struct(F.radians(u * F.sin(pa) + v * F.cos(pa)).alias("e"), F.radians(u * F.cos(pa) - v * F.sin(pa)).alias("n"))
+
+    def arc(p: Column) -> Column:
+        rho = F.hypot(p["e"], p["n"])
+        return F.struct(p["e"].alias("e"), p["n"].alias("n"), F.cos(rho).alias("c"),
+                        F.when(rho > 0, F.try_divide(F.sin(rho), rho)).otherwise(1.0).alias("f"))
+
+    def vector(p: Column) -> Column:
+        e, n, c = p["e"] * p["f"], p["n"] * p["f"], p["c"]
+        return F.struct((c * F.cos(d) * F.cos(a) - e * F.sin(a) - n * F.sin(d) * F.cos(a)).alias("x"),
+                        (c * F.cos(d) * F.sin(a) + e * F.cos(a) - n * F.sin(d) * F.sin(a)).alias("y"),
+                        (c * F.sin(d) + n * F.cos(d)).alias("z"))
+
+    def place(p: Column) -> Column:
+        return F.struct(F.pmod(F.degrees(F.atan2(p["y"], p["x"])), F.lit(360.0)).alias("ra"),
+                        F.degrees(F.atan2(p["z"], F.hypot(p["x"], p["y"]))).alias("dec"))
+
+    ring = F.sequence(F.lit(0), F.lit(samples))
+    for step in (offset, arc, vector, place):
+        ring = F.transform(ring, step)
+    return F.when(known, ring)
 
 
 def point_in_polygon(points: Column, x: Column | float, y: Column | float) -> Column:

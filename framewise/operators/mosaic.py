@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bayer_color, bayer_phase, clamp, feather_weight
 from ..schema import MIN_COVERAGE, PIXEL, choice, finite, require, require_columns
+from ..session import cut_lineage
 from .stats import join_keys, per_key, quantiles
 
 FXY = ["frame_id", "x", "y", "channel"]
@@ -330,7 +331,8 @@ def exposure_corrections(placed: DataFrame, order: list[int], minimum: int = 16,
     two aggregates and the driver keeps gain and offset, a few numbers. Panels stay distributed."""
     require(len(order) == len(set(order)) and len(order) > 0, "order must list distinct panels")
     spark = placed.sparkSession
-    cols = placed.where(F.col("coverage") > 0.5).select("frame_id", *PIXEL, "value")
+    # Read by every step: written once, so that the panels are not built again for each of them.
+    cols = cut_lineage(placed.where(F.col("coverage") > 0.5).select("frame_id", *PIXEL, "value"))
     done: dict[tuple[int, int], tuple[float, float]] = {}
     schema = "frame_id bigint, channel int, gain double, offset double"
     for step in range(1, len(order)):
