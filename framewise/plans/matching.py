@@ -177,7 +177,8 @@ D33 = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY frame_i
 
 # --- scalar functions --------------------------------------------------------------------------
 
-CK = F.col("c_custkey")
+def customer_key():
+    return F.col("c_custkey")
 
 
 def customers(s, sf):
@@ -185,14 +186,14 @@ def customers(s, sf):
 
 
 def h1(s, sf):
-    ra = F.concat_ws(":", F.lpad((CK % 25).cast("string"), 2, "0"), F.lpad((CK % 61).cast("string"), 2, "0"), F.format_string("%02d.5", CK % 60))
-    dec = F.concat(F.when(CK % 2 == 0, "-").otherwise("+"), F.lpad((CK % 91).cast("string"), 2, "0"), F.lit(":30:"), F.lpad((CK % 60).cast("string"), 2, "0"))
-    return rounded(customers(s, sf).select(CK.alias("id"), h.sexagesimal(ra, True).alias("ra"), h.sexagesimal(dec, False).alias("dec")))
+    ra = F.concat_ws(":", F.lpad((customer_key() % 25).cast("string"), 2, "0"), F.lpad((customer_key() % 61).cast("string"), 2, "0"), F.format_string("%02d.5", customer_key() % 60))
+    dec = F.concat(F.when(customer_key() % 2 == 0, "-").otherwise("+"), F.lpad((customer_key() % 91).cast("string"), 2, "0"), F.lit(":30:"), F.lpad((customer_key() % 60).cast("string"), 2, "0"))
+    return rounded(customers(s, sf).select(customer_key().alias("id"), h.sexagesimal(ra, True).alias("ra"), h.sexagesimal(dec, False).alias("dec")))
 
 
 def h2(s, sf):
-    name = F.concat(F.when(CK % 3 == 0, "NGC").when(CK % 3 == 1, "IC").otherwise("Mel"), F.lpad(CK.cast("string"), 6, "0"))
-    return customers(s, sf).select(CK.alias("id"), h.display_id(name).alias("label"), h.search_key(F.col("c_name")).alias("key"))
+    name = F.concat(F.when(customer_key() % 3 == 0, "NGC").when(customer_key() % 3 == 1, "IC").otherwise("Mel"), F.lpad(customer_key().cast("string"), 6, "0"))
+    return customers(s, sf).select(customer_key().alias("id"), h.display_id(name).alias("label"), h.search_key(F.col("c_name")).alias("key"))
 
 
 def h3(s, sf):
@@ -205,8 +206,8 @@ def h3(s, sf):
 
 def h5(s, sf):
     kinds = ["Light Frame", "MASTER-DARK", "flat", "Dark Flat", "flat_dark frame", "bias", "Offset", "tricolor"]
-    text = F.element_at(F.array(*[F.lit(k) for k in kinds]), (CK % 8 + 1).cast("int"))
-    return customers(s, sf).select(CK.alias("id"), h.frame_type(text).alias("kind"))
+    text = F.element_at(F.array(*[F.lit(k) for k in kinds]), (customer_key() % 8 + 1).cast("int"))
+    return customers(s, sf).select(customer_key().alias("id"), h.frame_type(text).alias("kind"))
 
 
 def h8(s, sf):
@@ -232,9 +233,9 @@ def h16(s, sf):
 
 
 def h18(s, sf):
-    units = F.element_at(F.array(*[F.lit(u) for u in ("nm", "Angstrom", "micron", "m", "inch")]), (CK % 5 + 1).cast("int"))
-    return rounded(customers(s, sf).select(CK.alias("id"), h.wavelength_nm(F.col("c_acctbal"), units).alias("nm"),
-                                           h.response_value(F.col("c_acctbal"), dbl(CK % 3)).alias("share")))
+    units = F.element_at(F.array(*[F.lit(u) for u in ("nm", "Angstrom", "micron", "m", "inch")]), (customer_key() % 5 + 1).cast("int"))
+    return rounded(customers(s, sf).select(customer_key().alias("id"), h.wavelength_nm(F.col("c_acctbal"), units).alias("nm"),
+                                           h.response_value(F.col("c_acctbal"), dbl(customer_key() % 3)).alias("share")))
 
 
 QUERIES = {
