@@ -97,3 +97,13 @@ def test_region_numbers(spark):
     df = spark.createDataFrame([(1, 0.5, 2.0, 1.0), (2, 0.9, 5.0, 5.0), (3, 0.5, 1.0, 9.0)], "region_id bigint, confidence double, y double, x double")
     got = {r["region_id"]: r["index"] for r in ev.region_order(df.withColumn("width", F.lit(1.0)).withColumn("height", F.lit(1.0))).collect()}
     assert got == {2: 0, 3: 1, 1: 2}
+
+
+def test_modules_import_before_a_session_exists():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
