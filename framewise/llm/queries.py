@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["packing", "urls"]
+MODULES = ["packing", "urls", "decontaminate", "search"]
 
 
 def queries() -> dict:

@@ -23,10 +23,9 @@ def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
     Its size does not depend on the rows: Spark ors the bits of each 64-bit word and at most ``2**(bits - 6)`` words come
     to the driver. A clear bit proves that a value is absent; a set bit proves nothing, so an exact join must follow.
     """
-    h = F.col(hashes.columns[0])
-    place = F.shiftrightunsigned(h, 64 - bits)
-    words = (hashes.where(h.isNotNull()).groupBy(F.shiftrightunsigned(place, 6).alias("word"))
-             .agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int"))).alias("value")))
+    h = f"shiftrightunsigned(`{hashes.columns[0]}`, {64 - bits})"
+    words = (hashes.where(f"`{hashes.columns[0]}` is not null").groupBy(F.expr(f"shiftrightunsigned({h}, 6)").alias("word"))
+             .agg(F.expr(f"bit_or(shiftleft(1L, cast({h} & 63 as int)))").alias("value")))
     out = np.zeros(1 << (bits - 6), np.uint64)
     for batch in words.toArrow().to_batches():
         out[batch.column("word").to_numpy()] = batch.column("value").to_numpy().astype(np.int64).view(np.uint64)
