@@ -98,7 +98,8 @@ def shingle_counts(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], shingl
 
 def probe(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], shingle: int, width: int) -> DataFrame:
     """One row per document, ``row, doc_id, n_words, places``: the prefix shingles in it, each as (h, at, before, around):
-    its first word's number, how many words of the context stand before it, and that context."""
+    its first word's number, how many words of the context stand before it, and that context. ``row`` names a document by
+    what it holds, so that a repeated pass gives the same name; equal rows share it and have equal results."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     place = pa.struct([("h", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("around", pa.string())])
 
@@ -118,8 +119,10 @@ def probe(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], shingle: int, w
                     [batch.column(0)[rows], batch.column(1)[rows], pa.array(np.diff(bounds)), pa.array(places, pa.list_(place))],
                     names=["row", "doc_id", "n_words", "places"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string")).mapInArrow(
-        run, f"row bigint, doc_id {id_type}, n_words bigint, places array<struct<h: bigint, at: bigint, before: int, around: string>>")
+    text = F.col("text").cast("string")
+    row = F.concat_ws("-", F.hex(F.xxhash64("doc_id", text)), F.hex(F.xxhash64(text, F.lit(7), "doc_id")))
+    return docs.select(row.alias("row"), "doc_id", text).mapInArrow(
+        run, f"row string, doc_id {id_type}, n_words bigint, places array<struct<h: bigint, at: bigint, before: int, around: string>>")
 
 
 def find_windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, bits: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
