@@ -26,8 +26,8 @@ from . import text as X
 from .store import bit_filter, cut, may_hold
 
 LENGTH, GRAM = 200, 64
-#: Contexts of one anchor in one task.
-PART = 4096
+#: Contexts of one anchor in one task, and rows of a table that may be broadcast.
+PART, SMALL = 4096, 100_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -53,7 +53,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     first, last = first[inside[first]], last[inside[first]]
     if not len(first):
         return none
-    return own[first], first, last, h[own[first]], X.spans_hash(prefix, first, last + length)
+    # A least hash is a small one; mixed again, keys are spread evenly over bitmaps and partitions.
+    return own[first], first, last, X.mix(h[own[first]] + np.uint64(1)), X.spans_hash(prefix, first, last + length)
 
 
 def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -246,7 +247,9 @@ def coverage(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, np.nda
     twice = hulls.where("n > 1").select("key", "hull", F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))
     # One context of each hull; where the bitmap lets another through, that hull repeats anyway.
     contexts = _scan(rows, length, gram, which, bit_filter(hulls.select("me"), 24), "key bigint, hull bigint, at int, context binary")
-    crowded = hulls.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    crowded = cut(hulls.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"))
+    if crowded.count() <= SMALL:
+        crowded = F.broadcast(crowded)
     dealt = (contexts.join(crowded, "key", "left").na.fill(1, ["parts"])
              .withColumn("part", F.pmod(F.xxhash64("hull"), F.col("parts")).cast("int")).repartition("key", "part").sortWithinPartitions("key", "part"))
     compared = cut(_compare(dealt, length))
