@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["packing", "urls", "decontaminate", "search", "suffixes", "jaccard", "toxicity", "language", "pages"]
+MODULES = ["packing", "urls", "decontaminate", "search", "suffixes", "jaccard", "toxicity", "language", "pages", "quality"]
 
 
 def queries() -> dict:
