@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
@@ -96,6 +96,11 @@ def shingle_counts(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], shingl
     return docs.select(F.col("text").cast("string")).mapInArrow(count, "h bigint, seen bigint").groupBy("h").agg(F.sum("seen").alias("seen"))
 
 
+def row_name() -> Column:
+    text = F.col("text").cast("string")
+    return F.concat_ws("-", F.hex(F.xxhash64("doc_id", text)), F.hex(F.xxhash64(text, F.lit(7), "doc_id")))
+
+
 def probe(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], shingle: int, width: int) -> DataFrame:
     """One row per document, ``row, doc_id, n_words, places``: the prefix shingles in it, each as (h, at, before, around):
     its first word's number, how many words of the context stand before it, and that context. ``row`` names a document by
@@ -119,9 +124,7 @@ def probe(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], shingle: int, w
                     [batch.column(0)[rows], batch.column(1)[rows], pa.array(np.diff(bounds)), pa.array(places, pa.list_(place))],
                     names=["row", "doc_id", "n_words", "places"])
 
-    text = F.col("text").cast("string")
-    row = F.concat_ws("-", F.hex(F.xxhash64("doc_id", text)), F.hex(F.xxhash64(text, F.lit(7), "doc_id")))
-    return docs.select(row.alias("row"), "doc_id", text).mapInArrow(
+    return docs.select(row_name().alias("row"), "doc_id", F.col("text").cast("string")).mapInArrow(
         run, f"row string, doc_id {id_type}, n_words bigint, places array<struct<h: bigint, at: bigint, before: int, around: string>>")
 
 
@@ -167,6 +170,15 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle
             .withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words")))
 
 
+def clean_only(docs: DataFrame, items: DataFrame, small: int = 100_000, **options) -> DataFrame:
+    """``docs`` without the contaminated ones. Their names are sent to all tasks up to ``small``, beyond that joined."""
+    bad = cut(contamination(docs, items, **options).where("contaminated").select("row").distinct())
+    name = "_row_of_contamination"
+    rows = docs.withColumn(name, row_name())
+    bad = bad.withColumnRenamed("row", name)
+    return rows.join(F.broadcast(bad) if bad.count() <= small else bad, name, "left_anti").drop(name)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: contamination of every document."""
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

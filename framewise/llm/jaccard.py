@@ -187,13 +187,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, recall: float = RECALL, branch: float = BRANCH,
                       depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """``doc_id, class_id, n_links, r1, r2`` of every document.
+    """``doc_id, class_id, n_links, r1, r2, class_key`` of every document.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z become lower case; a text of fewer than ``width`` words is
     one shingle. Documents are linked if their sets of shingles have a Jaccard similarity of ``similarity`` or more;
     ``class_id`` is the least doc_id of those connected by links, ``n_links`` the number of other rows linked to this one.
     Repeated rows are rows of their own and linked. A text without words, or null, has no links and is its own class. Rows
     with a null id take part, their id just does not name a class. An empty table gives no rows; other columns are ignored.
+    (r1, r2) name a row by its id and text, ``class_key`` names its class, null for a text without words.
     """
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs, width, runs_needed(similarity, recall, branch, depth), branch, depth))
@@ -237,14 +238,28 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, width: in
     paired = in_blocks(grouped, "root", block).join(again, "r1").select("root", "bi", "bj", "side", "s1", "s2", "copies", "grams")
     links = in_groups(paired, ["root", "bi", "bj"], count, "s1 bigint, s2 bigint, links bigint").groupBy("s1", "s2").agg(F.sum("links").alias("links"))
     least = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = grouped.join(least, "root").join(links, ["s1", "s2"]).select("s1", "s2", "class_id", "links")
+    known = grouped.join(least, "root").join(links, ["s1", "s2"]).select("s1", "s2", "class_id", "links", "root")
     each = (classes.join(known, ["s1", "s2"], "left").select(
-        "s1", "s2", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    full = signed.where("size > 0").join(each, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "r1", "r2")
-    empty = signed.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "r1", "r2")
+        "s1", "s2", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("root", "s1").alias("class_key")))
+    full = signed.where("size > 0").join(each, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "r1", "r2", "class_key")
+    empty = signed.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "r1", "r2", F.lit(None).cast("bigint").alias("class_key"))
     return full.unionByName(empty)
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class of linked documents, the one with the least id; texts without words all stay."""
+    found = classes_and_links(docs, **options)
+    first = (found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("k"))
+             .select("k.r1", "k.r2", F.lit(True).alias("single")))
+    rest = found.where("class_key is null").select("r1", "r2", F.lit(False).alias("single")).distinct()
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct("*").alias("all"), F.xxhash64("doc_id", text).alias("r1"), F.xxhash64(text, F.lit(7), "doc_id").alias("r2"))
+    kept = rows.join(cut(first.unionByName(rest)), ["r1", "r2"])
+    # Rows that are equal in id and text share a name; one of them stays.
+    return kept.where("single").dropDuplicates(["r1", "r2"]).unionByName(kept.where("not single")).select("all.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: class and links of every document."""
     return classes_and_links(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import text as X
 from .fit import remainder, sigmoid
@@ -251,9 +252,9 @@ def score_texts(docs: DataFrame, learnable: Column) -> DataFrame:
                      pa.array(np.bincount(owner, word, n) - size * base), pa.array(np.bincount(owner, logs, n)), pa.ListArray.from_arrays(pa.array(bounds), values)],
                     names=[*names, "n_tokens", "n_known", "base_score", "score", "_rare"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields)
-    local = docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(
-        run, schema + "n_tokens bigint, n_known bigint, base_score double, score double, _rare array<struct<h: bigint, n: bigint>>")
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(
+        "n_tokens bigint, n_known bigint, base_score double, score double, _rare array<struct<h: bigint, n: bigint>>").fields])
+    local = docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
     # A text without rare words goes its own way through the join, under a name that spreads.
     row = local.withColumn("_row", F.monotonically_increasing_id()).select("*", F.explode_outer("_rare").alias("_w")).drop("_rare")
     word = row.select("*", F.col("_w.n").alias("_n"), F.coalesce(F.col("_w.h"), F.xxhash64("_row")).alias("h")).drop("_w")

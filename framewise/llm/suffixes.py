@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import text as X
 from .store import bit_filter, cut, may_hold
@@ -57,10 +58,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return own[first], first, last, X.mix(h[own[first]] + np.uint64(1)), X.spans_hash(prefix, first, last + length)
 
 
-def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _identity(docs: DataFrame, id_col: str, text_col: str, payload: Column) -> DataFrame:
     """Rows named by what they hold, so that every pass gives them the same name; equal rows have equal results."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("r1"),
+    return docs.select(payload.alias("payload"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("r1"),
                        F.xxhash64(text, F.lit(7), F.col(id_col)).alias("r2"))
 
 
@@ -92,6 +93,10 @@ def _scan(rows: DataFrame, length: int, gram: int, keys: np.ndarray | None, head
     return rows.select("r1", "r2", "text").mapInArrow(run, schema)
 
 
+def _parse(ddl: str) -> list[StructField]:
+    return StructType.fromDDL(ddl).fields
+
+
 def suffix_sort(group: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of ``data`` (bytes, valid up to ``sizes``) by group and bytes, and each one's common extension with
     the one before it (-1 at a new group).
@@ -260,20 +265,22 @@ def coverage(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, np.nda
     return whole.unionByName(twice).unionByName(some).unionByName(found), bit_filter(keys.select("key"), 26)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, kept, n_bytes, spans``: each document's bytes without those in a string of ``length`` bytes that starts
-    anywhere else as well, and the removed runs as sorted, disjoint (a, b).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+                   payload: Column | None = None) -> DataFrame:
+    """``doc_id, kept, text, n_bytes, spans``: each document's bytes without those in a string of ``length`` bytes that
+    starts anywhere else as well, ``text`` the same without characters that were cut apart, and the removed runs as sorted,
+    disjoint (a, b). ``payload`` takes the place of the id where more of the row is to come along.
 
     Texts are UTF-8 bytes, null is empty; no string crosses documents, and all are judged on the input. Every row is kept,
     also empty ones; of repeated rows all copies lose what they share; rows are not told apart by id. An empty table gives
     no rows; other columns are ignored.
     """
-    rows = _identity(docs, id_col, text_col)
+    rows = _identity(docs, id_col, text_col, F.col(id_col) if payload is None else payload)
     cover, which = coverage(rows, length, gram)
     hit = _scan(rows, length, gram, which, None, "key bigint, hull bigint, r1 bigint, r2 bigint, low int, size int")
     spans = (hit.join(cover, ["key", "hull"]).select("r1", "r2", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.coalesce("b", "size")).alias("b"))
              .groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
-    id_type = docs.schema[id_col].dataType.simpleString()
+    schema = StructType([StructField("doc_id", rows.schema["payload"].dataType), *_parse("kept binary, text string, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>")])
     pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +303,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                     kept.append(text[~out].tobytes())
                     change = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
                     gone.append([{"a": int(x), "b": int(y)} for x, y in zip(change[::2], change[1::2], strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pair))],
-                                                 names=["doc_id", "kept", "n_bytes", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()),
+                                                  pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pair))], names=["doc_id", "kept", "text", "n_bytes", "spans"])
 
-    return rows.join(spans, ["r1", "r2"], "left").select("doc_id", "text", "spans").mapInArrow(
-        keep, f"doc_id {id_type}, kept binary, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>")
+    return rows.join(spans, ["r1", "r2"], "left").select("payload", "text", "spans").mapInArrow(
+        keep, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as X
 from .fit import apply, labelled_sample, logistic, remainder, sigmoid
@@ -186,7 +187,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kept = docs.drop("score")
     names = kept.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", score double"
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
     return kept.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
