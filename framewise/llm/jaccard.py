@@ -25,7 +25,7 @@ from .store import bit_filter, cut, may_hold
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.995
 #: Shingles chosen at a node on average, steps of a path, and classes that are compared at once.
-BRANCH, DEPTH, BLOCK = 3.0, 2, 512
+BRANCH, DEPTH, BLOCK = 3.0, 2, 2048
 
 
 def runs_needed(similarity: float, recall: float, branch: float = BRANCH, depth: int = DEPTH) -> int:
@@ -121,11 +121,13 @@ def similar(sets: list[np.ndarray], similarity: float, split: int | None = None)
     return common * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None]) - 1e-9
 
 
-def in_groups(df: DataFrame, keys: list[str], solve: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """``solve`` for each group of ``keys``; groups are small by construction and several lie in a batch."""
+def in_groups(df: DataFrame, keys: list[str], begin: Callable[[], Callable[[pa.Table], pa.RecordBatch]], schema: str) -> DataFrame:
+    """A function of the group for each group of ``keys``, made anew by ``begin`` in every task; groups are small by
+    construction and several lie in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        solve = begin()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -208,20 +210,39 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, width: in
     named = cut(members.join(chosen, "leaf").join(classes.select("s1", "s2", "r1"), ["s1", "s2"]))
     sets = sets_of(docs, named.select("r1").distinct(), width)
 
-    def link(table: pa.Table) -> pa.RecordBatch:
-        groups, s1, _, _ = _distinct(table)
-        near = similar(groups, similarity)
-        root, out = np.arange(len(groups)), []
-        for i in range(len(groups)):
-            # Links to earlier ones that are not yet connected with this one.
-            for j in np.flatnonzero(near[i, :i]):
-                if root[i] != root[j]:
-                    out.append((int(s1[i]), int(s1[j])))
-                    root[root == root[i]] = root[j]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+    def linker() -> Callable[[pa.Table], pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while above.get(x, x) != x:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
+        def link(table: pa.Table) -> pa.RecordBatch:
+            groups, s1, _, _ = _distinct(table)
+            near, names, out = similar(groups, similarity), s1.tolist(), []
+            new = np.ones(len(names), bool)
+            while new.any():
+                first = int(new.argmax())
+                reached = np.zeros(len(names), bool)
+                reached[first], front = True, np.array([first])
+                while len(front):
+                    grown = near[front].any(0) & ~reached
+                    reached |= grown
+                    front = np.flatnonzero(grown)
+                new &= ~reached
+                # What connects classes that the task has not connected so far.
+                for j in np.flatnonzero(reached):
+                    a, b = root(names[first]), root(names[j])
+                    if a != b:
+                        above[a] = b
+                        out.append((names[first], names[j]))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+        return link
 
     dealt = in_blocks(named, "leaf", block).join(sets, "r1").select("leaf", "bi", "bj", "s1", "s2", "grams")
-    edges = in_groups(dealt, ["leaf", "bi", "bj"], link, "a bigint, b bigint")
+    edges = in_groups(dealt, ["leaf", "bi", "bj"], linker, "a bigint, b bigint")
     roots = cut(components(edges))
     grouped = cut(roots.join(classes, roots["node"] == classes["s1"]).select("root", "s1", "s2", "r1", "copies", "least"))
 
@@ -236,7 +257,7 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, width: in
 
     again = sets_of(docs, grouped.select("r1").distinct(), width)
     paired = in_blocks(grouped, "root", block).join(again, "r1").select("root", "bi", "bj", "side", "s1", "s2", "copies", "grams")
-    links = in_groups(paired, ["root", "bi", "bj"], count, "s1 bigint, s2 bigint, links bigint").groupBy("s1", "s2").agg(F.sum("links").alias("links"))
+    links = in_groups(paired, ["root", "bi", "bj"], lambda: count, "s1 bigint, s2 bigint, links bigint").groupBy("s1", "s2").agg(F.sum("links").alias("links"))
     least = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
     known = grouped.join(least, "root").join(links, ["s1", "s2"]).select("s1", "s2", "class_id", "links", "root")
     each = (classes.join(known, ["s1", "s2"], "left").select(
