@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, moments_to_shape, region16
@@ -70,12 +68,14 @@ def star_candidates(df: DataFrame, width: int, height: int, sigma: float = 3.0,
                     shape["major"].alias("fwhm"), shape["eccentricity"].alias("eccentricity"))
 
 
-def detect_stars(df: DataFrame, width: int, height: int, max_stars: int = 500, separation: float = 3.0, **options) -> DataFrame:
-    """Candidates, brightest first, at least ``separation`` pixels apart, at most ``max_stars`` per frame."""
-    require(max_stars >= 1, "max_stars must be positive")
+def detect_stars(df: DataFrame, width: int, height: int, max_stars: int | None = None, separation: float = 3.0, **options) -> DataFrame:
+    """Candidates, brightest first, at least ``separation`` pixels apart: all of them with ``detected``, the number in the
+    frame, or the brightest ``max_stars`` of each frame."""
+    require(max_stars is None or max_stars >= 1, "max_stars must be positive")
     found = star_candidates(df, width, height, **options).withColumn("star_id", F.col("cy").cast("bigint") * width + F.col("cx"))
     kept = greedy_separation(found, separation, ["frame_id"], "star_id", [F.col("flux").desc(), F.col("star_id")], -F.col("flux"))
-    return brightest(kept, ["frame_id"], max_stars).drop("rank", "cx", "cy")
+    kept = join_keys(kept, kept.groupBy("frame_id").agg(F.count(F.lit(1)).alias("detected")), ["frame_id"])
+    return (kept if max_stars is None else brightest(kept, ["frame_id"], max_stars).drop("rank")).drop("cx", "cy")
 
 
 def cutouts(stars: DataFrame, df: DataFrame, radius: int, channel: int | None = None) -> DataFrame:
@@ -96,194 +96,150 @@ def cutouts(stars: DataFrame, df: DataFrame, radius: int, channel: int | None =
         "frame_id", "star_id", "sx", "sy", "px", "py", *extra, dx.alias("dx"), dy.alias("dy"), "value", "coverage")
 
 
-PHOTOMETRY = "status string, flux double, noise double, snr double, sky double, sky_sigma double, sky_used int"
+#: Fixed values of photometry: bisquare cut-off, deviation factor, share of the aperture that must be covered, sky pixels,
+#: pixels at the peak that mean a clipped star, and how near the peak they are.
+TUKEY, SCALE, COVERED, SKY_PIXELS, CLIPPED, AT_PEAK = 4.685, 1.4826, 0.98, 30, 5, 1e-6
+
+
+def solve3(m: list[Column], v: list[Column]) -> list[Column]:
+    """Solution of a symmetric 3x3 system (m: 00 01 02 11 12 22) by cofactors; NULL where it is singular."""
+    a, b, c, d, e, f = m
+    inverse = [d * f - e * e, c * e - b * f, b * e - c * d, a * f - c * c, b * c - a * e, a * d - b * b]
+    det = a * inverse[0] + b * inverse[1] + c * inverse[2]
+    det = F.when(F.abs(det) > 1e-12 * F.abs(a * d * f), det)
+    rows = [(0, 1, 2), (1, 3, 4), (2, 4, 5)]
+    return [sum((inverse[k] * x for k, x in zip(r, v)), F.lit(0.0)) / det for r in rows]
 
 
 def aperture_photometry(stars: DataFrame, df: DataFrame, radius: float = 5.0, sky_inner: float = 8.0, sky_outer: float = 12.0,
-                        saturation: float = 0.0, min_snr: float = 5.0, width: int | None = None, height: int | None = None) -> DataFrame:
-    """Circular aperture with 8x8 sub-pixel edges, robust sky plane in the annulus, per star and channel.
+                        saturation: float = 0.0, min_snr: float = 5.0, width: int | None = None, height: int | None = None, rounds: int = 8) -> DataFrame:
+    """Circular aperture whose edge pixels count by the share of 8x8 points inside, over a plane fitted to the annulus
+    with bisquare weights. A star is measured in all its channels or in none: the first channel that fails names the status.
 
-    The annulus bounds a star's pixels (at most 83 x 83), gathered as one array; Python works on batches of stars."""
+    A star's pixels (83 x 83 at most) meet once by a shuffle on the star; each round of the plane is then two percentiles and
+    nine weighted sums over them, all stars at a time."""
     require(3 <= radius <= 20 and sky_inner > radius + 1 and sky_outer >= sky_inner + 2 and sky_outer <= 40, "aperture radii out of range")
     finite("min_snr", min_snr, 1)
-    reach = int(math.ceil(sky_outer + 1))
-    pix = cutouts(stars, df, reach)
-    d = F.hypot(F.col("px") + F.col("dx") - F.col("sx"), F.col("py") + F.col("dy") - F.col("sy"))
-    pix = pix.where(d <= max(sky_outer, radius + 0.71))
-    entry = F.struct((F.col("px") + F.col("dx") - F.col("sx")).alias("x"), (F.col("py") + F.col("dy") - F.col("sy")).alias("y"),
-                     F.when(F.col("coverage") >= 0.999999, F.col("value")).alias("v"))
-    packed = pix.groupBy("frame_id", "star_id", "channel", "sx", "sy").agg(F.sort_array(F.collect_list(entry)).alias("_p"))
-
-    @F.pandas_udf(PHOTOMETRY)
-    def measure(x: pd.Series, y: pd.Series, v: pd.Series) -> pd.DataFrame:
-        names = [c.split()[0] for c in PHOTOMETRY.split(", ")]
-        return pd.DataFrame([_aperture(np.asarray(a, float), np.asarray(b, float), np.array(c, dtype=float), radius, sky_inner, sky_outer,
-                                       saturation, min_snr) for a, b, c in zip(x, y, v)], columns=names)
-
-    out = packed.select("frame_id", "star_id", "channel", "sx", "sy", measure(F.col("_p.x"), F.col("_p.y"), F.col("_p.v")).alias("m"))
-    out = out.select("frame_id", "star_id", "channel", "sx", "sy", "m.*")
+    keys = ["frame_id", "star_id", "channel"]
+    per = Window.partitionBy(*keys)
+    pix = cutouts(stars, df, int(math.ceil(sky_outer + 1))).select(
+        *keys, "sx", "sy", (F.col("px") + F.col("dx") - F.col("sx")).alias("x"), (F.col("py") + F.col("dy") - F.col("sy")).alias("y"),
+        F.when(F.col("coverage") >= 0.999999, F.col("value")).alias("v"))
+    x, y, v = F.col("x"), F.col("y"), F.col("v")
+    d = F.hypot(x, y)
+    points = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0), lambda n, k: n + F.when(
+        F.hypot(x + (k % 8 + 0.5) / 8 - 0.5, y + (F.floor(k / 8) + 0.5) / 8 - 0.5) <= radius, 1).otherwise(0)) / 64.0
+    share = F.when(d < radius - 0.71, 1.0).when(d < radius + 0.71, points).otherwise(0.0)
+    pix = pix.withColumns({"_in": share, "_sky": d.between(sky_inner, sky_outer)}).where(F.col("_sky") | (F.col("_in") > 0))
+    inner, sky = F.col("_in"), F.col("_sky")
+    over = lambda c: F.sum(c).over(per)
+    pix = pix.withColumns({"_hole": F.count_if(v.isNull()).over(per), "_area": over(inner), "_n": F.count_if(sky & v.isNotNull()).over(per),
+                           "_top": F.max(v).over(per), "_ax": over(inner * x), "_ay": over(inner * y), "_w": F.when(sky & v.isNotNull(), 1.0).otherwise(0.0),
+                           "_p0": F.lit(0.0), "_p1": F.lit(0.0), "_p2": F.lit(0.0)})
+    w = F.col("_w")
+    level = F.col("_p0") + F.col("_p1") * x + F.col("_p2") * y
+    for step in range(rounds + 1):
+        if step:
+            pix = pix.withColumn("_e", F.when(sky, v - level))
+            pix = pix.withColumn("_d", F.col("_e") - F.percentile("_e", F.lit(0.5)).over(per))
+            pix = pix.withColumn("_s", SCALE * F.percentile(F.abs("_d"), F.lit(0.5)).over(per))
+            u = F.col("_d") / (TUKEY * F.greatest("_s", F.lit(1e-12), F.abs("_p0") * 1e-7))
+            pix = pix.withColumn("_w", F.coalesce(F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)), F.lit(0.0)))
+        pix = pix.withColumns({"_m0": over(w), "_m1": over(w * x), "_m2": over(w * y), "_m3": over(w * x * x), "_m4": over(w * x * y), "_m5": over(w * y * y),
+                               "_z0": over(w * v), "_z1": over(w * x * v), "_z2": over(w * y * v)})
+        normal = [F.col(f"_m{k}") for k in range(6)]
+        pix = pix.withColumns({f"_p{k}": c for k, c in enumerate(solve3(normal, [F.col("_z0"), F.col("_z1"), F.col("_z2")]))})
+    # How much each sky pixel enters the sum of the plane over the aperture.
+    pix = pix.withColumns({f"_g{k}": c for k, c in enumerate(solve3(normal, [F.col("_area"), F.col("_ax"), F.col("_ay")]))})
+    lever = w * (F.col("_g0") + F.col("_g1") * x + F.col("_g2") * y)
+    core = (F.abs(x) <= 2.5) & (F.abs(y) <= 2.5)
+    pix = pix.withColumns({"_rest": v - level, "_peak": F.max(F.when(core, v)).over(per), "_used": F.count_if(w > 0.01).over(per)})
+    pix = pix.withColumn("_off", F.when(sky, F.abs(F.col("_rest") - F.percentile(F.when(sky, F.col("_rest")), F.lit(0.5)).over(per))))
+    contrast = F.col("_peak") - F.col("_p0")
+    same = core & (contrast > 0) & (F.abs(v - F.col("_peak")) <= contrast * AT_PEAK)
+    one = pix.groupBy(*keys, "sx", "sy").agg(
+        *[F.first(c).alias(c) for c in ("_hole", "_area", "_n", "_top", "_used", "_p0")], F.count_if(same).alias("_same"), F.sum(inner * F.col("_rest")).alias("flux"),
+        (SCALE * F.percentile("_off", F.lit(0.5))).alias("sky_sigma"), F.sum(inner * inner + lever * lever).alias("_spread"))
+    one = one.withColumn("noise", F.col("sky_sigma") * F.sqrt("_spread")).withColumn("snr", F.col("flux") / F.greatest(F.lit(1e-30), F.col("noise")))
+    status = (F.when((F.col("_hole") > 0) | (F.col("_area") < COVERED * math.pi * radius * radius), "coverage")
+              .when((F.lit(saturation) > 0) & (F.col("_top") >= saturation), "saturation").when(F.col("_n") < SKY_PIXELS, "sky-samples")
+              .when(F.col("_p0").isNull(), "sky-fit").when(F.col("_used") < SKY_PIXELS, "sky-samples").when(F.col("_same") >= CLIPPED, "clipped-channel")
+              .when((F.col("flux") <= 0) | (F.col("snr") < min_snr), "signal-to-noise"))
     if width is not None:
         margin = sky_outer + 1
-        edge = (F.col("sx") < margin) | (F.col("sy") < margin) | (F.col("sx") >= width - margin) | (F.col("sy") >= height - margin)
-        out = out.withColumn("status", F.when(edge, "edge").otherwise(F.col("status")))
-    return out.drop("sx", "sy")
-
-
-def _aperture(x, y, v, radius, inner, outer, saturation, min_snr):
-    """One star: (status, flux, noise, snr, sky, sky sigma, sky pixels used)."""
-    fail = lambda s: (s, None, None, None, None, None, None)
-    d = np.hypot(x, y)
-    sky = (d >= inner) & (d <= outer)
-    weight = (d < radius - 0.71).astype(float)
-    edge = (d >= radius - 0.71) & (d < radius + 0.71)
-    if edge.any():
-        o = (np.arange(8) + 0.5) / 8 - 0.5
-        sub = np.hypot(x[edge][:, None, None] + o[None, :, None], y[edge][:, None, None] + o[None, None, :]) <= radius
-        weight[edge] = sub.reshape(len(sub), -1).mean(axis=1)
-    use = sky | (weight > 0)
-    x, y, v, sky, weight = x[use], y[use], v[use], sky[use], weight[use]
-    expected = np.pi * radius * radius
-    if np.isnan(v).any() or weight.sum() < 0.98 * expected:
-        return fail("coverage")
-    if saturation > 0 and (v >= saturation).any():
-        return fail("saturation")
-    if sky.sum() < 30:
-        return fail("sky-samples")
-    design = np.column_stack([np.ones(sky.sum()), x[sky], y[sky]])
-    z, w = v[sky], np.ones(sky.sum())
-    upper = lambda a: np.sort(a)[len(a) // 2]
-    for _ in range(8):
-        normal = (design * w[:, None]).T @ design
-        if np.linalg.matrix_rank(normal) < 3:
-            return fail("sky-fit")
-        beta = np.linalg.solve(normal, (design * w[:, None]).T @ z)
-        res = z - design @ beta
-        at = upper(res)
-        sigma = 1.4826 * upper(np.abs(res - at))
-        u = (res - at) / (4.685 * max(sigma, 1e-12, abs(beta[0]) * 1e-7))
-        w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0.0)
-    used = int((w > 0.01).sum())
-    normal = (design * w[:, None]).T @ design
-    if used < 30 or np.linalg.matrix_rank(normal) < 3:
-        return fail("sky-samples")
-    beta = np.linalg.solve(normal, (design * w[:, None]).T @ z)
-    influence = np.linalg.solve(normal, np.array([weight.sum(), (weight * x).sum(), (weight * y).sum()]))
-    core = (np.abs(x) <= 2.5) & (np.abs(y) <= 2.5)
-    peak = v[core].max()
-    contrast = peak - beta[0]
-    if contrast > 0 and (np.abs(v[core] - peak) <= contrast * 1e-6).sum() >= 5:
-        return fail("clipped-channel")
-    value = v - beta[0] - beta[1] * x - beta[2] * y
-    flux = float((weight * value).sum())
-    res = value[sky]
-    sigma = 1.4826 * upper(np.abs(res - upper(res)))
-    noise = float(sigma * np.sqrt((weight * weight).sum() + ((w * (design @ influence)) ** 2).sum()))
-    snr = flux / max(1e-30, noise)
-    if flux <= 0 or snr < min_snr:
-        return fail("signal-to-noise")
-    return ("measured", flux, noise, float(snr), float(beta[0]), float(sigma), used)
-
-
-SHAPE = "ok boolean, x double, y double, residual double, xx double, yy double, xy double"
-
-
-def fit_star_shapes(stars: DataFrame, df: DataFrame, channel: int = 0) -> DataFrame:
-    """Elliptical Gaussian plus plane on a 15x15 cutout, damped least squares with at most 40 steps, and the
-    quality gates of a usable fit. All stars of a batch are fitted at once."""
+        edge = (F.col("sx") < margin) | (F.col("sy") < margin) | (F.col("sx") >= width - margin)
+        status = F.when(edge | (F.col("sy") >= height - margin) if height is not None else edge, "edge").otherwise(status)
+    star = Window.partitionBy("frame_id", "star_id")
+    one = one.withColumn("_fails", status).withColumn("_why", F.min(F.when(F.col("_fails").isNotNull(), F.struct("channel", "_fails"))).over(star)["_fails"])
+    good = F.col("_why").isNull()
+    return one.select(*keys, F.coalesce("_why", F.lit("measured")).alias("status"), *[F.when(good, F.col(c)).alias(n) for c, n in (
+        ("flux", "flux"), ("noise", "noise"), ("snr", "snr"), ("_p0", "sky"), ("sky_sigma", "sky_sigma"), ("_used", "sky_used"))])
+
+
+#: Fixed values of a usable shape: largest misfit, least and largest axis, least ratio of the axes' squares, largest shift.
+MISFIT, AXES, ROUND, SHIFT = 0.06, (0.55, 3.8), 0.10, 2.5
+#: Fixed weights of luminance.
+LUMA = (0.2126, 0.7152, 0.0722)
+
+
+def fit_star_shapes(stars: DataFrame, df: DataFrame, channel: int | None = None, rounds: int = 24) -> DataFrame:
+    """Centre and covariance of an elliptical Gaussian on a plane, from the 15x15 square around each star; on luminance,
+    or on one ``channel``.
+
+    Adaptive moments: a Gaussian weight of the star's present centre and covariance halves the covariance it sees, so twice
+    the weighted moments are the next ones. A round is seven sums per star, all stars at a time, over the pixels that one
+    shuffle brought together."""
+    keys = ["frame_id", "star_id"]
+    per = Window.partitionBy(*keys)
+    over = lambda c: F.sum(c).over(per)
     pix = cutouts(stars, df, 7, channel)
-    cell = F.struct((((F.col("dy") + 7) * 15) + F.col("dx") + 7).alias("k"), F.when(F.col("coverage") >= 0.999999, F.col("value")).alias("v"))
-    packed = pix.groupBy("frame_id", "star_id", "sx", "sy", "px", "py").agg(F.sort_array(F.collect_list(cell)).alias("_p"), F.count("value").alias("_n"))
-    packed = packed.select("frame_id", "star_id", "sx", "sy", "px", "py", F.col("_p.v").alias("_v"))
-
-    @F.pandas_udf(SHAPE)
-    def fit(sx: pd.Series, sy: pd.Series, px: pd.Series, py: pd.Series, v: pd.Series) -> pd.DataFrame:
-        names = [c.split()[0] for c in SHAPE.split(", ")]
-        full = np.array([len(a) == 225 for a in v], dtype=bool)
-        data = np.full((len(v), 225), np.nan)
-        for i in np.flatnonzero(full):
-            data[i] = np.array(v.iloc[i], dtype=float)
-        good = full & ~np.isnan(data).any(axis=1)
-        out = pd.DataFrame({n: [None] * len(v) for n in names}).astype({"ok": object})
-        out["ok"] = False
-        if good.any():
-            rows = np.flatnonzero(good)
-            res = _gaussians(data[rows], (sx - px).to_numpy(float)[rows], (sy - py).to_numpy(float)[rows])
-            for i, r in zip(rows, res):
-                if r is not None:
-                    out.loc[i] = [True, px.iloc[i] + r[0], py.iloc[i] + r[1], *r[2:]]
-        return out.astype({n: float for n in names[1:]}).astype({"ok": bool})
-
-    out = packed.select("frame_id", "star_id", fit("sx", "sy", "px", "py", "_v").alias("f")).select("frame_id", "star_id", "f.*")
+    value = F.when(F.col("coverage") >= 0.999999, F.col("value"))
+    if channel is None and "channel" in df.columns:
+        weights = F.when(F.col("channel") == 0, LUMA[0]).when(F.col("channel") == 1, LUMA[1]).otherwise(LUMA[2])
+        full = pix.groupBy(*keys, "sx", "sy", "px", "py", "dx", "dy")
+        pix = full.agg(F.count(F.lit(1)).alias("_c"), F.count(value).alias("_k"), F.sum(weights * value).alias("_l"), F.max(value).alias("_m"))
+        pix = pix.withColumn("v", F.when(F.col("_k") == F.col("_c"), F.when(F.col("_c") == 1, F.col("_m")).otherwise(F.col("_l"))))
+    else:
+        pix = pix.withColumn("v", value)
+    x, y, v = F.col("dx").cast("double"), F.col("dy").cast("double"), F.col("v")
+    far = x * x + y * y > 30
+    pix = pix.withColumns({"_n": F.count("v").over(per), "_s0": F.percentile(F.when(far, v), F.lit(0.5)).over(per), "_top": F.max(F.when((F.abs(x) <= 2) & (F.abs(y) <= 2), v)).over(per)})
+    pix = pix.where("_n = 225").withColumns({"_amp": F.col("_top") - F.col("_s0"), "_cx": F.col("sx") - F.col("px"), "_cy": F.col("sy") - F.col("py"),
+                                           "_xx": F.lit(2.0), "_yy": F.lit(2.0), "_xy": F.lit(0.0), "_a": F.lit(0.0), "_b0": F.col("_s0"), "_b1": F.lit(0.0), "_b2": F.lit(0.0)})
+    ux, uy = x - F.col("_cx"), y - F.col("_cy")
+    det = F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")
+    bell = F.exp(-0.5 * (ux * ux * F.col("_yy") - 2 * ux * uy * F.col("_xy") + uy * uy * F.col("_xx")) / det)
+    for step in range(rounds):
+        g = F.col("_g")
+        pix = pix.withColumn("_g", bell).withColumn("_z", v - F.col("_b0") - F.col("_b1") * x - F.col("_b2") * y)
+        if step:
+            # The plane is what the star's far wings leave over.
+            left = F.when(far, F.col("_z") + F.col("_b0") + F.col("_b1") * x + F.col("_b2") * y - F.col("_a") * g)
+            pix = pix.withColumns({"_l0": F.avg(left).over(per), "_l1": F.try_divide(over(left * x), over(F.when(far, x * x))), "_l2": F.try_divide(over(left * y), over(F.when(far, y * y)))})
+            pix = pix.withColumns({"_b0": F.col("_l0"), "_b1": F.col("_l1"), "_b2": F.col("_l2")}).drop("_l0", "_l1", "_l2")
+            pix = pix.withColumn("_z", v - F.col("_b0") - F.col("_b1") * x - F.col("_b2") * y)
+        gz = g * F.col("_z")
+        pix = pix.withColumns({"_m": over(gz), "_mx": over(gz * ux), "_my": over(gz * uy), "_q": over(g * g)})
+        pix = pix.withColumns({"_ox": F.try_divide(F.col("_mx"), F.col("_m")), "_oy": F.try_divide(F.col("_my"), F.col("_m"))})
+        tx, ty = ux - F.col("_ox"), uy - F.col("_oy")
+        pix = pix.withColumns({"_nxx": F.try_divide(2 * over(gz * tx * tx), F.col("_m")), "_nyy": F.try_divide(2 * over(gz * ty * ty), F.col("_m")), "_nxy": F.try_divide(2 * over(gz * tx * ty), F.col("_m"))})
+        bound = lambda c: F.least(F.greatest(c, F.lit(0.25)), F.lit(16.0))
+        limit = 0.9 * F.sqrt(bound(F.col("_nxx")) * bound(F.col("_nyy")))
+        pix = pix.withColumns({"_a": F.try_divide(F.col("_m"), F.col("_q")), "_cx": F.col("_cx") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * F.col("_ox"))),
+                               "_cy": F.col("_cy") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * F.col("_oy"))), "_xx": bound(F.col("_nxx")), "_yy": bound(F.col("_nyy")),
+                               "_xy": F.greatest(-limit, F.least(limit, F.col("_nxy")))}).drop("_m", "_mx", "_my", "_q", "_ox", "_oy", "_nxx", "_nyy", "_nxy")
+    rest = v - F.col("_b0") - F.col("_b1") * x - F.col("_b2") * y - F.col("_a") * bell
+    peak = (F.abs(x) <= 2) & (F.abs(y) <= 2) & (F.abs(v - F.col("_top")) <= F.col("_amp") * AT_PEAK)
+    one = pix.groupBy(*keys, "px", "py").agg(*[F.first(c).alias(c) for c in ("_cx", "_cy", "_xx", "_yy", "_xy", "_a", "_amp")],
+                                            F.sqrt(F.avg(rest * rest)).alias("_r"), F.count_if(peak).alias("_same"))
+    one = one.withColumn("residual", F.try_divide(F.col("_r"), F.col("_a")))
+    middle, spread = (F.col("_xx") + F.col("_yy")) / 2, F.hypot((F.col("_xx") - F.col("_yy")) / 2, F.col("_xy"))
+    good = ((F.col("_amp") > 0) & (F.col("_a") > 0) & (F.col("_same") < CLIPPED) & (F.col("residual") <= MISFIT) & (middle - spread >= AXES[0] ** 2)
+            & (middle + spread <= AXES[1] ** 2) & (F.try_divide(middle - spread, middle + spread) >= ROUND) & (F.hypot("_cx", "_cy") <= SHIFT))
+    out = one.select(*keys, F.coalesce(good, F.lit(False)).alias("ok"), *[F.when(good, c).alias(n) for c, n in (
+        (F.col("px") + F.col("_cx"), "x"), (F.col("py") + F.col("_cy"), "y"), (F.col("residual"), "residual"), (F.col("_xx"), "xx"), (F.col("_yy"), "yy"), (F.col("_xy"), "xy"))])
     # A star at the edge has no full square and no row above: it keeps its place as a failed fit.
-    return stars.select("frame_id", "star_id").join(out, ["frame_id", "star_id"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-
-
-def _gaussians(data, fx, fy):
-    """Fit many 15x15 cutouts together; one entry per star: (dx, dy, residual, xx, yy, xy) or None."""
-    n = len(data)
-    gy, gx = np.divmod(np.arange(225), 15)
-    gx, gy = gx - 7.0, gy - 7.0
-    far = gx * gx + gy * gy > 30
-    core = (np.abs(gx) <= 2) & (np.abs(gy) <= 2)
-    sky = np.sort(data[:, far], axis=1)[:, far.sum() // 2]
-    peak = data[:, core].max(axis=1)
-    amp = peak - sky
-    alive = np.isfinite(amp) & (amp > 0)
-    safe = np.where(alive, amp, 1.0)
-    alive &= (np.abs(data[:, core] - peak[:, None]) <= safe[:, None] * 1e-6).sum(axis=1) < 5
-    z = (data - sky[:, None]) / safe[:, None]
-    p = np.zeros((n, 9))
-    p[:, 0], p[:, 1], p[:, 2], p[:, 3:5] = 1, fx, fy, math.log(1.4)
-
-    def model(p):
-        sx, sy, rho = np.exp(p[:, 3:4]), np.exp(p[:, 4:5]), 0.9 * np.tanh(p[:, 5:6])
-        u, v = (gx - p[:, 1:2]) / sx, (gy - p[:, 2:3]) / sy
-        q = 1 - rho * rho
-        e = np.exp(-0.5 * (u * u - 2 * rho * u * v + v * v) / q)
-        g = p[:, 0:1] * e
-        value = g + p[:, 6:7] + p[:, 7:8] * gx + p[:, 8:9] * gy
-        du, dv = -(u - rho * v) / q, -(v - rho * u) / q
-        drho = (u * v * q - rho * (u * u - 2 * rho * u * v + v * v)) / (q * q)
-        one = np.ones_like(e)
-        jac = np.stack([e, -g * du / sx, -g * dv / sy, -g * du * u, -g * dv * v, g * drho * 0.9 * (1 - np.tanh(p[:, 5:6]) ** 2),
-                        one, one * gx, one * gy], axis=2)
-        return value, jac
-
-    lim = [(0.1, 3.0), (-3, 3), (-3, 3), (math.log(0.5), math.log(4)), (math.log(0.5), math.log(4)), (-2, 2)]
-    damp = np.full(n, 0.01)
-    value, jac = model(p)
-    cost = ((z - value) ** 2).sum(axis=1)
-    done = ~alive
-    for _ in range(40):
-        if done.all():
-            break
-        normal = np.einsum("nki,nkj->nij", jac, jac)
-        right = np.einsum("nki,nk->ni", jac, z - value)
-        diag = np.einsum("nii->ni", normal)
-        trial = normal.copy()
-        idx = np.arange(9)
-        trial[:, idx, idx] += damp[:, None] * np.maximum(diag, 0.01)
-        step = np.linalg.solve(trial, right[:, :, None])[:, :, 0]
-        nxt = p + step
-        for j, (a, b) in enumerate(lim):
-            nxt[:, j] = np.clip(nxt[:, j], a, b)
-        v2, j2 = model(nxt)
-        c2 = ((z - v2) ** 2).sum(axis=1)
-        better = (c2 < cost) & ~done
-        stop = better & ((step * step).sum(axis=1) < 1e-10)
-        stuck = ~better & ~done & (damp >= 1e7)
-        damp = np.where(better, np.maximum(damp / 3, 1e-7), np.where(done, damp, np.minimum(damp * 10, 1e7)))
-        p[better], cost[better], value[better], jac[better] = nxt[better], c2[better], v2[better], j2[better]
-        done |= stop | stuck
-    out = []
-    for i in range(n):
-        sx, sy, rho = math.exp(p[i, 3]), math.exp(p[i, 4]), 0.9 * math.tanh(p[i, 5])
-        mid, spread = (sx * sx + sy * sy) / 2, math.hypot((sx * sx - sy * sy) / 2, rho * sx * sy)
-        res = math.sqrt(cost[i] / 225) / p[i, 0]
-        good = (alive[i] and math.isfinite(res) and res <= 0.06 and mid - spread >= 0.55**2 and mid + spread <= 3.8**2
-                and (mid - spread) / (mid + spread) >= 0.10 and math.hypot(p[i, 1], p[i, 2]) <= 2.5)
-        out.append((p[i, 1], p[i, 2], res, sx * sx, sy * sy, rho * sx * sy) if good else None)
-    return out
+    return stars.select(*keys).join(out, keys, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
 def star_mask(stars: DataFrame, width: int, height: int, radius: int = 3, large_radius: int = 6, opacity: float = 1.0,
