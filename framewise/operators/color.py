@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import math
 import re
 
@@ -286,68 +287,59 @@ def neutralize_background(df: DataFrame, strength: float = 1.0, epsilon: float =
         "value", clamp(F.col("value") * F.col("_scale"), 0.0, 1.0)).drop("_scale")
 
 
-#: What an expression may contain besides names, numbers and parentheses.
-EXPRESSION_FUNCTIONS = {"abs", "sqrt", "min", "max", "pow"}
+#: Functions an expression may use, with their number of arguments.
+EXPRESSION_FUNCTIONS = {"abs": 1, "sqrt": 1, "min": 2, "max": 2, "pow": 2}
 
 
-def channel_expression(text: str, planes: list[str]) -> str:
-    """Check user arithmetic against the whitelist and return Spark SQL that is NULL where it is not finite."""
-    require(re.fullmatch(r"[\w\s.+\-*/(),]+", text) is not None, f"expression has characters that are not allowed: {text}")
-    for word in re.findall(r"[A-Za-z_]\w*", re.sub(r"\d[\d.]*([eE][+-]?\d+)?", " ", text)):
-        require(word in planes or word in EXPRESSION_FUNCTIONS, f"unknown name in expression: {word}")
-    text = re.sub(r"\bmin\s*\(", "least(", text)
-    return re.sub(r"\bmax\s*\(", "greatest(", text)
+def channel_expression(text: str, planes: dict[str, Column]) -> Column:
+    """User arithmetic as a column. Every step is NULL if an operand is NULL or its result is not finite."""
+    try:
+        tree = ast.parse(text.strip(), mode="eval").body
+    except SyntaxError as error:
+        raise ValueError(f"not an expression: {text}") from error
+
+    def valid(c: Column) -> Column:
+        return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+    def apply(name: str, args: list[Column]) -> Column:
+        if name in ("min", "max"):
+            a, b = args
+            first = a <= b if name == "min" else a >= b
+            return F.when(first, a).when(a.isNotNull() & b.isNotNull(), b)
+        return valid({"abs": F.abs, "sqrt": F.sqrt, "pow": F.pow}[name](*args))
+
+    def build(node: ast.expr) -> Column:
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return F.lit(float(node.value))
+        if isinstance(node, ast.Name) and node.id in planes:
+            return planes[node.id]
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.UAdd | ast.USub):
+            return build(node.operand) if isinstance(node.op, ast.UAdd) else -build(node.operand)
+        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add | ast.Sub | ast.Mult | ast.Div):
+            a, b = build(node.left), build(node.right)
+            return valid({ast.Add: a + b, ast.Sub: a - b, ast.Mult: a * b, ast.Div: F.try_divide(a, b)}[type(node.op)])
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and EXPRESSION_FUNCTIONS.get(node.func.id) == len(node.args) and not node.keywords:
+            return apply(node.func.id, [build(x) for x in node.args])
+        raise ValueError(f"not allowed in an expression: {ast.unparse(node)}")
+
+    return build(tree)
 
 
 def compose_channels(df: DataFrame, expressions: dict[str, str], planes: dict[str, int] | None = None) -> DataFrame:
     """User arithmetic over aligned planes (names -> channel index). A missing input, a division by
-    zero or a non-finite result makes the pixel invalid: value 0, validity 0."""
+    zero or a non-finite result at any step makes the pixel invalid: value 0, validity 0."""
     planes = planes or {"A": 0, "B": 1, "C": 2}
     require(set(expressions) == {"R", "G", "B"}, "expressions for R, G and B are required")
-    used = {k: channel_expression(v, list(planes)) for k, v in expressions.items()}
-    pick = lambda c: F.max(F.when(F.col("channel") == c, F.col("value")))
-    wide = df.groupBy(*SPOT).agg(*[pick(c).alias(f"_p_{n}") for n, c in planes.items()])
-    # Distinct plane columns; names are substituted as whole words.
-    for k in used:
-        used[k] = re.sub(r"\b(" + "|".join(planes) + r")\b", lambda m: f"_p_{m.group(1)}", used[k])
-    # try_divide semantics for every division, and no exception from sqrt/pow: those give NaN.
-    out = {f"_{k}": F.expr(divide_safely(v)).cast("double") for k, v in used.items()}
-    missing = [F.col(f"_p_{n}").isNull() for n in planes if any(f"_p_{n}" in v for v in used.values())]
-    wide = wide.withColumns(out)
-    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    invalid = bad("_R") | bad("_G") | bad("_B")
-    for m in missing:
-        invalid = invalid | m
+    pick = lambda c: F.max(F.when(F.col("channel") == c, F.col("value").cast("double")))
+    named = {n: F.col(f"_p_{n}") for n in planes}
+    out = {f"_{k}": channel_expression(v, named) for k, v in expressions.items()}
+    wide = df.groupBy(*SPOT).agg(*[pick(c).alias(f"_p_{n}") for n, c in planes.items()]).withColumns(out)
+    invalid = F.col("_R").isNull() | F.col("_G").isNull() | F.col("_B").isNull()
     return wide.withColumn("_bad", invalid).select(
         *SPOT, *[F.when(F.col("_bad"), 0.0).otherwise(F.col(f"_{k}")).alias(k.lower()) for k in ("R", "G", "B")],
         F.when(F.col("_bad"), 0).otherwise(1).alias("validity"))
 
 
-def divide_safely(text: str) -> str:
-    """``x / y`` gives NULL for a zero divisor, like the rest of the engine: divide by ``nullif(y, 0)``."""
-    out, i = "", 0
-    while i < len(text):
-        if text[i] != "/":
-            out += text[i]
-            i += 1
-            continue
-        j = i + 1
-        while j < len(text) and text[j] in " +-":
-            j += 1
-        while j < len(text) and (text[j].isalnum() or text[j] in "._"):
-            j += 1
-        if j < len(text) and text[j] == "(":
-            depth = 0
-            while j < len(text):
-                depth += {"(": 1, ")": -1}.get(text[j], 0)
-                j += 1
-                if depth == 0:
-                    break
-        out += "/ nullif(" + divide_safely(text[i + 1:j].strip()) + ", 0)"
-        i = j
-    return out
-
-
 def compose_two_line(df: DataFrame, fraction: float, h_channel: int = 0, o_channel: int = 1) -> DataFrame:
     """R = H, G = f*H + (1-f)*O, B = O; the pixel is invalid if either line is missing."""
     finite("fraction", fraction, 0, 1)

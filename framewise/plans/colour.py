@@ -81,7 +81,7 @@ QUERIES = {
     "B9_suppress_green": b9,
     "B10_neutralize_background": lambda s, sf: rounded(c.neutralize_background(f1c(s, sf), 0.7)),
     "B11_compose_channels": lambda s, sf: rounded(c.compose_channels(
-        f1c_gaps(s, sf), {"R": "A + 0.5*max(B, C)", "G": "sqrt(B - 0.45) / C", "B": "abs(C) - pow(A, 2)"})),
+        f1c_gaps(s, sf), {"R": "A + 0.5*max(B, C)", "G": "max(sqrt(B - 0.45), 0.1) / C", "B": "min(abs(C) - pow(A, 2), 1 / (A - A + C))"})),
     "B12_compose_two_line": lambda s, sf: rounded(c.compose_two_line(f1c_gaps(s, sf), 0.3)),
     "B13_apply_gains": lambda s, sf: rounded(c.apply_gains(f1c(s, sf), (1.2, 1.0, 0.8))),
     "D23_histogram": lambda s, sf: rounded(c.histogram(f1(s, sf), 64)),
@@ -132,7 +132,7 @@ ORACLES = {
         max(value) FILTER (channel=2) AS c FROM ({F1C_GAPS}) GROUP BY ALL),
       e AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND b >= 0.45 AND c <> 0 AS ok FROM w)
       SELECT frame_id, x, y, {sr('CASE WHEN ok THEN a + 0.5*greatest(b, c) ELSE 0 END', 'r')},
-      {sr('CASE WHEN ok THEN sqrt(greatest(0, b - 0.45))/c ELSE 0 END', 'g')}, {sr('CASE WHEN ok THEN abs(c) - a*a ELSE 0 END', 'b')},
+      {sr('CASE WHEN ok THEN greatest(sqrt(greatest(0, b - 0.45)), 0.1)/c ELSE 0 END', 'g')}, {sr('CASE WHEN ok THEN least(abs(c) - a*a, 1/c) ELSE 0 END', 'b')},
       CAST(ok AS INT) AS validity FROM e""",
     "B12_compose_two_line": f"""WITH w AS (SELECT frame_id, x, y, max(value) FILTER (channel=0) AS h, max(value) FILTER (channel=1) AS o FROM ({F1C_GAPS}) GROUP BY ALL)
       SELECT frame_id, x, y, {sr('CASE WHEN h IS NULL OR o IS NULL THEN 0 ELSE h END', 'r')},
