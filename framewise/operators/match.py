@@ -90,15 +90,16 @@ def brightest(df: DataFrame, keys: list[str], n: int, flux: str = "flux", id_col
 
 
 def match_translation(ref: DataFrame, moving: DataFrame, tolerance: float, keys: list[str] = ["frame_id"],
-                      max_stars: int = 500, id_col: str = "star_id") -> DataFrame:
+                      max_stars: int | None = None, id_col: str = "star_id") -> DataFrame:
     """Shift per key by votes of all pairs of catalog stars in bins of ``max(.25, tolerance)``.
 
-    Star catalogs are the brightest ``max_stars`` of an image, as detection delivers them, so a key has at most
-    ``max_stars^2`` votes; they are counted map-side. Ties between bins: more votes, then the smaller bin."""
+    All stars of an image vote, or its brightest ``max_stars`` where a caller names a number; votes are counted map-side.
+    Ties between bins: more votes, then the smaller bin."""
     finite("tolerance", tolerance, 0)
-    require(1 <= max_stars <= 5000, "max_stars must be within 1..5000")
+    require(max_stars is None or max_stars >= 1, "max_stars must be positive")
     tol = max(0.25, tolerance)
-    star = lambda d, p: brightest(d, keys, max_stars, id_col=id_col).select(
+    voters = lambda d: d if max_stars is None else brightest(d, keys, max_stars, id_col=id_col)
+    star = lambda d, p: voters(d).select(
         *keys, F.col(id_col).alias(f"{p}_id"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
     r, m = star(ref, "r"), star(moving, "m")
     pairs = m.join(r, keys).select(*keys, "m_id", "r_id", (F.col("rx") - F.col("mx")).alias("dx"), (F.col("ry") - F.col("my")).alias("dy"))
@@ -157,7 +158,7 @@ def match_descriptors(ref: DataFrame, moving: DataFrame, keys: list[str] = ["fra
 
 
 def greedy_separation(df: DataFrame, radius: float, keys: list[str], id_col: str, order: list[Column], lead_value: Column,
-                      coordinates: list[tuple[str, str]] = [("x", "y")], rounds: int = 64) -> DataFrame:
+                      coordinates: list[tuple[str, str]] = [("x", "y")]) -> DataFrame:
     """Keep points in ``order`` unless one kept before lies closer than ``radius`` (in any coordinate pair).
 
     Order-dependent, yet distributed: a point is kept once every earlier neighbour is settled as dropped, and
@@ -170,30 +171,26 @@ def greedy_separation(df: DataFrame, radius: float, keys: list[str], id_col: str
         e = e.where((F.col("d2") < radius * radius) & (F.col("r__rank") < F.col("l__rank"))).select(
             *keys, F.col(f"l_{id_col}").alias("_id"), F.col(f"r_{id_col}").alias("_before"))
         edges = e if edges is None else edges.unionByName(e)
-    kept = greedy_keep(ranked.select(*keys, id_col), edges.distinct(), keys, id_col, rounds)
+    kept = greedy_keep(ranked.select(*keys, id_col), edges.distinct(), keys, id_col)
     return ranked.join(kept, [*keys, id_col], "left_semi").drop("_rank")
 
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, keys: list[str], id_col: str, rounds: int = 64) -> DataFrame:
+def greedy_keep(nodes: DataFrame, edges: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Ids kept by the sequential rule "drop a node if a kept one before it conflicts". ``edges``: keys, ``_id`` and
-    ``_before`` (the conflicting node that comes earlier)."""
+    ``_before`` (the conflicting node that comes earlier). Every round settles at least the first open node of each chain,
+    so there are as many rounds as the longest chain asks for."""
     edges = cut_lineage(edges)
     crowded = edges.select(*keys, F.col("_id").alias(id_col)).distinct()
     settled = join_anti(nodes, crowded, [*keys, id_col]).withColumn("_keep", F.lit(True))
     open_edges = edges
-    for _ in range(rounds):
-        settled = cut_lineage(settled)
-        if open_edges.isEmpty():
-            break
+    while not open_edges.isEmpty():
         seen = join_keys(open_edges, settled.select(*keys, F.col(id_col).alias("_before"), "_keep"), [*keys, "_before"], "left")
         state = seen.groupBy(*keys, "_id").agg(F.max(F.coalesce(F.col("_keep").cast("int"), F.lit(0))).alias("_hit"),
                                                F.max(F.col("_keep").isNull().cast("int")).alias("_wait"))
         done = cut_lineage(state.where((F.col("_hit") == 1) | (F.col("_wait") == 0)).select(
             *keys, F.col("_id").alias(id_col), (F.col("_hit") == 0).alias("_keep")))
-        settled = settled.unionByName(done)
+        settled = cut_lineage(settled.unionByName(done))
         open_edges = cut_lineage(join_anti(open_edges, done.select(*keys, F.col(id_col).alias("_id")), [*keys, "_id"]))
-    else:
-        require(open_edges.isEmpty(), "the order did not settle; raise rounds")
     return settled.where("_keep").select(*keys, id_col)
 
 

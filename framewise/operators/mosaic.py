@@ -417,7 +417,7 @@ def render_coadd(sums: DataFrame, target: Column | float = 1.0) -> DataFrame:
 
 # --- fold patterns ---------------------------------------------------------------------------
 
-def fold_locations(residuals: DataFrame, folds: int = 3, passes: int = 16) -> DataFrame:
+def fold_locations(residuals: DataFrame, folds: int = 3, passes: int = 32) -> DataFrame:
     """Robust (pseudo-Huber) location and total weight per pixel and fold (frame ``seq`` modulo ``folds``).
 
     ``residuals``: ``frame_id seq x y channel value weight noise`` (noise scale of the frame). The scale of a fold

@@ -102,7 +102,10 @@ def f1_labelled(spark, sf):
 # RGB frames 7x3 -----------------------------------------------------------------------
 
 def f1c(spark, sf):
-    return exploded(spark, sf).where("pos < 63").select(
+    """64 values are 21 pixels and a third; the first two values are used again to fill the last pixel, alone in its row."""
+    whole = F.concat("embedding", F.slice("embedding", 1, 2))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(whole).alias("pos", "v"))
+    return rows.select(
         F.col("vec_id").alias("frame_id"), F.expr("CAST((pos div 3) % 7 AS INT)").alias("x"),
         F.expr("CAST(pos div 21 AS INT)").alias("y"), F.expr("CAST(pos % 3 AS INT)").alias("channel"),
         (0.5 + dbl(F.col("v"))).alias("value"), F.lit(1.0).alias("coverage"))
@@ -111,7 +114,7 @@ def f1c(spark, sf):
 F1C = """
 SELECT vec_id AS frame_id, CAST((pos // 3) % 7 AS INT) AS x, CAST(pos // 21 AS INT) AS y, CAST(pos % 3 AS INT) AS channel,
   CAST(0.5 AS DOUBLE) + CAST(v AS DOUBLE) AS value, CAST(1 AS DOUBLE) AS coverage
-FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding,1) - 1 AS pos FROM embeddings) WHERE pos < 63"""
+FROM (SELECT vec_id, unnest(e) AS v, generate_subscripts(e,1) - 1 AS pos FROM (SELECT vec_id, list_concat(embedding, embedding[1:2]) AS e FROM embeddings))"""
 
 #: F1c pivoted: one row per pixel with columns r, g, b.
 F1C_WIDE = f"""

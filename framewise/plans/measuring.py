@@ -147,7 +147,7 @@ TRAILS = f"""WITH t AS ({F6}), p AS (SELECT a.trail_id, b.frame_id FROM t a JOIN
 
 LUM = "(0.2126*r + 0.7152*g + CAST(0.0722 AS DOUBLE)*b)"
 TQ = lambda m, q: f"max(CASE WHEN m = '{m}' AND c >= {q}*t - 1e-9 AND c - n < {q}*t - 1e-9 THEN b END)/1023.0"
-TILES = f"""WITH w AS (SELECT *, {LUM} AS l, CAST(floor(((y+1)*2-1)/3) AS INT)*3 + CAST(floor(((x+1)*3-1)/7) AS INT) AS tile FROM ({F1C_WIDE})),
+TILES = f"""WITH w AS (SELECT *, {LUM} AS l, CAST(floor(((y+1)*2-1)/4) AS INT)*3 + CAST(floor(((x+1)*3-1)/7) AS INT) AS tile FROM ({F1C_WIDE})),
   s AS (SELECT frame_id, tile, CAST(count(*) AS DOUBLE) AS weight, avg(l) AS mean, sqrt(greatest(0, avg(l*l)-avg(l)*avg(l))) AS sigma FROM w GROUP BY 1, 2),
   p AS (SELECT frame_id, tile, count(*) FILTER (l > mean + greatest(0.025, 2.15*sigma))/count(*) AS bright FROM w JOIN s USING (frame_id, tile) GROUP BY 1, 2),
   u AS (SELECT frame_id, tile, m, CAST(floor(greatest(0, least(1, v))*1023 + 0.5) AS INT) AS b, count(*) AS n FROM (
@@ -159,7 +159,7 @@ TILES = f"""WITH w AS (SELECT *, {LUM} AS l, CAST(floor(((y+1)*2-1)/3) AS INT)*3
 
 QUERIES = {
     "D46_star_candidates": lambda s, sf: rounded(st.star_candidates(f1(s, sf), 8, 8, 0.8, -1.0)),
-    "D46_detect_stars": lambda s, sf: rounded(st.detect_stars(f1(s, sf), 8, 8, 5, sigma=0.8, min_peak=-1.0)),
+    "D46_detect_stars": lambda s, sf: rounded(st.detect_stars(f1(s, sf), 8, 8, sigma=0.8, min_peak=-1.0)),
     "D47_aperture_photometry": photometry,
     "D48_fit_star_shapes": shapes,
     "D49_star_mask": masks,
@@ -170,7 +170,7 @@ QUERIES = {
     "C15_temporal_support": lambda s, sf: rounded(support(s, sf)[0].select("region_id", "support", "confidence")),
     "C15_existing_regions": lambda s, sf: rounded(support(s, sf)[1].select("region_id", "support", "confidence")),
     "C16_recurrent_trails": lambda s, sf: ev.recurrent_trails(f6(s, sf), 12),
-    "D30_tile_stats": lambda s, sf: rounded(ev.tile_stats(f1c(s, sf), 3, 2, 7, 3)),
+    "D30_tile_stats": lambda s, sf: rounded(ev.tile_stats(f1c(s, sf), 3, 2, 7, 4)),
     "K4_region_order": lambda s, sf: ev.region_order(regions(s, sf)).select("region_id", "index"),
 }
 

@@ -43,7 +43,7 @@ def raw_catalog(s, sf):
     k = F.col("c_custkey")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     return table(s, sf, "customer").select(
-        F.concat(F.lit("NGC"), F.lpad(k.cast("string"), 4, "0")).alias("Name"), F.when(k % 11 == 0, "Dup").when(k % 2 == 0, "G").otherwise("PN").alias("Type"),
+        F.concat(F.lit("NGC"), F.lpad(k.cast("string"), 10, "0")).alias("Name"), F.when(k % 11 == 0, "Dup").when(k % 2 == 0, "G").otherwise("PN").alias("Type"),
         F.concat_ws(":", two(k % 24), two(k % 60), F.lit("30.0")).alias("RA"), F.concat(F.when(k % 3 == 0, "-").otherwise("+"), two(k % 80), F.lit(":15:00")).alias("Dec"),
         (k % 30).cast("string").alias("MajAx"), F.when(k % 4 != 0, "1.5").alias("MinAx"), F.when(k % 5 != 0, (k % 400).cast("string")).alias("PosAng"),
         F.when(k % 3 == 0, "9.5").alias("V-Mag"), F.when(k % 2 == 0, "10.25").alias("B-Mag"), F.when(k % 50 == 0, two(k % 100)).alias("M"),
@@ -203,7 +203,11 @@ def place(s):
 
 
 def run_live(s, sf, method, weight, identity=None):
+    """Runs the whole stream while the query is built; the returned plan reads its result. With an identity every row comes
+    twice, as a source that delivers at least once may do."""
     stream, folder = stream_samples(s, sf), place(s)
+    if identity:
+        stream = stream.unionByName(stream_samples(s, sf))
     o = {"weight": weight} if weight else {}
     live_df = live.live_stack_unique(stream, ["k"], identity, method, **o) if identity else live.live_stack(stream, ["k"], method, **o)
     live.keep_latest(live_df, ["k"], folder, "live").awaitTermination()
@@ -243,14 +247,14 @@ ORACLES = {
       concat_ws(',', CASE WHEN vec_id % 7 = 0 THEN 'exposure:conflict' END, CASE WHEN vec_id % 5 = 0 THEN 'gain:invalid' END) AS issues FROM embeddings""",
     "A2_frame_samples": f"""SELECT 'frame-' || frame_id || '.fits' AS path, x, y, channel, {sr('value*2 + 1', 'value')}, CAST(1 AS DOUBLE) AS coverage FROM ({F1})""",
     "A3_numeric_table": f"SELECT CAST(p_partkey AS DOUBLE) AS key, {sr('p_retailprice', 'price')} FROM part",
-    "A4_object_catalog": f"""SELECT 'NGC' || CASE WHEN k < 10000 THEN lpad(CAST(k AS VARCHAR), 4, '0') ELSE substr(CAST(k AS VARCHAR), 1, 4) END AS id,
+    "A4_object_catalog": f"""SELECT 'NGC' || lpad(CAST(k AS VARCHAR), 10, '0') AS id,
       CASE WHEN k % 50 = 0 THEN 'M ' || CASE WHEN k % 100 = 0 THEN '0' ELSE '50' END || ' / ' ELSE '' END || 'NGC ' || k AS label, CASE WHEN k % 2 = 0 THEN 'G' ELSE 'PN' END AS type,
       {sr('15*(k % 24 + (k % 60)/60 + 30/3600)', 'ra')}, {sr('(k % 80 + 0.25)*CASE WHEN k % 3 = 0 THEN -1 ELSE 1 END', 'dec')}, CAST(k % 30 AS DOUBLE) AS major_arcmin,
       CAST(CASE WHEN k % 4 <> 0 THEN 1.5 ELSE 0 END AS DOUBLE) AS minor_arcmin, CASE WHEN k % 5 <> 0 AND k % 400 < 360 THEN CAST(k % 400 % 180 AS DOUBLE) END AS position_angle,
       k % 5 <> 0 AND k % 400 >= 360 AS invalid_position_angle, CAST(CASE WHEN k % 3 = 0 THEN 9.5 WHEN k % 2 = 0 THEN 10.25 END AS DOUBLE) AS magnitude,
       CASE WHEN k % 3 = 0 THEN 'V' WHEN k % 2 = 0 THEN 'B' END AS magnitude_band, '' AS common_names,
       concat_ws(',', '2MASX', CASE WHEN k % 50 = 0 THEN 'M ' || CASE WHEN k % 100 = 0 THEN '0' ELSE '50' END END, CASE WHEN k % 6 = 0 THEN 'IC' || k END) AS aliases FROM ({ID}) WHERE k % 11 <> 0""",
-    "A4_catalog_problems": f"SELECT 'NGC' || lpad(CAST(k AS VARCHAR), 4, '0') AS id, 'duplicate' AS problem FROM ({ID}) WHERE k % 11 <> 0 AND k % 2 = 0",
+    "A4_catalog_problems": f"SELECT 'NGC' || lpad(CAST(k AS VARCHAR), 10, '0') AS id, 'duplicate' AS problem FROM ({ID}) WHERE k % 11 <> 0 AND k % 2 = 0",
     "A5_outlines": f"""SELECT 'NGC' || k AS id, CAST(0 AS INT) AS contour_no, CAST(n AS INT) AS point_no, CAST(k % 300 + [0, 1, 1, 0][n+1] AS DOUBLE) AS ra, CAST(k % 60 + [0, 0, 1, 0][n+1] AS DOUBLE) AS dec
       FROM ({ID}) CROSS JOIN (SELECT unnest(range(4)) AS n) WHERE k % 2 = 0""",
     "A6_sampled_spectra": f"""SELECT CAST(vec_id AS VARCHAR) AS source_id, CAST(336 + 2*pos AS DOUBLE) AS wavelength, {sr('1 + v', 'flux')}, {sr('abs(v)', 'error')}
@@ -282,6 +286,7 @@ ORACLES = {
     "D45_label_totals": f"""WITH m AS ({F8}) SELECT count(*) FILTER (coalesce(observed >= minimum, true) AND coalesce(observed <= maximum, true)) AS passed,
       count(*) FILTER (NOT (coalesce(observed >= minimum, true) AND coalesce(observed <= maximum, true))) AS failed, count(observed) AS processed, count(*) AS cases FROM m""",
     "I1_live_average": f"WITH s AS ({prep()}) SELECT k, {sr('sum(v*w)/sum(w)', 'value')}, {sr('sum(cw)/sum(fw)', 'coverage')}, count(v) AS samples FROM s GROUP BY k",
+    "I2_live_unique": f"WITH s AS ({prep()}) SELECT k, {sr('sum(v*w)/sum(w)', 'value')}, {sr('sum(cw)/sum(fw)', 'coverage')}, count(v) AS samples FROM s GROUP BY k",
     "I1_live_max": f"WITH s AS ({prep()}) SELECT k, {sr('max(v)', 'value')}, {sr('avg(coverage)', 'coverage')}, count(v) AS samples FROM s GROUP BY k",
     "I3_live_robust": stack_sql("winsorized", 2.0, 2.0),
 }
