@@ -338,7 +338,7 @@ def exposure_corrections(placed: DataFrame, order: list[int], minimum: int = 16,
     for step in range(1, len(order)):
         table = spark.createDataFrame([(p, c, g, o) for (p, c), (g, o) in done.items()] or [], schema)
         # At most one row per earlier panel and channel.
-        earlier = cols.where(F.col("frame_id").isin(order[:step])).join(F.broadcast(table), ["frame_id", "channel"], "left")
+        earlier = cols.where(F.col("frame_id").isin(order[:step])).join(table, ["frame_id", "channel"], "left")
         r = F.col("value") * F.coalesce("gain", F.lit(1.0)) + F.coalesce("offset", F.lit(0.0))
         if clamp_color:
             r = clamp(r, 0.0, 1.0)

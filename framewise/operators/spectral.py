@@ -67,7 +67,7 @@ def synthetic_flux(spectra: DataFrame, bands: dict[str, list[Curve]], cell: floa
                                    "slopes array<double>, bases array<double>")
     cells = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
     # Bounded by the arguments: 8 components x 100000 points per band.
-    by_cell = F.broadcast(pieces.withColumn("_cell", F.explode(cells(F.col("plo"), F.col("phi")))))
+    by_cell = pieces.withColumn("_cell", F.explode(cells(F.col("plo"), F.col("phi"))))
     nxt = Window.partitionBy("source_id").orderBy("wavelength")
     seg = spectra.select("source_id", F.col("wavelength").alias("w0"), F.col("flux").alias("f0"), F.col("error").alias("e0"),
                          *[F.lead(c).over(nxt).alias(n) for c, n in (("wavelength", "w1"), ("flux", "f1"), ("error", "e1"))])

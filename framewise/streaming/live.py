@@ -71,7 +71,9 @@ def live_robust(stream: DataFrame, keys: list[str], folder: str, name: str, meth
         fresh = spark.read.parquet(f"{samples}/batch={batch_id:08d}")
         touched = fresh.select("bucket", *keys).distinct()
         # Batches written so far, this one included; a replayed batch overwrote itself.
-        history = spark.read.option("basePath", samples).parquet(f"{samples}/*").where(F.col("batch") <= batch_id)
+        # Only the buckets it touched are read: at most ``buckets`` numbers, a partition filter.
+        which = [r[0] for r in fresh.select("bucket").distinct().collect()]
+        history = spark.read.option("basePath", samples).parquet(f"{samples}/*").where((F.col("batch") <= batch_id) & F.col("bucket").isin(which))
         rows = history.join(touched, ["bucket", *keys], "left_semi").drop("bucket", "batch")
         stack(rows, keys, method, **options).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{result}/batch={batch_id:08d}")
 
