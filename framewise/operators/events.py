@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.scalars import angle_delta, clamp, grid_cell, interval_overlap, iou, luma
 from ..schema import MIN_COVERAGE, finite, require, require_columns
@@ -105,45 +106,50 @@ def recurrent_trails(trails: DataFrame, threshold: int, min_weight: float = 0.0,
         wanted = wanted & (F.col("brightness") >= min_brightness)
     if removable is not None:
         wanted = wanted & F.col("kind").isin(removable)
-    base = trails.withColumn("shape_id", F.xxhash64(*shape))
+    # Frames are bits of numbered words, so that those met are or-ed where they are found.
+    number = F.col("frame_id").cast("bigint")
+    if not isinstance(trails.schema["frame_id"].dataType, IntegralType):
+        every = Window.orderBy("frame_id")
+        trails = trails.join(trails.select("frame_id").distinct().withColumn("_frame", F.row_number().over(every).cast("bigint")), "frame_id")
+        number = F.col("_frame")
+    angle = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    base = trails.withColumns({"shape_id": F.xxhash64(*shape), "_word": F.floor(number / 64), "_bit": F.pmod(number, F.lit(64)).cast("int")})
     asking = base.where(wanted)
-    # Frames per shape: the only place where repetition is kept.
-    shape_frames = base.select("shape_id", "frame_id").distinct()
     grow = F.greatest(F.lit(8.0), F.col("width") * 3.2)
     # A pair may lie max(8, 1.6(w+w')) apart, at most the sum of both growths.
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - F.col("_g")) / cell), F.floor((F.greatest(a, b) + F.col("_g")) / cell))
-
     # Directions in 17 sectors of the half circle, each wider than the angle allowed: a trail looks into three.
     sectors = 17
-    sector = F.least(F.lit(sectors - 1), F.floor(F.pmod(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")), F.lit(math.pi)) * (sectors / math.pi)))
-
-    def spread(df: DataFrame, p: str, reach: int) -> DataFrame:
-        s = df.select("shape_id", *shape).distinct().withColumns({"_g": grow, "_s": sector.cast("int")})
+    sector = F.least(F.lit(sectors - 1), F.floor(F.pmod(angle, F.lit(math.pi)) * (sectors / math.pi)))
+    # What a comparison needs of a shape is worked out once per shape.
+    facts = {"_g": grow, "_s": sector.cast("int"), "ang": angle, "ux": F.cos(angle), "uy": F.sin(angle), "len": length,
+             "mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}
+    facts |= {"cx0": F.floor((F.least("x1", "x2") - grow) / cell), "cy0": F.floor((F.least("y1", "y2") - grow) / cell)}
+
+    def spread(shapes: DataFrame, p: str, reach: int, more: list[str]) -> DataFrame:
+        s = shapes.withColumns(facts)
         if reach:
             s = s.withColumn("_s", F.explode(F.array(*[F.pmod(F.col("_s") + i, F.lit(sectors)) for i in (-1, 0, 1)])))
         s = s.withColumn("_cx", F.explode(span("x1", "x2"))).withColumn("_cy", F.explode(span("y1", "y2")))
-        return s.select("kind", "_s", "_cx", "_cy", *[F.col(c).alias(f"{p}_{c}") for c in ("shape_id", *shape[1:], "_g")])
+        return s.select("kind", "_s", "_cx", "_cy", *[F.col(c).alias(f"{p}_{c}") for c in ("shape_id", *shape[1:], *list(facts)[2:], *more)])
 
-    pairs = spread(asking, "a", 1).join(spread(base, "b", 0), ["kind", "_s", "_cx", "_cy"])
+    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
+    known = base.groupBy("shape_id", *shape, "_word").agg(F.bit_or(bit("_bit")).alias("bits"))
+    pairs = spread(asking.select("shape_id", *shape).distinct(), "a", 1, []).join(spread(known, "b", 0, ["_word", "bits"]), ["kind", "_s", "_cx", "_cy"])
     # A pair that shares several cells counts in the first of them only.
-    start = lambda p, c: F.floor((F.least(F.col(f"{p}_{c}1"), F.col(f"{p}_{c}2")) - F.col(f"{p}__g")) / cell)
-    pairs = pairs.where((F.col("_cx") == F.greatest(start("a", "x"), start("b", "x"))) & (F.col("_cy") == F.greatest(start("a", "y"), start("b", "y"))))
-    ang = lambda p: F.atan2(F.col(f"{p}_y2") - F.col(f"{p}_y1"), F.col(f"{p}_x2") - F.col(f"{p}_x1"))
-    ln = lambda p: F.hypot(F.col(f"{p}_x2") - F.col(f"{p}_x1"), F.col(f"{p}_y2") - F.col(f"{p}_y1"))
-    ux, uy = F.cos(ang("a")), F.sin(ang("a"))
-    mid = lambda p, c: (F.col(f"{p}_{c}1") + F.col(f"{p}_{c}2")) / 2
-    across = F.abs(-(mid("a", "x") - mid("b", "x")) * uy + (mid("a", "y") - mid("b", "y")) * ux)
+    pairs = pairs.where((F.col("_cx") == F.greatest("a_cx0", "b_cx0")) & (F.col("_cy") == F.greatest("a_cy0", "b_cy0")))
+    ux, uy = F.col("a_ux"), F.col("a_uy")
+    across = F.abs(-(F.col("a_mx") - F.col("b_mx")) * uy + (F.col("a_my") - F.col("b_my")) * ux)
     at = lambda p, i: F.col(f"{p}_x{i}") * ux + F.col(f"{p}_y{i}") * uy
     shared = interval_overlap(at("a", 1), at("a", 2), at("b", 1), at("b", 2))
-    same = ((angle_delta(ang("a"), ang("b")) <= 0.18) & (across <= F.greatest(F.lit(8.0), (F.col("a_width") + F.col("b_width")) * 1.6))
-            & (shared >= F.least(ln("a"), ln("b")) * 0.4))
-    pairs = pairs.where(same).select("a_shape_id", "b_shape_id")
-    # Frames in which a shape is met; a trail's own frame is taken off afterwards.
-    met = pairs.join(shape_frames.withColumnsRenamed({"shape_id": "b_shape_id", "frame_id": "_f"}), "b_shape_id").select("a_shape_id", "_f").distinct()
-    total = met.groupBy("a_shape_id").agg(F.count(F.lit(1)).alias("_n"))
-    own = met.withColumnsRenamed({"a_shape_id": "shape_id", "_f": "frame_id"}).withColumn("_own", F.lit(1))
-    out = asking.join(total.withColumnRenamed("a_shape_id", "shape_id"), "shape_id", "left").join(own, ["shape_id", "frame_id"], "left")
-    n = (F.coalesce("_n", F.lit(0)) - F.coalesce("_own", F.lit(0))).cast("bigint")
+    same = ((angle_delta(F.col("a_ang"), F.col("b_ang")) <= 0.18) & (across <= F.greatest(F.lit(8.0), (F.col("a_width") + F.col("b_width")) * 1.6))
+            & (shared >= F.least("a_len", "b_len") * 0.4))
+    # Frames met, as bits: or-ed before the shuffle, so a crowd costs comparisons but no rows.
+    met = pairs.where(same).groupBy(F.col("a_shape_id").alias("shape_id"), F.col("b__word").alias("_word")).agg(F.bit_or("b_bits").alias("_met"))
+    total = met.groupBy("shape_id").agg(F.sum(F.bit_count("_met")).alias("_n"))
+    out = asking.join(total, "shape_id", "left").join(met, ["shape_id", "_word"], "left")
+    own = F.when(F.expr("(shiftright(_met, _bit) & 1L) = 1"), 1).otherwise(0)
+    n = (F.coalesce("_n", F.lit(0)) - own).cast("bigint")
     return out.select("trail_id", "frame_id", "kind", n.alias("recurring_frames"),
                       F.when(n >= threshold, "recurrent").otherwise("selected").alias("decision"))
 
