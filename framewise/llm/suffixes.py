@@ -37,18 +37,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     if len(data) < length:
         return none
     prefix = X.prefixes(data, X.EXACT)
-    at = np.arange(len(data) - gram + 1)
-    h = X.spans_hash(prefix, at, at + gram)
-    low = np.uint64((1 << int(len(at)).bit_length()) - 1)
-    least, size, width = (h & ~low) | at.astype(np.uint64), 1, length - gram + 1
+    many = len(data) - gram + 1
+    h = (prefix[gram:] - prefix[:many]) * X.powers(X.INVERSE, many)
+    low = np.uint64((1 << many.bit_length()) - 1)
+    least, size, width = (h & ~low) | np.arange(many, dtype=np.uint64), 1, length - gram + 1
     while size * 2 <= width:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if width > size:
         least = np.minimum(least[:len(least) - (width - size)], least[width - size:])
     own = (least & low).astype(np.int64)
-    text = np.searchsorted(offsets, np.arange(len(own)), "right")
-    inside = np.arange(len(own)) + length <= offsets[np.minimum(text, len(offsets) - 1)]
+    del least
+    inside = np.ones(len(own), bool)
+    for end in offsets[1:].tolist():
+        inside[max(0, end - length + 1):end] = False
     change = np.flatnonzero((own[1:] != own[:-1]) | ~inside[1:] | ~inside[:-1]) + 1
     first, last = np.concatenate([[0], change]), np.concatenate([change - 1, [len(own) - 1]])
     first, last = first[inside[first]], last[inside[first]]
@@ -239,19 +241,17 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
         run, "key bigint, hull bigint, at int, spans array<struct<a: int, b: int>>, open array<struct<o: int, h: bigint>>")
 
 
-def coverage(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, np.ndarray] | None:
-    """(``key, hull, a, b``: what of a hull repeats; a bitmap of the keys), or None if nothing does. ``b`` null: all of it."""
+def coverage(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(anchors that may repeat, with their hulls and texts; ``key, hull, a, b``: what of a hull repeats, ``b`` null: all)."""
     counted = (_scan(rows, length, gram, None, None, "key bigint, hull bigint").groupBy("key")
                .agg(F.count("*").alias("n"), F.min("hull").alias("low"), F.max("hull").alias("high")))
     keys = cut(counted.where("n > 1"))
-    many = keys.where("low <> high")
-    whole = keys.where("low = high").select("key", F.col("low").alias("hull"), F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))
-    which = bit_filter(many.select("key"), 24)
-    hulls = cut(_scan(rows, length, gram, which, None, "key bigint, hull bigint, me bigint").groupBy("key", "hull")
-                .agg(F.count("*").alias("n"), F.min("me").alias("me")))
+    hit = cut(_scan(rows, length, gram, bit_filter(keys.select("key"), 26), None, "key bigint, hull bigint, me bigint, r1 bigint, r2 bigint, low int, size int"))
+    which = bit_filter(keys.where("low <> high").select("key"), 24)
+    hulls = cut(hit.groupBy("key", "hull").agg(F.count("*").alias("n"), F.min("me").alias("me")))
     twice = hulls.where("n > 1").select("key", "hull", F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))
     # One context of each hull; where the bitmap lets another through, that hull repeats anyway.
-    contexts = _scan(rows, length, gram, which, bit_filter(hulls.select("me"), 24), "key bigint, hull bigint, at int, context binary")
+    contexts = _scan(rows, length, gram, which, bit_filter(hulls.select("me"), 26), "key bigint, hull bigint, at int, context binary")
     crowded = cut(hulls.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"))
     if crowded.count() <= SMALL:
         crowded = F.broadcast(crowded)
@@ -262,7 +262,7 @@ def coverage(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, np.nda
     alone = compared.where("open is not null").select("key", "hull", "at", F.explode("open").alias("w")).select("key", "hull", "at", "w.*")
     across = alone.groupBy("key", "o", "h").agg(F.min("hull").alias("low"), F.max("hull").alias("high")).where("low <> high").select("key", "o", "h")
     found = alone.join(across, ["key", "o", "h"]).select("key", "hull", F.expr("at - o").alias("a"), F.expr(f"at - o + {length}").alias("b"))
-    return whole.unionByName(twice).unionByName(some).unionByName(found), bit_filter(keys.select("key"), 26)
+    return hit, twice.unionByName(some).unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
@@ -276,10 +276,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     no rows; other columns are ignored.
     """
     rows = _identity(docs, id_col, text_col, F.col(id_col) if payload is None else payload)
-    cover, which = coverage(rows, length, gram)
-    hit = _scan(rows, length, gram, which, None, "key bigint, hull bigint, r1 bigint, r2 bigint, low int, size int")
-    spans = (hit.join(cover, ["key", "hull"]).select("r1", "r2", (F.col("low") + F.col("a")).alias("a"), (F.col("low") + F.coalesce("b", "size")).alias("b"))
-             .groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    hit, cover = coverage(rows, length, gram)
+    # A run (a, b) as one number, a in the upper half.
+    begin, end = F.col("low") + F.col("a"), F.col("low") + F.coalesce("b", "size")
+    run = (begin.cast("bigint") * F.lit(1 << 32) + end.cast("bigint")).alias("run")
+    spans = hit.join(cover, ["key", "hull"]).select("r1", "r2", run).groupBy("r1", "r2").agg(F.collect_list("run").alias("runs"))
     schema = StructType([StructField("doc_id", rows.schema["payload"].dataType), *_parse("kept binary, text string, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>")])
     pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
@@ -289,8 +290,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                 part = batch.slice(first, 512)
                 data, offsets = X.column_bytes(part.column(1))
                 at, many = part.column(2).offsets.to_numpy(), part.column(2).value_lengths().fill_null(0).to_numpy()
-                values = part.column(2).values
-                a, b = values.field(0).to_numpy(), values.field(1).to_numpy()
+                runs = part.column(2).values.to_numpy()
+                a, b = runs >> 32, runs & 0xFFFFFFFF
                 kept, sizes, gone = [], [], []
                 for i in range(part.num_rows):
                     text = data[offsets[i]:offsets[i + 1]]
@@ -306,7 +307,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()),
                                                   pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pair))], names=["doc_id", "kept", "text", "n_bytes", "spans"])
 
-    return rows.join(spans, ["r1", "r2"], "left").select("payload", "text", "spans").mapInArrow(
+    # The texts are the large side and need no sorting to be joined.
+    return rows.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select("payload", "text", "runs").mapInArrow(
         keep, schema)
 
 
