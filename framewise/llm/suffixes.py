@@ -277,39 +277,53 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """
     rows = _identity(docs, id_col, text_col, F.col(id_col) if payload is None else payload)
     hit, cover = coverage(rows, length, gram)
-    # A run (a, b) as one number, a in the upper half.
+    # A run (a, b) as one number, a in the upper half. Runs and texts meet sorted by text, runs first.
     begin, end = F.col("low") + F.col("a"), F.col("low") + F.coalesce("b", "size")
     run = (begin.cast("bigint") * F.lit(1 << 32) + end.cast("bigint")).alias("run")
-    spans = hit.join(cover, ["key", "hull"]).select("r1", "r2", run).groupBy("r1", "r2").agg(F.collect_list("run").alias("runs"))
+    runs = hit.join(cover, ["key", "hull"]).select("r1", "r2", run, F.lit(None).cast("string").alias("text"), F.lit(None).cast(rows.schema["payload"].dataType).alias("payload"))
+    texts = rows.select("r1", "r2", F.lit(-1).cast("bigint").alias("run"), F.coalesce("text", F.lit("")).alias("text"), "payload")
+    both = runs.unionByName(texts).repartition("r1", "r2").sortWithinPartitions("r1", "r2", F.desc("run"))
     schema = StructType([StructField("doc_id", rows.schema["payload"].dataType), *_parse("kept binary, text string, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>")])
-    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    return both.select("r1", "r2", "run", "text", "payload").mapInArrow(_cut_out, schema)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                data, offsets = X.column_bytes(part.column(1))
-                at, many = part.column(2).offsets.to_numpy(), part.column(2).value_lengths().fill_null(0).to_numpy()
-                runs = part.column(2).values.to_numpy()
-                a, b = runs >> 32, runs & 0xFFFFFFFF
-                kept, sizes, gone = [], [], []
-                for i in range(part.num_rows):
-                    text = data[offsets[i]:offsets[i + 1]]
-                    sizes.append(len(text))
-                    edge = np.zeros(len(text) + 1, np.int64)
-                    mine = slice(at[i], at[i] + many[i])
-                    np.add.at(edge, a[mine], 1)
-                    np.add.at(edge, b[mine], -1)
-                    out = np.cumsum(edge[:-1]) > 0
-                    kept.append(text[~out].tobytes())
-                    change = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
-                    gone.append([{"a": int(x), "b": int(y)} for x, y in zip(change[::2], change[1::2], strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()),
-                                                  pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pair))], names=["doc_id", "kept", "text", "n_bytes", "spans"])
-
-    # The texts are the large side and need no sorting to be joined.
-    return rows.join(spans.hint("shuffle_hash"), ["r1", "r2"], "left").select("payload", "text", "runs").mapInArrow(
-        keep, schema)
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their runs; the runs of a text stand before it, those of the last one are kept for the next batch."""
+    pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    name, held = None, np.zeros(0, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        r1, r2, run = (batch.column(k).to_numpy() for k in range(3))
+        data, offsets = X.column_bytes(batch.column(3))
+        start = np.zeros(batch.num_rows, np.int64)
+        change = np.flatnonzero((r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])) + 1
+        start[change] = change
+        start = np.maximum.accumulate(start)
+        known, base = (r1[0], r2[0]) == name, held
+        at = np.flatnonzero(run < 0)
+        kept, sizes, gone = [], [], []
+        for i in at.tolist():
+            text = data[offsets[i]:offsets[i + 1]]
+            mine = run[start[i]:i]
+            mine = mine[mine >= 0]
+            if known and start[i] == 0:
+                mine = np.concatenate([base, mine])
+            edge = np.zeros(len(text) + 1, np.int64)
+            np.add.at(edge, mine >> 32, 1)
+            np.add.at(edge, mine & 0xFFFFFFFF, -1)
+            out = np.cumsum(edge[:-1]) > 0
+            kept.append(text[~out].tobytes())
+            sizes.append(len(text))
+            turn = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
+            gone.append([{"a": int(x), "b": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)])
+        last = run[start[-1]:]
+        last = last[last >= 0]
+        held = np.concatenate([held, last]) if known and start[-1] == 0 else last
+        name = r1[-1], r2[-1]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(at)), pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()),
+                                              pa.array(sizes, pa.int64()), pa.array(gone, pa.list_(pair))], names=["doc_id", "kept", "text", "n_bytes", "spans"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

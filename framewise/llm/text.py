@@ -16,7 +16,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that a task holds as one block; one longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def byte_table(seed: int, fold_case: bool = False) -> np.ndarray:
