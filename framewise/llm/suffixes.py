@@ -242,7 +242,8 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def coverage(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(anchors that may repeat, with their hulls and texts; ``key, hull, a, b``: what of a hull repeats, ``b`` null: all)."""
+    """(anchors that may repeat, with their hulls and texts; ``key, hull, whole, runs``: one row per hull of which something
+    repeats, all of it or the runs)."""
     counted = (_scan(rows, length, gram, None, None, "key bigint, hull bigint").groupBy("key")
                .agg(F.count("*").alias("n"), F.min("hull").alias("low"), F.max("hull").alias("high")))
     keys = cut(counted.where("n > 1"))
@@ -262,7 +263,13 @@ def coverage(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
     alone = compared.where("open is not null").select("key", "hull", "at", F.explode("open").alias("w")).select("key", "hull", "at", "w.*")
     across = alone.groupBy("key", "o", "h").agg(F.min("hull").alias("low"), F.max("hull").alias("high")).where("low <> high").select("key", "o", "h")
     found = alone.join(across, ["key", "o", "h"]).select("key", "hull", F.expr("at - o").alias("a"), F.expr(f"at - o + {length}").alias("b"))
-    return hit, twice.unionByName(some).unionByName(found)
+    parts = twice.unionByName(some).unionByName(found).groupBy("key", "hull").agg(
+        F.max(F.col("b").isNull()).alias("whole"), F.array_sort(F.collect_list(F.struct("a", "b"))).alias("parts"))
+    merged = F.expr("""aggregate(parts, cast(array() as array<struct<a: int, b: int>>), (u, x) ->
+        if(size(u) > 0 and x.a <= element_at(u, -1).b,
+           concat(slice(u, 1, size(u) - 1), array(named_struct('a', element_at(u, -1).a, 'b', greatest(element_at(u, -1).b, x.b)))),
+           concat(u, array(x))))""")
+    return hit, parts.select("key", "hull", "whole", F.when(F.col("whole"), F.lit(None)).otherwise(merged).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
@@ -278,9 +285,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     rows = _identity(docs, id_col, text_col, F.col(id_col) if payload is None else payload)
     hit, cover = coverage(rows, length, gram)
     # A run (a, b) as one number, a in the upper half. Runs and texts meet sorted by text, runs first.
-    begin, end = F.col("low") + F.col("a"), F.col("low") + F.coalesce("b", "size")
-    run = (begin.cast("bigint") * F.lit(1 << 32) + end.cast("bigint")).alias("run")
-    runs = hit.join(cover, ["key", "hull"]).select("r1", "r2", run, F.lit(None).cast("string").alias("text"), F.lit(None).cast(rows.schema["payload"].dataType).alias("payload"))
+    each = F.explode(F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))).otherwise(F.col("runs"))).alias("s")
+    run = ((F.col("low") + F.col("s.a")).cast("bigint") * F.lit(1 << 32) + (F.col("low") + F.col("s.b")).cast("bigint")).alias("run")
+    runs = hit.join(cover, ["key", "hull"]).select("r1", "r2", "low", each).select("r1", "r2", run, F.lit(None).cast("string").alias("text"), F.lit(None).cast(rows.schema["payload"].dataType).alias("payload"))
     texts = rows.select("r1", "r2", F.lit(-1).cast("bigint").alias("run"), F.coalesce("text", F.lit("")).alias("text"), "payload")
     both = runs.unionByName(texts).repartition("r1", "r2").sortWithinPartitions("r1", "r2", F.desc("run"))
     schema = StructType([StructField("doc_id", rows.schema["payload"].dataType), *_parse("kept binary, text string, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>")])
