@@ -67,6 +67,16 @@ CANDIDATES = f"""WITH s AS (SELECT * FROM ({F1}) WHERE coverage > 1e-6),
     {sr('CASE WHEN ma > 1e-12 THEN sqrt(greatest(0, least(1, 1 - mi/ma))) ELSE 0 END', 'eccentricity')} FROM w"""
 
 
+#: The sequential rule by recursion: one candidate of every frame a step, kept unless a kept one lies within 3 pixels.
+DETECTED = f"""WITH RECURSIVE k AS (SELECT *, CAST(cy AS BIGINT)*8 + cx AS star_id, row_number() OVER (PARTITION BY frame_id ORDER BY flux DESC, cy*8 + cx) AS rk FROM ({CANDIDATES})),
+  r AS (SELECT DISTINCT frame_id, 0 AS i, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, star BIGINT)[]) AS kept FROM k
+    UNION ALL SELECT r.frame_id, r.i + 1, CASE WHEN len(list_filter(r.kept, lambda p: pow(p.x - k.x, 2) + pow(p.y - k.y, 2) < 9)) > 0 THEN r.kept
+      ELSE list_append(r.kept, {{'x': k.x, 'y': k.y, 'star': k.star_id}}) END FROM r JOIN k ON k.frame_id = r.frame_id AND k.rk = r.i + 1),
+  e AS (SELECT frame_id, kept FROM r QUALIFY i = max(i) OVER (PARTITION BY frame_id)),
+  s AS (SELECT frame_id, unnest(list_transform(kept, lambda p: p.star)) AS star_id, CAST(len(kept) AS BIGINT) AS detected FROM e)
+  SELECT frame_id, star_id, x, y, flux, peak, fwhm, eccentricity, detected FROM s JOIN k USING (frame_id, star_id)"""
+
+
 def psf(s, sf):
     d = f3(s, sf).select("frame_id", "x", "y", F.col("observed_r").alias("xx"), F.col("observed_g").alias("yy"), (F.col("eccentricity") * 0.1).alias("xy"))
     return st.psf_summary(d, 1400, 1400)
@@ -175,7 +185,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "D46_star_candidates": CANDIDATES,
+    "D46_star_candidates": CANDIDATES, "D46_detect_stars": DETECTED,
     "D49_star_mask": MASK,
     "D35_psf_summary": f"""{PSF} SELECT frame_id, accepted, regions, {sr('xx')}, {sr('yy')}, {sr('xy')}, {sr('2.3548200450309493*sqrt((xx+yy)/2 + sqrt(pow((xx-yy)/2,2)+xy*xy))', 'major_fwhm')},
       {sr('2.3548200450309493*sqrt((xx+yy)/2 - sqrt(pow((xx-yy)/2,2)+xy*xy))', 'minor_fwhm')}, {sr('degrees(atan2(2*xy, xx-yy)/2)', 'angle')}, {sr('p10', 'fwhm_p10')}, {sr('p50', 'fwhm_p50')}, {sr('p90', 'fwhm_p90')},
