@@ -175,7 +175,7 @@ def fit(candidates: np.ndarray, label: np.ndarray, sketch: np.ndarray, found: li
         c = index[found[i]]
         votes[k, c[c >= 0]] = 1
     q, _, _ = label_model(votes, y)
-    return Model(candidates[lexicon], logistic(votes, q, penalty=0.3))
+    return Model(candidates[lexicon], logistic(votes, q, penalty=0.01))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
