@@ -39,6 +39,7 @@ NAMES = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert\w*|banner|promo\w*|sponsor
                    r"subscri\w*|signup|sidebar|side|rail|menu|nav|navbar|navigation|breadcrumb\w*|pagination|pager|footer|foot|header|masthead|topbar|toolbar|"
                    r"share|sharing|social|comment|comments|commentlist|discussion|disqus|respond|reply|replies|related|recommend\w*|widget|search|login|"
                    r"tags|skip|copyright|legal|disclaimer)(?:$|[-_\s])", re.I)
+NAMED = re.compile(r"(?:article|main)(?:\..*)?|.*\.main")
 ARTICLE = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|body)(?:$|[-_\s])", re.I)
 
 
@@ -312,7 +313,9 @@ def extract(pages: DataFrame, held_hosts: int = 20_000) -> DataFrame:
                     if len(known) > 2000:
                         known.clear()
                     w = json.loads(text)
-                    known[host] = article_path(w), fixed_texts(w)
+                    path = article_path(w)
+                    # Inside a named article what stays the same is still the article's.
+                    known[host] = path, set() if path and NAMED.fullmatch(path[-1]) else fixed_texts(w)
                 path, fixed = known[host]
                 root = parse(page or "")
                 body = read(root, path, fixed)
