@@ -88,8 +88,34 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, ratio: f
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: verdict of every page."""
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def sql(rules: list[tuple[str, str]] = RULES, damping: float = 0.85, rounds: int = 8) -> str:
+    """The same in SQL, its rounds of rank written out one after the other."""
+    lower = lambda e: f"translate({e}, '{UPPER}', '{LOWER}')"
+    host = lambda e: lower(f"regexp_extract({e}, '(?s)^.*?://([^/?#]*)', 1)")
+    cases = []
+    for word, text in sorted(rules, key=lambda r: -len(r[1])):
+        owner, slash, rest = text.partition("/")
+        cases.append((f"(host = '{owner}' OR ends_with(host, '.{owner}')) AND starts_with(path, '{slash + rest}')", text, word))
+    pick = lambda k: "CASE " + " ".join(f"WHEN {c[0]} THEN '{c[k]}'" for c in cases) + " END"
+    steps = []
+    for name, seed, src, dst in (("t", "good", "src", "dst"), ("u", "bad", "dst", "src")):
+        steps.append(f"{name}_out AS (SELECT {src} AS a, sum(n) AS total FROM edges GROUP BY 1)")
+        steps.append(f"{name}0 AS (SELECT host, {1 - damping} * {seed} AS r FROM seeds)")
+        for k in range(rounds):
+            steps.append(f"""{name}{k + 1} AS (SELECT host, sum(r) AS r FROM (SELECT * FROM {name}0 UNION ALL SELECT {dst}, {damping} * sum(n / total * r)
+              FROM edges JOIN {name}_out ON {src} = a JOIN {name}{k} ON host = {src} GROUP BY 1) GROUP BY host)""")
+    return f"""WITH p AS (SELECT page_id, {host("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+      j AS (SELECT page_id, host, path, {pick(1)} AS rule, {pick(2)} AS word FROM p),
+      l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^\\s"''<>]*)', 1)) AS link FROM p),
+      edges AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host('link')} AS dst FROM l) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
+      seeds AS (SELECT host, avg(CASE WHEN word = 'allow' THEN 1.0 ELSE 0.0 END) AS good, avg(CASE WHEN word = 'block' THEN 1.0 ELSE 0.0 END) AS bad FROM j WHERE host <> '' GROUP BY host),
+      {", ".join(steps)}
+      SELECT page_id, j.host, path, rule, coalesce(word, CASE WHEN coalesce(u.r, 0) > coalesce(t.r, 0) THEN 'block' ELSE 'allow' END) AS verdict
+      FROM j LEFT JOIN t{rounds} t ON t.host = j.host LEFT JOIN u{rounds} u ON u.host = j.host"""
 
 
 QUERIES = {"op7_url_filters": query}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_url_filters": sql()}
