@@ -107,13 +107,13 @@ def describe(path: str, content: bytes) -> dict:
         width, height, planes, bits = geometry(head)
         row.update(width=width, height=height, channels=planes, bitpix=bits)
         if len(content) - data < width * height * planes * abs(bits) // 8:
-            raise ValueError("image data are truncated")
+            raise ValueError("the data end early")
     except (ValueError, KeyError, IndexError) as error:
         issue("header", "unreadable", str(error))
         return row
     for key in ("SIMPLE", "BITPIX", "NAXIS", "NAXIS1", "NAXIS2", "NAXIS3", "BSCALE", "BZERO"):
         if len(head.get(key, [])) > 1:
-            issue(key, "duplicate", "structural keyword repeated")
+            issue(key, "duplicate", "a structural card stands more than once")
     for field, key in TEXT_KEYS.items():
         if key not in head:
             continue
@@ -122,10 +122,10 @@ def describe(path: str, content: bytes) -> dict:
         if value is None and field == "readoutMode" and plain_value(head[key][0]).lstrip("+-").isdigit():
             value = plain_value(head[key][0])
         if len(head[key]) > 1:
-            issue(field, "duplicate", f"{key} is repeated")
+            issue(field, "duplicate", f"several {key} cards")
         elif value is None:
             if head[key][0]:
-                issue(field, "invalid", f"{key} needs a complete string")
+                issue(field, "invalid", f"{key} holds no quoted string")
         elif value:
             text[field] = value
     for field, (names, low, high, integer) in NUMBER_KEYS.items():
@@ -137,13 +137,13 @@ def describe(path: str, content: bytes) -> dict:
             try:
                 value = number_value(head[key][0])
                 if len(head[key]) > 1 or not low <= value <= high or (integer and value != math.floor(value)):
-                    raise ValueError("repeated or out of range")
+                    raise ValueError("not one value within its range")
                 values.append(value)
             except ValueError as error:
                 issue(field, "invalid", f"{key}: {error}")
                 values.append(None)
         if len(set(values)) > 1 and None not in values:
-            issue(field, "conflict", "aliases disagree")
+            issue(field, "conflict", "its keywords differ")
         elif values and None not in values:
             numeric[field] = values[0]
     normalise(head, row, issue)
@@ -157,13 +157,13 @@ def normalise(head: dict, row: dict, issue: Callable) -> None:
         if key not in head:
             numeric[field] = default
     if "biasState" in text and text["biasState"] not in ("included", "removed"):
-        issue("biasState", "invalid", "must be included or removed")
+        issue("biasState", "invalid", "neither included nor removed")
     if "PSTMIN" in head or "PSTMAX" in head:
         low, high = numeric.get("sensorTemperatureMin"), numeric.get("sensorTemperatureMax")
         if low is None or high is None or not low <= numeric.get("sensorTemperature", low) <= high:
-            issue("sensorTemperature", "invalid", "incomplete or inconsistent temperature range")
+            issue("sensorTemperature", "invalid", "no valid range around the temperature")
     if text.get("temperatureUnit", "C").upper() not in ("C", "CELSIUS", "DEGC"):
-        issue("sensorTemperature", "unsupported", "only degrees Celsius are supported")
+        issue("sensorTemperature", "unsupported", "the unit is not Celsius")
         numeric.pop("sensorTemperature", None)
     if text.get("units", "").upper() == "ADU":
         text["units"] = "ADU"
@@ -171,12 +171,12 @@ def normalise(head: dict, row: dict, issue: Callable) -> None:
         if text["domain"].upper() in ("LINEAR", "LINEAR-SRGB"):
             text["domain"] = "linear"
         else:
-            issue("domain", "unsupported", "linear samples are required")
+            issue("domain", "unsupported", "not linear")
     layout = text.get("declaredLayout", "").upper()
     if "bayer" in text:
         pattern = text["bayer"].upper()
         if pattern not in BAYER or row["channels"] != 1 or layout not in ("", "CFA"):
-            issue("sampling", "invalid", "colour pattern and layout disagree")
+            issue("sampling", "invalid", "the pattern does not fit the layout")
             return
         shift = {}
         for key in ("XBAYROFF", "YBAYROFF"):
@@ -186,7 +186,7 @@ def normalise(head: dict, row: dict, issue: Callable) -> None:
                 if len(raw) > 1:
                     raise ValueError
             except ValueError:
-                issue("sampling", "invalid", f"invalid phase: {key}")
+                issue("sampling", "invalid", f"{key} is no whole offset")
                 shift[key] = 0
         # A shifted origin swaps columns and rows of the 2x2 pattern.
         grid = np.array(list(pattern)).reshape(2, 2)
@@ -197,7 +197,7 @@ def normalise(head: dict, row: dict, issue: Callable) -> None:
         text["sampling"] = "mono"
         row["keys"]["sampling"] = ["PSLAYOUT"]
     elif layout:
-        issue("sampling", "unsupported", "an explicit mono or colour-pattern layout is required")
+        issue("sampling", "unsupported", "the layout names neither mono nor a pattern")
 
 
 def files(spark: SparkSession, glob: str) -> DataFrame:

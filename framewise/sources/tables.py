@@ -58,14 +58,14 @@ def read_object_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def parse_outlines(texts: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+def parse_outlines(texts: DataFrame, catalog: DataFrame | None = None, header: str | None = None) -> DataFrame:
     """A5 on (path, text): contours as rows ``id contour_no point_no ra dec``; ids not in the catalog are dropped.
 
     A contour is ``id n`` and n coordinate pairs; the tokens of one text are walked in order by the task that holds it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"]):
-                for start, rows in contours(text):
+                for start, rows in contours(text, header):
                     yield pd.DataFrame(rows, columns=["id", "contour_no", "point_no", "ra", "dec"]).assign(path=path)[
                         ["path", "id", "contour_no", "point_no", "ra", "dec"]]
 
@@ -73,9 +73,10 @@ def parse_outlines(texts: DataFrame, catalog: DataFrame | None = None) -> DataFr
     return out if catalog is None else out.join(catalog.select("id"), "id", "left_semi")
 
 
-def contours(text: str) -> Iterator[tuple[str, list[tuple]]]:
+def contours(text: str, header: str | None = None) -> Iterator[tuple[str, list[tuple]]]:
+    """``header``: the first word that a file must have; without one, any maker's word for version 1 will do."""
     tokens = text.split()
-    if not tokens or not tokens[0].endswith("-Outlines-1"):
+    if not tokens or not (tokens[0].endswith("-Outlines-1") if header is None else tokens[0] == header):
         raise ValueError("not an outline file")
     at, seen = 1, {}
     while at < len(tokens):
@@ -91,10 +92,10 @@ def contours(text: str) -> Iterator[tuple[str, list[tuple]]]:
         at += 2 + 2 * n
 
 
-def read_outlines(spark: SparkSession, path: str, catalog: DataFrame) -> DataFrame:
-    """A5"""
+def read_outlines(spark: SparkSession, path: str, catalog: DataFrame, header: str | None = None) -> DataFrame:
+    """A5; ``header`` is the first word that the file must have."""
     texts = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text"))
-    return parse_outlines(texts, catalog).drop("path")
+    return parse_outlines(texts, catalog, header).drop("path")
 
 
 def parse_sampled_spectra(raw: DataFrame, start: float, step: float, n: int) -> tuple[DataFrame, DataFrame]:
