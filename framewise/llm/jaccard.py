@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
-from .store import bit_filter, cut, may_hold
+from .store import bit_filter, cut, may_hold, small_batches
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.995
 #: Shingles chosen at a node on average, steps of a path, and classes that are compared at once.
@@ -109,7 +109,7 @@ def similar(sets: list[np.ndarray], similarity: float, split: int | None = None)
     shared = times[token] > 1
     _, token = np.unique(token[shared], return_inverse=True)
     row = row[shared]
-    common = np.zeros((len(sets), len(sets)))
+    common = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(token, kind="stable")
     token, row = token[order], row[order]
     for first in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
@@ -118,7 +118,7 @@ def similar(sets: list[np.ndarray], similarity: float, split: int | None = None)
         has[row[a:b], token[a:b] - first] = 1
         common += has @ has.T
     # In integers where the threshold is a ratio of small ones, so that ties count.
-    return common * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None]) - 1e-9
+    return common.astype(float) * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None]) - 1e-9
 
 
 def in_groups(df: DataFrame, keys: list[str], begin: Callable[[], Callable[[pa.Table], pa.RecordBatch]], schema: str) -> DataFrame:
@@ -135,7 +135,10 @@ def in_groups(df: DataFrame, keys: list[str], begin: Callable[[], Callable[[pa.T
             edges = _edges(table, keys)
             for a, b in zip(edges[:-2], edges[1:-1], strict=True):
                 yield solve(table.slice(a, b - a))
-            held = table.slice(edges[-2]).combine_chunks().to_batches()
+            # A copy of the last group, so that the batch it came in can go.
+            last = table.slice(edges[-2])
+            held = last.take(pa.array(np.arange(last.num_rows))).combine_chunks().to_batches()
+            del table, batch, last
         if held:
             table = pa.Table.from_batches(held)
             yield solve(table)
@@ -243,6 +246,8 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, width: in
 
     dealt = in_blocks(named, "leaf", block).join(sets, "r1").select("leaf", "bi", "bj", "s1", "s2", "grams")
     edges = in_groups(dealt, ["leaf", "bi", "bj"], linker, "a bigint, b bigint")
+    with small_batches(docs.sparkSession, 512):
+        edges = cut(edges)
     roots = cut(components(edges))
     grouped = cut(roots.join(classes, roots["node"] == classes["s1"]).select("root", "s1", "s2", "r1", "copies", "least"))
 
@@ -258,6 +263,8 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, width: in
     again = sets_of(docs, grouped.select("r1").distinct(), width)
     paired = in_blocks(grouped, "root", block).join(again, "r1").select("root", "bi", "bj", "side", "s1", "s2", "copies", "grams")
     links = in_groups(paired, ["root", "bi", "bj"], lambda: count, "s1 bigint, s2 bigint, links bigint").groupBy("s1", "s2").agg(F.sum("links").alias("links"))
+    with small_batches(docs.sparkSession, 512):
+        links = cut(links)
     least = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
     known = grouped.join(least, "root").join(links, ["s1", "s2"]).select("s1", "s2", "class_id", "links", "root")
     each = (classes.join(known, ["s1", "s2"], "left").select(
