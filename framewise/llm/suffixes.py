@@ -10,7 +10,7 @@ All strings with one anchor lie in its *hull*. Spark counts anchors by their byt
   search give the common extension, which is then verified on the bytes. Strings are equal if they share both runs.
 
 Counts are combined before every shuffle, and anchors with more contexts than a task should hold are dealt into parts; the
-strings a part has once are then counted across the parts. Texts are read where they lie; they travel once, to be cut.
+distinct strings of the parts are then counted across them. Texts are read where they lie; they travel once, to be cut.
 """
 
 from __future__ import annotations
@@ -193,7 +193,7 @@ def repeated(group: np.ndarray, contexts: list[bytes], at: np.ndarray, length: i
 
 def _compare(contexts: DataFrame, length: int) -> DataFrame:
     """``key, hull, spans, open`` for contexts sorted by ``key, part``: spans of the hull that repeat, and for anchors in
-    several parts the strings that the part has once, as (o, h)."""
+    several parts the part's distinct strings, as (o, h): each with one hull, also those that repeat inside the part."""
     pair = pa.struct([("a", pa.int32()), ("b", pa.int32())])
     single = pa.struct([("o", pa.int32()), ("h", pa.int64())])
 
@@ -203,6 +203,7 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
         raw, at = table.column("context").to_pylist(), table.column("at").to_numpy().astype(np.int64)
         marks = repeated(group, raw, at, length)
         spans, rest = [], []
+        seen: set[tuple[int, int, int]] = set()
         for i, text in enumerate(raw):
             many = len(text) - length + 1
             on = np.zeros(many + 2, bool)
@@ -212,9 +213,16 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
             spans.append([{"a": int(a), "b": int(b) - 1 + length} for a, b in zip(edge[::2], edge[1::2], strict=True)])
             if parts[i] > 1:
                 prefix = X.prefixes(np.frombuffer(text, np.uint8), X.EXACT)
-                w = np.flatnonzero(~on[1:many + 1])
+                w = np.arange(many)
                 h = X.spans_hash(prefix, w, w + length).view(np.int64)
-                rest.append([{"o": int(at[i] - s), "h": int(v)} for s, v in zip(w, h, strict=True)])
+                own = []
+                for s, v, twice in zip(w.tolist(), h.tolist(), on[1:many + 1].tolist(), strict=True):
+                    name = (int(group[i]), int(at[i]) - s, v)
+                    if not twice or name not in seen:
+                        own.append({"o": name[1], "h": v})
+                        if twice:
+                            seen.add(name)
+                rest.append(own)
             else:
                 rest.append(None)
         return pa.RecordBatch.from_arrays([table.column("key").combine_chunks(), table.column("hull").combine_chunks(), table.column("at").combine_chunks(),

@@ -58,6 +58,17 @@ def test_repeated_strings(spark, monkeypatch, length, gram, part):
     assert collections.Counter(map(tuple, got)) == collections.Counter(brute_repeats([(r[1] or "").encode() for r in rows], length))
 
 
+def test_string_split_two_and_one(spark, monkeypatch):
+    """Three contexts in two parts: the copy that is alone in its part goes as well."""
+    monkeypatch.setattr(suffixes, "PART", 2)
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    shared = [some(200) for _ in range(12)]
+    rows = [(3 * k + j, "ABC"[j] * 9 + some(150) + "ABC"[j] + s + "XYZ"[j] + some(150), "x", 7, None) for k, s in enumerate(shared) for j in range(3)]
+    out = suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA))
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in out.collect()} == {r[0]: [(160, 360)] for r in rows}
+
+
 def test_suffix_sort_orders_and_extends():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, (300, 40)).astype(np.uint8)
