@@ -61,6 +61,13 @@ def test_fast_ids_are_the_reference(spark):
     assert all((packing.token_ids(t, *names) == packing.token_ids(t, names[0])).all() for t in docs)
 
 
+@pytest.mark.parametrize("gap", [" " * 1_000_000, "\n" * 1_000_000, " \n\u3000" * 400_000])
+def test_long_white_space_is_the_reference(gap):
+    names = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for t in (gap, f"a{gap}b", f"a{gap[:packing.SPACES]}b"):
+        assert (packing.token_ids(t, *names) == packing.token_ids(t, names[0])).all()
+
+
 def test_urls(spark):
     cases = {"http://A.Example.com/en/1": ("a.example.com", "/en/1", "example.com/en/", "block"), "https://x.www.example.com/en/?q": ("x.www.example.com", "/en/", "www.example.com/en/", "allow"),
              "http://shop.com/fr#a/b": ("shop.com", "/fr", "com/", "allow"), "http://a.net/es/1": ("a.net", "/es/1", "net/es/", "block"), "http://notcom/x": ("notcom", "/x", None, "allow"),
