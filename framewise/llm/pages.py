@@ -6,17 +6,18 @@ parts with one name are folded into a repeated part; two wrappers are aligned pa
 becomes optional. So every page of a host is aligned with all others, first inside tasks, then across them, and the result
 does not grow with their number but with the host's variety of structure.
 
-Slots count their pages, text and link text and remember a text that never changes. With these the wrapper tells where the
+Slots count their pages, text and link text and remember, by 128 bits, the blocks of text that every page has. With these the wrapper tells where the
 article is: a named container, else the smallest part that holds most of the changing text. Pages are then read along it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,99 +118,202 @@ def parse(page: str) -> Node:
     return root
 
 
-def slot(wrapper_text: str, link: bool) -> dict:
-    return {"n": "#", "lo": 1, "hi": 1, "pages": 1, "chars": len(wrapper_text), "links": len(wrapper_text) if link else 0, "same": wrapper_text[:200] if len(wrapper_text) <= 200 else None, "parts": []}
+def walked(steps: Generator):
+    """What a generator returns that yields the generators whose results it needs: recursion with a stack of its own."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def block(text: str) -> str:
+    return " ".join(html.unescape(text).split())
+
+
+def mark(text: str) -> str:
+    """128 bits of a whole block."""
+    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).hexdigest()
+
+
+def slot(pieces: list[tuple[str, bool]]) -> list[dict]:
+    """A block of text as a part, as ``read`` takes it; none for white space. ``same``: characters outside links by block."""
+    clean = block("".join(t for t, _ in pieces))
+    if not clean:
+        return []
+    links = min(len(clean), sum(len(block(t)) for t, link in pieces if link))
+    return [{"n": "#", "lo": 1, "hi": 1, "pages": 1, "chars": len(clean), "links": links, "same": {mark(clean): len(clean) - links}, "parts": []}]
 
 
 def wrapper(node: Node) -> dict:
     """The page's own expression: ``n`` name, ``lo`` 0 if optional, ``hi`` 2 if repeated, and what its slots hold."""
+    return walked(_wrapper(node))
+
+
+def _wrapper(node: Node) -> Generator:
     parts: list[dict] = []
-    for p in node.parts:
-        if isinstance(p, Node):
-            new = wrapper(p)
-        else:
-            clean = " ".join(p[0].split())
-            if not clean:
-                continue
-            new = slot(clean, p[1])
-        if parts and parts[-1]["n"] == new["n"]:
-            parts[-1] = joined(parts[-1], new, page=False)
-            parts[-1]["hi"] = 2
-        else:
-            parts.append(new)
-    return {"n": node.name, "lo": 1, "hi": 1, "pages": 1, "chars": sum(p["chars"] for p in parts), "links": sum(p["links"] for p in parts), "same": None, "parts": parts}
+    pieces: list[tuple[str, bool]] = []
+    for p in [*node.parts, None]:
+        if isinstance(p, tuple):
+            pieces.append(p)
+            continue
+        fresh = slot(pieces)
+        pieces = []
+        if p is not None:
+            fresh.append((yield _wrapper(p)))
+        for new in fresh:
+            if parts and parts[-1]["n"] == new["n"]:
+                parts[-1] = yield _joined(parts[-1], new, False)
+                parts[-1]["hi"] = 2
+            else:
+                parts.append(new)
+    return {"n": node.name, "lo": 1, "hi": 1, "pages": 1, "chars": sum(p["chars"] for p in parts), "links": sum(p["links"] for p in parts), "same": {}, "parts": parts}
 
 
 def joined(a: dict, b: dict, page: bool = True) -> dict:
-    """One part that fits what either of two parts of one name fits. ``page``: they are of different pages."""
+    """One part that fits what either of two parts of one name fits; ``a`` is used up. ``page``: they are of different
+    pages, so that blocks of both stay the same; else those of either do."""
+    return walked(_joined(a, b, page))
+
+
+def _joined(a: dict, b: dict, page: bool) -> Generator:
+    same, other = a["same"], b["same"]
+    if page:
+        same = {k: n + other[k] for k, n in same.items() if k in other}
+    else:
+        for k, n in other.items():
+            same[k] = same.get(k, 0) + n
     return {"n": a["n"], "lo": min(a["lo"], b["lo"]), "hi": max(a["hi"], b["hi"]), "pages": a["pages"] + b["pages"] if page else max(a["pages"], b["pages"]),
-            "chars": a["chars"] + b["chars"], "links": a["links"] + b["links"], "same": a["same"] if page and a["same"] == b["same"] else None,
-            "parts": align(a["parts"], b["parts"])}
+            "chars": a["chars"] + b["chars"], "links": a["links"] + b["links"], "same": same, "parts": (yield _align(a["parts"], b["parts"], page))}
 
 
-def align(a: list[dict], b: list[dict]) -> list[dict]:
+def _align(a: list[dict], b: list[dict], page: bool) -> Generator:
     """Sequences aligned by a longest common subsequence of names; what has no partner becomes optional, and neighbours
-    of one name become a repeated part."""
+    of one name become a repeated part: those of either side first, as they are of the same pages."""
+    out: list[dict] = []
     if [p["n"] for p in a] == [p["n"] for p in b]:
-        return [joined(x, y) for x, y in zip(a, b, strict=True)]
+        for x, y in zip(a, b, strict=True):
+            out.append((yield _joined(x, y, page)))
+        return out
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i]["n"] == b[j]["n"] else max(best[i + 1][j], best[i][j + 1])
-    out: list[dict] = []
+    #: Name, parts of a, parts of b, least number, how often it was put.
+    groups: list[list] = []
     i = j = 0
 
-    def put(part: dict) -> None:
-        if out and out[-1]["n"] == part["n"]:
-            low = max(out[-1]["lo"], part["lo"])
-            out[-1] = joined(out[-1], part)
-            out[-1]["hi"], out[-1]["lo"] = 2, low
+    def put(x: list[dict], y: list[dict]) -> None:
+        name, low = (x or y)[0]["n"], min(p["lo"] for p in x + y) if x and y else 0
+        if groups and groups[-1][0] == name:
+            g = groups[-1]
+            g[1], g[2], g[3], g[4] = g[1] + x, g[2] + y, max(g[3], low), g[4] + 1
         else:
-            out.append(part)
+            groups.append([name, x, y, low, 1])
 
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i]["n"] == b[j]["n"] and best[i][j] == best[i + 1][j + 1] + 1:
-            put(joined(a[i], b[j]))
+            put([a[i]], [b[j]])
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            put({**a[i], "lo": 0})
+            put([a[i]], [])
             i += 1
         else:
-            put({**b[j], "lo": 0})
+            put([], [b[j]])
             j += 1
+    for _, x, y, low, times in groups:
+        sides = []
+        for side in (x, y):
+            for k, p in enumerate(side):
+                sides.append(p) if not k else sides.append((yield _joined(sides.pop(), p, False)))
+        part = {**sides[0]} if len(sides) == 1 else (yield _joined(*sides, page))
+        part["lo"], part["hi"] = low, 2 if times > 1 else part["hi"]
+        out.append(part)
     return out
 
 
+COLUMNS = ("n", "lo", "hi", "pages", "chars", "links", "same")
+
+
+def dumped(w: dict) -> str:
+    """A wrapper as JSON without nesting: rows of depth and columns, in page order."""
+    rows, todo = [], [(w, 0)]
+    while todo:
+        p, depth = todo.pop()
+        rows.append([depth, *[p[c] for c in COLUMNS]])
+        todo += [(c, depth + 1) for c in reversed(p["parts"])]
+    return json.dumps(rows)
+
+
+def loaded(text: str) -> dict:
+    above: list[dict] = []
+    for depth, *values in json.loads(text):
+        part = dict(zip(COLUMNS, values, strict=True)) | {"parts": []}
+        del above[depth:]
+        if above:
+            above[-1]["parts"].append(part)
+        above.append(part)
+    return above[0]
+
+
+#: Items of a list or table: what never changes in them counts only if the others do not change either.
+ITEM = re.compile(r"(?:li|dt|dd|tr)(?:\..*)?")
+
+
+def constant(p: dict, item: bool) -> dict[str, int]:
+    """The blocks of a slot that are the same on each of more than two pages."""
+    return p["same"] if p["pages"] > 2 and (not item or sum(p["same"].values()) == p["chars"] - p["links"]) else {}
+
+
 def article_path(w: dict) -> list[str]:
     """Names from the root to the part that holds the article: the named container with the most text, else the smallest
     part with three quarters of the text that is neither link nor the same on every page."""
 
-    def own(p: dict) -> int:
+    order: list[tuple[dict, bool]] = []
+    todo: list[tuple[dict, dict | None, bool]] = [(w, None, False)]
+    above: dict[int, dict | None] = {}
+    while todo:
+        p, parent, item = todo.pop()
+        above[id(p)] = parent
+        order.append((p, item))
+        todo += [(c, p, item or bool(ITEM.fullmatch(p["n"]))) for c in reversed(p["parts"])]
+    held: dict[int, int] = {}
+    for p, item in reversed(order):
         if p["n"].endswith(".out") or p["n"] == "header":
-            return 0
-        if p["n"] == "#":
-            return 0 if p["same"] and p["pages"] > 2 else p["chars"] - p["links"]
-        return sum(own(c) for c in p["parts"])
+            held[id(p)] = 0
+        elif p["n"] == "#":
+            held[id(p)] = p["chars"] - p["links"] - sum(constant(p, item).values())
+        else:
+            held[id(p)] = sum(held[id(c)] for c in p["parts"])
 
-    named: list[tuple[int, list[str]]] = []
+    def own(p: dict) -> int:
+        return held[id(p)]
 
-    def seek(p: dict, path: list[str]) -> None:
+    named: list[tuple[int, int, dict]] = []
+    seek = [(w, 0)]
+    while seek:
+        p, depth = seek.pop()
         if p["n"].endswith(".out"):
-            return
+            continue
         if p["n"].split(".")[0] in ("article", "main") or p["n"].endswith(".main"):
-            named.append((own(p), path))
+            named.append((own(p), depth, p))
             if p["n"].split(".")[0] == "article":
-                return
-        for c in p["parts"]:
-            if c["n"] != "#":
-                seek(c, [*path, c["n"]])
-
-    seek(w, [])
+                continue
+        seek += [(c, depth + 1) for c in reversed(p["parts"]) if c["n"] != "#"]
     total = own(w)
-    good = [x for x in named if 2 * x[0] >= max(1, max(named)[0])] if named else []
-    if good and 4 * max(good)[0] >= total:
+    most = max((x[0] for x in named), default=0)
+    good = [x for x in named if 2 * x[0] >= max(1, most)]
+    if good and 4 * most >= total:
         # The innermost that holds most of what the fullest holds.
-        return max(good, key=lambda x: (len(x[1]), x[0]))[1]
+        part, names = max(good, key=lambda x: (x[1], x[0]))[2], []
+        while above[id(part)] is not None:
+            names.append(part["n"])
+            part = above[id(part)]
+        return names[::-1]
     path: list[str] = []
     part = w
     while True:
@@ -221,9 +325,15 @@ def article_path(w: dict) -> list[str]:
 
 
 def fixed_texts(w: dict) -> set[str]:
-    """Texts of slots that are the same on each of more than two pages, without the article's headings."""
-    out = {w["same"]} if w["n"] == "#" and w["same"] and w["pages"] > 2 else set()
-    return out.union(*[fixed_texts(c) for c in w["parts"] if not re.fullmatch(r"h[1-6](\..*)?", c["n"])]) if w["parts"] else out
+    """Marks of blocks that are on each of more than two pages, without the article's headings."""
+    out: set[str] = set()
+    todo = [(w, False)]
+    while todo:
+        p, item = todo.pop()
+        if p["n"] == "#":
+            out.update(constant(p, item))
+        todo += [(c, item or bool(ITEM.fullmatch(p["n"]))) for c in p["parts"] if not re.fullmatch(r"h[1-6](\..*)?", c["n"])]
+    return out
 
 
 def read(root: Node, path: list[str], fixed: set[str]) -> str:
@@ -234,12 +344,12 @@ def read(root: Node, path: list[str], fixed: set[str]) -> str:
     blocks: list[str] = []
 
     def flush(pieces: list[str]) -> None:
-        clean = " ".join(html.unescape("".join(pieces)).split())
-        if clean and clean not in fixed:
+        clean = block("".join(pieces))
+        if clean and not (fixed and mark(clean) in fixed):
             blocks.append(clean)
         pieces.clear()
 
-    def walk(node: Node) -> None:
+    def walk(node: Node) -> Generator:
         pieces: list[str] = []
         for p in node.parts:
             if isinstance(p, Node):
@@ -250,15 +360,15 @@ def read(root: Node, path: list[str], fixed: set[str]) -> str:
                     # Of an article's own header the headings are text.
                     for h in p.parts:
                         if isinstance(h, Node) and re.fullmatch(r"h[1-6]", h.tag) and not h.out:
-                            walk(h)
+                            yield walk(h)
                     continue
-                walk(p)
+                yield walk(p)
             else:
                 pieces.append(p[0])
         flush(pieces)
 
     for p in places:
-        walk(p)
+        walked(walk(p))
     return "\n\n".join(blocks)
 
 
@@ -282,12 +392,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield rows(have, part)
 
     def rows(have: dict[str, dict], part: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(have)), pa.array([part] * len(have), pa.int32()), pa.array([json.dumps(w) for w in have.values()])],
+        return pa.RecordBatch.from_arrays([pa.array(list(have)), pa.array([part] * len(have), pa.int32()), pa.array([dumped(w) for w in have.values()])],
                                           names=["host", "part", "wrapper"])
 
     own = pages.select("host", "html").mapInArrow(lambda b: fold(b, lambda h: wrapper(parse(h or ""))), schema)
-    some = own.repartition("host", "part").select("host", "wrapper").mapInArrow(lambda b: fold(b, json.loads), schema)
-    return cut(some.repartition("host").select("host", "wrapper").mapInArrow(lambda b: fold(b, json.loads), schema).select("host", "wrapper"))
+    some = own.repartition("host", "part").select("host", "wrapper").mapInArrow(lambda b: fold(b, loaded), schema)
+    return cut(some.repartition("host").select("host", "wrapper").mapInArrow(lambda b: fold(b, loaded), schema).select("host", "wrapper"))
 
 
 def extract(pages: DataFrame, held_hosts: int = 20_000) -> DataFrame:
@@ -312,7 +422,7 @@ def extract(pages: DataFrame, held_hosts: int = 20_000) -> DataFrame:
                 if host not in known:
                     if len(known) > 2000:
                         known.clear()
-                    w = json.loads(text)
+                    w = loaded(text)
                     path = article_path(w)
                     # Inside a named article what stays the same is still the article's.
                     known[host] = path, set() if path and NAMED.fullmatch(path[-1]) else fixed_texts(w)

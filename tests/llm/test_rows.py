@@ -107,6 +107,21 @@ def test_wrappers_align():
     assert [(p["n"], p["lo"], p["hi"]) for p in both["parts"][0]["parts"]] == [("p", 1, 2), ("h2", 0, 1)]
 
 
+def test_long_and_neighbouring_texts_that_never_change(spark):
+    """Without a named article; the notice is long, has inline markup and references, and stands in equal neighbours."""
+    notice = "<div><p>" + "All rights <b>reserved</b> &amp; kept. " * 12 + "</p><p>A second line for every reader.</p></div>"
+    rows = [(k, f"http://h.org/{k}", f"<div><p>{f'first {k} ' * 9}</p><p>{f'more {k} ' * (9 + k)}</p></div>" + notice) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(5):
+        assert f"first {k} first {k}" in got[k] and f"more {k} more {k}" in got[k] and "rights" not in got[k] and "second line" not in got[k], got[k]
+
+
+def test_deep_pages(spark):
+    rows = [(k, "http://deep.org/", "<div>" * (3000 + k) + f"inner {k} text" + "</div>" * k) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"inner {k} text" for k in range(3)}
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.toxicity(docs.select("doc_id", "text"), labels).toPandas().merge(labels.toPandas(), on="doc_id")
