@@ -17,6 +17,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+#: Rank that may still be on its way, as a share of all seeds' rank, when rounds end.
+LEFT = 1e-9
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; else empty."""
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), UPPER, LOWER)
@@ -44,20 +48,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """``host, rank`` after ``rounds`` of personalised PageRank from ``host, seed`` over ``src, dst, n``. Rank that
-    reaches a host without links ends there. A host with a third of all links is summed up before it is shuffled."""
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int | None) -> DataFrame:
+    """``host, rank`` of personalised PageRank from ``host, seed`` over ``src, dst, n``, after ``rounds`` or, without that,
+    when every host that can be reached has rank and at most ``LEFT`` of it is still on its way. Rank that reaches a host
+    without links ends there. A host with a third of all links is summed up before it is shuffled."""
     share = edges.join(edges.groupBy("src").agg(F.sum("n").alias("out")), "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
-    rank = seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
+    rank = seeds.where("seed > 0").select("host", ((1 - damping) * F.col("seed")).alias("rank"))
     start = rank
-    for _ in range(rounds):
+    known = total = None
+    done = 0
+    while rounds is None or done < rounds:
         moved = (share.join(rank, share["src"] == rank["host"]).groupBy(F.col("dst").alias("host"))
                  .agg((damping * F.sum(F.col("share") * F.col("rank"))).alias("rank")))
         rank = cut(start.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank")))
+        done += 1
+        if rounds is None:
+            # Rank only grows, so what a round added bounds what the next ones add.
+            before, (known, total) = (known, total), rank.agg(F.count("*"), F.coalesce(F.sum("rank"), F.lit(0.0))).first()
+            left = total - (before[1] or 0.0)
+            if known == before[0] and (left * damping <= (1 - damping) * LEFT * total or damping**done <= LEFT):
+                break
     return rank
 
 
-def host_scores(judged: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def host_scores(judged: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None) -> DataFrame:
     """``host, trust, distrust`` from pages with ``host, verdict`` (null: no rule). A host's seed is the share of its
     pages that rules allow or block."""
     seeds = cut(judged.where("host <> ''").groupBy("host").agg(
@@ -69,7 +83,7 @@ def host_scores(judged: DataFrame, edges: DataFrame, damping: float = 0.85, roun
     return trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full").na.fill(0.0)
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, ratio: float = 1.0, rounds: int = 8) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, ratio: float = 1.0, rounds: int | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of every row of ``page_id, url, html``.
 
     The longest rule that fits decides; else the host is blocked if its distrust is more than ``ratio`` times its trust.

@@ -79,6 +79,14 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_rank_reaches_hosts_far_from_the_seeds(spark):
+    """A chain of 14 links to a blocked host."""
+    rows = [(k, f"http://h{k}.org/", f'<a href="http://h{k + 1}.org/">' if k < 13 else '<a href="http://a.net/es/1">') for k in range(14)] + [(14, "http://a.net/es/1", None)]
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {k: "block" for k in range(15)}
+    assert all(abs(r["distrust"] - 0.15 * 0.85 ** (14 - r["page_id"])) < 1e-9 for r in out)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><article>";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav><div class="cookie-notice">We use cookies</div><aside>More</aside>
 <{tag}><h1>Title {k} &amp; more</h1><p>First <b>bold</b>
