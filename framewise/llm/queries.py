@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["packing", "urls", "decontaminate", "search", "suffixes", "jaccard", "toxicity", "language", "pages", "quality"]
+MODULES = ["packing", "urls", "decontaminate", "search", "suffixes", "jaccard", "toxicity", "language", "pages", "quality",
+           "languages", "phrases", "periodic"]
 
 
 def queries() -> dict:
