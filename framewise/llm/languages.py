@@ -24,11 +24,14 @@ from pyspark.sql.types import StructField, StructType
 
 from . import text as X
 from .fit import logistic, remainder, sigmoid
+from .store import cut
 
 #: Columns of a profile, longest letter sequence, texts whose profiles a task holds at a time.
 COLUMNS, LONGEST, HELD = 4096, 4, 128
 #: Learning texts of all languages together, weight of the machines' errors.
 FIT_ROWS, COST = 4000, 4.0
+#: Rows of a table that may be broadcast.
+SMALL = 100_000
 #: Texts a side needs for a logistic curve of its own, and the curve of the others.
 SCARCE, PLAIN = 10, (4.0, 0.0)
 #: Letters in lower case; everything else is a gap.
@@ -225,15 +228,19 @@ def learning_texts(docs: DataFrame, learn: Column, label: str, text_col: str, ro
     """``label, text``: at most ``rows`` texts, of every language as many as of any other that has more, by least hashes."""
     good = docs.select(F.col(label).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"),
                        F.coalesce(learn, F.lit(False)).alias("learn")).where("learn and label is not null").where(_has_letter("text"))
-    many = good.select("label").distinct().count()
-    share = max(1, rows // max(1, many))
-    first = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
     # Repeated texts would teach nothing new and could fill a share.
-    hashed = good.select("label", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(5)).alias("h2")).distinct()
-    picked = (hashed.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h1", "h2"))).where(F.col("n") <= share).drop("n"))
-    named = good.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(5)))
-    found = named.join(F.broadcast(picked), ["label", "h1", "h2"], "left_semi").dropDuplicates(["label", "h1", "h2"])
-    return found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= share).orderBy("label", "h1", "h2").select("label", "text")
+    names = ["label", "h1", "h2"]
+    hashed = good.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(5)))
+    distinct = cut(hashed.select(*names).distinct())
+    sizes = cut(distinct.groupBy("label").agg(F.count("*").alias("n")))
+    many = sizes.count()
+    share = max(1, rows // max(1, many))
+    # Hashes below a bound leave few more than a share of each language, so that no task orders all texts of one.
+    least = F.expr("shiftrightunsigned(h1, 11)") / F.lit(float(1 << 53)) * F.col("n") <= share + 5 * share**0.5 + 10
+    near = cut(distinct.join(F.broadcast(sizes) if many <= SMALL else sizes, "label").where(least).select(*names))
+    first = Window.partitionBy("label").orderBy(F.expr("shiftrightunsigned(h1, 11)"), "h2")
+    picked = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= share).drop("k")
+    return hashed.join(F.broadcast(picked), names, "left_semi").dropDuplicates(names).orderBy(*names).select("label", "text")
 
 
 def _has_letter(column: str) -> Column:
