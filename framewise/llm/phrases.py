@@ -7,8 +7,8 @@ plus the pieces that end in it. A node whose whole flow passes along one edge, i
 compacted into that edge, order by order; what remains are the branching phrases.
 
 A piece is first broken at words and between pairs of words that occur less often than a phrase must: no such phrase has them
-inside, so no count that is asked for changes, and the graph has only edges between frequent pairs. Words and pairs
-are counted exactly by Spark; tasks get a bitmap of fixed size, and what it lets through by chance makes edges that count for
+inside, so no count that is asked for changes, and the graph has only edges between frequent pairs. Words and pairs are
+counted by Spark; tasks get bitmaps of fixed size, and what it lets through by chance makes edges that count for
 nothing. Words are named by 62 bits; that no two words of the graph share a name is verified on the words themselves.
 """
 
@@ -26,8 +26,8 @@ from .store import bit_filter, cut, may_hold
 
 #: Words of a phrase at most, its least count, reported phrases per group, hundredths of a count that a longer phrase must keep.
 LONGEST, LEAST, TOP, INSIDE = 5, 100, 2000, 100
-#: Bits of the bitmap of frequent words and pairs, and tries to name the words.
-BITS, TRIES = 26, 4
+#: Bits of the bitmaps of frequent words and of frequent pairs, bits of a pair's name, and tries to name the words.
+BITS, PAIR_BITS, TRIES = 26, 30, 4
 #: Bytes that end a piece, and bytes of words.
 STOP = np.zeros(256, bool)
 STOP[[46, 44, 59, 58, 33, 63, 10, 11, 12, 13]] = True
@@ -36,7 +36,7 @@ INK[[9, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: The two lowest bits of a name tell words, pairs and groups apart.
-CLEAR, PAIR, GROUP = np.uint64(0xFFFFFFFFFFFFFFFC), np.uint64(1), 2
+CLEAR, PAIR, GROUP = np.uint64(0xFFFFFFFFFFFFFFFC), 1, 2
 
 
 def pieces(column: pa.Array, groups: np.ndarray, table: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -51,25 +51,29 @@ def pieces(column: pa.Array, groups: np.ndarray, table: np.ndarray) -> Iterator[
 
 
 def pairs(name: np.ndarray) -> np.ndarray:
-    """Names of each word with the one before it."""
-    return (X.mix(name[:-1] * X.BASE + name[1:]) & CLEAR) | PAIR
+    """``PAIR_BITS`` bits that name each word with the one before it. Pairs that share a name are counted together, which lets
+    them through together; short names make the largest shuffle small."""
+    return X.mix(name[:-1] * X.BASE + name[1:]) >> np.uint64(64 - PAIR_BITS)
 
 
 def _counted(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """``h, c``: occurrences of all words, all pairs inside pieces, and all words of a group."""
+    """``h, c``: occurrences of all words, all names of pairs inside pieces, and all words of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = batch.column(0).to_numpy().view(np.uint64)
             for rows, _, _, _, name, text, joined in pieces(batch.column(1), groups, table):
-                h, c = np.unique(np.concatenate([name, pairs(name)[joined[1:]] if len(name) else name]), return_counts=True)
-                whole, first = np.unique(groups[rows][text] & CLEAR | np.uint64(GROUP), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, whole]).view(np.int64)), pa.array(np.concatenate([c, first]))], names=["h", "c"])
+                found = [np.unique(name, return_counts=True), np.unique(groups[rows][text] & CLEAR | np.uint64(GROUP), return_counts=True)]
+                if len(name):
+                    h, c = np.unique(pairs(name)[joined[1:]], return_counts=True)
+                    found.append((h << np.uint64(2) | np.uint64(PAIR), c))
+                h, c = (np.concatenate(v) for v in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     return rows.select("g", "text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _edges(rows: DataFrame, table: np.ndarray, bitmap: np.ndarray, longest: int) -> DataFrame:
+def _edges(rows: DataFrame, table: np.ndarray, bitmap: np.ndarray, often_two: np.ndarray, longest: int) -> DataFrame:
     """``w0 ..., c, word, lang``: edges (all words there), piece ends (the last words missing), and the names of all words that
     the bitmap lets through (c is zero)."""
     names = [f"w{k}" for k in range(longest)]
@@ -84,7 +88,7 @@ def _edges(rows: DataFrame, table: np.ndarray, bitmap: np.ndarray, longest: int)
                 often = may_hold(bitmap, name)
                 on[1:] &= often[1:] & often[:-1]
                 at = np.flatnonzero(on)
-                on[at] = may_hold(bitmap, pairs(name)[at - 1])
+                on[at] = may_hold(often_two, pairs(name)[at - 1] << np.uint64(64 - PAIR_BITS))
                 # How many words of the broken piece follow each word.
                 last = np.flatnonzero(np.append(~on[1:], True))
                 follow = last[np.searchsorted(last, np.arange(len(name)))] - np.arange(len(name))
@@ -158,8 +162,9 @@ def collocations(docs: DataFrame, group: Column | None = None, text_col: str = "
     for seed in range(TRIES):
         table = X.byte_table(20 + seed, True)
         counted = cut(_counted(rows, table).where(f"c >= {least} or (h & 3) = {GROUP}"))
-        bitmap = bit_filter(counted.where(f"(h & 3) <> {GROUP}").select("h"), BITS)
-        edges = cut(_edges(rows, table, bitmap, longest))
+        bitmap = bit_filter(counted.where("(h & 3) = 0").select("h"), BITS)
+        often_two = bit_filter(counted.where(f"(h & 3) = {PAIR}").selectExpr(f"shiftleft(shiftright(h, 2), {64 - PAIR_BITS}) as h"), BITS)
+        edges = cut(_edges(rows, table, bitmap, often_two, longest))
         words = edges.where("word is not null").select(F.col("w0").alias("h"), "word", "lang")
         if words.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             break
