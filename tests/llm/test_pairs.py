@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -48,6 +49,17 @@ def brute_repeats(texts, length):
     return out
 
 
+def test_a_passage_in_half_of_all_texts(spark, monkeypatch):
+    """Its places are dealt over tasks."""
+    monkeypatch.setattr(suffixes, "CROWD", 20)
+    rng = random.Random(9)
+    passage = " ".join(rng.choices(string.ascii_lowercase, k=150))
+    texts = [("".join(rng.choices(string.ascii_lowercase, k=40)) + (passage if k % 2 else "") + "".join(rng.choices(string.ascii_lowercase, k=k % 50))) for k in range(200)]
+    out = suffixes.remove_repeats(spark.createDataFrame([(k, t, "x", 7, None) for k, t in enumerate(texts)], SCHEMA))
+    got = out.select("n_bytes", F.expr("aggregate(spans, 0L, (t, s) -> t + s.b - s.a)"), F.size("spans"), F.sha2("kept", 256)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(brute_repeats([t.encode() for t in texts], 200))
+
+
 @pytest.mark.parametrize("length,gram,part", [(200, 64, 4096), (60, 16, 2)])
 def test_repeated_strings(spark, monkeypatch, length, gram, part):
     """Small parts force one anchor's contexts into several tasks."""

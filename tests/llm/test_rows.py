@@ -148,6 +148,22 @@ def test_scores_of_odd_rows(spark, odd):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
+def test_rare_kinds_of_toxicity_are_learnt(spark):
+    """A kind that eight of 1,200 toxic texts have; an id that repeats counts once."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k:04d}" for k in range(3000)]
+    rows = []
+    for i in range(12000):
+        toxic = i % 10 == 0
+        kind = "" if not toxic else "zzrare" if i < 80 else ("common", "usual", "often")[i % 3]
+        rows.append((i, " ".join(rng.choice(words, 20)) + " " + kind, int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(90000, "some zzrare words"), (90001, "some plain words")] + [(5, "w0001 w0002")] * 500, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, labels, toxicity.F.lit(True))
+    out = {r["doc_id"]: r["score"] for r in toxicity.score(docs.where("doc_id >= 90000"), model).collect()}
+    assert out[90000] > 0.5 > 0.3 > out[90001] and len(model.features) < 20
+
+
 def test_label_model_discounts_repeats():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.2
@@ -200,11 +216,48 @@ def test_language_base_and_gain(spark, odd):
     assert language.score_texts(docs.limit(0), fold != 1).count() == 0
 
 
+def small_vocabulary():
+    starts = np.arange(language.SHARED + 1)
+    starts[8:] += 3
+    inside = np.ones(starts[-1], np.int64)
+    return language.Vocabulary(np.array([3, 5], np.uint64), np.array([9, 4]), np.array([0, language.OWN + starts[7] + 1]), 20, 4, starts, inside,
+                               np.ones(language.SHARED, int), np.r_[9, np.zeros(language.OWN - 1, int)])
+
+
 def test_model_is_normalised():
-    vocab = language.Vocabulary(np.array([3, 5], np.uint64), np.array([9, 4]), np.array([0, 1]), 20, 4, np.ones(language.SHARED, int), np.ones(language.SHARED, int))
-    model, _ = language.LogBilinear.start(vocab)
+    vocab = small_vocabulary()
+    model, _, _ = language.LogBilinear.start(vocab)
     near, far, normal = model.tables()
     assert abs(np.exp(near[4] + far[7] - normal[4, 7]).sum() - 1) < 1e-4
+    rows = np.arange(vocab.starts[7], vocab.starts[8])
+    inside = model.inside(vocab.starts, np.full(4, 7), rows, np.full(4, 4), np.full(4, 9))
+    assert abs(np.exp(inside).sum() - 1) < 1e-5 and len(rows) == 4 and set(vocab.look_up(np.array([3, 5, 8], np.uint64), np.array([1, 7, 7]))[1].tolist()) == {0, language.OWN + 8, language.OWN + 7}
+
+
+def test_language_does_not_depend_on_the_cut(spark):
+    """Scores and gain are the same for every partitioning; columns named like those of the work are kept."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id", "text", "doc_id c", "'h' h", "1 _n", "struct(2 as a) _w", "3 row", "4 id", "5 rare", "6 codes")
+    fold = language.remainder("doc_id", 5)
+    want = None
+    for parts in (1, 4, 32):
+        out = language.score_texts(docs.repartition(parts), fold != 1).withColumn("fold", fold)
+        assert out.columns[:9] == ["doc_id", "c", "h", "_n", "_w", "row", "id", "rare", "codes"]
+        got = {r["doc_id"]: (r["fold"], r["n_tokens"], r["base_score"], r["score"]) for r in out.collect()}
+        held = [v for v in got.values() if v[0] == 1]
+        assert sum(v[3] - v[2] for v in held) / sum(v[1] for v in held) > 0.1
+        want = want or got
+        assert got.keys() == want.keys() and all(abs(got[i][3] - want[i][3]) < 1e-3 for i in want)
+
+
+def test_own_vectors_grow_with_the_corpus(spark):
+    def sizes(n):
+        words = spark.range(n).selectExpr("concat('w', id) w", "30 + id % 7 k")
+        vocab = language.vocabulary(language.count_words(words.selectExpr("array_join(array_repeat(w, cast(k as int)), ' ') text")))
+        codes = vocab.codes[vocab.codes >= 0]
+        assert len(set(codes.tolist())) == len(codes) and len(vocab.member_tokens) == vocab.starts[-1] and (vocab.member_tokens >= 0).all()
+        return int((codes >= 0).sum())
+
+    assert sizes(3000) > 2900 and sizes(30000) > 29000
 
 
 def test_pipeline_keeps_columns_and_clean_rows(spark, odd):
