@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as X
-from .fit import apply, labelled_sample, logistic, remainder, sigmoid
+from .fit import labelled_sample, logistic, remainder, sigmoid
+from .store import cut
 
 #: Labelled rows that the fit sees at most, and candidate features kept of them (a top-k).
 FIT_ROWS, CANDIDATES = 24000, 4096
 #: Bytes of the word beginnings that are evidence, beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
-#: A lexicon voter's precision among differing texts, and the part of the toxic ones that must have it.
-PRECISION, SUPPORT = 0.95, 0.01
+#: A lexicon voter's precision among differing texts, the toxic ones it must be in, and the chance that any of all features
+#: tried would be in as many toxic texts without a reason.
+PRECISION, SUPPORT, CHANCE = 0.95, 3, 0.05
 PATTERNS = ("shouting", "exclaiming", "symbols", "bars", "repeating")
 
 
@@ -71,43 +73,50 @@ class Model:
     weights: np.ndarray
 
     def score(self, column: pa.Array) -> np.ndarray:
-        out = []
+        out, m = [], len(self.features)
         for rows, owner, h, votes, _ in evidence(column):
-            out.append(sigmoid(apply(self.matrix(rows.stop - rows.start, owner, h, votes), self.weights)))
+            text, place = self.hits(owner, h)
+            z = np.bincount(text, self.weights[place], rows.stop - rows.start) + votes @ self.weights[m:-1] + self.weights[-1]
+            out.append(sigmoid(z))
         return np.concatenate(out) if out else np.zeros(0)
 
-    def matrix(self, n: int, owner: np.ndarray, h: np.ndarray, votes: np.ndarray) -> np.ndarray:
-        x = np.zeros((n, len(self.features) + votes.shape[1]))
-        if len(self.features):
-            place = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
-            hit = self.features[place] == h
-            x[owner[hit], place[hit]] = 1
-        x[:, len(self.features):] = votes
-        return x
+    def hits(self, owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, number of the feature), sorted."""
+        if not len(self.features):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
+        hit = self.features[place] == h
+        return np.divmod(np.unique(owner[hit] * len(self.features) + place[hit]), len(self.features))
 
 
 def label_model(votes: np.ndarray, marks: np.ndarray, trust: float = 0.95, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, rate of speaking per class and voter, correlation of the voters within the classes).
 
-    ``votes`` are 0/1. The rows' own marks are one more voter, right with probability ``trust``; all others start unknown. A
-    first estimate takes voters as independent given the class; their residual correlations then discount those that repeat
-    each other in a second one."""
-    discount = np.ones(votes.shape[1])
+    ``votes`` are 0/1. The rows' own marks are one more voter, right with probability ``trust``. Rates and the voters' residual
+    correlations are first taken from the marks; correlated voters are discounted, and after the first estimate once more."""
     marked = np.where(marks > 0, 1, -1) * np.log(trust / (1 - trust))
     q = sigmoid(marked)
-    correlation = np.eye(votes.shape[1])
-    for stage in range(2):
+
+    def rates() -> np.ndarray:
+        rate = np.stack([((1 - q) @ votes + 0.01) / ((1 - q).sum() + 1), (q @ votes + 0.01) / (q.sum() + 1)])
+        return np.clip(rate, 1e-5, 1 - 1e-5)
+
+    def correlations() -> np.ndarray:
+        rest = votes - (q[:, None] * rate[1] + (1 - q)[:, None] * rate[0])
+        spread = rest.std(0) + 1e-9
+        return rest.T @ rest / len(rest) / spread[:, None] / spread[None]
+
+    rate = rates()
+    for _ in range(2):
+        # Voters that repeat each other, in speech or silence, count as one.
+        correlation = correlations()
+        discount = 1 / (1 + np.maximum(correlation - np.eye(len(correlation)), 0).sum(0))
         for _ in range(rounds):
-            rate = np.stack([((1 - q) @ votes + 0.01) / ((1 - q).sum() + 1), (q @ votes + 0.01) / (q.sum() + 1)])
-            rate = np.clip(rate, 1e-5, 1 - 1e-5)
+            rate = rates()
             speaks, silent = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
             prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
             q = sigmoid(np.log(prior / (1 - prior)) + marked + votes @ (discount * speaks) + (1 - votes) @ (discount * silent))
-        rest = votes - (q[:, None] * rate[1] + (1 - q)[:, None] * rate[0])
-        spread = rest.std(0) + 1e-9
-        correlation = rest.T @ rest / len(rest) / spread[:, None] / spread[None]
-        if stage == 0:
-            discount = 1 / (1 + np.maximum(correlation - np.eye(len(correlation)), 0).sum(0))
+    rate, correlation = rates(), correlations()
     return q, rate, correlation
 
 
@@ -115,7 +124,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
     """Fit on at most ``fit_rows`` labelled rows that ``learnable`` holds for; without any, every score is low."""
     none = Model(np.zeros(0, np.uint64), np.r_[np.zeros(len(PATTERNS)), -4.0])
     sample = labelled_sample(labels, label, fit_rows, learnable)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("label", "text")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    # An id that repeats counts once, so that the sample is bounded in rows.
+    texts = cut(found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one")).select("label", "one.text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,25 +148,30 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
         return none
     base = total[1] / total[0]
     counted = texts.mapInArrow(count, "h bigint, n bigint, pos bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    counted = cut(counted.where(f"n >= {SUPPORT}"))
+    tried = counted.count()
     # A top-k of features: those whose toxic texts exceed what chance gives by the most standard deviations.
     excess = (F.col("pos") - base * F.col("n")) / F.sqrt(base * (1 - base) * F.col("n"))
-    best = counted.where("pos >= 3").orderBy(excess.desc(), "h").limit(CANDIDATES).select("h").collect()
+    best = counted.where(f"pos >= {SUPPORT}").orderBy(excess.desc(), "h").limit(CANDIDATES).select("h").collect()
     candidates = np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(candidates, np.zeros(0))
         for batch in batches:
             for rows, owner, h, votes, sketch in evidence(batch.column(1)):
-                x = model.matrix(rows.stop - rows.start, owner, h, votes)
-                found = [np.flatnonzero(r).astype(np.int32) for r in x]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(sketch.view(np.int64)), pa.array(found, pa.list_(pa.int32()))],
+                n, (text, place) = rows.stop - rows.start, model.hits(owner, h)
+                told, pattern = np.nonzero(votes)
+                text, place = np.concatenate([text, told]), np.concatenate([place, len(candidates) + pattern])
+                order = np.argsort(text, kind="stable")
+                found = pa.ListArray.from_arrays(pa.array(X.runs(text[order], n).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], pa.array(sketch.view(np.int64)), found],
                                                  names=["label", "sketch", "found"])
 
     seen = texts.mapInArrow(look, "label int, sketch bigint, found array<int>").toArrow()
-    return fit(candidates, seen.column("label").to_numpy(), seen.column("sketch").to_numpy(), seen.column("found").to_pylist())
+    return fit(candidates, seen.column("label").to_numpy(), seen.column("sketch").to_numpy(), seen.column("found").to_pylist(), tried)
 
 
-def fit(candidates: np.ndarray, label: np.ndarray, sketch: np.ndarray, found: list[list[int]]) -> Model:
+def fit(candidates: np.ndarray, label: np.ndarray, sketch: np.ndarray, found: list[list[int]], tried: int) -> Model:
     """Voters, label model and classifier from the sample's evidence. Texts with one sketch are near copies: one counts."""
     order = np.lexsort((label, sketch))
     _, first = np.unique(sketch[order], return_index=True)
@@ -166,16 +182,25 @@ def fit(candidates: np.ndarray, label: np.ndarray, sketch: np.ndarray, found: li
     for i, t in zip(kept, y, strict=True):
         n[found[i]] += 1
         pos[found[i]] += t
-    lexicon = np.flatnonzero((n[:m] > 0) & (pos[:m] >= PRECISION * n[:m]) & (pos[:m] >= max(3, SUPPORT * y.sum())))
+    # Few texts are enough for a voter, as long as so many toxic ones among them are no accident: the divergence from the base
+    # rate bounds the chance of it, over all features tried.
+    base, share = y.mean(), pos[:m] / np.maximum(1, n[:m])
+    log = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / b), 0.0)
+    surprise = n[:m] * (log(share, base) + log(1 - share, 1 - base))
+    lexicon = np.flatnonzero((pos[:m] >= np.maximum(SUPPORT, PRECISION * n[:m])) & (surprise >= np.log(max(1, tried) / CHANCE)))
     columns = np.r_[lexicon, m + np.arange(len(PATTERNS))]
     index = np.full(m + len(PATTERNS), -1)
     index[columns] = np.arange(len(columns))
-    votes = np.zeros((len(kept), len(columns)))
+    votes = np.zeros((len(kept), len(columns)), np.float32)
     for k, i in enumerate(kept):
         c = index[found[i]]
         votes[k, c[c >= 0]] = 1
     q, _, _ = label_model(votes, y)
-    return Model(candidates[lexicon], logistic(votes, q, penalty=0.01))
+    # Texts with the same votes weigh together: the fit is the same, and there are few different ones.
+    packed, which = np.unique(np.packbits(votes > 0, axis=1), axis=0, return_inverse=True)
+    many = np.bincount(which.ravel(), minlength=len(packed))
+    different = np.unpackbits(packed, axis=1, count=len(columns)).astype(float)
+    return Model(candidates[lexicon], logistic(different, np.bincount(which.ravel(), q, len(packed)) / many, many.astype(float), penalty=0.01))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
