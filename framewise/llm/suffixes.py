@@ -27,6 +27,8 @@ from . import text as X
 from .store import bit_filter, cut, may_hold
 
 LENGTH, GRAM = 200, 64
+#: Places of one hull that may meet in one task, and tasks that those of a more crowded one are dealt over.
+CROWD, SALTS = 1000, 64
 #: Contexts of one anchor in one task, and rows of a table that may be broadcast.
 PART, SMALL = 4096, 100_000
 
@@ -280,6 +282,19 @@ def coverage(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
     return hit, parts.select("key", "hull", "whole", F.when(F.col("whole"), F.lit(None)).otherwise(merged).alias("runs"))
 
 
+def _meet(hit: DataFrame, cover: DataFrame) -> DataFrame:
+    """Places of hulls with what repeats in them, where that is anything. A hull that lies in very many places is dealt by
+    text over ``SALTS`` tasks, and its one row of ``cover`` goes to each of them."""
+    crowd = cut(hit.groupBy("key", "hull").agg(F.count("*").alias("n")).where(f"n > {CROWD}").select("key", "hull", F.lit(SALTS).alias("salts")))
+    if crowd.isEmpty():
+        return hit.join(cover, ["key", "hull"])
+    small = crowd.count() <= SMALL
+    mark = lambda df: df.join(F.broadcast(crowd) if small else crowd, ["key", "hull"], "left")
+    dealt = mark(hit).withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("r1", "low"), F.lit(SALTS)))).drop("salts")
+    copies = mark(cover).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
+    return dealt.join(copies.withColumn("salt", F.col("salt").cast("bigint")), ["key", "hull", "salt"])
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
                    payload: Column | None = None) -> DataFrame:
     """``doc_id, kept, text, n_bytes, spans``: each document's bytes without those in a string of ``length`` bytes that
@@ -295,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     # A run (a, b) as one number, a in the upper half. Runs and texts meet sorted by text, runs first.
     each = F.explode(F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))).otherwise(F.col("runs"))).alias("s")
     run = ((F.col("low") + F.col("s.a")).cast("bigint") * F.lit(1 << 32) + (F.col("low") + F.col("s.b")).cast("bigint")).alias("run")
-    runs = hit.join(cover, ["key", "hull"]).select("r1", "r2", "low", each).select("r1", "r2", run, F.lit(None).cast("string").alias("text"), F.lit(None).cast(rows.schema["payload"].dataType).alias("payload"))
+    runs = _meet(hit, cover).select("r1", "r2", "low", each).select("r1", "r2", run, F.lit(None).cast("string").alias("text"), F.lit(None).cast(rows.schema["payload"].dataType).alias("payload"))
     texts = rows.select("r1", "r2", F.lit(-1).cast("bigint").alias("run"), F.coalesce("text", F.lit("")).alias("text"), "payload")
     both = runs.unionByName(texts).repartition("r1", "r2").sortWithinPartitions("r1", "r2", F.desc("run"))
     schema = StructType([StructField("doc_id", rows.schema["payload"].dataType), *_parse("kept binary, text string, n_bytes bigint, spans array<struct<a: bigint, b: bigint>>")])
