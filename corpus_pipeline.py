@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import decontaminate, jaccard, packing, suffixes
@@ -18,8 +18,8 @@ from framewise.llm import toxicity as toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; learnt from the labelled ones among them."""
-    rows = docs.select("doc_id", "text", F.struct("*").alias("all"))
-    return toxic.toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 0").select("all.*")
+    rows = docs.select("doc_id", "text", _others(docs))
+    return _whole(docs, toxic.toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 0"), "others")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the strings of 200 bytes that occur more than once; ``n_chars`` follows the text."""
-    out = suffixes.remove_repeats(docs, payload=F.struct("*"))
-    own = {"text": F.col("text"), "n_chars": F.char_length("text").cast("bigint")}
-    return out.select(*[own.get(c, F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])
+    out = suffixes.remove_repeats(docs, payload=_others(docs))
+    kept = _whole(docs, out.withColumnRenamed("doc_id", "others"), "others")
+    return kept.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else kept
+
+
+def _others(docs: DataFrame) -> Column:
+    """All columns but the text as one, so that the text travels once and no name clashes with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others")
+
+
+def _whole(docs: DataFrame, rows: DataFrame, others: str) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col(others).getField(c).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,30 +1,37 @@
 """Quality classifier by co-training.
 
 Two views of a document are fitted apart: its text (shape of its characters, words and lines) and its metadata (language,
-source, recorded length). In each round either view labels the rows of an unlabelled pool that it is surest of, good and
-bad, and hands them to the other as pseudo-labels. At the end each view is calibrated on labelled rows that it was not fitted
-on, and the calibrated views are combined by one more logistic regression, which scores every document.
+source, recorded length). In each round Spark scores all unlabelled documents by both views; the share of them that a view is
+surest of, good and bad, grows with the rounds, and the other view learns from them as pseudo-labels. At the end each view is
+calibrated on labelled rows that it was not fitted on, and the calibrated views are combined by one more logistic regression,
+which scores every document.
 
-Fit and pool are bounded samples (``fit_rows`` each); all documents are scored where they lie, without a shuffle.
+Confidence is judged over all unlabelled documents, by counts of their scores. Fits see bounded samples (``fit_rows``) of the
+labelled and of the pseudo-labelled rows; the views of the unlabelled ones are worked out once and written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import text as X
 from .fit import apply, labelled_sample, logistic, remainder, sigmoid
-
-#: Rows of the labelled sample and of the unlabelled pool, rounds, and pseudo-labels that a view gives away per round.
-FIT_ROWS, ROUNDS, GIVEN = 20000, 6, 400
-LANGS, SOURCES = 8, 16
+from .store import cut
+
+#: Rows of the samples of labelled and of pseudo-labelled rows, rounds, the part of the unlabelled rows that a view gives away
+#: more in each round, and the weight of a pseudo-label.
+FIT_ROWS, ROUNDS, GIVEN, WEIGHT = 20000, 6, 0.02, 0.5
+#: A language or source with this part of the learning rows has a column of its own (so there are at most as many).
+OWN_PART = 1 / 200
+#: Bins of scores (log odds) and the widest score.
+BINS, WIDEST = 2000, 30.0
 SIGNS = b"%$#&*"
 
 
@@ -65,21 +72,26 @@ def text_view(column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 20))
 
 
-def meta_view(lang: list, source: list, length: list) -> np.ndarray:
-    """Hashed language and source, and the recorded length; nulls are values of their own."""
-    x = np.zeros((len(lang), LANGS + SOURCES + 5))
-    for i, (a, b, c) in enumerate(zip(lang, source, length, strict=True)):
-        x[i, crc32(str(a).encode()) % LANGS] = 1
-        x[i, LANGS + crc32(str(b).encode()) % SOURCES] = 1
+def meta_view(columns: list[list[str]], lang: list, source: list, length: list) -> np.ndarray:
+    """Language and source (the values in ``columns`` by themselves, all others together), and the recorded length; nulls are
+    values of their own."""
+    place = [{v: k for k, v in enumerate(values)} for values in columns]
+    widths = [len(values) + 2 for values in columns]
+    x = np.zeros((len(lang), sum(widths) + 5))
+    rows = np.arange(len(lang))
+    for known, base, values in zip(place, (0, widths[0]), (lang, source), strict=True):
+        x[rows, [base + (len(known) if v is None else known.get(v, len(known) + 1)) for v in values]] = 1
+    for i, c in enumerate(length):
         size = np.log10(1 + max(0, c or 0))
-        x[i, LANGS + SOURCES:] = size, (size - 3) ** 2, size > 3.5, size < 2.5, c is None
+        x[i, sum(widths):] = size, (size - 3) ** 2, size > 3.5, size < 2.5, c is None
     return x
 
 
 @dataclass
 class Model:
-    """Both views' coefficients, their calibrations, and how the calibrated views are combined."""
+    """Columns of the metadata view, both views' coefficients, their calibrations, and how the calibrated views are combined."""
 
+    columns: list[list[str]]
     centre: np.ndarray
     scale: np.ndarray
     text: np.ndarray
@@ -93,57 +105,93 @@ class Model:
         return sigmoid(apply(np.stack([a, b], 1), self.combined)), sigmoid(a), sigmoid(b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN) -> Model:
-    """Fit on labelled rows, three of four for the views and the fourth for calibration."""
+def co_train(columns: list[list[str]], text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool: DataFrame, rounds: int = ROUNDS, given: float = GIVEN,
+             fit_rows: int = FIT_ROWS) -> Model:
+    """Fit on labelled rows, three of four for the views and the fourth for calibration, and on pseudo-labels from ``pool``."""
     centre, scale = text.mean(0), text.std(0) + 1e-6
-    text, pool_text = (text - centre) / scale, (pool_text - centre) / scale
+    text = (text - centre) / scale
     apart = np.arange(len(label)) % 4 == 3
     base = ~apart
-    views = [(text[base], pool_text), (meta[base], pool_meta)]
     y = label[base].astype(float)
-    extra: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)), (np.zeros(0, np.int64), np.zeros(0))]
-    free = np.ones(len(pool_text), bool)
-    weights = []
-    for r in range(rounds + 1):
-        weights = []
-        for (x, pool), (rows, marks) in zip(views, extra, strict=True):
-            weight = np.r_[np.ones(len(y)), np.full(len(rows), 0.5)]
-            weights.append(logistic(np.vstack([x, pool[rows]]), np.r_[y, marks], weight, penalty=1.0))
-        if r == rounds or not free.any():
+    weights = [logistic(v[base], y, penalty=1.0) for v in (text, meta)]
+    share = float(np.clip(y.mean(), 0.05, 0.95))
+    for r in range(1, rounds + 1):
+        sure = confident(pool, weights, centre, scale, share, given * r, fit_rows)
+        if not sure:
             break
-        share = float(np.clip(y.mean(), 0.05, 0.95))
-        for me, other in ((0, 1), (1, 0)):
-            p = sigmoid(apply(views[me][1], weights[me]))
-            order = np.flatnonzero(free)[np.argsort(p[free], kind="stable")]
-            bad, good = order[:max(1, int(given * (1 - share)))], order[-max(1, int(given * share)):]
-            # Sure ones only: as sure as 19 to 1 of the likelier class, twice the usual share of the other.
-            good, bad = good[p[good] > 0.95], bad[p[bad] < min(0.5, share / 2)]
-            free[good] = free[bad] = False
-            extra[other] = np.r_[extra[other][0], good, bad], np.r_[extra[other][1], np.ones(len(good)), np.zeros(len(bad))]
+        for k, x in enumerate((text, meta)):
+            other = sure[1 - k]
+            rows = (other[0] - centre) / scale if k == 0 else other[1]
+            marks = other[2]
+            weight = np.r_[np.ones(len(y)), np.full(len(marks), WEIGHT)]
+            weights[k] = logistic(np.vstack([x[base], rows]), np.r_[y, marks], weight, penalty=1.0)
     a, b = apply(text[apart], weights[0]), apply(meta[apart], weights[1])
     truth = label[apart].astype(float)
     calibrations = (logistic(a[:, None], truth, penalty=0.1), logistic(b[:, None], truth, penalty=0.1))
     both = np.stack([apply(a[:, None], calibrations[0]), apply(b[:, None], calibrations[1])], 1)
-    return Model(centre, scale, weights[0], weights[1], calibrations, logistic(both, truth, penalty=0.1))
+    return Model(columns, centre, scale, weights[0], weights[1], calibrations, logistic(both, truth, penalty=0.1))
+
+
+def confident(pool: DataFrame, weights: list[np.ndarray], centre: np.ndarray, scale: np.ndarray, share: float, part: float,
+              fit_rows: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For either view the (text view, metadata view, pseudo-label) of rows it is sure of: among the ``part`` of all rows of
+    ``pool`` with its highest and lowest scores, and as sure as 19 to 1 of good, twice the usual share of bad. Cuts come
+    from counts over all rows; of the rows within them the ``fit_rows`` with the least hashes are returned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, meta = (np.array(batch.column(c).to_pylist()) for c in ("text_view", "meta_view"))
+            if not len(text):
+                continue
+            a, b = (np.clip(z, -WIDEST, WIDEST - 1e-9) for z in (apply((text - centre) / scale, weights[0]), apply(meta, weights[1])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b)], names=[*batch.schema.names, "z0", "z1"])
+
+    scored = pool.mapInArrow(run, StructType([*pool.schema.fields, *StructType.fromDDL("z0 double, z1 double").fields]))
+    bins = F.explode(F.array(*[F.struct(F.lit(k).alias("view"), F.floor((F.col(f"z{k}") + WIDEST) / (2 * WIDEST) * BINS).cast("int").alias("bin")) for k in (0, 1)])).alias("e")
+    counts = np.zeros((2, BINS))
+    for v, i, n in scored.select(bins).groupBy("e.view", "e.bin").count().collect():
+        counts[v, i] = n
+    total = counts[0].sum()
+    if not total:
+        return []
+    chosen = []
+    at = lambda i: i / BINS * 2 * WIDEST - WIDEST
+    for k in (0, 1):
+        up, down, filled = np.cumsum(counts[k][::-1])[::-1], np.cumsum(counts[k]), np.flatnonzero(counts[k])
+        # As many bins as hold no more than the part; the outermost filled one in any case.
+        high = at(np.argmax(up <= max(part * share * total, counts[k][filled[-1]])))
+        low = at(np.flatnonzero(down <= max(part * (1 - share) * total, counts[k][filled[0]]))[-1] + 1)
+        odds = min(0.5, share / 2)
+        chosen.append(F.when(F.col(f"z{k}") >= max(np.log(19), high), F.lit(1)).when(F.col(f"z{k}") < min(np.log(odds / (1 - odds)), low), F.lit(0)))
+    out = []
+    marked = scored.select("h", "text_view", "meta_view", chosen[0].alias("m0"), chosen[1].alias("m1"))
+    for k in (0, 1):
+        seen = marked.where(f"m{k} is not null").orderBy("h").limit(fit_rows).select("text_view", "meta_view", f"m{k}").toArrow()
+        text, meta = (np.array(seen.column(c).to_pylist()) for c in ("text_view", "meta_view"))
+        if not len(text):
+            text, meta = np.zeros((0, len(centre))), np.zeros((0, len(weights[1]) - 1))
+        out.append((text, meta, seen.column(f"m{k}").to_numpy().astype(float)))
+    return out
 
 
-def _views(df: DataFrame) -> DataFrame:
-    """``text_view, meta_view`` as arrays behind the columns ``doc_id, label`` of a bounded sample."""
+def _views(df: DataFrame, columns: list[list[str]]) -> DataFrame:
+    """``h, label, text_view, meta_view``: both views as arrays, and a hash that tells different rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, meta = text_view(batch.column("text")), meta_view(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))],
-                                             names=["label", "text_view", "meta_view"])
+            text, meta = text_view(batch.column("text")), meta_view(columns, *(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))],
+                                             names=["h", "label", "text_view", "meta_view"])
 
-    return df.select("label", "text", "lang", "source", "n_chars").mapInArrow(run, "label int, text_view array<double>, meta_view array<double>")
+    rows = df.select(F.xxhash64("doc_id", "text").alias("h"), "label", "text", "lang", "source", "n_chars")
+    return rows.mapInArrow(run, "h bigint, label int, text_view array<double>, meta_view array<double>")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, fit_rows: int = FIT_ROWS, fold: tuple[int, int] = (4, 2)) -> DataFrame:
     """``doc_id, held_out, score, predicted, text_score, meta_score`` of every row of ``doc_id, text, lang, source, n_chars``.
 
     ``score`` is the probability that quality is 1. Rows whose crc32(doc_id as text) modulo fold[0] is fold[1] are held out:
-    they are neither learnt from nor in the pool. Null texts and metadata are scored as values of their own; rows with null
+    they are neither learnt from nor pseudo-labelled. Null texts and metadata are scored as values of their own; rows with null
     ids are scored, not learnt from; repeated rows score alike; an empty table gives no rows; without labels of both kinds
     every score is 0.5. Other columns are ignored.
     """
@@ -159,7 +207,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, fit_rows
             if model is None:
                 parts = [np.full(n, 0.5)] * 3
             else:
-                parts = model.scores(text_view(batch.column("text")), meta_view(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars"))))
+                parts = model.scores(text_view(batch.column("text")), meta_view(model.columns, *(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(p, pa.float64()) for p in parts]], names=["doc_id", "score", "text_score", "meta_score"])
 
     out = inputs.mapInArrow(run, f"doc_id {id_type}, score double, text_score double, meta_score double")
@@ -168,22 +216,23 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, fit_rows
 
 def learn(inputs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int) -> Model | None:
     sample = labelled_sample(labels, "quality", fit_rows, learnable)
-    # The pool: unlabelled rows with the least hashes, a bounded sample as well.
-    pool = (inputs.where(learnable).select("doc_id").join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").distinct()
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect())
-    id_type = inputs.schema["doc_id"].dataType.simpleString()
-    every = sample.unionByName(inputs.sparkSession.createDataFrame([(r[0], None) for r in pool], f"doc_id {id_type}, label int"))
-    seen = _views(inputs.join(F.broadcast(every), "doc_id")).toArrow()
+    rows = inputs.where(learnable)
+    total = rows.count()
+    columns = [sorted(r[0] for r in rows.where(F.col(c).isNotNull()).groupBy(c).count().where(F.col("count") >= total * OWN_PART).select(c).collect()) for c in ("lang", "source")]
+    # An id that repeats is learnt from once.
+    marked = inputs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("one")).select("doc_id", "label", "one.*")
+    seen = _views(marked, columns).toArrow()
     if not seen.num_rows:
         return None
     text = np.array(seen.column("text_view").to_pylist())
     meta = np.array(seen.column("meta_view").to_pylist())
-    label = seen.column("label").to_pandas().to_numpy(float)
-    marked = ~np.isnan(label)
-    order = np.flatnonzero(marked)[np.lexsort(text[marked].T)]
-    if len(order) < 8 or label[marked].min() == label[marked].max():
+    label = seen.column("label").to_numpy()
+    order = np.lexsort([*text.T, seen.column("h").to_numpy()])
+    if len(order) < 8 or label.min() == label.max():
         return None
-    return co_train(text[order], meta[order], label[order], text[~marked], meta[~marked])
+    known = labels.select("doc_id").where("doc_id is not null").distinct()
+    pool = cut(_views(rows.join(known, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int")), columns))
+    return co_train(columns, text[order], meta[order], label[order], pool, fit_rows=fit_rows)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

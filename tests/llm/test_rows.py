@@ -180,6 +180,20 @@ def test_quality_held_out(spark):
     assert (held.predicted == held.quality).mean() > 0.95
 
 
+def test_cuts_come_from_all_unlabelled_rows(spark, monkeypatch):
+    """Sure rows are a part of the pool of any size, and those returned are a bounded sample of them."""
+    centre, scale = np.zeros(20), np.ones(20)
+    weights = [np.r_[10.0, np.zeros(20)], np.r_[np.zeros(3), 0.0]]
+    for n in (400, 4000):
+        rows = spark.range(n).selectExpr("xxhash64(id) h", "cast(null as int) label", f"transform(sequence(0, 19), k -> if(k = 0, (id - {n} / 2) / {n} * 4, 0D)) text_view", "array(1D, 0D, 0D) meta_view")
+        text, meta = quality.confident(rows, weights, centre, scale, 0.5, 0.2, 10**6)
+        assert abs(text[2].sum() - 0.1 * n) <= 0.02 * n and abs((1 - text[2]).sum() - 0.1 * n) <= 0.02 * n and not len(meta[2])
+        assert len(quality.confident(rows, weights, centre, scale, 0.5, 0.2, 7)[0][2]) == 7
+    assert quality.confident(rows.limit(0), weights, centre, scale, 0.5, 0.2, 9) == []
+    x = quality.meta_view([["a", "b"], ["s"]], ["a", None, "z"], ["s", "t", None], [10, None, 0])
+    assert [np.flatnonzero(r[:7]).tolist() for r in x] == [[0, 4], [2, 6], [3, 5]]
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(8).round(1).tolist()) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 420)]
