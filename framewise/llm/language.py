@@ -9,7 +9,7 @@ rest of a class is one more member, inside which words follow their smoothed tra
 How many words have vectors grows with the corpus: all that have ``FEW`` occurrences and a ``2**-OWN_BITS`` part of the tokens,
 so that the model stays within ``2**OWN_BITS`` vectors. Counts cover all learning texts; those of rarer words are joined.
 
-Training is synchronous. Texts are dealt by their hash into shards of about ``SHARD`` tokens, in an order of their own, once
+Training is synchronous. Texts are dealt by a hash of their rows into shards of about ``SHARD`` tokens, in an order of their own, once
 and as numbers. In each round every shard starts from the common parameters and makes its noise-contrastive steps in numpy;
 Spark averages the changes, each vector's by how often the shards saw it. Updates grow with the tokens, and neither shards nor
 results depend on how the table is cut.
@@ -37,7 +37,7 @@ FEW, OWN_BITS = 20, 18
 #: Words whose counts tasks hold (2**20 * 20 bytes at most); the others' are joined.
 HELD = 1 << 20
 #: Tokens of a step and of a shard, noise classes of a step, noise words of a token, step size, synchronised rounds.
-STEP, SHARD, NOISE, OTHERS, RATE, ROUNDS = 8192, 1 << 21, 32, 6, 0.1, 4
+STEP, SHARD, NOISE, OTHERS, RATE, ROUNDS = 4096, 1 << 21, 32, 3, 0.15, 3
 #: The closing token's name among word hashes, and the context before a text.
 END, BEFORE = np.uint64(0x656E64), OWN + SHARED
 
@@ -299,7 +299,7 @@ def sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def encode(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``shard, place, codes`` of all texts, one row per text, sorted within shards by a hash of the text."""
+    """``shard, place, codes`` of all rows of ``text, place``, sorted within shards by ``place``."""
     shards = max(1, -(-vocab.tokens // SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,13 +309,13 @@ def encode(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
                 bounds = X.runs(owner, rows.stop - rows.start).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(1)[rows], pa.ListArray.from_arrays(pa.array(bounds), pa.array(codes.astype(np.int32)))], names=["place", "codes"])
 
-    rows = texts.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("place")).mapInArrow(run, "place bigint, codes array<int>")
+    rows = texts.select("text", "place").mapInArrow(run, "place bigint, codes array<int>")
     shard = F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int")
     return rows.select(shard.alias("shard"), "place", "codes").repartition(shards, "shard").sortWithinPartitions("shard", "place")
 
 
 def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
-    """Synchronised rounds over the shards, each over every other text: two passes in four rounds."""
+    """Synchronised rounds over the shards; every text takes part in one of them."""
     model, frequency, inside = LogBilinear.start(vocab)
     names = [f"v{k}" for k in range(WIDTH + 1)]
 
@@ -349,12 +349,12 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> LogBil
                         if trainer is not None:
                             yield from flush()
                         shard, held, at = int(shards[i]), [], 0
-                        trainer = Trainer(model, vocab, frequency, inside, RATE / (1 + r), 11 + shard * rounds + r)
+                        trainer = Trainer(model, vocab, frequency, inside, RATE / (1 + r) ** 0.5, 11 + shard * rounds + r)
                         size = 0
-                    if at % 2 == r % 2:
+                    if at % rounds == r:
                         held.append(flat[bounds[i]:bounds[i + 1]].astype(np.int64))
                         size += len(held[-1])
-                        if size >= 8 * STEP:
+                        if size >= 16 * STEP:
                             work(np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]))
                             held, size = [], 0
                     at += 1
@@ -385,7 +385,10 @@ def score_texts(docs: DataFrame, learnable: Column, rounds: int = ROUNDS) -> Dat
     """
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     names = [n for n in docs.columns if n not in ("text", *results)]
-    learning = docs.where(F.coalesce(learnable, F.lit(False))).select(F.col("text").cast("string").alias("text"))
+    # Shards are dealt by a hash of the row, so that copies of a text under different ids are spread.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    text = F.col("text").cast("string")
+    learning = docs.where(F.coalesce(learnable, F.lit(False))).select(text.alias("text"), F.xxhash64(text, *hashed).alias("place"))
     counted = cut(count_words(learning))
     vocab = vocabulary(counted)
     model = train(cut(encode(learning, vocab)), vocab, rounds) if vocab.tokens else LogBilinear.start(vocab)[0]
