@@ -136,13 +136,13 @@ def confident(pool: DataFrame, weights: list[np.ndarray], centre: np.ndarray, sc
               fit_rows: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For either view the (text view, metadata view, pseudo-label) of rows it is sure of: among the ``part`` of all rows of
     ``pool`` with its highest and lowest scores, and as sure as 19 to 1 of good, twice the usual share of bad. Cuts come
-    from counts over all rows; of the rows within them the ``fit_rows`` with the least hashes are returned."""
+    from counts over all rows; of the rows within them about ``fit_rows`` with the least hashes are returned, never more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, meta = (np.array(batch.column(c).to_pylist()) for c in ("text_view", "meta_view"))
-            if not len(text):
+            if not batch.num_rows:
                 continue
+            text, meta = (_matrix(batch.column(c), batch.num_rows) for c in ("text_view", "meta_view"))
             a, b = (np.clip(z, -WIDEST, WIDEST - 1e-9) for z in (apply((text - centre) / scale, weights[0]), apply(meta, weights[1])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a), pa.array(b)], names=[*batch.schema.names, "z0", "z1"])
 
@@ -154,26 +154,34 @@ def confident(pool: DataFrame, weights: list[np.ndarray], centre: np.ndarray, sc
     total = counts[0].sum()
     if not total:
         return []
-    chosen = []
+    chosen, near = [], []
     at = lambda i: i / BINS * 2 * WIDEST - WIDEST
     for k in (0, 1):
         up, down, filled = np.cumsum(counts[k][::-1])[::-1], np.cumsum(counts[k]), np.flatnonzero(counts[k])
         # As many bins as hold no more than the part; the outermost filled one in any case.
-        high = at(np.argmax(up <= max(part * share * total, counts[k][filled[-1]])))
-        low = at(np.flatnonzero(down <= max(part * (1 - share) * total, counts[k][filled[0]]))[-1] + 1)
+        first = int(np.argmax(up <= max(part * share * total, counts[k][filled[-1]])))
+        last = int(np.flatnonzero(down <= max(part * (1 - share) * total, counts[k][filled[0]]))[-1])
         odds = min(0.5, share / 2)
-        chosen.append(F.when(F.col(f"z{k}") >= max(np.log(19), high), F.lit(1)).when(F.col(f"z{k}") < min(np.log(odds / (1 - odds)), low), F.lit(0)))
+        chosen.append(F.when(F.col(f"z{k}") >= max(np.log(19), at(first)), F.lit(1)).when(F.col(f"z{k}") < min(np.log(odds / (1 - odds)), at(last + 1)), F.lit(0)))
+        # Of so many rows at most, those with hashes below a bound are about ``fit_rows``: nothing needs to be ordered.
+        near.append(F.expr("shiftrightunsigned(h, 11)") / float(1 << 53) <= float(min(1.0, fit_rows / max(1.0, up[first] + down[last]))))
+    marked = scored.select("h", "text_view", "meta_view", *[F.when(near[k], chosen[k]).alias(f"m{k}") for k in (0, 1)])
+    seen = marked.where("m0 is not null or m1 is not null").toArrow()
+    order = np.argsort(seen.column("h").to_numpy().view(np.uint64), kind="stable")
+    text, meta = _matrix(seen.column("text_view").combine_chunks(), len(order), len(centre))[order], _matrix(seen.column("meta_view").combine_chunks(), len(order), len(weights[1]) - 1)[order]
     out = []
-    marked = scored.select("h", "text_view", "meta_view", chosen[0].alias("m0"), chosen[1].alias("m1"))
     for k in (0, 1):
-        seen = marked.where(f"m{k} is not null").orderBy("h").limit(fit_rows).select("text_view", "meta_view", f"m{k}").toArrow()
-        text, meta = (np.array(seen.column(c).to_pylist()) for c in ("text_view", "meta_view"))
-        if not len(text):
-            text, meta = np.zeros((0, len(centre))), np.zeros((0, len(weights[1]) - 1))
-        out.append((text, meta, seen.column(f"m{k}").to_numpy().astype(float)))
+        marks = seen.column(f"m{k}").to_pandas().to_numpy(float)[order]
+        mine = np.flatnonzero(~np.isnan(marks))[:fit_rows]
+        out.append((text[mine], meta[mine], marks[mine]))
     return out
 
 
+def _matrix(lists: pa.Array, n: int, width: int | None = None) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(n, (width or 1) if n == 0 else -1) if n else np.zeros((0, width or 0))
+
+
 def _views(df: DataFrame, columns: list[list[str]]) -> DataFrame:
     """``h, label, text_view, meta_view``: both views as arrays, and a hash that tells different rows apart."""
 
