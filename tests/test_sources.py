@@ -43,6 +43,49 @@ def test_headers(spark, folder):
     assert rows["d.fits"]["issues"][0]["code"] == "unreadable"
 
 
+def test_rules_of_headers(spark, tmp_path):
+    grid = np.zeros((2, 2))
+    cases = {
+        "range": ([("PSTMIN", -12.0), ("PSTMAX", -8.0), ("CCD-TEMP", -10.0)], set()),
+        "outside": ([("PSTMIN", -12.0), ("PSTMAX", -8.0), ("CCD-TEMP", 1.0)], {("sensorTemperature", "invalid")}),
+        "unit": ([("CCD-TEMP", 280.0), ("TEMPUNIT", "K")], {("sensorTemperature", "invalid"), ("sensorTemperature", "unsupported")}),
+        "bias": ([("PSBIAS", "perhaps"), ("PSCOLOR", "log")], {("biasState", "invalid"), ("domain", "unsupported")}),
+        "offset": ([("BAYERPAT", "RGGB"), ("XBAYROFF", "x"), ("YBAYROFF", 3)], {("sampling", "invalid")}),
+        "layout": ([("PSLAYOUT", "stripes")], {("sampling", "unsupported")}),
+        "mono": ([("PSLAYOUT", "mono"), ("XBINNING", 1.5), ("FILTER", 7)], {("binX", "invalid"), ("filter", "invalid")}),
+        "twice": ([("BZERO", 1.0), ("BZERO", 1.0)], {("BZERO", "duplicate"), ("zero", "invalid")}),
+    }
+    for name, (entries, _) in cases.items():
+        write(tmp_path, f"{name}.fits", encode.image(grid, entries))
+    write(tmp_path, "text.fits", b"no image at all" * 1000)
+    rows = {r["path"].rsplit("/", 1)[1][:-5]: r for r in fits.read_frame_headers(spark, f"{tmp_path}/*.fits").collect()}
+    for name, (_, want) in cases.items():
+        assert {(i["field"], i["code"]) for i in rows[name]["issues"]} == want, name
+    assert rows["offset"]["text"]["sampling"] == "CFA:GBRG" and rows["mono"]["text"]["sampling"] == "mono"
+    assert rows["mono"]["keys"]["sampling"] == ["PSLAYOUT"] and "sensorTemperature" not in rows["unit"]["numeric"]
+    empty = fits.decode_headers(spark.createDataFrame([("e", b""), ("f", None)], "path string, content binary").where("path = 'e'")).first()
+    for row in (rows["text"], empty):
+        assert [i["code"] for i in row["issues"]] == ["unreadable"] and row["text"] == {} and row["width"] is None
+
+
+def test_large_file_by_ranges(spark, tmp_path):
+    """A sparse file of 1 GB: headers come from its first blocks, samples from ranges that several tasks read."""
+    head = encode.header([("SIMPLE", True), ("BITPIX", 16), ("NAXIS", 3), ("NAXIS1", 16384), ("NAXIS2", 8192), ("NAXIS3", 4)])
+    with open(tmp_path / "big.fits", "wb") as out:
+        out.write(head)
+        out.truncate(len(head) + 16384 * 8192 * 4 * 2)
+    listed = fits.listed(spark, f"{tmp_path}/*.fits")
+    scanned = fits.scan(listed).first()
+    assert scanned["header_bytes"] <= 1 << 20 and scanned["content"] is None
+    row = fits.read_frame_headers(spark, f"{tmp_path}/*.fits").first()
+    assert (row["width"], row["height"], row["channels"], row["issues"]) == (16384, 8192, 4, [])
+    rng = fits.RANGE
+    row = type("Row", (), {"path": str(tmp_path / "big.fits"), "bitpix": 16, "data_at": len(head), "channel": 3, "plane": 16384 * 8192,
+                           "first": 16384 * 8192 - rng, "width": 16384, "scale": 1.0, "zero": 2.0, "blank": None})
+    parts = list(fits.sample_batches(fits.at_offset(row.path), row))
+    assert sum(map(len, parts)) == rng and parts[-1]["y"].iloc[-1] == 8191 and set(parts[0]["value"]) == {2.0}
+
+
 def test_samples(spark, folder):
     rows = fits.read_frame_samples(spark, f"{folder}/a.fits").collect()
     assert len(rows) == 12
