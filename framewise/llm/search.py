@@ -20,10 +20,12 @@ from pyspark.sql import Window
 
 from .store import cut
 
-#: Rows of the sample, pivots, rows of a data block and of a query block, and rows expanded at a time.
-#: Score of what takes no part (its negative is a 64-bit integer too).
+#: Score of what takes no part (its negative is a 64-bit integer too), and the largest score that is told apart.
 NONE = -(2**63 - 1)
-SAMPLE, PIVOTS, DATA, QUERY, STEP = 2048, 16, 16384, 1024, 512
+MOST = 2**63 - 2
+#: Rows of the sample, pivots, rows of a data block and of a query block, and rows expanded at a time. A data block is sent
+#: once per query block that may reach it, so query blocks are large.
+SAMPLE, PIVOTS, DATA, QUERY, STEP = 2048, 16, 16384, 8192, 512
 
 
 def integer_vectors(df: DataFrame, scale: int = 64) -> DataFrame:
@@ -46,10 +48,23 @@ def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products as integers: floats while they are exact, else 64-bit integers."""
-    if a.size and b.size and a.shape[1] * np.abs(a).max() * np.abs(b).max() >= 2**53:
-        return a.astype(np.int64) @ b.astype(np.int64).T
-    return (a @ b.T).astype(np.int64)
+    """Inner products as integers: floats while they are exact, else 64-bit integers; pairs that may pass 64 bits are
+    computed without bounds, one by one, and cut to ``MOST`` on either side."""
+    if not a.size or not b.size:
+        return np.zeros((len(a), len(b)), np.int64)
+    size_a, size_b = np.abs(a).max(1), np.abs(b).max(1)
+    bound = a.shape[1] * size_a.max() * size_b.max()
+    if bound < 2**53:
+        return (a @ b.T).astype(np.int64)
+    whole = lambda x: np.clip(x, -(2.0**62), 2.0**62).astype(np.int64)
+    out = whole(a) @ whole(b).T
+    if bound >= 2**62:
+        large = a.shape[1] * size_a[:, None] * size_b[None] >= 2**62
+        for j in np.flatnonzero(large.any(0)):
+            vector = [int(v) for v in b[j]]
+            for i in np.flatnonzero(large[:, j]):
+                out[i, j] = max(-MOST, min(MOST, sum(int(u) * v for u, v in zip(a[i], vector, strict=True))))
+    return out
 
 
 def lifted(x: np.ndarray, largest: float) -> np.ndarray:
@@ -91,12 +106,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, n_piv
     """``query_id, rank, vec_id, score``: for each row of ``vec_id, v`` (integers) that ``is_query`` holds for, the k other
     rows with the largest inner products, ties to the smaller vec_id; all of them where there are fewer than k.
 
-    ``vec_id`` is taken as unique; rows without one take no part. Rows that are repeated under other ids are rows of
-    their own. Vectors of unequal length are compared as if the shorter went on with zeros. An empty table gives no rows.
+    A ``vec_id`` names one vector: where rows share an id, the one whose vector sorts first (as Spark sorts arrays) stands
+    for it and the others take no part, so exact repeats count once. Rows without an id take no part; vectors repeated
+    under other ids are rows of their own. Vectors of unequal length are compared as if the shorter went on with zeros.
+    Components are 64-bit integers (larger ones are the largest), scores too: those beyond ``MOST`` count as ``MOST``,
+    ties to the smaller vec_id. An empty table gives no rows.
     Blocks hold about ``data_rows`` rows: a pivot with more, for example because one vector is a third of the table, is
     dealt into several by a hash of the id.
     """
-    vectors = cut(vectors.where("vec_id is not null"))
+    vectors = cut(vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")))
     dims, largest = vectors.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))).first()
     if dims is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
@@ -164,9 +182,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, sample: int = SAMPLE, n_piv
 
 
 def radius(q: np.ndarray, least: np.ndarray, largest: float) -> np.ndarray:
-    """Farthest distance at which a score of ``least`` is still possible, a little widened for rounding."""
+    """Farthest distance at which a score of ``least`` is still possible, widened by what rounding may do to squares of
+    the largest norm; without bound while ``least`` stands for everything below it."""
     square = np.einsum("ij,ij->i", q, q) + largest - 2 * least.astype(float)
-    return np.sqrt(np.maximum(square, 0)) * (1 + 1e-9) + 1e-6
+    reach = np.sqrt(np.maximum(square, 0)) * (1 + 1e-9) + 1e-6 + 2.0**-24 * np.sqrt(largest)
+    return np.where(least <= -MOST, np.inf, reach)
 
 
 def expand(q, qid, dq, least, x, r, ids, k, largest):

@@ -194,6 +194,26 @@ def test_cuts_come_from_all_unlabelled_rows(spark, monkeypatch):
     assert [np.flatnonzero(r[:7]).tolist() for r in x] == [[0, 4], [2, 6], [3, 5]]
 
 
+def test_search_with_repeated_ids_ties_and_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(v) for v in rng.integers(-3, 4, 4)]) for i in range(60)]
+    rows += [rows[0], rows[1], rows[2], rows[20], (20, [9, 9, 9, 9]), (None, [1, 1, 1, 1]), (60, [2**62, 0, 0, 0]), (61, [2**62, 2**62, 0, 0]), (62, [-(2**62), 3, 0, 0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>")
+    one = {}
+    for i, v in rows:
+        if i is not None:
+            one[i] = min(v, one.get(i, v))
+    most = search.MOST
+    for query in (True, False):
+        found = search.top_k(frame, "vec_id % 20 = 0" if query else "vec_id > 57", k=7, sample=16, n_pivots=3, data_rows=9, query_rows=2)
+        got = collections.defaultdict(list)
+        for r in found.orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        want = {q: sorted(((i, max(-most, min(most, sum(a * b for a, b in zip(one[q], v))))) for i, v in one.items() if i != q), key=lambda p: (-p[1], p[0]))[:7]
+                for q in one if (q % 20 == 0 if query else q > 57)}
+        assert dict(got) == want
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(8).round(1).tolist()) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 420)]
