@@ -109,8 +109,9 @@ def recurrent_trails(trails: DataFrame, threshold: int, min_weight: float = 0.0,
     # Frames are bits of numbered words, so that those met are or-ed where they are found.
     number = F.col("frame_id").cast("bigint")
     if not isinstance(trails.schema["frame_id"].dataType, IntegralType):
-        every = Window.orderBy("frame_id")
-        trails = trails.join(trails.select("frame_id").distinct().withColumn("_frame", F.row_number().over(every).cast("bigint")), "frame_id")
+        # Any distinct numbers do; written once, since they depend on the partitions.
+        frames = cut_lineage(trails.select("frame_id").distinct().withColumn("_frame", F.monotonically_increasing_id()))
+        trails = trails.join(frames, "frame_id")
         number = F.col("_frame")
     angle = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
     base = trails.withColumns({"shape_id": F.xxhash64(*shape), "_word": F.floor(number / 64), "_bit": F.pmod(number, F.lit(64)).cast("int")})

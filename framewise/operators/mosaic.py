@@ -3,6 +3,8 @@ extraction, frequency-domain coaddition and fold patterns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,11 +268,14 @@ def extract_two_lines(df: DataFrame, mode: str, pattern: str = "RGGB", width: in
 
 # --- seams and exposure ----------------------------------------------------------------------
 
-def seam_pairs(placed: DataFrame, cells: int = 4, grid: int = 48) -> DataFrame:
+def seam_pairs(placed: DataFrame, cells: int = 4, grid: int = 48, sample: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """For every two overlapping panels, 3x3 patch medians of both on a grid over their common rectangle.
 
     ``placed``: ``frame_id x y channel value`` plus ``after`` (corrected value). Panels meet by an equi-join on the
-    pixel; the patch of a grid pixel is gathered by sending each overlap pixel to the grid pixels next to it."""
+    pixel; the patch of a grid pixel is gathered by sending each overlap pixel to the grid pixels next to it.
+
+    J3: ``sample`` is the caller's own sampler: it turns ``placed`` into the samples to compare, of the same columns."""
+    placed = placed if sample is None else sample(placed)
     require_columns(placed, ["frame_id", *PIXEL, "value", "after"], "placed")
     side = lambda n: placed.select(F.col("frame_id").alias(n), *PIXEL, F.col("value").alias(f"{n}_before"), F.col("after").alias(f"{n}_after"))
     both = side("first").join(side("second"), PIXEL).where(F.col("first") < F.col("second"))
@@ -280,9 +285,6 @@ def seam_pairs(placed: DataFrame, cells: int = 4, grid: int = 48) -> DataFrame:
     both = both.join(box, pair)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     nx, ny = F.least(F.lit(grid), w), F.least(F.lit(grid), h)
-    near = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("gx"), (F.col("y") + dy).alias("gy"))
-                               for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    sent = both.withColumn("_g", near)
 
     def on_grid(at: Column, start: Column, length: Column, n: Column) -> Column:
         """``at - start`` equals floor((i + .5) * length / n) for some i."""
@@ -290,7 +292,10 @@ def seam_pairs(placed: DataFrame, cells: int = 4, grid: int = 48) -> DataFrame:
         i = F.ceil((off * n / length) - 0.5)
         return (off >= 0) & (off < length) & (F.floor((i + 0.5) * length / n) == off)
 
-    sent = sent.where(on_grid(F.col("_g.gx"), F.col("x0"), w, nx) & on_grid(F.col("_g.gy"), F.col("y0"), h, ny))
+    # Grid columns and rows beside a pixel are picked before rows multiply.
+    beside = lambda c, start, length, n: F.explode(F.filter(F.array(*[F.col(c) + d for d in (-1, 0, 1)]), lambda g: on_grid(g, F.col(start), length, n)))
+    sent = both.withColumn("_gx", beside("x", "x0", w, nx)).withColumn("_gy", beside("y", "y0", h, ny))
+    sent = sent.withColumn("_g", F.struct(F.col("_gx").alias("gx"), F.col("_gy").alias("gy")))
     spot = [*pair, "channel", "gx", "gy"]
     sent = sent.select(*pair, "channel", F.col("_g.gx").alias("gx"), F.col("_g.gy").alias("gy"), "x0", "y0", w.alias("w"), h.alias("h"),
                        "first_before", "second_before", "first_after", "second_after")

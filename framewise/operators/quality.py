@@ -139,18 +139,22 @@ def point_residuals(grid: DataFrame, stats: DataFrame, median_noise: float | Non
 
     rows = per_key(rows, cell, body)
     n, x = F.col("_count"), F.col("_x")
-    low, mid, high = F.col("_m0"), F.col("_m1"), F.col("_m2")
-    # Removing x leaves n-1 values. n odd (even peers): middle pair; n even (odd peers): one value.
-    even_peers = F.when(x < mid, (mid + high) / 2).when(x > mid, (low + mid) / 2).otherwise((low + high) / 2)
-    odd_peers = F.when(x <= low, mid).otherwise(low)
-    peer = F.when(n % 2 == 1, even_peers).otherwise(odd_peers)
-    rows = rows.withColumn("_peer", peer)
+    rows = rows.withColumn("_peer", peer_median())
     floor = F.hypot(F.col("noise"), F.lit(float(median_noise)) / F.sqrt(n - 1))
     threshold = (F.greatest(F.col("_mad") * MAD, floor, F.lit(1e-6)) * o.residual_sigma
                  + F.abs("_peer") * o.signal_tolerance)
     return rows.select("frame_id", *cell, (x - F.col("_peer")).alias("residual"), threshold.alias("threshold"))
 
 
+def peer_median() -> Column:
+    """Median of a key's other values, from what :func:`order_around_middle` adds, ``_count`` and ``_x``."""
+    low, mid, high, x = F.col("_m0"), F.col("_m1"), F.col("_m2"), F.col("_x")
+    # Removing x leaves n-1 values. n odd (even peers): middle pair; n even (odd peers): one value.
+    even_peers = F.when(x < mid, (mid + high) / 2).when(x > mid, (low + mid) / 2).otherwise((low + high) / 2)
+    odd_peers = F.when(x <= low, mid).otherwise(low)
+    return F.when(F.col("_count") % 2 == 1, even_peers).otherwise(odd_peers)
+
+
 def order_around_middle(part: DataFrame, group) -> DataFrame:
     """Order statistics ``_m0 _m1 _m2`` around the middle: for odd n the elements (n-3)/2, (n-1)/2, (n+1)/2;
     for even n the pair n/2 - 1, n/2 (as ``_m0``, ``_m1``)."""

@@ -45,6 +45,11 @@ def placed(s, sf):
     return p.withColumn("after", F.col("value") + F.col("frame_id") * 0.01)
 
 
+def sampled(p):
+    """A caller's sampler for J3: half the value on a slope along x."""
+    return p.withColumns({c: F.col(c) * 0.5 + F.col("x") * 0.25 for c in ("value", "after")})
+
+
 def corrections(s, sf):
     order = [int(r["frame_id"]) for r in panel_shifts(s, sf).select("frame_id").orderBy("frame_id").collect()]
     p = panels(s, sf).withColumn("x", F.col("x") + (F.col("frame_id") * 4).cast("int"))
@@ -124,6 +129,7 @@ QUERIES = {
     "D41_cell_average": lambda s, sf: rounded(m.extract_two_lines(bayer(s, sf), "cell-average")),
     "D41_red_grid": lambda s, sf: rounded(m.extract_two_lines(bayer(s, sf), "red-grid")),
     "C13_seam_pairs": lambda s, sf: rounded(m.seam_pairs(placed(s, sf))),
+    "J3_sampled_seams": lambda s, sf: rounded(m.seam_pairs(placed(s, sf), sample=sampled)),
     "D29_seam_statistics": lambda s, sf: rounded(m.seam_statistics(
         m.with_totals(m.seam_pairs(placed(s, sf))), ["first", "second", "channel", "cell"], "first_after", "second_after")),
     "C14_exposure_corrections": lambda s, sf: rounded(corrections(s, sf)),
@@ -150,6 +156,8 @@ SEAMS = f"""pl AS (SELECT * REPLACE (CAST(x + frame_id*4 AS INT) AS x), value +
     FROM ov g JOIN ov o ON o.f=g.f AND o.s=g.s AND o.channel=g.channel AND abs(o.x-g.x)<=1 AND abs(o.y-g.y)<=1 GROUP BY ALL HAVING count(*) = 9),
   pc AS (SELECT pt.*, CAST(least(3, (gy-y0)*4//h)*4 + least(3, (gx-x0)*4//w) AS INT) AS cell FROM pt JOIN bx USING (f, s))"""
 
+SAMPLED = SEAMS.replace("  ov AS", "  ps AS (SELECT * REPLACE (value*0.5 + x*0.25 AS value, after*0.5 + x*0.25 AS after) FROM pl),\n  ov AS").replace("FROM pl a JOIN pl b", "FROM ps a JOIN ps b")
+
 
 def exposure_sql() -> str:
     """Panels 0..9 corrected in order, one CTE per panel."""
@@ -197,6 +205,7 @@ ORACLES = {
       SELECT frame_id, x, y, CAST(0 AS INT) AS channel, {sr('l0', 'value')}, CAST(CASE WHEN l0 IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS coverage FROM c UNION ALL
       SELECT frame_id, x, y, CAST(1 AS INT), {sr('l1', 'value')}, CAST(CASE WHEN l1 IS NULL THEN 0 ELSE 1 END AS DOUBLE) FROM c""",
     "C13_seam_pairs": f"""WITH {SEAMS} SELECT f AS first, s AS second, channel, gx, gy, cell, {sr('fb', 'first_before')}, {sr('sb', 'second_before')}, {sr('fa', 'first_after')}, {sr('sa', 'second_after')} FROM pc""",
+    "J3_sampled_seams": f"""WITH {SAMPLED} SELECT f AS first, s AS second, channel, gx, gy, cell, {sr('fb', 'first_before')}, {sr('sb', 'second_before')}, {sr('fa', 'first_after')}, {sr('sa', 'second_after')} FROM pc""",
     "D29_seam_statistics": f"""WITH {SEAMS}, z AS (SELECT f, s, channel, cell, fa, sa FROM pc UNION ALL SELECT f, s, channel, -1, fa, sa FROM pc),
       d AS (SELECT *, sa-fa AS d, list_sort(list(sa-fa) OVER w)[CAST(count(*) OVER w//2 AS BIGINT)+1] AS md FROM z WINDOW w AS (PARTITION BY f, s, channel, cell))
       SELECT f AS first, s AS second, channel, cell, count(*) AS samples, {sr('sqrt(avg(d*d))', 'rms')}, {sr('list_sort(list(fa))[CAST(count(*)//2 AS BIGINT)+1]', 'first_median')},

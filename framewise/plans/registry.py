@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["stacking", "colour", "calibration", "screening", "sky_background", "placing", "matching", "measuring", "records", "pieces"]
+MODULES = ["stacking", "colour", "calibration", "screening", "sky_background", "placing", "matching", "measuring", "records", "pieces", "sequences"]
 
 
 def queries() -> dict:

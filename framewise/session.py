@@ -36,9 +36,11 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is named (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in a local session that names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="framewise-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
