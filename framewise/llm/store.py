@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,12 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in ``spark.checkpoint.dir``; a folder of our own only where none is named."""
+    """Cut the lineage by a checkpoint in ``spark.checkpoint.dir``; a folder of our own only in a local session that names none."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewise-llm-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
