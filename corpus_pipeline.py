@@ -6,7 +6,6 @@ Parquet in the shared folder and reads it again, so a lost executor costs a stag
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from framewise.llm import decontaminate, jaccard, packing, suffixes
 from framewise.llm import toxicity as toxic
+from framewise.session import shared_dir
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the ``documents`` table to the packed pieces."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='framewise-pipeline-')}/pipeline-{uuid4().hex}"
+    folder = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
