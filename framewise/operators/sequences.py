@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import require
 from .quality import order_around_middle, peer_median
-from .stats import SPLITS, hot_keys, join_keys, per_key, row_numbers
+from .stats import Hot, heavy_part, per_key, put_back, row_numbers, value_ranges
 
 
 def hold_out(df: DataFrame, keys: list[str], order: list[Column], lead: Column, every: int = 5) -> DataFrame:
@@ -28,46 +28,29 @@ def folds(df: DataFrame, keys: list[str], order: list[Column], lead: Column, n:
     return rows.withColumn("fold", ((F.col("_row") - 1) % n).cast("int")).drop("_row")
 
 
-def _ranges(df: DataFrame, keys: list[str], lead: Column) -> DataFrame:
-    """Adds ``_b``, the value range of a heavy key's row. One row per heavy key is broadcast."""
-    rows = df.withColumn("_lead", lead)
-    cuts = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    splits = rows.groupBy(*keys).agg(F.percentile_approx("_lead", cuts, SPLITS * 8).alias("_splits"))
-    rows = join_keys(rows, F.broadcast(splits), keys)
-    return rows.withColumn("_b", F.coalesce(F.size(F.filter("_splits", lambda s: s < F.col("_lead"))), F.lit(-1))).drop("_splits", "_lead")
-
-
-def _split(df: DataFrame, keys: list[str], hot: list[int] | None) -> tuple[DataFrame, DataFrame | None]:
-    hot = hot_keys(df, keys) if hot is None else hot
-    if not hot:
-        return df, None
-    heavy = F.xxhash64(*keys).isin(hot)
-    return df.where(~heavy), df.where(heavy)
-
-
-def running_weight(df: DataFrame, keys: list[str], order: list[Column], lead: Column, weight: str, hot: list[int] | None = None) -> DataFrame:
+def running_weight(df: DataFrame, keys: list[str], order: list[Column], lead: Column, weight: str, hot: list | Hot | None = None) -> DataFrame:
     """Adds ``running``, the weight of a key's rows up to this one; NULL weights count as 0. ``order`` has to be total."""
-    light, heavy = _split(df, keys, hot)
+    light, heavy, small = heavy_part(df, keys, hot)
     w = F.coalesce(F.col(weight), F.lit(0)).cast("double")
     upto = lambda *part: Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = light.withColumn("running", F.sum(w).over(upto(*keys)))
     if heavy is None:
         return out
-    rows = _ranges(heavy, keys, lead)
+    rows = value_ranges(heavy, keys, lead, small)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, "_b").agg(F.sum(w).alias("_w")).withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0.0))).drop("_w")
-    rows = join_keys(rows.withColumn("running", F.sum(w).over(upto(*keys, "_b"))), F.broadcast(sums), [*keys, "_b"])
+    rows = put_back(rows.withColumn("running", F.sum(w).over(upto(*keys, "_b"))), sums, [*keys, "_b"], small)
     return out.unionByName(rows.withColumn("running", F.col("running") + F.col("_before")).drop("_b", "_before"))
 
 
-def neighbour_values(df: DataFrame, keys: list[str], order: list[Column], lead: Column, value: str, hot: list[int] | None = None) -> DataFrame:
+def neighbour_values(df: DataFrame, keys: list[str], order: list[Column], lead: Column, value: str, hot: list | Hot | None = None) -> DataFrame:
     """E5: adds ``previous`` and ``next``, the values of the rows beside this one (NULL at the ends). ``order`` has to be total."""
-    light, heavy = _split(df, keys, hot)
+    light, heavy, small = heavy_part(df, keys, hot)
     along = Window.partitionBy(*keys).orderBy(*order)
     out = light.withColumns({"previous": F.lag(value).over(along), "next": F.lead(value).over(along)})
     if heavy is None:
         return out
-    rows = _ranges(heavy, keys, lead)
+    rows = value_ranges(heavy, keys, lead, small)
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     whole = Window.partitionBy(*keys, "_b")
     rows = rows.withColumns({"previous": F.lag(value).over(inside), "next": F.lead(value).over(inside), "_row": F.row_number().over(inside),
@@ -77,13 +60,13 @@ def neighbour_values(df: DataFrame, keys: list[str], order: list[Column], lead:
     edges = rows.groupBy(*keys, "_b").agg(F.max(F.when(F.col("_row") == 1, F.col(value))).alias("_first"),
                                           F.max(F.when(F.col("_row") == F.col("_last"), F.col(value))).alias("_end"))
     edges = edges.withColumns({"_before": F.lag("_end").over(beside), "_after": F.lead("_first").over(beside)}).drop("_first", "_end")
-    rows = join_keys(rows, F.broadcast(edges), [*keys, "_b"])
+    rows = put_back(rows, edges, [*keys, "_b"], small)
     rows = rows.withColumns({"previous": F.when(F.col("_row") == 1, F.col("_before")).otherwise(F.col("previous")),
                              "next": F.when(F.col("_row") == F.col("_last"), F.col("_after")).otherwise(F.col("next"))})
     return out.unionByName(rows.drop("_b", "_row", "_last", "_before", "_after"))
 
 
-def leave_one_out_median(df: DataFrame, keys: list[str], value: str, hot: list[int] | None = None) -> DataFrame:
+def leave_one_out_median(df: DataFrame, keys: list[str], value: str, hot: list | Hot | None = None) -> DataFrame:
     """Adds ``peer_median``, the median (mean of the middle pair) of the key's other rows; NULL for a row alone or
     without a value. Rows without a value are nobody's peers."""
     def body(part: DataFrame, group) -> DataFrame:
@@ -94,7 +77,7 @@ def leave_one_out_median(df: DataFrame, keys: list[str], value: str, hot: list[i
     return rows.withColumn("peer_median", F.when(~alone, peer_median())).drop("_x", "_count", "_m0", "_m1", "_m2")
 
 
-def first_row(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], hot: list[int] | None = None) -> DataFrame:
+def first_row(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], hot: list | Hot | None = None) -> DataFrame:
     """Adds ``first_<column>``: the columns of the key's first row in this order, the reference of the others."""
     first = lambda group, part: group.attach_agg(part, {"_first": F.min_by(F.struct(*columns), F.struct(*order))})
     rows = per_key(df, keys, lambda part, group: first(group, part), hot)

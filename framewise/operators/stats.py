@@ -5,13 +5,15 @@ split once by :func:`per_key`:
 
 * ordinary keys are handled by :class:`InTask`: one shuffle on the key, sorted windows
   (which spill), no join;
-* heavy keys (at most ``MAX_HOT`` by construction, so tables with one row per heavy key may
-  be broadcast) are handled by :class:`Spread`: their rows are range-split by value into
-  ``SPLITS`` buckets, equal values are merged map-side, and ranks and cumulative weights are
-  put together from bucket totals. No task sees a whole heavy key. Results are exact.
+* heavy keys are handled by :class:`Spread`: a radix selection. Equal values are merged map-side, then every round
+  counts rows and weight per (key, bucket, digit of the value), keeps the buckets in which a wanted rank or weight
+  lies, and drops all other rows. All statistics of all heavy keys narrow together; nothing is sorted until a bucket
+  holds at most ``LEAF`` distinct values. No task sees a whole heavy key. Results are exact.
 
-Heavy keys are found with Spark's ``approx_top_k`` sketch over the key columns alone, a single
-aggregate of bounded size, and only if the key has more rows than one task should hold.
+A key is heavy if it has more rows than one task should hold (``spark.framewise.hotRows``), however many such keys there
+are and whatever their share. They are found by counting a sample of about ``SEEN`` rows per ``hotRows``; the sample
+only picks the way, both ways give the same results. What a round puts back on the rows is a few rows per heavy key:
+broadcast up to ``BROADCAST_KEYS`` heavy keys, joined with salted keys beyond.
 
 The quantile conventions (see SURVEY 1.4) are written as ``(kind, q)``:
 
@@ -34,36 +36,83 @@ from pyspark.sql import functions as F
 from ..schema import require
 from ..session import cut_lineage, hot_rows
 
-MAX_HOT = 1024
+SEEN = 256
+LISTED = 1024
+BROADCAST_KEYS = 200_000
+SALTS = 64
+DIGITS = 65_536
+LEAF = 65_536
 SPLITS = 256
 KINDS = {"lin", "avg", "upper", "rank", "ceil", "mid", "wmed"}
 Specs = dict[str, tuple]
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of the keys too heavy for one task: a bounded sketch, never the rows."""
-    floor = hot_rows(df.sparkSession)
-    row = (
-        df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {MAX_HOT}, {MAX_HOT * 4})").alias("top"))
-        .first()
-    )
-    limit = max(floor, row["n"] // MAX_HOT)
-    return [item["item"] for item in (row["top"] or []) if item["count"] > limit]
+@dataclass(frozen=True)
+class Hot:
+    """The keys too heavy for one task, by hash: a short list, or a written table of any length."""
+
+    hashes: list[int] | None
+    table: DataFrame | None
+    small: bool
+
+    def split(self, df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(rows of ordinary keys, rows of heavy keys). Keys whose hashes meet are heavy together, which is no error."""
+        if self.hashes is not None:
+            heavy = F.xxhash64(*keys).isin(self.hashes)
+            return df.where(~heavy), df.where(heavy)
+        rows = put_back(df.withColumn("_h", F.xxhash64(*keys)), self.table.withColumn("_hot", F.lit(True)), ["_h"], self.small)
+        return rows.where(F.col("_hot").isNull()).drop("_h", "_hot"), rows.where("_hot").drop("_h", "_hot")
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> Hot | None:
+    """The heavy keys, from the counts of a sample of rows in which a key at the limit is met ``SEEN`` times: the shuffle
+    is that share of the rows, and the number of keys found is not limited."""
+    limit = hot_rows(df.sparkSession)
+    rate = min(1.0, SEEN / limit)
+    rows = df.select(F.xxhash64(*keys).alias("_h"))
+    if rate < 1:
+        rows = rows.where(F.rand(29) < rate)
+    found = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit * rate).select("_h")
+    listed = [r["_h"] for r in found.take(LISTED + 1)]
+    if not listed:
+        return None
+    if len(listed) <= LISTED:
+        return Hot(listed, None, True)
+    table = cut_lineage(found)
+    return Hot(None, table, table.count() <= BROADCAST_KEYS)
+
+
+def heavy_part(df: DataFrame, keys: list[str], hot: list | Hot | None) -> tuple[DataFrame, DataFrame | None, bool]:
+    """(rows of ordinary keys, rows of heavy keys or None, whether one row per heavy key may be broadcast). ``hot``: None
+    to look for heavy keys, an empty list where the caller knows that there are none."""
+    hot = hot_keys(df, keys) if hot is None else hot
+    if not hot:
+        return df, None, True
+    light, heavy = hot.split(df, keys)
+    return light, heavy, hot.small
+
+
+def put_back(df: DataFrame, table: DataFrame, keys: list[str], small: bool, how: str = "left") -> DataFrame:
+    """Join a few rows per heavy key to the rows of the keys: by broadcast if ``small``, else each heavy key's rows meet
+    ``SALTS`` copies of its row, dealt by a hash of their content."""
+    if small:
+        return join_keys(df, F.broadcast(table), keys, how)
+    content = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*content), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_keys(rows, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def per_key(df: DataFrame, keys: list[str], body: Callable[[DataFrame, "InTask | Spread"], DataFrame],
-            hot: list[int] | None = None) -> DataFrame:
+            hot: list | Hot | None = None) -> DataFrame:
     """Run ``body`` over ordinary and heavy keys, each with the strategy that fits, and unite."""
-    hot = hot_keys(df, keys) if hot is None else hot
-    if not hot:
-        return body(df, InTask(keys))
-    heavy = F.xxhash64(*keys).isin(hot)
-    return body(df.where(~heavy), InTask(keys)).unionByName(body(df.where(heavy), Spread(keys)))
+    light, heavy, small = heavy_part(df, keys, hot)
+    out = body(light, InTask(keys))
+    return out if heavy is None else out.unionByName(body(heavy, Spread(keys, small)))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, specs: Specs, weight: str | None = None,
-              hot: list[int] | None = None) -> DataFrame:
+              hot: list | Hot | None = None) -> DataFrame:
     """One row per key with every statistic in ``specs``; NULL values do not count."""
     check_specs(specs)
     rows = df.where(F.col(value).isNotNull())
@@ -242,41 +291,78 @@ class InTask:
 
 
 class Spread:
-    """Heavy keys: rows split by value range, per-key results broadcast (<= MAX_HOT rows)."""
-
-    def __init__(self, keys: list[str]):
-        self.keys = keys
+    """Heavy keys: radix selection over merged values; only one row per heavy key and statistic goes back to the rows."""
+
+    def __init__(self, keys: list[str], small: bool = True):
+        self.keys, self.small = keys, small
+
+    def _first_digit(self) -> Column:
+        """Sign and magnitude in steps of a 16th of a doubling: never falls where the value rises, so it may cut anything."""
+        x = F.col("_x")
+        size = lambda v: F.floor(F.least(F.log2(v), F.lit(2000.0)) * 16) + 32_768
+        return (F.when(F.isnan(x), F.lit(2 * DIGITS)).when(x > 0, size(x)).when(x < 0, -size(-x)).otherwise(F.lit(0))).cast("bigint")
+
+    def _next_digit(self) -> Column:
+        """Place between the least and the greatest value of the bucket, in ``DIGITS`` steps."""
+        part = (F.col("_x") - F.col("_from")) / (F.col("_to") - F.col("_from"))
+        return F.when(F.col("_from") < F.col("_to"), F.floor(F.least(part, F.lit(1.0)) * DIGITS)).otherwise(F.lit(0)).cast("bigint")
+
+    def _wanted(self, specs: Specs) -> Column:
+        """Whether a bucket (``_k0``, ``_w0`` before it, ``_bk``, ``_bw`` in it) can hold what a statistic needs."""
+        hit = F.lit(False)
+        n, k0, k1 = F.col("_n"), F.col("_k0"), F.col("_k0") + F.col("_bk")
+        for kind, *rest in specs.values():
+            q = F.lit(float(rest[0])) if rest else F.lit(0.5)
+            if kind in ("mid", "wmed"):
+                # Wider than rounding of the sums can move a border; the buckets beside a hit are kept as well.
+                slack = F.col("_mass") * 1e-9 + 1e-11
+                hit |= (F.col("_w0") <= F.col("_mass") * q + slack) & (F.col("_w0") + F.col("_bw") >= F.col("_mass") * q - slack)
+                continue
+            low = F.floor(q * (n - 1))
+            ranks = {"upper": [F.floor(n / 2)], "rank": [low], "ceil": [F.greatest(F.ceil(q * n) - 1, F.lit(0))]}.get(
+                kind, [low, F.least(low + 1, n - 1)])
+            for rank in ranks:
+                hit |= (k0 <= rank) & (rank < k1)
+        return hit
+
+    def _narrow(self, rows: DataFrame, digit: Column, specs: Specs, first: bool) -> tuple[DataFrame, bool]:
+        """One round: (rows of the wanted buckets, whether a bucket is still too large for a window). A bucket is named by
+        the rows of its key before it (``_p``); at most ``DIGITS`` times the wanted buckets are counted per key."""
+        keys = self.keys
+        rows = rows.withColumn("_d", digit)
+        known = [] if first else ["_w0", "_n", "_mass"]
+        found = rows.groupBy(*keys, "_p", "_d", *known).agg(
+            F.sum("_k").alias("_bk"), F.sum("_w").alias("_bw"), F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_from"), F.max("_x").alias("_to"))
+        if first:
+            whole = Window.partitionBy(*keys)
+            found = found.withColumns({"_w0": F.lit(0.0), "_n": F.sum("_bk").over(whole), "_mass": F.sum("_bw").over(whole)})
+        before = Window.partitionBy(*keys, "_p").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumns({"_k0": F.col("_p") + F.coalesce(F.sum("_bk").over(before), F.lit(0)),
+                                   "_w0": F.col("_w0") + F.coalesce(F.sum("_bw").over(before), F.lit(0.0))})
+        along = Window.partitionBy(*keys).orderBy("_k0")
+        found = found.withColumn("_hit", self._wanted(specs))
+        found = found.withColumn("_hit", F.col("_hit") | F.coalesce(F.lag("_hit").over(along), F.lit(False)) | F.coalesce(F.lead("_hit").over(along), F.lit(False)))
+        kept = cut_lineage(found.where("_hit").drop("_hit", "_bk", "_bw"))
+        more = not kept.where((F.col("_m") > LEAF) & (F.col("_from") < F.col("_to"))).isEmpty()
+        rows = rows.select(*keys, "_v", "_x", "_k", "_w", "_w1", "_w2", "_p", "_d")
+        rows = put_back(rows, kept.drop("_m"), [*keys, "_p", "_d"], self.small, "inner")
+        return rows.drop("_p", "_d").withColumnRenamed("_k0", "_p"), more
 
     def table(self, df: DataFrame, value: str, specs: Specs, weight: str | None = None) -> DataFrame:
         keys = self.keys
         w = F.col(weight).cast("double") if weight else F.lit(1.0)
         rows = df.select(*keys, F.col(value).alias("_v"), w.alias("_w")).where(F.col("_v").isNotNull())
-        probabilities = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-        splits = rows.groupBy(*keys).agg(F.percentile_approx("_v", probabilities, SPLITS * 8).alias("_splits"))
-        rows = join_keys(rows, F.broadcast(splits), keys)
-        rows = rows.withColumn("_b", F.size(F.filter("_splits", lambda s: s < F.col("_v")))).drop("_splits")
-        merged = rows.groupBy(*keys, "_b", "_v").agg(
-            F.count(F.lit(1)).alias("_k"), F.sum("_w").alias("_w"),
-            F.min("_w").alias("_w1"), F.max("_w").alias("_w2"))
-        before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*keys)
-        buckets = (
-            merged.groupBy(*keys, "_b").agg(F.sum("_k").alias("bk"), F.sum("_w").alias("bw"))
-            .withColumns({
-                "_k0": F.coalesce(F.sum("bk").over(before), F.lit(0)),
-                "_w0": F.coalesce(F.sum("bw").over(before), F.lit(0.0)),
-                "_n": F.sum("bk").over(whole), "_mass": F.sum("bw").over(whole)})
-            .drop("bk", "bw"))
-        inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        merged = merged.withColumns({"_lo": F.sum("_k").over(inside) - F.col("_k"),
-                                     "_cw": F.sum("_w").over(inside)})
-        merged = join_keys(merged, F.broadcast(buckets), [*keys, "_b"])
-        merged = merged.withColumns({"_lo": F.col("_lo") + F.col("_k0"), "_cw": F.col("_cw") + F.col("_w0")})
+        rows = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"), F.sum("_w").alias("_w"), F.min("_w").alias("_w1"), F.max("_w").alias("_w2"))
+        rows = rows.withColumns({"_x": F.col("_v").cast("double"), "_p": F.lit(0).cast("bigint")})
+        rows, more = self._narrow(rows, self._first_digit(), specs, True)
+        while more:
+            rows, more = self._narrow(rows, self._next_digit(), specs, False)
+        inside = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumns({"_lo": F.col("_p") + F.sum("_k").over(inside) - F.col("_k"), "_cw": F.col("_w0") + F.sum("_w").over(inside)})
         parts = Parts(F.col("_v"), F.lit(True), F.col("_w"), F.col("_w1"), F.col("_w2"), F.col("_k"))
         aggs = [c.alias(n) for n, c in neighbours(specs, lambda c: c, parts).items()]
         # _n and _mass are constant per key: grouping by them keeps partial aggregation intact.
-        table = merged.groupBy(*keys, "_n", "_mass").agg(*aggs)
+        table = rows.groupBy(*keys, "_n", "_mass").agg(*aggs)
         return table.select(*keys, *[c.alias(n) for n, c in finish(specs).items()])
 
     def attach(self, df: DataFrame, value: str | Column, specs: Specs, weight: str | None = None,
@@ -285,37 +371,41 @@ class Spread:
         rows = df.where(where) if where is not None else df
         v = F.col(value) if isinstance(value, str) else value
         rows = rows.select(*self.keys, v.alias("_value"), (F.col(weight) if weight else F.lit(1.0)).alias("_weight"))
-        table = self.table(rows, "_value", specs, "_weight")
-        return join_keys(df, F.broadcast(table), self.keys, "left")
+        # Written (one row per key), so that what follows does not hold the rounds in its plan.
+        return put_back(df, cut_lineage(self.table(rows, "_value", specs, "_weight")), self.keys, self.small)
 
     def attach_agg(self, df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
         table = df.groupBy(*self.keys).agg(*[c.alias(n) for n, c in aggs.items()])
-        return join_keys(df, F.broadcast(table), self.keys, "left")
+        return put_back(df, table, self.keys, self.small)
 
     def settle(self, df: DataFrame, base: DataFrame, state: list[str]) -> DataFrame:
-        """Write the per-key state of an iteration (<= MAX_HOT rows) and put it back on the rows, so
-        that the plan of the next pass does not contain the plans of all passes before it."""
+        """Write the per-key state of an iteration and put it back on the rows, so that the plan of the next pass does
+        not contain the plans of all passes before it."""
         table = df.groupBy(*self.keys).agg(*[F.max(c).alias(c) for c in state])
-        return join_keys(base, F.broadcast(cut_lineage(table)), self.keys, "left")
+        return put_back(base, cut_lineage(table), self.keys, self.small)
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[Column], lead_value: Column, name: str = "row",
-                hot: list[int] | None = None) -> DataFrame:
+                hot: list | Hot | None = None) -> DataFrame:
     """``row_number`` per key that splits heavy keys: ``lead_value`` (numeric, sorts like the first entry of
     ``order``) places rows into ranges, ranks inside a range add to the size of the ranges before it."""
-    hot = hot_keys(df, keys) if hot is None else hot
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    if not hot:
-        return df.withColumn(name, F.row_number().over(whole))
-    heavy = F.xxhash64(*keys).isin(hot)
-    rows = df.where(heavy).withColumn("_lead", lead_value)
-    probabilities = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    splits = rows.groupBy(*keys).agg(F.percentile_approx("_lead", probabilities, SPLITS * 8).alias("_splits"))
-    rows = join_keys(rows, F.broadcast(splits), keys)
-    rows = rows.withColumn("_b", F.size(F.filter("_splits", lambda s: s < F.col("_lead")))).drop("_splits", "_lead")
+    light, heavy, small = heavy_part(df, keys, hot)
+    out = light.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if heavy is None:
+        return out
+    rows = value_ranges(heavy, keys, lead_value, small)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_k"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
-    rows = join_keys(rows, F.broadcast(sizes), [*keys, "_b"]).withColumn(name, (F.col("_r") + F.col("_before")).cast("int"))
-    return df.where(~heavy).withColumn(name, F.row_number().over(whole)).unionByName(rows.drop("_b", "_r", "_before"))
+    rows = put_back(rows, sizes, [*keys, "_b"], small).withColumn(name, (F.col("_r") + F.col("_before")).cast("int"))
+    return out.unionByName(rows.drop("_b", "_r", "_before"))
+
+
+def value_ranges(df: DataFrame, keys: list[str], lead: Column, small: bool = True) -> DataFrame:
+    """Adds ``_b``, the value range (of ``SPLITS``) a heavy key's row lies in; -1 where ``lead`` is NULL."""
+    rows = df.withColumn("_lead", lead)
+    cuts = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
+    splits = rows.groupBy(*keys).agg(F.percentile_approx("_lead", cuts, SPLITS * 8).alias("_splits"))
+    rows = put_back(rows, splits, keys, small)
+    return rows.withColumn("_b", F.coalesce(F.size(F.filter("_splits", lambda s: s < F.col("_lead"))), F.lit(-1))).drop("_splits", "_lead")

@@ -73,6 +73,52 @@ def test_quantiles_match_brute_force_with_and_without_heavy_keys(spark, skewed,
         spark.conf.unset(HOT_ROWS_CONF)
 
 
+@pytest.mark.parametrize("listed,leaf", [(1024, 65_536), (1024, 3), (0, 3)])
+def test_radix_selection_with_nine_tenths_in_one_key(spark, monkeypatch, listed, leaf):
+    """Listed, and written and salted heavy keys; few and many rounds; ties, signs, magnitudes far apart."""
+    monkeypatch.setattr(stats, "LISTED", listed)
+    monkeypatch.setattr(stats, "BROADCAST_KEYS", listed)
+    monkeypatch.setattr(stats, "LEAF", leaf)
+    rng = np.random.default_rng(11)
+    values = np.concatenate([rng.normal(0, 1, 700), np.exp(rng.uniform(-600, 600, 400)), -np.exp(rng.uniform(-600, 600, 300)),
+                             np.full(500, 0.25), 1 + np.arange(200) * 2.0 ** -50, [0.0, -0.0, 1e308, -1e308, 5e-324]])
+    rng.shuffle(values)
+    rows = [(None if i % 10 else i % 3, float(v), float(rng.choice([0.25, 0.5, 1.0]))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k int, value double, coverage double")
+    spark.conf.set(HOT_ROWS_CONF, 60)
+    try:
+        hot = stats.hot_keys(df, ["k"])
+        assert (hot.hashes is None) == (listed == 0) and hot.small == (listed > 0)
+        got = {r["k"]: r for r in stats.quantiles(df, ["k"], "value", SPECS, "coverage").collect()}
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    per = {}
+    for k, v, w in rows:
+        per.setdefault(k, []).append((v, w))
+    assert set(got) == set(per)
+    for k, pairs in per.items():
+        for name, value in brute([p[0] for p in pairs], [p[1] for p in pairs]).items():
+            assert got[k][name] == pytest.approx(value, rel=1e-9, abs=1e-9), (k, name)
+
+
+def test_rounds_read_fewer_rows_and_no_key_needs_a_sketch(spark, monkeypatch):
+    """The digits never fall where the value rises, so a bucket is a range; a sample finds the heavy keys at any share."""
+    monkeypatch.setattr(stats, "SEEN", 64)
+    df = spark.range(40_000).select((F.col("id") % 40).alias("k"), (F.col("id") * 0.37 - 5000).alias("_x"))
+    spread = stats.Spread(["k"])
+    cut = df.withColumn("_d", spread._first_digit()).groupBy("k", "_d").agg(F.min("_x").alias("a"), F.max("_x").alias("b"))
+    for k in (0, 17):
+        ranges = [(r["a"], r["b"]) for r in cut.where(F.col("k") == k).orderBy("_d").collect()]
+        assert all(x[1] < y[0] for x, y in zip(ranges, ranges[1:])) and len(ranges) > 20
+    spark.conf.set(HOT_ROWS_CONF, 400)
+    try:
+        assert len(stats.hot_keys(df, ["k"]).hashes) == 40
+        spark.conf.set(HOT_ROWS_CONF, 4000)
+        assert stats.hot_keys(df, ["k"]) is None
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+
+
 @pytest.mark.parametrize("method", st.ROBUST)
 def test_heavy_keys_give_the_same_stack(spark, skewed, method):
     o = {"low": 0.1, "high": 0.8} if method == "percentile" else {"low": 1.5, "high": 1.5}
