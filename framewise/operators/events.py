@@ -136,14 +136,20 @@ def recurrent_trails(trails: DataFrame, threshold: int, min_weight: float = 0.0,
 
     bit = lambda c: F.expr(f"shiftleft(1L, {c})")
     known = base.groupBy("shape_id", *shape, "_word").agg(F.bit_or(bit("_bit")).alias("bits"))
-    pairs = spread(asking.select("shape_id", *shape).distinct(), "a", 1, []).join(spread(known, "b", 0, ["_word", "bits"]), ["kind", "_s", "_cx", "_cy"])
+    # Work grows with the pairs and not with the bytes shuffled, by which partitions would be merged: their number is set.
+    parts = int(trails.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["kind", "_s", "_cx", "_cy"]
+    pairs = spread(asking.select("shape_id", *shape).distinct(), "a", 1, []).repartition(parts, *place).join(
+        spread(known, "b", 0, ["_word", "bits"]).repartition(parts, *place), place)
     # A pair that shares several cells counts in the first of them only.
     pairs = pairs.where((F.col("_cx") == F.greatest("a_cx0", "b_cx0")) & (F.col("_cy") == F.greatest("a_cy0", "b_cy0")))
     ux, uy = F.col("a_ux"), F.col("a_uy")
     across = F.abs(-(F.col("a_mx") - F.col("b_mx")) * uy + (F.col("a_my") - F.col("b_my")) * ux)
     at = lambda p, i: F.col(f"{p}_x{i}") * ux + F.col(f"{p}_y{i}") * uy
     shared = interval_overlap(at("a", 1), at("a", 2), at("b", 1), at("b", 2))
-    same = ((angle_delta(F.col("a_ang"), F.col("b_ang")) <= 0.18) & (across <= F.greatest(F.lit(8.0), (F.col("a_width") + F.col("b_width")) * 1.6))
+    # The sine of the angle between them settles most pairs without the modulus; the exact test follows.
+    turned = F.abs(ux * F.col("b_uy") - uy * F.col("b_ux")) <= math.sin(0.18) + 1e-9
+    same = (turned & (angle_delta(F.col("a_ang"), F.col("b_ang")) <= 0.18) & (across <= F.greatest(F.lit(8.0), (F.col("a_width") + F.col("b_width")) * 1.6))
             & (shared >= F.least("a_len", "b_len") * 0.4))
     # Frames met, as bits: or-ed before the shuffle, so a crowd costs comparisons but no rows.
     met = pairs.where(same).groupBy(F.col("a_shape_id").alias("shape_id"), F.col("b__word").alias("_word")).agg(F.bit_or("b_bits").alias("_met"))
