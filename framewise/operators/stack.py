@@ -336,15 +336,25 @@ def stack_with(df: DataFrame, keys: list[str], combine_values, **options) -> Dat
         *keys, o.frame, "_x", "_wt")
 
     def run(batches):
-        held = None
+        # A key that spans batches is kept in pieces, put together once when its last row has come.
+        pieces = []
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            start = (held[keys] != held[keys].shift()).any(axis=1).cumsum()
-            open_key = start == start.iloc[-1] if len(start) else start
-            yield finish_keys(held[~open_key], start[~open_key])
-            held = held[open_key]
-        if held is not None and len(held):
-            yield finish_keys(held, pd.Series(0, index=held.index))
+            if batch.empty:
+                continue
+            begins = key_begins(batch, keys)
+            if pieces and not key_begins(pd.concat([pieces[-1].tail(1), batch.head(1)]), keys)[1]:
+                begins[0] = False
+            last = int(begins.nonzero()[0][-1]) if begins.any() else None
+            if last is None:
+                pieces.append(batch)
+                continue
+            done = pd.concat([*pieces, batch.iloc[:last]], ignore_index=True)
+            if len(done):
+                yield finish_keys(done, key_begins(done, keys).cumsum())
+            pieces = [batch.iloc[last:]]
+        if pieces:
+            done = pd.concat(pieces, ignore_index=True)
+            yield finish_keys(done, key_begins(done, keys).cumsum())
 
     def finish_keys(done, run_id):
         out = [(*(g[k].iloc[0] for k in keys), float(combine_values(g["_x"].to_numpy(), g["_wt"].to_numpy())))
@@ -353,3 +363,86 @@ def stack_with(df: DataFrame, keys: list[str], combine_values, **options) -> Dat
 
     types = dict(df.dtypes)
     return rows.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", value double")
+
+
+def key_begins(rows, keys: list[str]):
+    """Where a row of a sorted pandas frame has other keys than the row before it; missing keys are equal."""
+    k = rows[keys]
+    before = k.shift()
+    begins = (k.ne(before) & ~(k.isna() & before.isna())).any(axis=1).to_numpy().copy()
+    if len(begins):
+        begins[0] = True
+    return begins
+
+
+def stack_merged(df: DataFrame, keys: list[str], partial, merge, finish, salts: int = 64, held: int = 4096, **options) -> DataFrame:
+    """caller's own combination in three parts, for keys of any size.
+
+    ``partial(values, weights) -> state`` sees some samples of a key, ``merge(state, state) -> state`` joins two states (in
+    any order), ``finish(state) -> float`` gives the value. A task merges what its batches hold of a key before anything is
+    shuffled (at most ``held`` keys at a time); the states of a key then meet in ``salts`` groups and at last in one, so a
+    task holds one state and a batch, and a key with most of the rows sends one state per task and salt."""
+    import pickle
+
+    import pyarrow as pa
+
+    require(salts >= 1 and held >= 1, "salts and held must be positive")
+    o = StackOptions(**options)
+    rows = prepared(df, keys, o, [o.frame]).where(F.col("_x").isNotNull()).select(*keys, F.col("_x").cast("double"), F.col("_wt").cast("double"))
+    types = dict(rows.dtypes)
+    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    same = lambda a, b: all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+    def table(found, schema):
+        columns = [pa.array([key[i] for key, _ in found], schema.field(k).type) for i, k in enumerate(keys)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([pickle.dumps(s) for _, s in found], pa.binary())], [*keys, "state"])
+
+    def begin(batches):
+        states, schema = {}, None
+        for batch in batches:
+            schema = batch.schema
+            t = pa.Table.from_batches([batch])
+            t = t.append_column("_i", pa.array(range(len(t)), pa.int64()))
+            values, weights = batch.column("_x").to_numpy(zero_copy_only=False), batch.column("_wt").to_numpy(zero_copy_only=False)
+            groups = t.select([*keys, "_i"]).group_by(keys, use_threads=False).aggregate([("_i", "list")])
+            names = zip(*[groups.column(k).to_pylist() for k in keys])
+            for key, at in zip(names, groups.column("_i_list")):
+                at = at.values.to_numpy()
+                state = partial(values[at], weights[at])
+                states[key] = merge(states[key], state) if key in states else state
+                if len(states) >= held:
+                    yield table(list(states.items()), schema)
+                    states = {}
+        if states:
+            yield table(list(states.items()), schema)
+
+    def merged(batches):
+        """(key, state, schema) of keys that lie side by side in a sorted partition."""
+        key = state = schema = None
+        for batch in batches:
+            schema = batch.schema
+            names = zip(*[batch.column(k).to_pylist() for k in keys])
+            for name, data in zip(names, batch.column("state")):
+                more = pickle.loads(data.as_py())
+                if key is not None and same(key, name):
+                    state = merge(state, more)
+                    continue
+                if key is not None:
+                    yield key, state, schema
+                key, state = name, more
+        if key is not None:
+            yield key, state, schema
+
+    def join_states(batches):
+        for key, state, schema in merged(batches):
+            yield table([(key, state)], schema)
+
+    def end(batches):
+        for key, state, schema in merged(batches):
+            columns = [pa.array([key[i]], schema.field(k).type) for i, k in enumerate(keys)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([float(finish(state))], pa.float64())], [*keys, "value"])
+
+    states = rows.mapInArrow(begin, f"{key_schema}, state binary")
+    salted = states.withColumn("_salt", F.pmod(F.xxhash64("state"), F.lit(salts)))
+    states = salted.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt").drop("_salt").mapInArrow(join_states, f"{key_schema}, state binary")
+    return states.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(end, f"{key_schema}, value double")

@@ -101,6 +101,20 @@ def i4(spark, sf):
     return rounded(st.render_accumulator(st.merge_accumulators(*parts, keys=K), K))
 
 
+def moments():
+    """Weighted spread as a caller's own combination: weight, mean and squares around it, joined pairwise."""
+    def part(v, w):
+        mass = float(w.sum())
+        mean = float((v * w).sum() / mass)
+        return mass, mean, float((w * (v - mean) ** 2).sum())
+
+    def join(a, b):
+        mass, gap = a[0] + b[0], b[1] - a[1]
+        return mass, a[1] + gap * b[0] / mass, a[2] + b[2] + gap * gap * a[0] * b[0] / mass
+
+    return part, join, lambda s: (s[2] / s[0]) ** 0.5
+
+
 QUERIES = {
     "D1_stack_average": lambda s, sf: rounded(st.stack_average(f0_gaps(s, sf), K, **OPT)),
     "D2_stack_weighted": d2,
@@ -120,6 +134,7 @@ QUERIES = {
     "I4_merge_accumulators": i4,
     "J4_stack_with": lambda s, sf: rounded(st.stack_with(
         f0_plain(s, sf), K, lambda v, w: float((v * w).sum() / w.sum()), **OPT)),
+    "J4_stack_merged": lambda s, sf: rounded(st.stack_merged(f0_plain(s, sf), K, *moments(), **OPT)),
 }
 
 ORACLES = {
@@ -158,4 +173,6 @@ ORACLES = {
     "G5_distinct_inputs": f"SELECT k, frame_id, count(*) AS copies FROM ({F0}) GROUP BY 1, 2 HAVING count(*) > 1",
     "I4_merge_accumulators": f"""WITH s AS ({prep()}) SELECT k, {sr('sum(v*w)/sum(w)', 'value')}, count(v) AS samples FROM s GROUP BY k""",
     "J4_stack_with": f"""WITH s AS ({prep()}) SELECT k, {sr('sum(v*w)/sum(w)', 'value')} FROM s GROUP BY k""",
+    "J4_stack_merged": f"""WITH s AS ({prep()}), m AS (SELECT k, sum(v*w)/sum(w) AS mid FROM s GROUP BY k)
+      SELECT k, {sr('sqrt(sum(w*(v-mid)*(v-mid))/sum(w))', 'value')} FROM s JOIN m USING (k) WHERE v IS NOT NULL GROUP BY k""",
 }

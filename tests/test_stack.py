@@ -206,6 +206,31 @@ def test_custom_combination_spans_batches(spark, skewed):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_own_combinations_with_nine_tenths_in_one_key(spark):
+    """Whole keys and merged states; NULL keys are one key; batches far smaller than a key."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 20 == 0 else 2**60 + (i % 60 if i % 20 == 1 else 0), i, float(rng.normal()), 1.0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k bigint, frame_id bigint, value double, coverage double")
+    want = {}
+    for k, _, v, _ in rows:
+        want.setdefault(k, []).append(v)
+    largest = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        whole = st.stack_with(df.where("k is null or k >= 0").withColumn("k", F.col("k") - 2**60), ["k"], lambda v, w: float(v.sum())).collect()
+        parts = (lambda v, w: [len(v), float(v.sum()), len(v)], lambda a, b: [a[0] + b[0], a[1] + b[1], max(a[2], b[2])])
+        merged = st.stack_merged(df, ["k"], *parts, lambda s: s[1], salts=3, held=2).collect()
+        largest = st.stack_merged(df, ["k"], *parts, lambda s: s[2], salts=3, held=2).collect()
+        empty = st.stack_merged(df.limit(0), ["k"], *parts, lambda s: s[1]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(merged) == len(whole) == len(want) and empty == []
+    assert {r["k"]: r["value"] for r in merged} == pytest.approx({k: sum(v) for k, v in want.items()})
+    back = {None if r["k"] is None else r["k"] + 2**60: r["value"] for r in whole}
+    assert back == pytest.approx({k: sum(v) for k, v in want.items()})
+    assert max(r["value"] for r in largest) <= 50
+
+
 def test_accumulators_merge_to_the_whole(spark, skewed):
     a = st.accumulate(skewed.where(F.col("frame_id") % 2 == 0), ["k"])
     b = st.accumulate(skewed.where(F.col("frame_id") % 2 == 1), ["k"])
