@@ -95,7 +95,8 @@ def recurrent_trails(trails: DataFrame, threshold: int, min_weight: float = 0.0,
     Two trails repeat if they have the same kind, differ by at most .18 rad, lie within ``max(8, 1.6 * (w + w'))``
     across the first one's direction and overlap along it by 40 % of the shorter. Candidates meet through cells of
     their bounding boxes, grown by the distance allowed; trails equal in everything but the frame are compared once
-    per distinct shape, so a shape that recurs in every frame costs one comparison and a count of its frames."""
+    per distinct shape, so a shape that recurs in every frame costs one comparison and a count of its frames. A trail of
+    length 0 has direction 0 and overlaps any trail across which it lies near enough, however far along."""
     require(threshold >= 1, "threshold must be at least 1")
     finite("cell", cell, 1e-6)
     shape = ["kind", "x1", "y1", "x2", "y2", "width"]
@@ -127,12 +128,15 @@ def recurrent_trails(trails: DataFrame, threshold: int, min_weight: float = 0.0,
              "mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}
     facts |= {"cx0": F.floor((F.least("x1", "x2") - grow) / cell), "cy0": F.floor((F.least("y1", "y2") - grow) / cell)}
 
+    def named(s: DataFrame, p: str, place: list[str], more: list[str]) -> DataFrame:
+        return s.select(*place, *[F.col(c).alias(f"{p}_{c}") for c in ("shape_id", *shape[1:], *list(facts)[2:], *more)])
+
     def spread(shapes: DataFrame, p: str, reach: int, more: list[str]) -> DataFrame:
         s = shapes.withColumns(facts)
         if reach:
             s = s.withColumn("_s", F.explode(F.array(*[F.pmod(F.col("_s") + i, F.lit(sectors)) for i in (-1, 0, 1)])))
         s = s.withColumn("_cx", F.explode(span("x1", "x2"))).withColumn("_cy", F.explode(span("y1", "y2")))
-        return s.select("kind", "_s", "_cx", "_cy", *[F.col(c).alias(f"{p}_{c}") for c in ("shape_id", *shape[1:], *list(facts)[2:], *more)])
+        return named(s, p, ["kind", "_s", "_cx", "_cy"], more)
 
     bit = lambda c: F.expr(f"shiftleft(1L, {c})")
     known = base.groupBy("shape_id", *shape, "_word").agg(F.bit_or(bit("_bit")).alias("bits"))
@@ -151,7 +155,27 @@ def recurrent_trails(trails: DataFrame, threshold: int, min_weight: float = 0.0,
     turned = F.abs(ux * F.col("b_uy") - uy * F.col("b_ux")) <= math.sin(0.18) + 1e-9
     same = (turned & (angle_delta(F.col("a_ang"), F.col("b_ang")) <= 0.18) & (across <= F.greatest(F.lit(8.0), (F.col("a_width") + F.col("b_width")) * 1.6))
             & (shared >= F.least("a_len", "b_len") * 0.4))
-    # Frames met, as bits: or-ed before the shuffle, so a crowd costs comparisons but no rows.
+    # A point (length 0, direction 0) needs no overlap: it repeats all along the line of a near-level trail, met by rows of cells.
+    flat = angle_delta(F.col("ang"), F.lit(0.0)) <= 0.18 + 1e-9
+    rows = lambda lo, hi: F.explode(F.sequence(F.floor((lo - F.col("_g") * 1.1) / cell), F.floor((hi + F.col("_g") * 1.1) / cell)))
+    asked, seen = asking.select("shape_id", *shape).distinct().withColumns(facts), known.withColumns(facts)
+    points = seen.where(F.col("len") == 0)
+    more = ["_word", "bits"]
+    level = named(asked.where(F.col("len") == 0).withColumn("_cy", rows(F.col("my"), F.col("my"))), "a", ["kind", "_cy"], []).join(
+        named(seen.where(flat).withColumn("_cy", rows(F.col("my"), F.col("my"))), "b", ["kind", "_cy"], more), ["kind", "_cy"])
+    # The line of a trail is followed over the stretch that has points, in at most 65 columns.
+    stretch = points.groupBy("kind").agg(F.min("mx").alias("_x0"), F.max("mx").alias("_x1")).withColumn(
+        "_step", F.greatest(F.lit(cell * 4), (F.col("_x1") - F.col("_x0")) / 64))
+    column = lambda x: F.floor((x - F.col("_x0")) / F.col("_step"))
+    height = lambda x: F.col("my") + (x - F.col("mx")) * F.col("uy") / F.col("ux")
+    lines = asked.where(flat & (F.col("len") > 0)).join(stretch, "kind").withColumn("_cx", F.explode(F.sequence(F.lit(0).cast("bigint"), column(F.col("_x1")))))
+    start, end = height(F.col("_x0") + F.col("_cx") * F.col("_step")), height(F.col("_x0") + (F.col("_cx") + 1) * F.col("_step"))
+    lines = lines.withColumn("_cy", rows(F.least(start, end), F.greatest(start, end)))
+    spots = points.join(stretch, "kind").withColumn("_cx", column(F.col("mx"))).withColumn("_cy", rows(F.col("my"), F.col("my")))
+    place = ["kind", "_cx", "_cy"]
+    beside = named(lines, "a", place, []).join(named(spots, "b", place, more), place)
+    pairs = pairs.drop("_s", "_cx", "_cy").unionByName(level.drop("_cy")).unionByName(beside.drop("_cx", "_cy"))
+    # Frames met, as bits: or-ed before the shuffle, so a crowd costs comparisons but no rows, and a pair may come twice.
     met = pairs.where(same).groupBy(F.col("a_shape_id").alias("shape_id"), F.col("b__word").alias("_word")).agg(F.bit_or("b_bits").alias("_met"))
     total = met.groupBy("shape_id").agg(F.sum(F.bit_count("_met")).alias("_n"))
     out = asking.join(total, "shape_id", "left").join(met, ["shape_id", "_word"], "left")

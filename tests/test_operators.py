@@ -291,6 +291,9 @@ def test_recurrent_trails_by_brute_force(spark):
     rng = np.random.default_rng(9)
     rows = [(i, int(rng.integers(0, 6)), "s" if i % 2 else "a", *map(float, rng.uniform(0, 300, 4)), float(rng.uniform(1, 5)), 1.0) for i in range(80)]
     rows += [(100 + i, i % 6, "s", 10.0, 10.0, 200.0, 100.0, 3.0, 1.0) for i in range(30)]
+    # Points, alone and far along level or slightly tilted trails.
+    rows += [(200 + i, i % 6, "s", 900.0 * i, 5.0 * (i % 3), 900.0 * i, 5.0 * (i % 3), 2.0, 1.0) for i in range(8)]
+    rows += [(300 + i, i % 5, "s", 20.0 * i, 4.0, 20.0 * i + 60, 4.0 - 3 * (i % 4), 2.0, 1.0) for i in range(8)]
     df = spark.createDataFrame(rows, "trail_id bigint, frame_id bigint, kind string, x1 double, y1 double, x2 double, y2 double, width double, weight double")
     got = {r["trail_id"]: r["recurring_frames"] for r in ev.recurrent_trails(df, 3).collect()}
     for a in rows:
