@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +83,8 @@ def detect_stars(df: DataFrame, width: int, height: int, max_stars: int | None =
 def cutouts(stars: DataFrame, df: DataFrame, radius: int, channel: int | None = None) -> DataFrame:
     """Pixels of the square of ``2*radius+1`` around each star: ``frame_id star_id dx dy value coverage``.
 
-    Stars are copied to the (at most four) cells their square touches and meet pixels by an equi-join on the cell."""
+    Stars are copied to the (at most four) cells their square touches and meet pixels by an equi-join on the cell. Both sides
+    are shuffled: pixels made from arrays are far more than the plan's estimate, which would have them broadcast."""
     size = 2 * radius + 1
     px, py = F.floor(F.col("x") + 0.5).cast("int"), F.floor(F.col("y") + 0.5).cast("int")
     s = stars.select("frame_id", "star_id", F.col("x").alias("sx"), F.col("y").alias("sy"), px.alias("px"), py.alias("py"))
@@ -90,7 +93,7 @@ def cutouts(stars: DataFrame, df: DataFrame, radius: int, channel: int | None =
     rows = df if channel is None else df.where(F.col("channel") == channel)
     extra = ["channel"] if channel is None and "channel" in df.columns else []
     rows = rows.select("frame_id", "x", "y", *extra, "value", "coverage", F.floor(F.col("x") / size).alias("_cx"), F.floor(F.col("y") / size).alias("_cy"))
-    both = rows.join(s, ["frame_id", "_cx", "_cy"])
+    both = rows.hint("merge").join(s, ["frame_id", "_cx", "_cy"])
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
     return both.where((F.abs(dx) <= radius) & (F.abs(dy) <= radius)).select(
         "frame_id", "star_id", "sx", "sy", "px", "py", *extra, dx.alias("dx"), dy.alias("dy"), "value", "coverage")
@@ -101,14 +104,80 @@ def cutouts(stars: DataFrame, df: DataFrame, radius: int, channel: int | None =
 TUKEY, SCALE, COVERED, SKY_PIXELS, CLIPPED, AT_PEAK = 4.685, 1.4826, 0.98, 30, 5, 1e-6
 
 
-def solve3(m: list[Column], v: list[Column]) -> list[Column]:
-    """Solution of a symmetric 3x3 system (m: 00 01 02 11 12 22) by cofactors; NULL where it is singular."""
-    a, b, c, d, e, f = m
-    inverse = [d * f - e * e, c * e - b * f, b * e - c * d, a * f - c * c, b * c - a * e, a * d - b * b]
-    det = a * inverse[0] + b * inverse[1] + c * inverse[2]
-    det = F.when(F.abs(det) > 1e-12 * F.abs(a * d * f), det)
-    rows = [(0, 1, 2), (1, 3, 4), (2, 4, 5)]
-    return [sum((inverse[k] * x for k, x in zip(r, v)), F.lit(0.0)) / det for r in rows]
+def star_planes(lead: int, rounds: int):
+    """Arrow function of :func:`aperture_photometry` over pixels sorted by the first ``lead`` columns, which name the star."""
+    def star(x, y, v, inner, sky):
+        known = ~np.isnan(v)
+        used = sky & known
+        out = dict.fromkeys(("_top", "_p0", "flux", "sky_sigma", "_spread"))
+        out |= {"_hole": int((~known).sum()), "_n": int(used.sum()), "_area": float(inner.sum()), "_used": 0, "_same": 0}
+        if not known.any():
+            return out
+        out["_top"] = float(v[known].max())
+        terms = np.stack([np.ones_like(x), x, y])
+        squares = np.stack([terms[0], x, y, x * x, x * y, y * y])
+        z, w = np.where(known, v, 0.0), used.astype(float)
+        for step in range(rounds + 1):
+            if step:
+                e = v[used] - plane @ terms[:, used]
+                e = e - np.median(e)
+                u = e / (TUKEY * max(SCALE * np.median(np.abs(e)), 1e-12, abs(plane[0]) * 1e-7))
+                w[used] = np.where(np.abs(u) < 1, (1 - u * u) * (1 - u * u), 0.0)
+            normal = squares @ w
+            plane = solved(normal, terms @ (w * z))
+            if plane is None:
+                return out
+        levers = w * (solved(normal, terms @ inner) @ terms)
+        rest = v - plane @ terms
+        off = rest[used]
+        core = known & (np.abs(x) <= 2.5) & (np.abs(y) <= 2.5)
+        peak = v[core].max() if core.any() else np.nan
+        contrast = peak - plane[0]
+        out |= {"_p0": float(plane[0]), "flux": float((inner * rest)[known].sum()), "_used": int((w > 0.01).sum()),
+                "sky_sigma": float(SCALE * np.median(np.abs(off - np.median(off)))), "_spread": float((inner * inner + levers * levers).sum()),
+                "_same": int((np.abs(v[core] - peak) <= contrast * AT_PEAK).sum()) if contrast > 0 else 0}
+        return out
+
+    def solved(m, v):
+        a, b, c, d, e, f = m
+        inverse = np.array([[d * f - e * e, c * e - b * f, b * e - c * d], [c * e - b * f, a * f - c * c, b * c - a * e], [b * e - c * d, b * c - a * e, a * d - b * b]])
+        det = a * inverse[0, 0] + b * inverse[0, 1] + c * inverse[0, 2]
+        return inverse @ v / det if abs(det) > 1e-12 * abs(a * d * f) else None
+
+    def measured(batch):
+        names = batch.schema.names[:lead]
+        x, y, v, inner, sky = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "v", "_in", "_sky"))
+        starts = heads(batch)
+        ends = [*starts[1:], batch.num_rows]
+        rows = [star(x[i:j], y[i:j], v[i:j], inner[i:j], sky[i:j].astype(bool)) for i, j in zip(starts, ends)]
+        made = pa.Table.from_pylist(rows, pa.schema([(k, pa.float64()) for k in ("_area", "_top", "_p0", "flux", "sky_sigma", "_spread")]
+                                                    + [(k, pa.int64()) for k in ("_hole", "_n", "_used", "_same")])).combine_chunks()
+        first = batch.select(names).take(pa.array(starts))
+        return pa.RecordBatch.from_arrays([*first.columns, *[c.combine_chunks() for c in made.columns]], names=[*names, *made.column_names])
+
+    def heads(batch) -> list[int]:
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for c in batch.columns[:lead]:
+            codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new).tolist()
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            last = heads(batch)[-1]
+            if last:
+                yield measured(batch.slice(0, last))
+            rest = batch.slice(last)
+        if rest is not None:
+            yield measured(rest)
+
+    return run
 
 
 def aperture_photometry(stars: DataFrame, df: DataFrame, radius: float = 5.0, sky_inner: float = 8.0, sky_outer: float = 12.0,
@@ -116,50 +185,25 @@ def aperture_photometry(stars: DataFrame, df: DataFrame, radius: float = 5.0, sk
     """Circular aperture whose edge pixels count by the share of 8x8 points inside, over a plane fitted to the annulus
     with bisquare weights. A star is measured in all its channels or in none: the first channel that fails names the status.
 
-    A star's pixels (83 x 83 at most) meet once by a shuffle on the star; each round of the plane is then two percentiles and
-    nine weighted sums over them, all stars at a time."""
+    A star's pixels (83 x 83 at most) meet once by a shuffle on the star; the plane's rounds then run star by star in
+    batches of pixels, so a task holds one batch and one star."""
     require(3 <= radius <= 20 and sky_inner > radius + 1 and sky_outer >= sky_inner + 2 and sky_outer <= 40, "aperture radii out of range")
     finite("min_snr", min_snr, 1)
     keys = ["frame_id", "star_id", "channel"]
-    per = Window.partitionBy(*keys)
     pix = cutouts(stars, df, int(math.ceil(sky_outer + 1))).select(
         *keys, "sx", "sy", (F.col("px") + F.col("dx") - F.col("sx")).alias("x"), (F.col("py") + F.col("dy") - F.col("sy")).alias("y"),
-        F.when(F.col("coverage") >= 0.999999, F.col("value")).alias("v"))
-    x, y, v = F.col("x"), F.col("y"), F.col("v")
+        F.when(F.col("coverage") >= 0.999999, F.col("value")).cast("double").alias("v"))
+    x, y = F.col("x"), F.col("y")
     d = F.hypot(x, y)
     points = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0), lambda n, k: n + F.when(
         F.hypot(x + (k % 8 + 0.5) / 8 - 0.5, y + (F.floor(k / 8) + 0.5) / 8 - 0.5) <= radius, 1).otherwise(0)) / 64.0
     share = F.when(d < radius - 0.71, 1.0).when(d < radius + 0.71, points).otherwise(0.0)
-    pix = pix.withColumns({"_in": share, "_sky": d.between(sky_inner, sky_outer)}).where(F.col("_sky") | (F.col("_in") > 0))
-    inner, sky = F.col("_in"), F.col("_sky")
-    over = lambda c: F.sum(c).over(per)
-    pix = pix.withColumns({"_hole": F.count_if(v.isNull()).over(per), "_area": over(inner), "_n": F.count_if(sky & v.isNotNull()).over(per),
-                           "_top": F.max(v).over(per), "_ax": over(inner * x), "_ay": over(inner * y), "_w": F.when(sky & v.isNotNull(), 1.0).otherwise(0.0),
-                           "_p0": F.lit(0.0), "_p1": F.lit(0.0), "_p2": F.lit(0.0)})
-    w = F.col("_w")
-    level = F.col("_p0") + F.col("_p1") * x + F.col("_p2") * y
-    for step in range(rounds + 1):
-        if step:
-            pix = pix.withColumn("_e", F.when(sky, v - level))
-            pix = pix.withColumn("_d", F.col("_e") - F.percentile("_e", F.lit(0.5)).over(per))
-            pix = pix.withColumn("_s", SCALE * F.percentile(F.abs("_d"), F.lit(0.5)).over(per))
-            u = F.col("_d") / (TUKEY * F.greatest("_s", F.lit(1e-12), F.abs("_p0") * 1e-7))
-            pix = pix.withColumn("_w", F.coalesce(F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)), F.lit(0.0)))
-        pix = pix.withColumns({"_m0": over(w), "_m1": over(w * x), "_m2": over(w * y), "_m3": over(w * x * x), "_m4": over(w * x * y), "_m5": over(w * y * y),
-                               "_z0": over(w * v), "_z1": over(w * x * v), "_z2": over(w * y * v)})
-        normal = [F.col(f"_m{k}") for k in range(6)]
-        pix = pix.withColumns({f"_p{k}": c for k, c in enumerate(solve3(normal, [F.col("_z0"), F.col("_z1"), F.col("_z2")]))})
-    # How much each sky pixel enters the sum of the plane over the aperture.
-    pix = pix.withColumns({f"_g{k}": c for k, c in enumerate(solve3(normal, [F.col("_area"), F.col("_ax"), F.col("_ay")]))})
-    lever = w * (F.col("_g0") + F.col("_g1") * x + F.col("_g2") * y)
-    core = (F.abs(x) <= 2.5) & (F.abs(y) <= 2.5)
-    pix = pix.withColumns({"_rest": v - level, "_peak": F.max(F.when(core, v)).over(per), "_used": F.count_if(w > 0.01).over(per)})
-    pix = pix.withColumn("_off", F.when(sky, F.abs(F.col("_rest") - F.percentile(F.when(sky, F.col("_rest")), F.lit(0.5)).over(per))))
-    contrast = F.col("_peak") - F.col("_p0")
-    same = core & (contrast > 0) & (F.abs(v - F.col("_peak")) <= contrast * AT_PEAK)
-    one = pix.groupBy(*keys, "sx", "sy").agg(
-        *[F.first(c).alias(c) for c in ("_hole", "_area", "_n", "_top", "_used", "_p0")], F.count_if(same).alias("_same"), F.sum(inner * F.col("_rest")).alias("flux"),
-        (SCALE * F.percentile("_off", F.lit(0.5))).alias("sky_sigma"), F.sum(inner * inner + lever * lever).alias("_spread"))
+    # Far pixels go before the shares are worked out.
+    pix = pix.where(d <= sky_outer).withColumns({"_in": share, "_sky": d.between(sky_inner, sky_outer)})
+    pix = pix.where(F.col("_sky") | (F.col("_in") > 0)).repartition(*keys).sortWithinPartitions(*keys, "sx", "sy", "y", "x")
+    fields = ", ".join(f"{k} double" for k in ("_area", "_top", "_p0", "flux", "sky_sigma", "_spread"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pix.schema if f.name in (*keys, "sx", "sy"))
+    one = pix.mapInArrow(star_planes(len(keys) + 2, rounds), f"{kept}, {fields}, _hole bigint, _n bigint, _used bigint, _same bigint")
     one = one.withColumn("noise", F.col("sky_sigma") * F.sqrt("_spread")).withColumn("snr", F.col("flux") / F.greatest(F.lit(1e-30), F.col("noise")))
     status = (F.when((F.col("_hole") > 0) | (F.col("_area") < COVERED * math.pi * radius * radius), "coverage")
               .when((F.lit(saturation) > 0) & (F.col("_top") >= saturation), "saturation").when(F.col("_n") < SKY_PIXELS, "sky-samples")
@@ -239,7 +283,7 @@ def fit_star_shapes(stars: DataFrame, df: DataFrame, channel: int | None = None,
     out = one.select(*keys, F.coalesce(good, F.lit(False)).alias("ok"), *[F.when(good, c).alias(n) for c, n in (
         (F.col("px") + F.col("_cx"), "x"), (F.col("py") + F.col("_cy"), "y"), (F.col("residual"), "residual"), (F.col("_xx"), "xx"), (F.col("_yy"), "yy"), (F.col("_xy"), "xy"))])
     # A star at the edge has no full square and no row above: it keeps its place as a failed fit.
-    return stars.select(*keys).join(out, keys, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    return stars.select(*keys).join(out.hint("merge"), keys, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
 def star_mask(stars: DataFrame, width: int, height: int, radius: int = 3, large_radius: int = 6, opacity: float = 1.0,

@@ -280,6 +280,16 @@ def test_star_is_detected_fitted_and_measured(spark):
     assert phot[2]["status"] == "edge"
 
 
+def test_pixels_made_from_arrays_are_shuffled_to_their_stars(spark):
+    grid = spark.range(3).withColumnsRenamed({"id": "frame_id"}).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(48 * 48 - 1)))).select(
+        "frame_id", (F.col("p") % 48).alias("x"), F.floor(F.col("p") / 48).cast("int").alias("y"), F.lit(0).alias("channel"),
+        F.expr("10 + 50 * exp(-(power(p % 48 - 24.2, 2) + power(p div 48 - 23.9, 2)) / 6) + 0.01 * (p % 7)").alias("value"), F.lit(1.0).alias("coverage"))
+    star = spark.range(3).select(F.col("id").alias("frame_id"), F.col("id").alias("star_id"), F.lit(24.2).alias("x"), F.lit(23.9).alias("y"))
+    for out in (st.aperture_photometry(star, grid, 6.0, 9.0, 14.0), st.fit_star_shapes(star, grid)):
+        assert out.count() == 3
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_equal_neighbours_give_one_star(spark):
     df = frame(spark, lambda f, x, y: 10.0 if (x, y) in ((5, 5), (6, 5)) else 0.0, 12, 12)
     assert [(r["cx"], r["cy"]) for r in st.star_candidates(df, 12, 12, 1.0).collect()] == [(5, 5)]
