@@ -107,3 +107,18 @@ def test_modules_import_before_a_session_exists():
     root = Path(__file__).resolve().parents[1]
     code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_fields_are_compared_once_per_class(spark):
+    text, numeric = {"camera": "A", "frameType": "Light"}, {"gain": 1.0, "exposure": 30.0}
+    rows = [(i, text, numeric | {"sensorTemperature": 300.0 if i == 0 else i / 10}, 8, 8, 1, []) for i in range(20)]
+    inputs = spark.createDataFrame(rows, ACQ).withColumnRenamed("id", "frame_id")
+    masters = spark.createDataFrame([(i, text | {"frameType": "Master Dark"}, numeric | {"sensorTemperature": i / 10}, 8, 8, 1, []) for i in range(15)], ACQ)
+    masters = masters.withColumnRenamed("id", "master_id")
+    members = md.group_acquisitions(inputs)[0]
+    assert not members.schema["group_id"].nullable
+    # One class of good inputs, one of the spoilt record, one of masters.
+    assert md._classes(inputs, masters, "dark", "frame_id", "master_id", [], ["gain"])[2].count() == 2
+    issues = md.calibration_plan(inputs, members, masters, "dark", 0.05, [], ["gain"])[1]
+    # A temperature that is invalid by itself counts its member once.
+    assert {r["count"] for r in issues.where("field = 'sensorTemperature' and issue = 'invalid'").collect()} == {1}
