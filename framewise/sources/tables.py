@@ -58,16 +58,27 @@ def read_object_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+#: Contour points handed on together (a contour has 50,000 at most).
+OUTLINE_ROWS = 20_000
+
+
 def parse_outlines(texts: DataFrame, catalog: DataFrame | None = None, header: str | None = None) -> DataFrame:
     """A5 on (path, text): contours as rows ``id contour_no point_no ra dec``; ids not in the catalog are dropped.
 
-    A contour is ``id n`` and n coordinate pairs; the tokens of one text are walked in order by the task that holds it."""
+    A contour is ``id n`` and n coordinate pairs; the tokens of one text are walked in order by the task that holds it.
+    Small contours travel together."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = []
+        frame = lambda: pd.DataFrame(made, columns=["path", "id", "contour_no", "point_no", "ra", "dec"])
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"]):
-                for start, rows in contours(text, header):
-                    yield pd.DataFrame(rows, columns=["id", "contour_no", "point_no", "ra", "dec"]).assign(path=path)[
-                        ["path", "id", "contour_no", "point_no", "ra", "dec"]]
+                for _, rows in contours(text, header):
+                    made += [(path, *row) for row in rows]
+                    if len(made) >= OUTLINE_ROWS:
+                        yield frame()
+                        made = []
+        if made:
+            yield frame()
 
     out = texts.select("path", "text").mapInPandas(run, "path string, id string, contour_no int, point_no int, ra double, dec double")
     return out if catalog is None else out.join(catalog.select("id"), "id", "left_semi")

@@ -174,3 +174,12 @@ def test_arrays_inventory_and_results(spark, tmp_path):
     assert spark.read.parquet(out).count() == 8
     with pytest.raises(Exception):
         tables.write_result(long, out)
+
+
+def test_small_contours_travel_together(spark):
+    n = tables.OUTLINE_ROWS // 3 + 10
+    text = "X-Outlines-1 " + " ".join(f"C{i % 7} 3 1 1 2 2 3 {i % 80}" for i in range(n))
+    texts = spark.createDataFrame([("a", text)], "path string, text string")
+    rows = tables.parse_outlines(texts).collect()
+    assert len(rows) == 3 * n and {r["path"] for r in rows} == {"a"}
+    assert (rows[-1]["id"], rows[-1]["contour_no"], rows[-1]["point_no"], rows[-1]["dec"]) == (f"C{(n - 1) % 7}", (n - 1) // 7, 2, float((n - 1) % 80))
