@@ -183,16 +183,22 @@ def _matrix(lists: pa.Array, n: int, width: int | None = None) -> np.ndarray:
 
 
 def _views(df: DataFrame, columns: list[list[str]]) -> DataFrame:
-    """``h, label, text_view, meta_view``: both views as arrays, and a hash that tells different rows apart."""
+    """``doc_id, h, label, text_view, meta_view``: both views as arrays, and a hash that tells different rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, meta = text_view(batch.column("text")), meta_view(columns, *(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))],
-                                             names=["h", "label", "text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "h", "label")], pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))],
+                                             names=["doc_id", "h", "label", "text_view", "meta_view"])
 
-    rows = df.select(F.xxhash64("doc_id", "text").alias("h"), "label", "text", "lang", "source", "n_chars")
-    return rows.mapInArrow(run, "h bigint, label int, text_view array<double>, meta_view array<double>")
+    rows = df.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "label", "text", "lang", "source", "n_chars")
+    return rows.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, h bigint, label int, text_view array<double>, meta_view array<double>")
+
+
+def unlabelled(rows: DataFrame, labels: DataFrame, columns: list[list[str]]) -> DataFrame:
+    """Views of the rows whose id has no label. Views are worked out before the join, so that no text travels for it."""
+    known = labels.select("doc_id").where("doc_id is not null").distinct()
+    return _views(rows.withColumn("label", F.lit(None).cast("int")), columns).join(known, "doc_id", "left_anti").drop("doc_id")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, fit_rows: int = FIT_ROWS, fold: tuple[int, int] = (4, 2)) -> DataFrame:
@@ -238,9 +244,7 @@ def learn(inputs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int
     order = np.lexsort([*text.T, seen.column("h").to_numpy()])
     if len(order) < 8 or label.min() == label.max():
         return None
-    known = labels.select("doc_id").where("doc_id is not null").distinct()
-    pool = cut(_views(rows.join(known, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("int")), columns))
-    return co_train(columns, text[order], meta[order], label[order], pool, fit_rows=fit_rows)
+    return co_train(columns, text[order], meta[order], label[order], cut(unlabelled(rows, labels, columns)), fit_rows=fit_rows)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -173,6 +173,16 @@ def test_label_model_discounts_repeats():
     assert correlation[0, 1] > 0.9 > abs(correlation[0, 2]) and abs(rate[1, 0] - 0.7) < 0.1 and ((q > 0.5) == truth).mean() > 0.94
 
 
+def test_quality_sends_views_not_texts(spark, odd):
+    """Of documents without a label the views travel to the join with the labels, not the texts."""
+    docs = odd.selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(1 as bigint) n_chars")
+    labels = spark.createDataFrame([(1, 1), (4, 0), (4, 0), (None, 1)], "doc_id bigint, quality int")
+    pool = quality.unlabelled(docs, labels, [["en"], ["s"]])
+    assert pool.columns == ["h", "label", "text_view", "meta_view"] and pool.count() == len(ODD) - 2
+    plan = pool._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("LeftAnti") < plan.index("MapInArrow")
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     out = quality.quality(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
