@@ -163,6 +163,29 @@ def test_row_numbers_with_a_heavy_key(spark):
 
 # --- sky and spectra ---------------------------------------------------------------------------
 
+def sky_field(spark, n_panels):
+    rng = np.random.default_rng(9)
+    catalog = spark.createDataFrame([(i, float(rng.uniform(0, 360)), float(rng.uniform(-90, 90)), 5.0, f"o{i}") for i in range(800)],
+                                    "id bigint, ra double, dec double, major_arcmin double, label string")
+    wcs = spark.createDataFrame([(p, 500.5, 400.5, float(rng.uniform(0, 360)), float(rng.uniform(-80, 80)), [-0.02, 0.0, 0.0, 0.02], [], 1000, 800) for p in range(n_panels)],
+                                "panel_id int, px double, py double, pra double, pdec double, cd array<double>, "
+                                "sip array<struct<i: int, j: int, a: double, b: double>>, width int, height int")
+    return catalog, wcs
+
+
+def test_copies_of_panels_are_never_broadcast(spark):
+    """A panel is copied to all cells its cone reaches, which the size of its table does not tell."""
+    plan = sky.cone_search(*sky_field(spark, 3))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_objects_on_any_panel_in_rounds(spark):
+    catalog, wcs = sky_field(spark, 60)
+    every = {r["id"] for r in sky.cone_search(catalog, wcs).select("id").distinct().collect()}
+    got = [r["id"] for r in sky.on_any_panel(catalog, wcs, few=1, share=16).collect()]
+    assert len(got) == len(set(got)) and set(got) == every and 0 < len(every) < 800
+
+
 def test_cone_search_matches_every_pair_near_poles_and_the_date_line(spark):
     rng = np.random.default_rng(8)
     cat = [(i, float(rng.uniform(0, 360)), float(np.degrees(np.arcsin(rng.uniform(-1, 1))))) for i in range(1500)]
