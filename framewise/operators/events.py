@@ -32,6 +32,81 @@ def overlapping(left: DataFrame, right: DataFrame, cell: float, left_id: str, ri
         "iou", iou(*[F.col(f"l_{c}") for c in BOX], *[F.col(f"r_{c}") for c in BOX])).drop("_cx", "_cy")
 
 
+def touching(left: DataFrame, right: DataFrame, cell: float, left_cols: list[str], right_cols: list[str]) -> DataFrame:
+    """Pairs of boxes whose rectangles share a cell, each once: columns of both, whose names must differ."""
+    def spread(df: DataFrame, p: str, cols: list[str]) -> DataFrame:
+        at = lambda lo, size: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(lo) + F.col(size)) / cell))
+        df = df.withColumn("_cx", F.explode(at("x", "width"))).withColumn("_cy", F.explode(at("y", "height")))
+        # Work grows with the pairs and not with the bytes shuffled: the number of partitions is set.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.select("_cx", "_cy", *cols, F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y")).repartition(parts, "_cx", "_cy")
+
+    both = spread(left, "_l", left_cols).join(spread(right, "_r", right_cols), ["_cx", "_cy"])
+    return both.where((F.floor(F.greatest("_lx", "_rx") / cell) == F.col("_cx")) & (F.floor(F.greatest("_ly", "_ry") / cell) == F.col("_cy"))).select(*left_cols, *right_cols)
+
+
+def matched(left: DataFrame, right: DataFrame, threshold: float, cell: float, word: list[str], merge, better) -> DataFrame:
+    """``box_id, *word, _load``: the ``_load`` of all boxes of ``right`` (per ``word``) with an IoU of at least ``threshold``
+    with a box of ``left``, put together by ``merge``.
+
+    Boxes of like place and size form lumps, whose number is bounded by the image and not by the boxes. What the bounds of two
+    lumps decide is settled for all their members; a pair of lumps they leave open goes on, first as box and lump, then as box
+    and box, only where ``better`` says that its load would add to what is known to match."""
+    bound = [f"{e}{i}" for e in ("x", "r", "y", "b", "s") for i in (0, 1)]
+    step = lambda size: F.floor(F.log2(F.greatest(F.col(size), F.lit(1e-9))) * 3)
+    place = lambda at, size: F.floor(F.col(at) * 3 / F.pow(F.lit(2.0), step(size) / 3))
+    value = {"x": F.col("x"), "r": F.col("x") + F.col("width"), "y": F.col("y"), "b": F.col("y") + F.col("height"), "s": F.col("width") * F.col("height")}
+
+    def lumped(df: DataFrame, p: str) -> DataFrame:
+        return df.withColumn(f"{p}_lump", F.xxhash64(step("width"), step("height"), place("x", "width"), place("y", "height")))
+
+    def bounds(df: DataFrame, p: str, by: list[str], *more: Column) -> DataFrame:
+        ends = [f(v).alias(f"{p}_{e}{i}") for e, v in value.items() for i, f in ((0, F.min), (1, F.max))]
+        out = df.groupBy(*by).agg(*ends, *more)
+        return out.withColumns({"x": F.col(f"{p}_x0"), "y": F.col(f"{p}_y0"), "width": F.col(f"{p}_r1") - F.col(f"{p}_x0"), "height": F.col(f"{p}_b1") - F.col(f"{p}_y0")})
+
+    def judged(df: DataFrame) -> DataFrame:
+        c = lambda n: F.col(n)
+        length = lambda lo, hi, i: F.greatest(F.lit(0.0), F.least(c(f"l_{hi}{i}"), c(f"r_{hi}{i}")) - F.greatest(c(f"l_{lo}{1 - i}"), c(f"r_{lo}{1 - i}")))
+        inner, outer = (length("x", "r", i) * length("y", "b", i) for i in (0, 1))
+        low = F.try_divide(inner, c("l_s1") + c("r_s1") - inner)
+        rest = c("l_s0") + c("r_s0") - outer
+        high = F.when(rest > 0, F.try_divide(outer, rest)).otherwise(F.signum(outer))
+        df = df.withColumn("_sure", F.coalesce((low >= threshold * (1 + 1e-9)) & (inner > 0), F.lit(False)))
+        return df.where(F.col("_sure") | (high >= threshold * (1 - 1e-9)))
+
+    def unsettled(pairs: DataFrame, best: DataFrame, key: str) -> DataFrame:
+        seen = pairs.where(~F.col("_sure")).join(best.withColumnRenamed("_load", "_best"), [key, *word], "left")
+        return seen.where(F.col("_best").isNull() | better(F.col("_load"), F.col("_best")))
+
+    a, b = lumped(left, "l"), lumped(right, "r")
+    r_cols = ["r_lump", *word, *[f"r_{n}" for n in bound], "_load"]
+    lumps = touching(bounds(a, "l", ["l_lump"]), bounds(b, "r", ["r_lump", *word], merge("_load").alias("_load")), cell,
+                     ["l_lump", *[f"l_{n}" for n in bound]], r_cols)
+    lumps = judged(lumps)
+    best = cut_lineage(lumps.where("_sure").groupBy("l_lump", *word).agg(merge("_load").alias("_load")))
+    todo = cut_lineage(unsettled(lumps, best, "l_lump").select("l_lump", *r_cols))
+    ones = a.select("box_id", "l_lump", *[value[n[0]].alias(f"l_{n}") for n in bound])
+    boxes = judged(ones.join(todo, "l_lump"))
+    whole = ones.select("box_id", "l_lump").join(best, "l_lump").select("box_id", *word, "_load")
+    best = cut_lineage(whole.unionByName(boxes.where("_sure").select("box_id", *word, "_load")).groupBy("box_id", *word).agg(merge("_load").alias("_load")))
+    todo = cut_lineage(unsettled(boxes, best, "box_id").select("box_id", "r_lump", *word, "_best"))
+    named = lambda df, p, more: df.select(*more, *[F.col(n).alias(f"{p}_{n}") for n in BOX])
+    single = todo.join(named(b, "r", ["r_lump", *word, "_load"]), ["r_lump", *word]).where(F.col("_best").isNull() | better(F.col("_load"), F.col("_best")))
+    single = single.join(named(left, "l", ["box_id"]), "box_id").where(iou(*[F.col(f"l_{n}") for n in BOX], *[F.col(f"r_{n}") for n in BOX]) >= threshold)
+    return best.unionByName(single.select("box_id", *word, "_load")).groupBy("box_id", *word).agg(merge("_load").alias("_load"))
+
+
+def frame_numbers(df: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows with ``_bit``, and the number of their frame, of which ``_bit`` is the remainder by 64."""
+    number = F.col("frame_id").cast("bigint")
+    if not isinstance(df.schema["frame_id"].dataType, IntegralType):
+        # Any distinct numbers do; written once, since they depend on the partitions.
+        frames = cut_lineage(df.select("frame_id").distinct().withColumn("_frame", F.monotonically_increasing_id()))
+        df, number = df.join(frames, "frame_id"), F.col("_frame")
+    return df.withColumn("_bit", F.pmod(number, F.lit(64)).cast("int")), number
+
+
 def distinct_boxes(regions: DataFrame, by: list[str]) -> DataFrame:
     """Equal boxes are one candidate: pairing them again cannot change what they match."""
     return regions.groupBy(*by, *BOX).agg(F.count(F.lit(1)).alias("copies"))
@@ -43,24 +118,26 @@ def temporal_support(candidates: DataFrame, references: DataFrame, existing: Dat
 
     A dark candidate is supported by a reference frame with a dark box of IoU >= .10; it is confirmed with support
     in ``max(2, (n+2)/3)`` frames and a fill of >= .50. If it lies (IoU >= .50) on an existing region, that region
-    or an earlier confirmed candidate gains confidence, otherwise it is new. Pairs come from cells, and equal boxes
-    are compared once."""
+    or an earlier confirmed candidate gains confidence, otherwise it is new. Frames met and regions hit are found lump by
+    lump (see ``matched``); only new candidates are paired one by one."""
     require(reference_frames >= 1, "at least one reference frame")
     require_columns(candidates, ["region_id", *BOX, "coverage", "confidence", "mean_luminance", "background_luminance"], "candidates")
     dark = F.col("mean_luminance") < F.col("background_luminance")
     fill = F.col("coverage") / F.greatest(F.col("width") * F.col("height") / image_area, F.lit(1e-6))
     cand = candidates.where(dark & (fill >= 0.5))
-    boxes = distinct_boxes(cand, []).withColumn("box_id", F.xxhash64(*BOX))
-    refs = distinct_boxes(references.where(dark), ["frame_id"])
-    pairs = overlapping(boxes, refs, cell, "box_id", ["frame_id"]).where(F.col("iou") >= 0.10)
-    support = pairs.select(F.col("l_box_id").alias("box_id"), "r_frame_id").distinct().groupBy("box_id").agg(F.count(F.lit(1)).alias("support"))
+    boxes = lambda df: distinct_boxes(df, []).withColumn("box_id", F.xxhash64(*BOX))
+    refs, number = frame_numbers(references.where(dark))
+    refs = refs.groupBy(*BOX, F.floor(number / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_load"))
+    new = lambda load, best: load.bitwiseAND(F.bitwise_not(best)) != 0
+    support = matched(boxes(cand), refs, 0.10, cell, ["_word"], F.bit_or, new).groupBy("box_id").agg(F.sum(F.bit_count("_load")).cast("bigint").alias("support"))
     need = max(2, (reference_frames + 2) // 3)
     cand = cand.withColumn("box_id", F.xxhash64(*BOX)).join(support.where(F.col("support") >= need), "box_id")
     cand = cut_lineage(cand.select("region_id", *BOX, "coverage", "confidence", "mean_luminance", "background_luminance", "support", "box_id"))
     # Regions a candidate may fall on, in list order: the existing ones, then candidates confirmed before it.
+    known = existing.groupBy(*BOX).agg(F.min("region_id").alias("_load"))
+    onto = matched(boxes(cand), known, 0.50, cell, [], F.min, lambda load, best: load < best)
+    on_existing = cut_lineage(cand.select("region_id", "box_id").join(onto, "box_id").select("region_id", F.col("_load").alias("_onto")))
     as_boxes = lambda df, order: df.select("region_id", *BOX, F.lit(order).alias("_order"))
-    on_existing = overlapping(as_boxes(cand, 1), as_boxes(existing, 0), cell, "region_id", ["region_id"]).where(F.col("iou") >= 0.50)
-    on_existing = on_existing.groupBy(F.col("l_region_id").alias("region_id")).agg(F.min("r_region_id").alias("_onto"))
     free = cand.join(on_existing, "region_id", "left_anti")
     clash = overlapping(as_boxes(free, 1), as_boxes(free, 1), cell, "region_id", ["region_id"]).where(
         (F.col("iou") >= 0.50) & (F.col("r_region_id") < F.col("l_region_id")))

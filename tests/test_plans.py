@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,24 @@ def test_confirmed_regions_follow_the_sequential_rule(spark):
         assert got[r["id"]] == (r["s"], pytest.approx(r["c"]))
 
 
+def test_matched_boxes_by_lumps(spark):
+    """Loads of all boxes that match, as by comparing every pair; crowds and single boxes, touching and empty ones."""
+    rng = np.random.default_rng(3)
+    def some(n):
+        return [(i, float(x), float(y), float(w), float(h)) for i, (x, y, w, h) in enumerate(zip(rng.choice([0, 40, 80, 333.3], n), rng.choice([0, 60], n), rng.exponential(60, n) + 1, rng.exponential(30, n) + 1))]
+    left, right = [*some(60), (60, 0.0, 0.0, 0.0, 5.0)], some(200)
+    def overlap(a, b):
+        w, h = (max(0.0, min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i])) for i in (1, 2))
+        union = a[3] * a[4] + b[3] * b[4] - w * h
+        return w * h / union if union > 0 else 0.0
+    schema = "double, ".join(["x ", "y ", "width ", "height "]) + "double"
+    l, r = spark.createDataFrame(left, "box_id bigint, " + schema), spark.createDataFrame(right, "_load bigint, " + schema)
+    for threshold in (0.1, 0.5):
+        got = {v["box_id"]: v["_load"] for v in ev.matched(l, r, threshold, 64.0, [], F.min, lambda load, best: load < best).collect()}
+        hits = {a[0]: [b[0] for b in right if overlap(a, b) >= threshold] for a in left}
+        assert got == {k: min(v) for k, v in hits.items() if v}
+
+
 def test_registered_queries_and_oracles_fit_together():
     queries, oracles = registry.queries(), registry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 150
