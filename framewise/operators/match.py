@@ -11,6 +11,9 @@ from ..schema import finite, require, require_columns
 from ..session import cut_lineage
 from .stats import join_keys, quantiles, row_numbers
 
+#: Parts into which C5 deals the moving stars of a key.
+VOTE_PARTS = 8
+
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[str], left_cols: list[str],
                right_cols: list[str], lx: str = "x", ly: str = "y", rx: str = "x", ry: str = "y") -> DataFrame:
@@ -93,7 +96,8 @@ def match_translation(ref: DataFrame, moving: DataFrame, tolerance: float, keys:
                       max_stars: int | None = None, id_col: str = "star_id") -> DataFrame:
     """Shift per key by votes of all pairs of catalog stars in bins of ``max(.25, tolerance)``.
 
-    All stars of an image vote, or its brightest ``max_stars`` where a caller names a number; votes are counted map-side.
+    All stars of an image vote, or its brightest ``max_stars`` where a caller names a number; votes are counted map-side and
+    no pair is shuffled: the pairs near the winning shift are found again by position.
     Ties between bins: more votes, then the smaller bin."""
     finite("tolerance", tolerance, 0)
     require(max_stars is None or max_stars >= 1, "max_stars must be positive")
@@ -102,19 +106,35 @@ def match_translation(ref: DataFrame, moving: DataFrame, tolerance: float, keys:
     star = lambda d, p: voters(d).select(
         *keys, F.col(id_col).alias(f"{p}_id"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
     r, m = star(ref, "r"), star(moving, "m")
-    pairs = m.join(r, keys).select(*keys, "m_id", "r_id", (F.col("rx") - F.col("mx")).alias("dx"), (F.col("ry") - F.col("my")).alias("dy"))
     near = lambda c: (F.signum(c) * F.floor(F.abs(c) / tol + 0.5)).cast("bigint")
-    pairs = pairs.withColumns({"_bx": near(F.col("dx")), "_by": near(F.col("dy"))})
-    votes = pairs.groupBy(*keys, "_bx", "_by").agg(F.count(F.lit(1)).alias("_n"))
+    bins = {"_bx": near(F.col("dx")), "_by": near(F.col("dy"))}
+    offset = [(F.col("rx") - F.col("mx")).alias("dx"), (F.col("ry") - F.col("my")).alias("dy")]
+    # All pairs are only counted: a key is dealt in VOTE_PARTS parts, and what is shuffled is one row per bin and task. The number
+    # of tasks is named, since the catalogs are small and would be read by one.
+    tasks = 2 * ref.sparkSession.sparkContext.defaultParallelism
+    dealt = m.withColumn("_part", F.pmod(F.xxhash64("m_id"), F.lit(VOTE_PARTS)))
+    copies = r.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(VOTE_PARTS - 1).cast("bigint"))))
+    dealt, copies = (d.repartition(tasks, *keys, "_part") for d in (dealt, copies))
+    votes = dealt.join(copies, [*keys, "_part"]).select(*keys, *offset).withColumns(bins).groupBy(*keys, "_bx", "_by").agg(F.count(F.lit(1)).alias("_n"))
     peak = votes.groupBy(*keys).agg(F.max_by(F.struct("_bx", "_by"), F.struct(
         "_n", (-F.col("_bx")).alias("a"), (-F.col("_by")).alias("b"))).alias("_p"))
-    peak = peak.select(*keys, "_p._bx", "_p._by")
-    chosen = join_keys(pairs, peak, [*keys, "_bx", "_by"])
+    peak = cut_lineage(peak.select(*keys, F.col("_p._bx").alias("_px"), F.col("_p._by").alias("_py")))
+
+    def around(shifts: DataFrame, x: Column, y: Column) -> DataFrame:
+        """The pairs whose offset lies within ``tol`` of a key's shift, met by cells, with the columns of ``shifts``."""
+        moved = join_keys(m, shifts, keys).withColumns({"_sx": F.col("mx") + x, "_sy": F.col("my") + y})
+        # A little wider than the rule, which is then asked of the offsets themselves.
+        also = [c for c in shifts.columns if c not in keys]
+        found = near_pairs(moved, r, tol * 1.001, keys, ["m_id", "mx", "my", *also], ["rx", "ry"], "_sx", "_sy", "rx", "ry")
+        found = found.withColumnsRenamed({"l_mx": "mx", "l_my": "my", "r_rx": "rx", "r_ry": "ry", "l_m_id": "m_id", **{f"l_{c}": c for c in also}})
+        return found.select(*keys, "m_id", *offset, *also)
+
+    chosen = around(peak, F.col("_px") * tol, F.col("_py") * tol).withColumns(bins).where("_bx = _px and _by = _py")
     both = F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("dx").alias("v")), F.struct(F.lit(1).alias("axis"), F.col("dy").alias("v"))))
     axes = chosen.select(*keys, both.alias("e")).select(*keys, "e.axis", "e.v")
     mid = quantiles(axes, [*keys, "axis"], "v", {"_m": ("upper",)}).groupBy(*keys).agg(
         F.max(F.when(F.col("axis") == 0, F.col("_m"))).alias("_mx"), F.max(F.when(F.col("axis") == 1, F.col("_m"))).alias("_my"))
-    off = join_keys(pairs, mid, keys)
+    off = around(cut_lineage(mid), F.col("_mx"), F.col("_my"))
     gap = (F.col("dx") - F.col("_mx")) * (F.col("dx") - F.col("_mx")) + (F.col("dy") - F.col("_my")) * (F.col("dy") - F.col("_my"))
     inliers = off.where(gap <= tol * tol)
     # Element n // 2 of the inlier offsets ordered by (dx, dy).

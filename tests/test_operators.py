@@ -126,6 +126,34 @@ def test_translation_descriptors_and_nearest(spark):
     assert len(near) == 51 and all(p["ref_id"] == p["moving_id"] for p in near)
 
 
+def test_translation_counts_pairs_without_shuffling_them(spark):
+    rng = np.random.default_rng(8)
+    pts = rng.uniform(0, 10, (1000, 2))
+    ref = [(0, i, float(x), float(y)) for i, (x, y) in enumerate(pts)] + [(1, 5, 1.0, 1.0), (None, 6, 1.0, 1.0), (0, 5000, None, 2.0)]
+    mov = [(0, i, float(x) - 3.2, float(y) + 1.7) for i, (x, y) in enumerate(pts) if i % 9] + [(None, 7, 1.0, 1.0), (1, 8, 3.0, None), (0, 5001, 1.0, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "frame_id bigint, star_id bigint, x double, y double")
+    d = np.array([(a[2] - b[2], a[3] - b[3], b[1]) for a in ref[:1000] for b in mov if b[0] == 0 and b[3] is not None])
+    near = lambda c: np.sign(c) * np.floor(np.abs(c) + 0.5)
+    bins, n = np.unique(np.stack([near(d[:, 0]), near(d[:, 1])], 1), axis=0, return_counts=True)
+    peak = bins[np.flatnonzero(n == n.max())[0]]
+    chosen = d[(near(d[:, 0]) == peak[0]) & (near(d[:, 1]) == peak[1])]
+    mx, my = (np.sort(chosen[:, k])[len(chosen) // 2] for k in (0, 1))
+    inside = d[(d[:, 0] - mx) ** 2 + (d[:, 1] - my) ** 2 <= 1]
+    want = inside[np.lexsort((inside[:, 2], inside[:, 1], inside[:, 0]))][len(inside) // 2]
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    got = match.match_translation(frame(ref), frame(mov), 1.0).collect()
+    assert [r["frame_id"] for r in got] == [0]
+    assert (got[0]["dx"], got[0]["dy"], got[0]["matches"]) == (want[0], want[1], len(set(inside[:, 2])))
+    # 890,000 pairs; a row per pair would be some 15 MB and more.
+    assert shuffled() - before < 3_000_000
+
+
 def test_neighbor_count_with_a_pile_of_points(spark):
     rng = np.random.default_rng(4)
     pts = [(0, i, 50.0, 50.0) for i in range(200)] + [(0, 200 + i, *map(float, rng.uniform(30, 70, 2))) for i in range(150)]
