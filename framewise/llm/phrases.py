@@ -7,9 +7,10 @@ plus the pieces that end in it. A node whose whole flow passes along one edge, i
 compacted into that edge, order by order; what remains are the branching phrases.
 
 A piece is first broken at words and between pairs of words that occur less often than a phrase must: no such phrase has them
-inside, so no count that is asked for changes, and the graph has only edges between frequent pairs. Words and pairs are
-counted by Spark; tasks get bitmaps of fixed size, and what it lets through by chance makes edges that count for
-nothing. Words are named by 62 bits; that no two words of the graph share a name is verified on the words themselves.
+inside, so no count that is asked for changes, and the graph has only edges between frequent pairs. The run that begins at a
+word likewise ends before the first triple that is too rare, as if the piece ended there: shorter runs, more of them equal.
+Words, pairs and triples are counted by Spark; tasks get bitmaps of fixed size, and what they let through by chance makes
+edges that count for nothing. Words are named by 62 bits; that no two words of the graph share a name is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -56,6 +57,20 @@ def pairs(name: np.ndarray) -> np.ndarray:
     return X.mix(name[:-1] * X.BASE + name[1:]) >> np.uint64(64 - PAIR_BITS)
 
 
+def triples(name: np.ndarray) -> np.ndarray:
+    """``PAIR_BITS`` bits that name each word with the two before it."""
+    return X.mix((name[:-2] * X.BASE + name[1:-1]) * X.BASE + name[2:]) >> np.uint64(64 - PAIR_BITS)
+
+
+def linked(name: np.ndarray, joined: np.ndarray, bitmap: np.ndarray, often_two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word goes on the broken piece before it, and whether the bitmap lets the word through."""
+    on, often = joined.copy(), may_hold(bitmap, name)
+    on[1:] &= often[1:] & often[:-1]
+    at = np.flatnonzero(on)
+    on[at] = may_hold(often_two, pairs(name)[at - 1] << np.uint64(64 - PAIR_BITS))
+    return on, often
+
+
 def _counted(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """``h, c``: occurrences of all words, all names of pairs inside pieces, and all words of a group."""
 
@@ -73,7 +88,21 @@ def _counted(rows: DataFrame, table: np.ndarray) -> DataFrame:
     return rows.select("g", "text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _edges(rows: DataFrame, table: np.ndarray, bitmap: np.ndarray, often_two: np.ndarray, longest: int) -> DataFrame:
+def _counted_triples(rows: DataFrame, table: np.ndarray, bitmap: np.ndarray, often_two: np.ndarray) -> DataFrame:
+    """``h, c``: occurrences of all names of triples inside broken pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0).to_numpy().view(np.uint64)
+            for _, _, _, _, name, _, joined in pieces(batch.column(1), groups, table):
+                on, _ = linked(name, joined, bitmap, often_two)
+                h, c = np.unique(triples(name)[on[1:-1] & on[2:]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+    return rows.select("g", "text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def _edges(rows: DataFrame, table: np.ndarray, bitmap: np.ndarray, often_two: np.ndarray, often_three: np.ndarray, longest: int) -> DataFrame:
     """``w0 ..., c, word, lang``: edges (all words there), piece ends (the last words missing), and the names of all words that
     the bitmap lets through (c is zero)."""
     names = [f"w{k}" for k in range(longest)]
@@ -84,16 +113,18 @@ def _edges(rows: DataFrame, table: np.ndarray, bitmap: np.ndarray, often_two: np
             for rows, data, start, end, name, text, joined in pieces(batch.column(1), groups, table):
                 if not len(name):
                     continue
-                on = joined.copy()
-                often = may_hold(bitmap, name)
-                on[1:] &= often[1:] & often[:-1]
-                at = np.flatnonzero(on)
-                on[at] = may_hold(often_two, pairs(name)[at - 1] << np.uint64(64 - PAIR_BITS))
-                # How many words of the broken piece follow each word.
+                on, often = linked(name, joined, bitmap, often_two)
+                # How many words of the broken piece follow each word, and up to where all triples are frequent.
+                place = np.arange(len(name))
                 last = np.flatnonzero(np.append(~on[1:], True))
-                follow = last[np.searchsorted(last, np.arange(len(name)))] - np.arange(len(name))
+                follow = last[np.searchsorted(last, place)] - place
+                rare = on[1:-1] & on[2:]
+                at = np.flatnonzero(rare)
+                rare[at] = ~may_hold(often_three, triples(name)[at] << np.uint64(64 - PAIR_BITS))
+                rare = np.append(np.flatnonzero(rare), 2 * len(name))
+                follow = np.minimum(follow, rare[np.searchsorted(rare, place)] + 1 - place)
                 for k in range(longest, 1, -1):
-                    # Runs of k words: the longest anywhere, shorter ones where the piece ends.
+                    # Runs of k words: the longest anywhere, shorter ones where the piece ends or a rare triple does.
                     i = np.flatnonzero(follow >= k - 1 if k == longest else follow == k - 1)
                     if not len(i):
                         continue
@@ -164,7 +195,8 @@ def collocations(docs: DataFrame, group: Column | None = None, text_col: str = "
         counted = cut(_counted(rows, table).where(f"c >= {least} or (h & 3) = {GROUP}"))
         bitmap = bit_filter(counted.where("(h & 3) = 0").select("h"), BITS)
         often_two = bit_filter(counted.where(f"(h & 3) = {PAIR}").selectExpr(f"shiftleft(shiftright(h, 2), {64 - PAIR_BITS}) as h"), BITS)
-        edges = cut(_edges(rows, table, bitmap, often_two, longest))
+        often_three = bit_filter(_counted_triples(rows, table, bitmap, often_two).where(f"c >= {least}").selectExpr(f"shiftleft(h, {64 - PAIR_BITS}) as h"), BITS)
+        edges = cut(_edges(rows, table, bitmap, often_two, often_three, longest))
         words = edges.where("word is not null").select(F.col("w0").alias("h"), "word", "lang")
         if words.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             break

@@ -139,6 +139,26 @@ def test_phrases_full_bitmap_and_odd_rows(spark, odd, monkeypatch):
     assert phrases.collocations(odd.limit(0)).count() == 0 and phrases.collocations(odd, least=10**6).count() == 0
 
 
+def test_collocations_do_not_shuffle_runs_with_a_rare_triple(spark):
+    rng = np.random.default_rng(12)
+    words = rng.choice([f"w{i}" for i in range(20)], 60000)
+    texts = [" ".join(w) for w in words.reshape(200, 300)] + ["p q r s t"] * 150
+    docs = spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string").repartition(4)
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    docs, before = docs.localCheckpoint(), shuffled()
+    got = {r["phrase"]: r["a"] for r in phrases.collocations(docs, least=100).collect()}
+    many = collections.Counter(p for t in texts for w in [t.split()] for p in zip(w, w[1:]))
+    want = {" ".join(p): n for p, n in many.items() if n >= 100 and p[0].startswith("w")} | {"p q r s t": 150}
+    assert got == want
+    # 60,000 different runs of five words; 400 pairs, all of them frequent, and 8,000 triples, none of them.
+    assert shuffled() - before < 1_000_000
+
+
 def test_phrases_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
