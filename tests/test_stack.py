@@ -237,3 +237,22 @@ def test_accumulators_merge_to_the_whole(spark, skewed):
     got = {r["k"]: r["value"] for r in st.render_accumulator(st.merge_accumulators(a, b, keys=["k"]), ["k"]).collect()}
     want = {r["k"]: r["value"] for r in st.stack_average(skewed, ["k"]).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("method", ["sigma_mad", "winsorized"])
+def test_tasks_of_ordinary_keys_grow_in_number_with_the_rows(spark, monkeypatch, method):
+    """A task holds about ``TASK_ROWS`` rows, however many there are; the results are those of one way of dealing."""
+    rng = np.random.default_rng(7)
+    rows = [(int(k), int(f), float(v), 1.0) for k, f, v in zip(rng.integers(0, 400, 20000), range(20000), rng.normal(10, 2, 20000))]
+    df = spark.createDataFrame(rows, "k bigint, frame_id bigint, value double, coverage double")
+    want = sorted(map(tuple, st.stack(df, ["k"], method, hot=[]).collect()))
+    monkeypatch.setattr(stats, "TASK_ROWS", 500, raising=False)
+    spark.conf.set(HOT_ROWS_CONF, 4096)
+    try:
+        got = st.stack(df, ["k"], method)
+        per_task = got.groupBy(F.spark_partition_id()).agg(F.sum("samples").alias("n")).collect()
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    assert max(r["n"] for r in per_task) < 2500
+    assert [r[0] for r in want] == sorted(r["k"] for r in got.select("k").collect())
+    assert np.allclose(np.array(want, float), np.array(sorted(map(tuple, got.collect())), float), equal_nan=True)
