@@ -166,14 +166,18 @@ def region_order(regions: DataFrame) -> DataFrame:
 
 
 def recurrent_trails(trails: DataFrame, threshold: int, min_weight: float = 0.0, min_length: float = 0.0,
-                     min_brightness: float | None = None, removable: list[str] | None = None, cell: float = 64.0) -> DataFrame:
+                     min_brightness: float | None = None, removable: list[str] | None = None, cell: float = 64.0,
+                     turns: tuple[int, int] = (256, 4096)) -> DataFrame:
     """Frames in which each removable trail comes back, and the decision: recurrent (keep) or selected.
 
     Two trails repeat if they have the same kind, differ by at most .18 rad, lie within ``max(8, 1.6 * (w + w'))``
     across the first one's direction and overlap along it by 40 % of the shorter. Candidates meet through cells of
     their bounding boxes, grown by the distance allowed; trails equal in everything but the frame are compared once
     per distinct shape, so a shape that recurs in every frame costs one comparison and a count of its frames. A trail of
-    length 0 has direction 0 and overlaps any trail across which it lies near enough, however far along."""
+    length 0 has direction 0 and overlaps any trail across which it lies near enough, however far along.
+
+    Trails meet in rounds: about ``turns`` shapes of a neighbourhood first, then all others. One that has met every frame of
+    its kind leaves, since no further pair can change its count; the last round compares the rest with everything left."""
     require(threshold >= 1, "threshold must be at least 1")
     finite("cell", cell, 1e-6)
     shape = ["kind", "x1", "y1", "x2", "y2", "width"]
@@ -217,13 +221,35 @@ def recurrent_trails(trails: DataFrame, threshold: int, min_weight: float = 0.0,
 
     bit = lambda c: F.expr(f"shiftleft(1L, {c})")
     known = base.groupBy("shape_id", *shape, "_word").agg(F.bit_or(bit("_bit")).alias("bits"))
+    # Shapes of one home (kind, sector, cell of the middle) take turns by hash: the first rounds meet only early turns.
+    homes = known.withColumns(facts).withColumns({"_hx": F.floor(F.col("mx") / cell), "_hy": F.floor(F.col("my") / cell)})
+    home = ["kind", "_s", "_hx", "_hy"]
+    turn = F.pmod(F.xxhash64("shape_id"), F.lit(1 << 20)) * F.col("_crowd") / (1 << 20)
+    known = cut_lineage(homes.join(homes.groupBy(*home).agg(F.count(F.lit(1)).alias("_crowd")), home).select(
+        "shape_id", *shape, "_word", "bits", turn.alias("_turn")))
+    asked = cut_lineage(asking.select("shape_id", *shape).distinct())
     # Work grows with the pairs and not with the bytes shuffled, by which partitions would be merged: their number is set.
     parts = int(trails.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = ["kind", "_s", "_cx", "_cy"]
-    pairs = spread(asking.select("shape_id", *shape).distinct(), "a", 1, []).repartition(parts, *place).join(
-        spread(known, "b", 0, ["_word", "bits"]).repartition(parts, *place), place)
-    # A pair that shares several cells counts in the first of them only.
-    pairs = pairs.where((F.col("_cx") == F.greatest("a_cx0", "b_cx0")) & (F.col("_cy") == F.greatest("a_cy0", "b_cy0")))
+
+    def together(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.repartition(parts, *place).join(right.repartition(parts, *place), place)
+
+    def in_cells(left: DataFrame, right: DataFrame) -> DataFrame:
+        """All pairs; one that shares several cells counts in the first of them only."""
+        both = together(spread(left, "a", 1, []), spread(right, "b", 0, ["_word", "bits"]))
+        return both.where((F.col("_cx") == F.greatest("a_cx0", "b_cx0")) & (F.col("_cy") == F.greatest("a_cy0", "b_cy0"))).drop(*place)
+
+    def midway(left: DataFrame, right: DataFrame, fine: float) -> DataFrame:
+        """Some of the pairs: trails that run through the small cell in which the middle of the asking one lies."""
+        left = left.withColumns(facts).withColumns({"_cx": F.floor(F.col("mx") / fine), "_cy": F.floor(F.col("my") / fine)})
+        slope, low, high = F.try_divide(F.col("uy"), F.col("ux")), F.least("x1", "x2"), F.greatest("x1", "x2")
+        right = right.withColumns(facts).withColumn("_cx", F.explode(F.sequence(F.floor(low / fine), F.floor(high / fine))))
+        ends = [F.col("my") + (x - F.col("mx")) * slope for x in (F.greatest(low, F.col("_cx") * fine), F.least(high, (F.col("_cx") + 1) * fine))]
+        rows = F.sequence(F.floor(F.coalesce(F.least(*ends), F.least("y1", "y2")) / fine), F.floor(F.coalesce(F.greatest(*ends), F.greatest("y1", "y2")) / fine))
+        right = right.withColumn("_cy", F.explode(rows)).withColumn("_s", F.explode(F.array(*[F.pmod(F.col("_s") + i, F.lit(sectors)) for i in (-1, 0, 1)])))
+        return together(named(left, "a", place, []), named(right, "b", place, ["_word", "bits"])).drop(*place)
+
     ux, uy = F.col("a_ux"), F.col("a_uy")
     across = F.abs(-(F.col("a_mx") - F.col("b_mx")) * uy + (F.col("a_my") - F.col("b_my")) * ux)
     at = lambda p, i: F.col(f"{p}_x{i}") * ux + F.col(f"{p}_y{i}") * uy
@@ -235,28 +261,51 @@ def recurrent_trails(trails: DataFrame, threshold: int, min_weight: float = 0.0,
     # A point (length 0, direction 0) needs no overlap: it repeats all along the line of a near-level trail, met by rows of cells.
     flat = angle_delta(F.col("ang"), F.lit(0.0)) <= 0.18 + 1e-9
     rows = lambda lo, hi: F.explode(F.sequence(F.floor((lo - F.col("_g") * 1.1) / cell), F.floor((hi + F.col("_g") * 1.1) / cell)))
-    asked, seen = asking.select("shape_id", *shape).distinct().withColumns(facts), known.withColumns(facts)
-    points = seen.where(F.col("len") == 0)
-    more = ["_word", "bits"]
-    level = named(asked.where(F.col("len") == 0).withColumn("_cy", rows(F.col("my"), F.col("my"))), "a", ["kind", "_cy"], []).join(
-        named(seen.where(flat).withColumn("_cy", rows(F.col("my"), F.col("my"))), "b", ["kind", "_cy"], more), ["kind", "_cy"])
-    # The line of a trail is followed over the stretch that has points, in at most 65 columns.
-    stretch = points.groupBy("kind").agg(F.min("mx").alias("_x0"), F.max("mx").alias("_x1")).withColumn(
-        "_step", F.greatest(F.lit(cell * 4), (F.col("_x1") - F.col("_x0")) / 64))
-    column = lambda x: F.floor((x - F.col("_x0")) / F.col("_step"))
-    height = lambda x: F.col("my") + (x - F.col("mx")) * F.col("uy") / F.col("ux")
-    lines = asked.where(flat & (F.col("len") > 0)).join(stretch, "kind").withColumn("_cx", F.explode(F.sequence(F.lit(0).cast("bigint"), column(F.col("_x1")))))
-    start, end = height(F.col("_x0") + F.col("_cx") * F.col("_step")), height(F.col("_x0") + (F.col("_cx") + 1) * F.col("_step"))
-    lines = lines.withColumn("_cy", rows(F.least(start, end), F.greatest(start, end)))
-    spots = points.join(stretch, "kind").withColumn("_cx", column(F.col("mx"))).withColumn("_cy", rows(F.col("my"), F.col("my")))
-    place = ["kind", "_cx", "_cy"]
-    beside = named(lines, "a", place, []).join(named(spots, "b", place, more), place)
-    pairs = pairs.drop("_s", "_cx", "_cy").unionByName(level.drop("_cy")).unionByName(beside.drop("_cx", "_cy"))
-    # Frames met, as bits: or-ed before the shuffle, so a crowd costs comparisons but no rows, and a pair may come twice.
-    met = pairs.where(same).groupBy(F.col("a_shape_id").alias("shape_id"), F.col("b__word").alias("_word")).agg(F.bit_or("b_bits").alias("_met"))
-    total = met.groupBy("shape_id").agg(F.sum(F.bit_count("_met")).alias("_n"))
+
+    def on_lines(asked: DataFrame) -> DataFrame:
+        asked, seen = asked.withColumns(facts), known.withColumns(facts)
+        points = seen.where(F.col("len") == 0)
+        more = ["_word", "bits"]
+        level = named(asked.where(F.col("len") == 0).withColumn("_cy", rows(F.col("my"), F.col("my"))), "a", ["kind", "_cy"], []).join(
+            named(seen.where(flat).withColumn("_cy", rows(F.col("my"), F.col("my"))), "b", ["kind", "_cy"], more), ["kind", "_cy"])
+        # The line of a trail is followed over the stretch that has points, in at most 65 columns.
+        stretch = points.groupBy("kind").agg(F.min("mx").alias("_x0"), F.max("mx").alias("_x1")).withColumn(
+            "_step", F.greatest(F.lit(cell * 4), (F.col("_x1") - F.col("_x0")) / 64))
+        column = lambda x: F.floor((x - F.col("_x0")) / F.col("_step"))
+        height = lambda x: F.col("my") + (x - F.col("mx")) * F.col("uy") / F.col("ux")
+        lines = asked.where(flat & (F.col("len") > 0)).join(stretch, "kind").withColumn("_cx", F.explode(F.sequence(F.lit(0).cast("bigint"), column(F.col("_x1")))))
+        start, end = height(F.col("_x0") + F.col("_cx") * F.col("_step")), height(F.col("_x0") + (F.col("_cx") + 1) * F.col("_step"))
+        lines = lines.withColumn("_cy", rows(F.least(start, end), F.greatest(start, end)))
+        spots = points.join(stretch, "kind").withColumn("_cx", column(F.col("mx"))).withColumn("_cy", rows(F.col("my"), F.col("my")))
+        place = ["kind", "_cx", "_cy"]
+        beside = named(lines, "a", place, []).join(named(spots, "b", place, more), place)
+        return level.drop("kind", "_cy").unionByName(beside.drop(*place))
+
+    def frames_met(pairs: DataFrame) -> DataFrame:
+        """Frames met, as bits: or-ed before the shuffle, so a crowd costs comparisons but no rows, and a pair may come twice."""
+        return pairs.where(same).groupBy(F.col("a_shape_id").alias("shape_id"), F.col("b__word").alias("_word")).agg(F.bit_or("b_bits").alias("_met"))
+
+    frames = known.groupBy("kind", "_word").agg(F.bit_or("bits").alias("bits")).groupBy("kind").agg(F.sum(F.bit_count("bits")).alias("_frames"))
+    # A trail that has met every frame of its kind needs no further pairs. It meets itself, once it meets any.
+    met, done, (first, second) = None, None, turns
+    early = lambda most: known.where(F.col("_turn") < most)
+    for pairs in (lambda asked: midway(asked, early(first), cell / 4), lambda asked: in_cells(asked, early(second))):
+        found = frames_met(pairs(asked))
+        met = cut_lineage(found if met is None else met.unionByName(found).groupBy("shape_id", "_word").agg(F.bit_or("_met").alias("_met")))
+        ours = known.select("shape_id", "_word", F.col("bits").alias("_met"), F.lit(False).alias("_hit"))
+        state = met.withColumn("_hit", F.lit(True)).unionByName(ours).groupBy("shape_id", "_word").agg(F.bit_or("_met").alias("_met"), F.bool_or("_hit").alias("_hit"))
+        state = state.groupBy("shape_id").agg(F.sum(F.bit_count("_met")).alias("_n"), F.bool_or("_hit").alias("_hit"))
+        state = cut_lineage(asked.join(state, "shape_id", "left").join(frames, "kind", "left").withColumn(
+            "_done", F.coalesce(F.col("_hit") & (F.col("_n") == F.col("_frames")), F.lit(False))))
+        settled = state.where("_done").select("shape_id", "_n")
+        done, asked = settled if done is None else done.unionByName(settled), state.where("not _done").select("shape_id", *shape)
+    late = known.where(F.col("_turn") >= second)
+    met = met.join(asked, "shape_id", "left_semi").unionByName(frames_met(in_cells(asked, late).unionByName(on_lines(asked))))
+    met = cut_lineage(met.groupBy("shape_id", "_word").agg(F.bit_or("_met").alias("_met")))
+    total = met.groupBy("shape_id").agg(F.sum(F.bit_count("_met")).alias("_n"), F.lit(False).alias("_done")).unionByName(
+        done.withColumn("_done", F.lit(True)))
     out = asking.join(total, "shape_id", "left").join(met, ["shape_id", "_word"], "left")
-    own = F.when(F.expr("(shiftright(_met, _bit) & 1L) = 1"), 1).otherwise(0)
+    own = F.when(F.col("_done") | F.expr("(shiftright(_met, _bit) & 1L) = 1"), 1).otherwise(0)
     n = (F.coalesce("_n", F.lit(0)) - own).cast("bigint")
     return out.select("trail_id", "frame_id", "kind", n.alias("recurring_frames"),
                       F.when(n >= threshold, "recurrent").otherwise("selected").alias("decision"))

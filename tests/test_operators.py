@@ -410,3 +410,19 @@ def test_audits(spark):
     v, t = audit.label_conformance(spark.createDataFrame([("a", 3)], "case_id string, observed int"),
                                    spark.createDataFrame([("a", 1, 2), ("z", 0, None)], "case_id string, minimum int, maximum int"))
     assert {r["case_id"]: r["reason"] for r in v.collect()} == {"a": "above-maximum", "z": "not-processed"} and t.first()["failed"] == 2
+
+
+def test_recurrent_trails_settle_in_rounds_with_the_same_counts(spark):
+    """A crowd of different shapes on one line that meets all frames early, and others that meet few of them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 6, "s", 10.0, 10.0, 60.0 + i * 0.25, 10.0 + i * 0.01, 3.0, 1.0) for i in range(300)]
+    rows += [(1000 + i, i % 6, "s", *map(float, rng.uniform(0, 2000, 4)), 3.0, 1.0) for i in range(100)]
+    rows += [(2000 + i, i % 6, "s", 5.0 * i, 10.0, 5.0 * i, 10.0, 3.0, 1.0) for i in range(12)]
+    rows += [(3000 + i, 2, "alone", 0.0, 0.0, 50.0 + i, 0.0, 3.0, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "trail_id bigint, frame_id bigint, kind string, x1 double, y1 double, x2 double, y2 double, width double, weight double")
+    run = lambda turns: {r["trail_id"]: r["recurring_frames"] for r in ev.recurrent_trails(df, 3, turns=turns).collect()}
+    # No shape has a turn below 0, so that every pair is left to the last round.
+    whole, rounds = run((0, 0)), run((8, 32))
+    assert whole == rounds
+    assert all(whole[i] == 5 for i in range(300)) and all(whole[3000 + i] == 0 for i in range(5))
+    assert any(0 < whole[1000 + i] < 5 for i in range(100))
