@@ -12,14 +12,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import HEADERS, SAMPLES, require
 
@@ -27,6 +30,10 @@ BLOCK, CARD = 2880, 80
 #: Schemes whose files are opened at an offset, and the bytes of header read at a time.
 RANGED = {"file", "hdfs", "viewfs", "s3", "s3a", "gs", "abfs"}
 HEAD = 5 * BLOCK
+#: Bytes of files that Python holds at a time, where files come as rows.
+PIECE = 1 << 20
+#: What a scan adds to a file.
+SCANNED = {"cards": pa.map_(pa.string(), pa.struct([("n", pa.int32()), ("raw", pa.string())])), "data_at": pa.int64(), "header_bytes": pa.int64(), "fault": pa.string()}
 #: Metadata fields and the header keywords that carry them.
 TEXT_KEYS = {
     "camera": "INSTRUME", "cameraSerial": "CAM-SER", "filter": "FILTER", "opticalTrain": "PSOPTICS", "readoutMode": "READMODE",
@@ -88,7 +95,7 @@ def given(contents: DataFrame) -> DataFrame:
     return contents.select("path", F.octet_length("content").cast("long").alias("size"), "content")
 
 
-def opened(path: str, content: bytes | None) -> Read:
+def opened(path: str, content: bytes | memoryview | None) -> Read:
     if content is None:
         return at_offset(path)
     view = memoryview(content)
@@ -119,23 +126,39 @@ def cards(read: Read, start: int = 0, wanted: set[str] | None = None) -> tuple[d
     raise ValueError("header has no END card")
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """The cards of every primary header: ``path size content cards data_at header_bytes fault``; the known keywords only."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``PIECE`` bytes, without a copy: what Python makes of one is small, however long the batch is."""
+    for batch in batches:
+        step = max(1, PIECE * len(batch) // max(1, batch.nbytes))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
+def bytes_of(batch: pa.RecordBatch) -> Iterator[memoryview | None]:
+    """The contents of a batch's files, read where they lie."""
+    for content in batch.column("content"):
+        yield memoryview(content.as_buffer()) if content.is_valid else None
+
+
+def scan(files: DataFrame, keep: bool = True) -> DataFrame:
+    """The cards of every primary header: ``path size content cards data_at header_bytes fault``; the known keywords only.
+    Contents come back as they are for those who read on, or not at all unless ``keep``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
             out = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch["path"].to_pylist(), bytes_of(batch)):
                 try:
                     found, data, used = cards(opened(path, content), wanted=KNOWN)
-                    out.append(({k: {"n": n, "raw": raw} for k, (n, raw) in found.items()}, data, used, None))
+                    out.append(([(k, {"n": n, "raw": raw}) for k, (n, raw) in found.items()], data, used, None))
                 except (ValueError, OSError) as error:
-                    out.append(({}, None, None, str(error)))
-            yield pd.DataFrame([(*row, *more) for row, more in zip(batch.itertuples(index=False), out)], columns=names)
+                    out.append(([], None, None, str(error)))
+            more = [pa.array(column, kind) for column, kind in zip(zip(*out), SCANNED.values())]
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], *more], [*names, *SCANNED])
 
+    kept = files if keep else files.drop("content")
+    names = kept.columns
     extra = T.StructType.fromDDL("cards map<string,struct<n:int,raw:string>>, data_at long, header_bytes long, fault string")
-    schema = T.StructType([*files.schema.fields, *extra.fields])
-    names = schema.names
-    return files.mapInPandas(run, schema)
+    return files.mapInArrow(run, T.StructType([*kept.schema.fields, *extra.fields]))
 
 
 def raw(key: str) -> Column:
@@ -257,7 +280,7 @@ def described(files: DataFrame) -> DataFrame:
         return run
 
     # An unreadable header has no cards, so that no rule speaks about it.
-    df = with_geometry(scan(files)).withColumn("cards", F.when(F.col("fault").isNull(), F.col("cards")).otherwise(F.expr("map()").cast("map<string,struct<n:int,raw:string>>")))
+    df = with_geometry(scan(files, keep=False)).withColumn("cards", F.when(F.col("fault").isNull(), F.col("cards")).otherwise(F.expr("map()").cast("map<string,struct<n:int,raw:string>>")))
     df = df.withColumns({
         "t": F.filter(F.transform(rule_table("field key", TEXT_RULES), one_text), lambda e: e["n"] > 0),
         "k": F.filter(F.transform(rule_table("field key low high integer", NUMBER_RULES), one_number), lambda e: e["n"] > 0),
@@ -307,6 +330,7 @@ def read_frame_headers(spark: SparkSession, glob: str) -> DataFrame:
 # --- image samples ---------------------------------------------------------------------------
 
 FRAME_ROWS = T.StructType([T.StructField("path", T.StringType()), *SAMPLES.fields[1:]])
+FRAME_BATCH = to_arrow_schema(FRAME_ROWS)
 ROWS_PER_BATCH = 1 << 18
 #: Samples (A2) or bytes of records (A3) that one range holds.
 RANGE = 1 << 22
@@ -328,12 +352,25 @@ def samples_of(files: DataFrame, channels: list[int] | None, deal: bool) -> Data
     if deal:  # rows of a few numbers; contents stay where they are
         ranges = ranges.repartition("path", "channel", "first")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield from sample_batches(opened(row.path, row.content), row)
-
-    return ranges.mapInPandas(run, FRAME_ROWS).select(F.xxhash64("path").alias("frame_id"), *FRAME_ROWS.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in pieces(batches):
+            facts = [SimpleNamespace(**row) for row in batch.drop_columns("content").to_pylist()]
+            for row, content in zip(facts, bytes_of(batch)):
+                for part in sample_batches(opened(row.path, content), row):
+                    held.append(pa.RecordBatch.from_pandas(part, FRAME_BATCH, preserve_index=False))
+                    rows += len(part)
+                    if rows >= ROWS_PER_BATCH:
+                        yield from joined(held)
+                        held, rows = [], 0
+        yield from joined(held)
+
+    return ranges.mapInArrow(run, FRAME_ROWS).select(F.xxhash64("path").alias("frame_id"), *FRAME_ROWS.names)
+
+
+def joined(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """Small batches as one."""
+    return pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else []
 
 
 def sample_batches(read: Read, row) -> Iterator[pd.DataFrame]:

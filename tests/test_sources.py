@@ -183,3 +183,17 @@ def test_small_contours_travel_together(spark):
     rows = tables.parse_outlines(texts).collect()
     assert len(rows) == 3 * n and {r["path"] for r in rows} == {"a"}
     assert (rows[-1]["id"], rows[-1]["contour_no"], rows[-1]["point_no"], rows[-1]["dec"]) == (f"C{(n - 1) % 7}", (n - 1) // 7, 2, float((n - 1) % 80))
+
+
+def test_many_files_as_rows_are_read_in_small_pieces(spark):
+    """Python makes objects of about a megabyte of files at a time, and a scan for headers returns no contents."""
+    import pyarrow as pa
+
+    files = [(f"f{i}", encode.image(np.full((2, 2), float(i)))) for i in range(1000)]
+    batch = pa.RecordBatch.from_pylist([{"path": p, "content": c} for p, c in files])
+    parts = list(fits.pieces(iter([batch])))
+    assert sum(map(len, parts)) == 1000 and max(p.nbytes for p in parts) <= 2 * fits.PIECE and len(parts) > 4
+    df = spark.createDataFrame([*files, ("none", None)], "path string, content binary").coalesce(1)
+    assert "content" not in fits.scan(fits.given(df), keep=False).columns
+    got = fits.decode_samples(df.where("content is not null"))
+    assert got.count() == 4000 and {(r["path"], r["value"]) for r in got.where("x = 0 and y = 0").collect()} == {(f"f{i}", float(i)) for i in range(1000)}
