@@ -426,3 +426,16 @@ def test_recurrent_trails_settle_in_rounds_with_the_same_counts(spark):
     assert whole == rounds
     assert all(whole[i] == 5 for i in range(300)) and all(whole[3000 + i] == 0 for i in range(5))
     assert any(0 < whole[1000 + i] < 5 for i in range(100))
+
+
+def test_master_inputs_are_summed_without_sorting_frames(spark):
+    """Frames are first summed by hash; only classes of equal texts are sorted for the least and greatest text."""
+    text = {"frameType": "Dark Frame", "camera": "c"}
+    rows = [(i, text | ({"camera": "d"} if i == 3 else {}), {"gain": 1.0, "exposure": 30.0, "sensorTemperature": -10.0 + i / 100}, 8, 8, 1, []) for i in range(40)]
+    rows[5][1].pop("camera")
+    df = acquisition(spark, rows).withColumnRenamed("id", "frame_id").withColumn("set_id", F.col("frame_id") % 4)
+    issues, canonical = md.validate_master_inputs(df, "dark")
+    plan = [line for line in issues._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate" in line]
+    assert "HashAggregate" in plan[-1] and "SortAggregate" in plan[0]
+    assert {(r["set_id"], r["field"]) for r in issues.collect()} == {(3, "camera"), (1, "camera")}
+    assert {r["set_id"]: (r["frames"], r["numeric"]["sensorTemperatureMax"]) for r in canonical.collect()} == {0: (10, -9.64), 2: (10, -9.62)}
