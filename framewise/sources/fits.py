@@ -488,10 +488,30 @@ def read_frames_with(spark: SparkSession, glob: str, decode: Callable[[str, byte
 
 def frames_with(contents: DataFrame, decode: Callable[[str, bytes], Iterator[pd.DataFrame]]) -> DataFrame:
     """J1 on any (path, content) DataFrame."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, paths, rows = [], [], 0
+        for batch in pieces(batches):
+            for path, content in zip(batch["path"].to_pylist(), bytes_of(batch)):
                 for part in decode(path, bytes(content)):
-                    yield part.assign(path=path)[FRAME_ROWS.names]
-
-    return contents.select("path", "content").mapInPandas(run, FRAME_ROWS).select(F.xxhash64("path").alias("frame_id"), *FRAME_ROWS.names)
+                    held.append(part)
+                    paths.append(path)
+                    rows += len(part)
+                    if rows >= ROWS_PER_BATCH:
+                        yield one_batch(held, paths)
+                        held, paths, rows = [], [], 0
+        if held:
+            yield one_batch(held, paths)
+
+    return contents.select("path", "content").mapInArrow(run, FRAME_ROWS).select(F.xxhash64("path").alias("frame_id"), *FRAME_ROWS.names)
+
+
+def one_batch(parts: list[pd.DataFrame], paths: list[str]) -> pa.RecordBatch:
+    """What a caller decoded of several files as one batch; the path is written once per part and spread by its index."""
+    which = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    columns = [pa.DictionaryArray.from_arrays(which, pa.array(paths, pa.string())).dictionary_decode()]
+    for name, kind in zip(FRAME_BATCH.names[1:], FRAME_BATCH.types[1:]):
+        arrays = [p[name].array for p in parts]
+        plain = all(isinstance(a, pd.arrays.NumpyExtensionArray) for a in arrays)
+        joined = np.concatenate([a.to_numpy() for a in arrays]) if plain else pd.concat([p[name] for p in parts], ignore_index=True)
+        columns.append(pa.Array.from_pandas(joined, type=kind))
+    return pa.RecordBatch.from_arrays(columns, FRAME_BATCH.names)

@@ -197,3 +197,17 @@ def test_many_files_as_rows_are_read_in_small_pieces(spark):
     assert "content" not in fits.scan(fits.given(df), keep=False).columns
     got = fits.decode_samples(df.where("content is not null"))
     assert got.count() == 4000 and {(r["path"], r["value"]) for r in got.where("x = 0 and y = 0").collect()} == {(f"f{i}", float(i)) for i in range(1000)}
+
+
+def test_own_format_puts_many_small_files_into_one_batch(spark):
+    """Files of a few samples do not make a batch each; paths and missing values stay with their rows."""
+    files = [(f"f{i}", bytes([i % 200] * (i % 4))) for i in range(900)]
+
+    def decode(path, content):
+        yield pd.DataFrame({"x": np.arange(len(content)), "y": 0, "channel": 0, "value": [None if b == 3 else float(b) for b in content], "coverage": 1.0})
+
+    df = spark.createDataFrame(files, "path string, content binary").coalesce(1)
+    got = {(r["path"], r["x"]): r["value"] for r in fits.frames_with(df, decode).collect()}
+    assert got == {(p, x): None if c[x] == 3 else float(c[x]) for p, c in files for x in range(len(c))}
+    parts = [p for p in (next(decode(*f)) for f in files)]
+    assert fits.one_batch(parts, [p for p, _ in files]).num_rows == len(got)
