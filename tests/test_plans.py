@@ -54,6 +54,37 @@ def test_plan_counts_equal_all_pairs(spark, role):
     assert rows == {k: (len(v), min(v)) for k, v in found.items()}
 
 
+def test_plan_lists_are_dealt_and_no_member_meets_a_master_alone(spark, monkeypatch):
+    """Pieces of single temperatures are searched in lists, longer ones in several; temperatures on the very bounds count as near."""
+    seen, old = [], md._near_members
+    monkeypatch.setattr(md, "_near_members", lambda left, *a: seen.append(left) or old(left, *a))
+    text = {"camera": "a", "cameraSerial": "s", "sampling": "mono", "domain": "linear", "units": "ADU", "readoutMode": "1", "object": "M31", "observedAt": "2024-01-01"}
+    num = {"gain": 1.0, "exposure": 30.0, "binX": 1.0, "binY": 1.0, "originX": 0.0, "originY": 0.0, "offset": 5.0}
+    rng = random.Random(4)
+    heat = lambda: {} if rng.random() < 0.1 else {"sensorTemperature": round(rng.uniform(-12, -8), 1)}
+    inputs = spark.createDataFrame([(i, text | {"camera": rng.choice("ab"), "frameType": "Light"}, num | heat(), 8, 8, 1, []) for i in range(80)], ACQ).withColumnRenamed("id", "frame_id")
+    spans = [heat() if i % 3 else {"sensorTemperatureMin": -10.3, "sensorTemperatureMax": -10.3 + 0.1 * (i % 4)} for i in range(15)]
+    masters = spark.createDataFrame([(i, text | {"frameType": "Master Dark"}, num | h, 8, 8, 1, []) for i, h in enumerate(spans)], ACQ).withColumnRenamed("id", "master_id")
+    members = md.group_acquisitions(inputs)[0]
+    pairs = md.match_calibration(inputs, masters, "dark", 0.5, on_numeric=["gain"], candidates_only=False).join(members, "frame_id").collect()
+    want, found = {}, {}
+    for p in pairs:
+        key = (p["group_id"], p["master_id"])
+        want.setdefault(key, []).append(p["status"])
+        for e in p["evidence"]:
+            if e["status"] in ("missing", "conflict", "invalid"):
+                found.setdefault((*key, e["field"], e["status"]), set()).add(p["frame_id"])
+    for listed, masters_listed in ((8192, 512), (7, 4)):
+        monkeypatch.setattr(md, "LISTED", listed, raising=False)
+        monkeypatch.setattr(md, "MASTERS_LISTED", masters_listed, raising=False)
+        groups, issues = md.calibration_plan(inputs, members, masters, "dark", 0.5, [], ["gain"])
+        got = {(r["group_id"], r["master_id"]): [r[s] for s in ("compatible", "review", "incompatible")] for r in groups.collect()}
+        assert got == {k: [v.count(s) for s in ("compatible", "review", "incompatible")] for k, v in want.items()}
+        rows = [((r["group_id"], r["master_id"], r["field"], r["issue"]), (r["count"], r["first_member"])) for r in issues.collect()]
+        assert len(rows) == len(found) and dict(rows) == {k: (len(v), min(v)) for k, v in found.items()}
+    assert seen and all(left.isEmpty() for left in seen)
+
+
 def overlap(a, b):
     w = max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
     h = max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]))
