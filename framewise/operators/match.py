@@ -13,6 +13,9 @@ from .stats import join_keys, quantiles, row_numbers
 
 #: Parts into which C5 deals the moving stars of a key.
 VOTE_PARTS = 8
+#: Conflicts written as edges: at most so many, or so many per point; neighbours are counted anew every ``LOOK`` rounds. Points kept in
+#: a round that are broadcast. Cells of half a radius over which points may conflict.
+FEW_EDGES, EDGES_PER_POINT, LOOK, WINNERS, REACH = 1_000_000, 8, 8, 20_000, 2
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[str], left_cols: list[str],
@@ -181,18 +184,86 @@ def greedy_separation(df: DataFrame, radius: float, keys: list[str], id_col: str
                       coordinates: list[tuple[str, str]] = [("x", "y")]) -> DataFrame:
     """Keep points in ``order`` unless one kept before lies closer than ``radius`` (in any coordinate pair).
 
-    Order-dependent, yet distributed: a point is kept once every earlier neighbour is settled as dropped, and
-    dropped once one earlier neighbour is kept. Neighbours come from cell joins; every round settles all points
-    whose earlier neighbours are settled, and the state is written between rounds."""
+    Order-dependent, yet distributed. Where points are crowded no conflict is written down: in rounds, every point that is
+    the first of its neighbourhood of cells is kept and drops all points closer than ``radius``, so work and disk grow with the points
+    and the rounds, not with the pairs. Once the open points have few neighbours, their conflicts are written as edges for
+    :func:`greedy_keep`, whose rounds follow the true chains."""
     ranked = cut_lineage(row_numbers(df, keys, order, lead_value, "_rank"))
+    names = list(dict.fromkeys(c for pair in coordinates for c in pair))
+    open_points = ranked.select(*keys, id_col, "_rank", *[c for c in names if c not in (*keys, id_col)])
+    few, kept, rounds = max(FEW_EDGES, EDGES_PER_POINT * ranked.count()), [], 0
+    while rounds % LOOK or _neighbours(open_points, radius, keys, coordinates) > few:
+        won = cut_lineage(open_points.join(_firsts(open_points, radius, keys, coordinates), [*keys, "_rank"], "left_semi"))
+        n = won.count()
+        if n == 0:
+            break
+        kept.append(won.select(*keys, id_col))
+        beside = (lambda d: F.broadcast(d)) if n <= WINNERS else (lambda d: d)
+        open_points = open_points.join(beside(won.select(*keys, "_rank")), [*keys, "_rank"], "left_anti")
+        for x, y in coordinates:
+            near = won.select(*keys, F.col(x).alias("_wx"), F.col(y).alias("_wy"), _cells(radius, x, y, REACH))
+            d2 = (F.col(x) - F.col("_wx")) * (F.col(x) - F.col("_wx")) + (F.col(y) - F.col("_wy")) * (F.col(y) - F.col("_wy"))
+            here = open_points.withColumn("_c", _cells(radius, x, y))
+            same = [here[k] == near[k] for k in keys]
+            on = (here["_c"] == near["_c"]) & (d2 < radius * radius)
+            for s in same:
+                on = on & s
+            open_points = here.join(beside(near), on, "left_anti").drop("_c")
+        open_points = cut_lineage(open_points)
+        rounds += 1
     edges = None
     for x, y in coordinates:
-        e = near_pairs(ranked, ranked, radius, keys, [id_col, "_rank"], [id_col, "_rank"], x, y, x, y)
+        e = near_pairs(open_points, open_points, radius, keys, [id_col, "_rank"], [id_col, "_rank"], x, y, x, y)
         e = e.where((F.col("d2") < radius * radius) & (F.col("r__rank") < F.col("l__rank"))).select(
             *keys, F.col(f"l_{id_col}").alias("_id"), F.col(f"r_{id_col}").alias("_before"))
         edges = e if edges is None else edges.unionByName(e)
-    kept = greedy_keep(ranked.select(*keys, id_col), edges.distinct(), keys, id_col)
-    return ranked.join(kept, [*keys, id_col], "left_semi").drop("_rank")
+    out = greedy_keep(open_points.select(*keys, id_col), edges.distinct(), keys, id_col)
+    for won in kept:
+        out = out.unionByName(won)
+    return ranked.join(out, [*keys, id_col], "left_semi").drop("_rank")
+
+
+def _cells(radius: float, x: str, y: str, reach: int | None = None) -> Column:
+    """Cell of a point, half a radius wide; with ``reach`` a row ``_c`` for each cell up to that far away. A little wider than
+    half, so that points more than ``REACH`` cells apart do not conflict whatever is rounded."""
+    size = radius / 2 * (1 + 1e-9)
+    cell = lambda c, d: F.floor(F.col(c) / size) + d
+    if reach is None:
+        return F.struct(cell(x, 0).alias("cx"), cell(y, 0).alias("cy"))
+    span = range(-reach, reach + 1)
+    return F.explode(F.array(*[F.struct(cell(x, dx).alias("cx"), cell(y, dy).alias("cy")) for dx in span for dy in span])).alias("_c")
+
+
+def _around() -> Column:
+    span = range(-REACH, REACH + 1)
+    return F.explode(F.array(*[F.struct((F.col("_c.cx") + dx).alias("cx"), (F.col("_c.cy") + dy).alias("cy")) for dx in span for dy in span])).alias("_c")
+
+
+def _placed(points: DataFrame, radius: float, x: str, y: str) -> DataFrame:
+    return points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_c", _cells(radius, x, y))
+
+
+def _neighbours(points: DataFrame, radius: float, keys: list[str], coordinates: list[tuple[str, str]]) -> int:
+    """Bound of the conflicts of ``points``, from the numbers of points in cells."""
+    total = 0
+    for x, y in coordinates if radius > 0 else []:
+        cells = _placed(points, radius, x, y).groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"))
+        spread = cells.select(*keys, _around(), F.col("_n").alias("_m"))
+        total += cells.join(spread, [*keys, "_c"]).agg(F.sum(F.col("_n") * F.col("_m")).alias("s")).first()["s"] or 0
+    return total // 2
+
+
+def _firsts(points: DataFrame, radius: float, keys: list[str], coordinates: list[tuple[str, str]]) -> DataFrame:
+    """(keys, ``_rank``) of points before all others in the cells within reach, in every coordinate pair; the first open point of a
+    key always is. A point without a position in a pair conflicts with none there."""
+    found = None
+    for x, y in coordinates:
+        heads = _placed(points, radius, x, y).groupBy(*keys, "_c").agg(F.min("_rank").alias("_rank"))
+        least = heads.select(*keys, _around(), "_rank").groupBy(*keys, "_c").agg(F.min("_rank").alias("_rank"))
+        part = heads.join(least, [*keys, "_c", "_rank"], "left_semi").select(*keys, "_rank")
+        part = part.unionByName(points.where(F.col(x).isNull() | F.col(y).isNull()).select(*keys, "_rank"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy(*keys, "_rank").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(coordinates)).select(*keys, "_rank")
 
 
 def greedy_keep(nodes: DataFrame, edges: DataFrame, keys: list[str], id_col: str) -> DataFrame:

@@ -177,6 +177,31 @@ def test_greedy_separation_equals_the_sequential_rule(spark, seed):
     assert {r["star_id"] for r in got.collect()} == {k[0] for k in kept}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowded_greedy_separation_writes_no_pairs(spark, seed, monkeypatch):
+    """Points far closer than the radius, in two coordinate pairs, some without a position; conflicts reach the edges only when few are left."""
+    rng = np.random.default_rng(seed)
+    seen, old = [], match.near_pairs
+    monkeypatch.setattr(match, "near_pairs", lambda left, *a: seen.append(left.count()) or old(left, *a))
+    monkeypatch.setattr(match, "FEW_EDGES", 200, raising=False)
+    monkeypatch.setattr(match, "EDGES_PER_POINT", 0, raising=False)
+    monkeypatch.setattr(match, "LOOK", 2, raising=False)
+    pts = [(i % 2, i, float(x), float(y), None if i % 50 == 0 else float(10 - x), float(y + rng.uniform(-3, 3)))
+           for i, (x, y) in enumerate(np.round(rng.uniform(0, 12, (500, 2)), 1))]
+    kept = []
+    near = lambda a, b, c, d: a is not None and c is not None and (a - c) ** 2 + (b - d) ** 2 < 16
+    for k, i, x, y, u, v in sorted(pts, key=lambda p: (p[3], p[2], p[1])):
+        if not any(k == q[0] and (near(x, y, q[2], q[3]) or near(u, v, q[4], q[5])) for q in kept):
+            kept.append((k, i, x, y, u, v))
+    df = spark.createDataFrame(pts, "frame_id bigint, star_id bigint, x double, y double, u double, v double")
+    got = match.greedy_separation(df, 4.0, ["frame_id"], "star_id", [F.col("y"), F.col("x"), F.col("star_id")], F.col("y"), [("x", "y"), ("u", "v")])
+    assert [r["star_id"] for r in got.orderBy("star_id").collect()] == sorted(k[1] for k in kept)
+    assert max(seen) < 250
+    monkeypatch.setattr(match, "WINNERS", 0, raising=False)
+    again = match.greedy_separation(df, 4.0, ["frame_id"], "star_id", [F.col("y"), F.col("x"), F.col("star_id")], F.col("y"), [("x", "y"), ("u", "v")])
+    assert {r["star_id"] for r in again.collect()} == {k[1] for k in kept}
+
+
 def test_row_numbers_with_a_heavy_key(spark):
     df = spark.createDataFrame([(0 if i % 4 else i, i, float((i * 7919) % 100)) for i in range(400)], "k int, i int, v double")
     order = [F.col("v"), F.col("i")]
