@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MIN_COVERAGE, choice, finite, require, require_columns
-from .stats import InTask, Spread, join_keys, per_key
+from .stats import TASK_ROWS, InTask, Spread, heavy_part, join_keys, per_key, sampled
 
 INF = float("inf")
 ROBUST = ("median", "sigma", "sigma_mad", "winsorized", "percentile")
@@ -379,12 +380,16 @@ def stack_merged(df: DataFrame, keys: list[str], partial, merge, finish, salts:
     """caller's own combination in three parts, for keys of any size.
 
     ``partial(values, weights) -> state`` sees some samples of a key, ``merge(state, state) -> state`` joins two states (in
-    any order), ``finish(state) -> float`` gives the value. A task merges what its batches hold of a key before anything is
-    shuffled (at most ``held`` keys at a time); the states of a key then meet in ``salts`` groups and at last in one, so a
-    task holds one state and a batch, and a key with most of the rows sends one state per task and salt."""
+    any order), ``finish(state) -> float`` gives the value. Samples of ordinary keys are sorted by key and a task streams through
+    them, so a key costs one state per batch it lies in. Heavy keys, and all of them where there are at most ``held``, are merged
+    by each task before anything is shuffled (at most ``held`` at a time); the states of a key then meet in ``salts``
+    groups and at last in one. Either way a task holds few states and a batch, and a key with most of the rows sends one state
+    per task and salt."""
     import pickle
 
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     require(salts >= 1 and held >= 1, "salts and held must be positive")
     o = StackOptions(**options)
@@ -442,7 +447,53 @@ def stack_merged(df: DataFrame, keys: list[str], partial, merge, finish, salts:
             columns = [pa.array([key[i]], schema.field(k).type) for i, k in enumerate(keys)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([float(finish(state))], pa.float64())], [*keys, "value"])
 
-    states = rows.mapInArrow(begin, f"{key_schema}, state binary")
-    salted = states.withColumn("_salt", F.pmod(F.xxhash64("state"), F.lit(salts)))
-    states = salted.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt").drop("_salt").mapInArrow(join_states, f"{key_schema}, state binary")
-    return states.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(end, f"{key_schema}, value double")
+    def run_begins(batch):
+        """Places in a sorted batch where a key begins; missing keys are equal."""
+        new = np.zeros(len(batch) - 1, dtype=bool)
+        for k in keys:
+            one, two = batch.column(k).slice(1), batch.column(k).slice(0, len(batch) - 1)
+            equal = pc.or_(pc.fill_null(pc.equal(one, two), False), pc.and_(one.is_null(), two.is_null()))
+            if pa.types.is_floating(one.type):
+                equal = pc.or_(equal, pc.fill_null(pc.and_(pc.is_nan(one), pc.is_nan(two)), False))
+            new |= ~equal.to_numpy(zero_copy_only=False)
+        return [0, *(np.flatnonzero(new) + 1).tolist()]
+
+    def stream(batches):
+        """Values of keys whose samples lie side by side in a sorted partition."""
+        name = state = last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            values, weights = batch.column("_x").to_numpy(zero_copy_only=False), batch.column("_wt").to_numpy(zero_copy_only=False)
+            begins = run_begins(batch)
+            key_columns = batch.select(keys)
+            goes_on = name is not None and same(name, tuple(key_columns.slice(0, 1).to_pylist()[0].values()))
+            done = [] if last is None or goes_on else [(last, [float(finish(state))])]
+            out = []
+            for i, (at, end) in enumerate(zip(begins, [*begins[1:], len(batch)])):
+                if i:
+                    out.append(float(finish(state)))
+                more = partial(values[at:end], weights[at:end])
+                state = merge(state, more) if goes_on and not i else more
+            if out:
+                done.append((key_columns.take(pa.array(begins[:-1], pa.int64())), out))
+            for of, found in done:
+                yield pa.RecordBatch.from_arrays([*of.columns, pa.array(found, pa.float64())], [*keys, "value"])
+            last = key_columns.slice(begins[-1], 1)
+            name = tuple(last.to_pylist()[0].values())
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([*last.columns, pa.array([float(finish(state))], pa.float64())], [*keys, "value"])
+
+    def by_states(rows):
+        states = rows.mapInArrow(begin, f"{key_schema}, state binary")
+        salted = states.withColumn("_salt", F.pmod(F.xxhash64("state"), F.lit(salts)))
+        states = salted.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt").drop("_salt").mapInArrow(join_states, f"{key_schema}, state binary")
+        return states.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(end, f"{key_schema}, value double")
+
+    if rows.agg(F.approx_count_distinct(F.xxhash64(*keys)).alias("n")).first()["n"] <= held:
+        return by_states(rows)
+    hot, n = sampled(rows, keys)
+    light, heavy, _ = heavy_part(rows, keys, hot or [])
+    light = light.repartition(max(math.ceil(n / TASK_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    out = light.sortWithinPartitions(*keys).mapInArrow(stream, f"{key_schema}, value double")
+    return out if heavy is None else out.unionByName(by_states(heavy))
\ No newline at end of file

@@ -231,6 +231,29 @@ def test_own_combinations_with_nine_tenths_in_one_key(spark):
     assert max(r["value"] for r in largest) <= 50
 
 
+def test_merged_states_of_many_keys_see_all_samples_of_a_batch(spark):
+    """Keys scattered over the rows are put side by side first: no sample travels as a state of its own; NULL and NaN are keys."""
+    rows = [(None if i % 97 == 0 else float("nan") if i % 89 == 0 else float(i % 300), str(i % 2), i, float(i % 11), 1.0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k double, s string, frame_id bigint, value double, coverage double")
+    name = lambda k, s: (k if k is None or k == k else "nan", s)
+    want = {}
+    for k, s, _, v, _ in rows:
+        want.setdefault(name(k, s), []).append(v)
+    parts = (lambda v, w: (len(v), float(v.sum()), 1), lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
+    read = lambda d: {name(r["k"], r["s"]): r["value"] for r in d.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        sums = st.stack_merged(df, ["k", "s"], *parts, lambda s: s[1], held=50)
+        calls = st.stack_merged(df, ["k", "s"], *parts, lambda s: s[2], held=50).agg(F.sum("value")).first()[0]
+        assert sums.count() == len(want) and read(sums) == {k: sum(v) for k, v in want.items()}
+        assert calls < len(want) + 60
+        spark.conf.set(HOT_ROWS_CONF, 40)
+        assert read(st.stack_merged(df, ["k", "s"], *parts, lambda s: s[1], held=50)) == read(sums)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset(HOT_ROWS_CONF)
+
+
 def test_accumulators_merge_to_the_whole(spark, skewed):
     a = st.accumulate(skewed.where(F.col("frame_id") % 2 == 0), ["k"])
     b = st.accumulate(skewed.where(F.col("frame_id") % 2 == 1), ["k"])
