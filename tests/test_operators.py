@@ -239,6 +239,48 @@ def test_objects_on_any_panel_in_rounds(spark):
     assert len(got) == len(set(got)) and set(got) == every and 0 < len(every) < 800
 
 
+def test_objects_without_a_ring_meet_panels_by_scalar_products(spark):
+    """The join looks at no ring and no place; objects on the very edge, rotated and mirrored panels, rings and missing positions stay right."""
+    rng = np.random.default_rng(5)
+    panels = [(p, 50.5, 40.5, float(rng.uniform(0, 360)), float(rng.uniform(-85, 85)), cd, [], 100, 80)
+              for p, cd in enumerate([[-0.1, 0.0, 0.0, 0.1], [0.07, 0.07, -0.07, 0.07], [0.1, 0.02, 0.0, -0.1], [0.0, 0.1, 0.1, 0.0]] * 4)]
+    wcs = spark.createDataFrame(panels, "panel_id int, px double, py double, pra double, pdec double, cd array<double>, "
+                                "sip array<struct<i: int, j: int, a: double, b: double>>, width int, height int")
+    spots = [(p[0], float(x), float(y)) for p in panels for x, y in [(-0.5, 3.0), (99.5, 20.0), (7.0, -0.5), (50.0, 79.5), *rng.uniform(-30, 130, (40, 2))]]
+    at = sky.pixel_to_sky(spark.createDataFrame(spots, "panel_id int, x double, y double"), wcs).collect()
+    rows = [(i, r["ra"] if i % 90 else None, r["dec"], 30.0 if i % 2 else 0.0, 30.0 if i % 3 else None, None) for i, r in enumerate(at)]
+    catalog = spark.createDataFrame(rows, "id bigint, ra double, dec double, major_arcmin double, minor_arcmin double, position_angle double")
+    ringless = catalog.select("id", "ra", "dec", "major_arcmin")
+    on = sky.sky_to_pixel(catalog.crossJoin(wcs.select("panel_id")).select("panel_id", "id", "ra", "dec"), wcs, sip=False).where(
+        "x >= -0.5 and y >= -0.5 and x <= 99.5 and y <= 79.5").collect()
+    want = {(r["panel_id"], r["id"]): (r["x"], r["y"]) for r in on}
+    found = sky.cone_search(ringless, wcs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("exists(" in line for line in plan.splitlines() if "SortMergeJoin" in line)
+    edge = lambda x, y: min(abs(x + 0.5), abs(y + 0.5), abs(x - 99.5), abs(y - 79.5)) < 1e-6
+    got = {(r["panel_id"], r["id"]): (r["x"], r["y"]) for r in found.collect()}
+    inner = lambda d: {k for k, v in d.items() if not edge(*v)}
+    assert inner(got) == inner(want) and len(want) > 100 and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in inner(want))
+    # Objects on an edge fall on the side their own rounding gives, with and without the ringed objects' way.
+    ringed = [r for r in sky.cone_search(catalog, wcs).collect()]
+    assert {(r["panel_id"], r["id"]) for r in ringed if r["center_visible"]} == set(got)
+    assert any(not r["center_visible"] for r in ringed) and all(r["outline_kind"] == "catalog-ellipse" for r in ringed if not r["center_visible"])
+
+
+def test_rounding_by_scale_equals_the_sql(spark):
+    import duckdb
+
+    from framewise.plans.fixtures import scaled, sr
+
+    rng = np.random.default_rng(2)
+    values = [0.0, -0.0, 0.00005, -0.00005, 0.12345, -7.00015, 3.5e5, -3.5e5, *rng.uniform(-1e4, 1e4, 500).tolist(), *(rng.integers(-10**7, 10**7, 500) / 20000).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, v double")
+    got = dict(df.select("i", scaled("v", 4)).collect())
+    rows = ", ".join(f"({i}, CAST('{v!r}' AS DOUBLE))" for i, v in enumerate(values))
+    want = {r[0]: r[1] for r in duckdb.connect().execute(f"SELECT i, {sr('v', 'r', 4)} FROM (VALUES {rows}) t(i, v)").fetchall()}
+    assert got.pop(-1) is None and got == want
+
+
 def test_cone_search_matches_every_pair_near_poles_and_the_date_line(spark):
     rng = np.random.default_rng(8)
     cat = [(i, float(rng.uniform(0, 360)), float(np.degrees(np.arcsin(rng.uniform(-1, 1))))) for i in range(1500)]
